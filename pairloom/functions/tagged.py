@@ -1,9 +1,7 @@
-"""Column expressions over plain and entity-tagged sentences."""
+"""Expressions over plain and entity-tagged sentences; arguments are SQL expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,52 +13,48 @@ _EDGE = "\u0001"
 _INNER = "\u0002"
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once per row, however often ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def bind(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for ``value``, computed once per row however often ``body`` uses it."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def tokens_sql(sentence: str) -> str:
+    """SQL of :func:`tagged_tokens`."""
+    marked = (
+        f"regexp_replace(translate({sentence}, '{_EDGE}{_INNER}', ''), "
+        f"'{TAGGED_ENTITY}', '{_EDGE}$1{_INNER}$2{_EDGE}')"
+    )
+    entity = (
+        f"array(named_struct('text', substring_index(c, '{_INNER}', -1), "
+        f"'tag', substring_index(c, '{_INNER}', 1)))"
+    )
+    words = "transform(filter(split(c, ' '), w -> w != ''), w -> named_struct('text', w, 'tag', ''))"
+    return f"flatten(transform(split({marked}, '{_EDGE}'), (c, i) -> if(i % 2 = 1, {entity}, {words})))"
 
 
-def tagged_tokens(sentence: Column) -> Column:
+def tagged_tokens(sentence: str) -> Column:
     """Tokens of a tagged sentence as ``ARRAY<STRUCT<text, tag>>``.
 
     An entity is one token whatever its length; other text is cut at single
     spaces, and a word glued to a tag becomes a token of its own. The closing
     tag need not repeat the opening one.
     """
-    clean = F.translate(sentence, _EDGE + _INNER, "")
-    chunks = F.split(F.regexp_replace(clean, TAGGED_ENTITY, f"{_EDGE}$1{_INNER}$2{_EDGE}"), _EDGE)
-
-    def entity(chunk: Column) -> Column:
-        return F.array(
-            F.struct(
-                F.substring_index(chunk, _INNER, -1).alias("text"),
-                F.substring_index(chunk, _INNER, 1).alias("tag"),
-            )
-        )
-
-    def words(chunk: Column) -> Column:
-        found = F.filter(F.split(chunk, " "), lambda w: w != "")
-        return F.transform(found, lambda w: F.struct(w.alias("text"), F.lit("").alias("tag")))
-
-    return F.flatten(
-        F.transform(chunks, lambda chunk, i: F.when(i % 2 == 1, entity(chunk)).otherwise(words(chunk)))
-    )
+    return F.expr(tokens_sql(sentence))
 
 
-def entity_names(sentence: Column, tag: str) -> Column:
+def entity_names(sentence: str, tag: str) -> Column:
     """Every name between matching ``tag`` markers, repeats kept."""
     return F.regexp_extract_all(sentence, F.lit(f"<{tag}>(.+?)</{tag}>"), 1)
 
 
-def strip_tags(sentence: Column) -> Column:
+def strip_tags(sentence: str) -> Column:
     """The sentence without its entity tags."""
     return F.regexp_replace(sentence, TAGGED_ENTITY, "$2")
 
 
-def sites(tokens: Column, tag: str) -> Column:
-    """0-based positions of the tokens that carry ``tag``."""
-    marked = F.transform(tokens, lambda t, i: F.when(t["tag"] == tag, i))
-    return F.filter(marked, lambda i: i.isNotNull())
+def sites_sql(tokens: str, tag: str) -> str:
+    """SQL of the 0-based positions of the tokens that carry ``tag``."""
+    return f"filter(transform({tokens}, (t, i) -> if(t.tag = '{tag}', i, null)), i -> i IS NOT NULL)"
 
 
 def single_spaced(text: Column) -> Column:
@@ -71,7 +65,7 @@ def single_spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, " +", " "))
 
 
-def sentence_list(text: Column) -> Column:
+def sentence_list(text: str) -> Column:
     """Sentences of an article: cut after a run of terminators and its closing brackets."""
     clean = F.translate(text, _EDGE, "")
     marked = F.regexp_replace(single_spaced(clean), r"((?: [.!?]+)+(?: [)\]])*) ", f"$1{_EDGE}")

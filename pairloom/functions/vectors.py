@@ -1,4 +1,8 @@
-"""Context vectors: ``ARRAY<STRUCT<token STRING, weight DOUBLE>>`` sorted by token."""
+"""Context vectors: ``ARRAY<STRUCT<token STRING, weight DOUBLE>>`` sorted by token.
+
+Arguments are SQL expressions, most often column names: a higher-order function
+over names is one parsed expression instead of dozens of column objects.
+"""
 
 from __future__ import annotations
 
@@ -11,88 +15,81 @@ VECTOR = "ARRAY<STRUCT<token: STRING, weight: DOUBLE>>"
 PARTS = ("lc", "mc", "rc")
 
 
-def context_vector(window: Column) -> Column:
+def context_vector(window: str) -> Column:
     """Each token's share of a window of tokens; an empty window gives an empty vector."""
-    total = F.size(window)
-    return F.transform(
-        F.array_sort(F.array_distinct(window)),
-        lambda t: F.struct(
-            t.alias("token"),
-            (F.size(F.filter(window, lambda x: x == t)) / total).alias("weight"),
-        ),
+    return F.expr(
+        f"transform(sort_array(array_distinct({window})), t -> named_struct("
+        f"'token', t, 'weight', size(filter({window}, x -> x = t)) / size({window})))"
     )
 
 
-def vector_total(vector: Column) -> Column:
+def _total(vector: str) -> str:
+    return f"aggregate({vector}, 0D, (acc, x) -> acc + x.weight)"
+
+
+def vector_total(vector: str) -> Column:
     """Sum of the weights."""
-    return F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x["weight"])
+    return F.expr(_total(vector))
+
 
+def _squared_norm(vector: str) -> str:
+    return f"aggregate({vector}, 0D, (acc, x) -> acc + x.weight * x.weight)"
 
-def squared_norm(vector: Column) -> Column:
+
+def squared_norm(vector: str) -> Column:
     """Sum of the squared weights."""
-    return F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x["weight"] * x["weight"])
+    return F.expr(_squared_norm(vector))
 
 
-def scaled_vector(vector: Column) -> Column:
+def scaled_vector(vector: str) -> Column:
     """The vector with its weights divided by their total; an empty one stays empty."""
-    total = vector_total(vector)
-    return F.transform(
-        vector, lambda x: F.struct(x["token"].alias("token"), (x["weight"] / total).alias("weight"))
+    # The total is bound to y once, not computed per token.
+    return F.expr(
+        f"get(transform(array({_total(vector)}), y -> "
+        f"transform({vector}, x -> named_struct('token', x.token, 'weight', x.weight / y))), 0)"
     )
 
 
-def add_vectors(left: Column, right: Column) -> Column:
+def add_vectors(left: str, right: str) -> Column:
     """Key-wise sum of two vectors."""
-    both = F.concat(left, right)
-    tokens = F.array_sort(F.array_distinct(F.transform(both, lambda x: x["token"])))
-    return F.transform(
-        tokens,
-        lambda t: F.struct(
-            t.alias("token"),
-            vector_total(F.filter(both, lambda x: x["token"] == t)).alias("weight"),
-        ),
+    both = f"concat({left}, {right})"
+    return F.expr(
+        f"transform(sort_array(array_distinct(transform({both}, x -> x.token))), t -> named_struct("
+        f"'token', t, 'weight', {_total(f'filter({both}, x -> x.token = t)')}))"
     )
 
 
-def signature(lc: Column, mc: Column, rc: Column) -> Column:
+def signature(lc: str = "lc", mc: str = "mc", rc: str = "rc") -> Column:
     """Which contexts are non-empty, as the bits left 4, middle 2, right 1."""
-    bits = (F.when(F.size(v) > 0, bit).otherwise(0) for v, bit in ((lc, 4), (mc, 2), (rc, 1)))
-    return sum(bits, F.lit(0)).cast("int")
+    return F.expr(f"if(size({lc}) > 0, 4, 0) + if(size({mc}) > 0, 2, 0) + if(size({rc}) > 0, 1, 0)")
 
 
-def lookup(vector: Column) -> Column:
+def lookup(vector: str) -> Column:
     """A vector as a token-to-weight map."""
-    return F.map_from_entries(vector)
-
-
-def _weight_in(weights: Column, token: Column) -> Column:
-    return F.coalesce(F.try_element_at(weights, token), F.lit(0.0))
+    return F.expr(f"map_from_entries({vector})")
 
 
-def _part_score(vector: Column, weights: Column, norm: Column, damped: bool) -> Column:
-    dot = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x["weight"] * _weight_in(weights, x["token"]))
+def _part_score(vector: str, weights: str, norm: str, damped: bool) -> str:
+    found = f"coalesce(try_element_at({weights}, x.token), 0D)"
+    dot = f"aggregate({vector}, 0D, (acc, x) -> acc + x.weight * {found})"
     if damped:
         # The right-hand score counts the weights of shared tokens twice in the centroid's norm.
-        norm = norm + F.aggregate(
-            vector,
-            F.lit(0.0),
-            lambda acc, x: acc + _weight_in(weights, x["token"]) * _weight_in(weights, x["token"]),
-        )
-    score = F.try_divide(dot, F.sqrt(norm) * F.sqrt(squared_norm(vector)))
-    both_empty = (F.size(vector) == 0) & (F.size(weights) == 0)
-    return F.when(both_empty, F.lit(0.0)).otherwise(score)
+        norm = f"({norm} + aggregate({vector}, 0D, (acc, x) -> acc + {found} * {found}))"
+    score = f"try_divide({dot}, sqrt({norm}) * sqrt({_squared_norm(vector)}))"
+    return f"if(size({vector}) = 0 AND size({weights}) = 0, 0D, {score})"
 
 
 def degree_of_match(
-    left_tag: Column,
-    vectors: tuple[Column, Column, Column],
-    centroid_tag: Column,
-    centroid_maps: tuple[Column, Column, Column],
-    centroid_norms: tuple[Column, Column, Column],
+    left_tag: str,
+    vectors: tuple[str, str, str],
+    centroid_tag: str,
+    centroid_maps: tuple[str, str, str],
+    centroid_norms: tuple[str, str, str],
     params: Params = Params(),
 ) -> Column:
     """Similarity of a context with a centroid, in [0, 1].
 
+    The centroid comes as :func:`lookup` maps and :func:`squared_norm` values.
     0 if the two entities come in different order. NULL (never NaN, which would
     pass every threshold) if one side has an empty context where the other has
     none, so such a pair can never match.
@@ -101,9 +98,9 @@ def degree_of_match(
         _part_score(v, m, n, damped=(i == 2 and not params.plain_cosine))
         for i, (v, m, n) in enumerate(zip(vectors, centroid_maps, centroid_norms))
     ]
-    return F.when(left_tag == centroid_tag, (scores[0] + scores[1] + scores[2]) / 3).otherwise(F.lit(0.0))
+    return F.expr(f"if({left_tag} = {centroid_tag}, ({' + '.join(scores)}) / 3, 0D)")
 
 
-def bucket_of(value: Column) -> Column:
+def bucket_of(value: str) -> Column:
     """Histogram bucket: tenths, rounded half up; no value counts as zero."""
-    return F.floor(F.coalesce(value, F.lit(0.0)) * 10 + 0.5).cast("int")
+    return F.expr(f"CAST(floor(coalesce({value}, 0D) * 10 + 0.5D) AS INT)")

@@ -33,23 +33,15 @@ _STATE_SCHEMA = (
 )
 
 
-def _signature():
-    return signature(*(F.col(p) for p in PARTS))
-
-
 def centroids(members: DataFrame) -> DataFrame:
     """``(cluster_id, left_tag, lc, mc, rc)`` of members with these columns.
 
     Each part is summed key-wise and divided by its total. Sums combine on the
     map side, so a large cluster is no large group.
     """
-
-    def labelled(part: str):
-        return F.transform(
-            part, lambda x: F.struct(F.lit(part).alias("part"), x["token"].alias("token"), x["weight"].alias("weight"))
-        )
-
-    parts = F.concat(*(labelled(p) for p in PARTS))
+    parts = F.concat(
+        *(F.expr(f"transform({p}, x -> named_struct('part', '{p}', 'token', x.token, 'weight', x.weight))") for p in PARTS)
+    )
     tags = members.groupBy("cluster_id").agg(F.min("left_tag").alias("left_tag"))
     sums = (
         members.select("cluster_id", F.explode(parts).alias("x"))
@@ -60,7 +52,7 @@ def centroids(members: DataFrame) -> DataFrame:
     shares = sums.join(totals, ["cluster_id", "part"]).withColumn("weight", F.col("weight") / F.col("total"))
     vectors = shares.groupBy("cluster_id").agg(
         *(
-            F.array_sort(F.collect_list(F.when(F.col("part") == p, F.struct("token", "weight")))).alias(p)
+            F.sort_array(F.collect_list(F.when(F.col("part") == p, F.struct("token", "weight")))).alias(p)
             for p in PARTS
         )
     )
@@ -147,7 +139,7 @@ def cluster_patterns(patterns: DataFrame, params: Params = Params()) -> DataFram
     distinct = (
         patterns.groupBy("left_tag", *PARTS)
         .agg(F.sum("weight").alias("weight"))
-        .withColumn("signature", _signature())
+        .withColumn("signature", signature())
     )
     joinable = F.col("signature").isin(params.joinable_signatures())
     alone = _ungrouped(distinct.where(~joinable), params, joinable=False)
@@ -255,7 +247,7 @@ def merge_centroids(level1: DataFrame, params: Params = Params()) -> DataFrame:
         merged = _as_state(items).groupBy(*GROUP).applyInPandas(_pass_over_chunk(params, 0), _STATE_SCHEMA)
     # Centroids that cannot join anything stay as they are.
     alone = level1.where(~joinable).select(*GROUP, *PARTS, "size")
-    return merged.select(*GROUP, *(scaled_vector(F.col(p)).alias(p) for p in PARTS), "size").unionByName(alone)
+    return merged.select(*GROUP, *(scaled_vector(p).alias(p) for p in PARTS), "size").unionByName(alone)
 
 
 def numbered(patterns: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ is allowed only where the tokens left out could not reach the threshold together
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import PARTS, degree_of_match, lookup, signature, squared_norm
@@ -17,17 +17,9 @@ from pairloom.params import Params
 _SLACK = 1e-9
 
 
-def _features(vectors: tuple[Column, Column, Column]) -> Column:
-    """Tokens of all three contexts, each prefixed by its part."""
-    return F.concat(*(F.transform(v, _feature_of(part)) for part, v in zip(PARTS, vectors)))
-
-
-def _feature_of(part: str):
-    return lambda x: F.concat(F.lit(part[0] + ":"), x["token"])
-
-
-def _vectors(df_prefix: str = "") -> tuple[Column, Column, Column]:
-    return tuple(F.col(df_prefix + part) for part in PARTS)
+def _feature(part: str) -> str:
+    """SQL of a token prefixed by its part."""
+    return f"concat('{part[0]}:', x.token)"
 
 
 def pattern_index(
@@ -39,28 +31,20 @@ def pattern_index(
     leading run of them is left out as long as a context sharing only that run
     stays below ``threshold``, so what remains is the rarest sufficient set.
     """
-    left, middle, right = _vectors()
-    prepared = patterns.select(
-        key, "left_tag", "lc", "mc", "rc", signature(left, middle, right).alias("signature")
-    )
-
-    def shares(part: str, vector: Column) -> Column:
-        norm = squared_norm(vector)
-        return F.transform(
-            vector,
-            lambda x: F.struct(
-                F.lit(part).alias("part"),
-                _feature_of(part)(x).alias("feature"),
-                (x["weight"] * x["weight"] / norm).alias("share"),
-            ),
+    prepared = patterns.select(key, "left_tag", *PARTS, signature().alias("signature"))
+    shares = (
+        F.expr(
+            f"transform({p}, x -> named_struct('part', '{p}', 'feature', {_feature(p)}, "
+            f"'share', x.weight * x.weight / {p}_norm))"
         )
-
-    features = prepared.select(
-        key,
-        "left_tag",
-        "signature",
-        F.explode(F.concat(*(shares(p, v) for p, v in zip(PARTS, _vectors())))).alias("f"),
-    ).select(key, "left_tag", "signature", "f.*")
+        for p in PARTS
+    )
+    norms = [squared_norm(p).alias(f"{p}_norm") for p in PARTS]
+    features = (
+        prepared.select("*", *norms)
+        .select(key, "left_tag", "signature", F.explode(F.concat(*shares)).alias("f"))
+        .select(key, "left_tag", "signature", "f.*")
+    )
     commonness = features.groupBy("left_tag", "signature", "feature").agg(F.count(F.lit(1)).alias("patterns"))
     ranked = features.join(commonness, ["left_tag", "signature", "feature"])
 
@@ -79,13 +63,9 @@ def pattern_index(
         .groupBy(key)
         .agg(F.collect_list("feature").alias("needed"))
     )
-    maps = [lookup(v).alias(f"{p}_map") for p, v in zip(PARTS, _vectors())]
-    norms = [squared_norm(v).alias(f"{p}_norm") for p, v in zip(PARTS, _vectors())]
-    return (
-        prepared.select(key, F.col("left_tag").alias("pattern_tag"), F.col("signature").alias("pattern_signature"), *maps, *norms)
-        .join(needed, key)
-        .withColumn("feature", F.explode("needed"))
-    )
+    maps = [lookup(p).alias(f"{p}_map") for p in PARTS]
+    tags = [F.col("left_tag").alias("pattern_tag"), F.col("signature").alias("pattern_signature")]
+    return prepared.select(key, *tags, *maps, *norms).join(needed, key).withColumn("feature", F.explode("needed"))
 
 
 def match_contexts(
@@ -102,12 +82,10 @@ def match_contexts(
     meeting at the first of them counts, which keeps the pairs distinct without
     a shuffle.
     """
-    vectors = _vectors()
     kept = [c for c in contexts.columns if c not in PARTS]
-    probes = (
-        contexts.withColumn("signature", signature(*vectors))
-        .withColumn("features", _features(vectors))
-        .withColumn("feature", F.explode("features"))
+    features = "concat(" + ", ".join(f"transform({p}, x -> {_feature(p)})" for p in PARTS) + ")"
+    probes = contexts.select("*", signature().alias("signature"), F.expr(features).alias("features")).select(
+        "*", F.explode("features").alias("feature")
     )
     joined = probes.join(
         index,
@@ -116,11 +94,11 @@ def match_contexts(
         & (probes["feature"] == index["feature"]),
     ).where(F.get(F.array_intersect("features", "needed"), F.lit(0)) == index["feature"])
     similarity = degree_of_match(
-        F.col("left_tag"),
-        vectors,
-        F.col("pattern_tag"),
-        tuple(F.col(f"{p}_map") for p in PARTS),
-        tuple(F.col(f"{p}_norm") for p in PARTS),
+        "left_tag",
+        PARTS,
+        "pattern_tag",
+        tuple(f"{p}_map" for p in PARTS),
+        tuple(f"{p}_norm" for p in PARTS),
         params,
     )
     scored = joined.select(*kept, key, similarity.alias("similarity"))

@@ -18,29 +18,21 @@ def clean_newlines(articles: DataFrame) -> DataFrame:
 
 def split_sentences(articles: DataFrame) -> DataFrame:
     """``(index, text)`` to ``(index, pos, sentence)``, tokens joined by one space."""
-    return articles.select("index", F.posexplode(sentence_list(F.col("text"))).alias("pos", "sentence"))
+    return articles.select("index", F.posexplode(sentence_list("text")).alias("pos", "sentence"))
 
 
-def _grams(tokens: Column, length: int) -> Column:
-    """``(gram, start, length)`` for every run of ``length`` tokens."""
+def _grams(tokens: str, length: int) -> str:
+    """SQL of ``(gram, start, length)`` for every run of ``length`` tokens."""
     if length == 1:
-        return F.transform(
-            tokens, lambda t, i: F.struct(t.alias("gram"), i.alias("start"), F.lit(1).alias("length"))
-        )
-    starts = F.slice(F.transform(tokens, lambda t, i: i), F.lit(1), F.greatest(F.size(tokens) - length + 1, F.lit(0)))
-    return F.transform(
-        starts,
-        lambda i: F.struct(
-            F.array_join(F.slice(tokens, i + 1, F.lit(length)), " ").alias("gram"),
-            i.alias("start"),
-            F.lit(length).alias("length"),
-        ),
-    )
+        return f"transform({tokens}, (t, i) -> named_struct('gram', t, 'start', i, 'length', 1))"
+    starts = f"slice(transform({tokens}, (t, i) -> i), 1, greatest(size({tokens}) - {length - 1}, 0))"
+    gram = f"array_join(slice({tokens}, i + 1, {length}), ' ')"
+    return f"transform({starts}, i -> named_struct('gram', {gram}, 'start', i, 'length', {length}))"
 
 
 def _leftmost_longest(hits: Column) -> Column:
     """Of overlapping hits keep the leftmost, and of those the longest."""
-    ordered = F.array_sort(hits)
+    ordered = F.sort_array(hits)
     empty = F.filter(hits, lambda h: F.lit(False))
     start = F.struct(F.lit(0).alias("free"), empty.alias("kept"))
     return F.aggregate(
@@ -82,7 +74,7 @@ def tag_entities(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """
     names = gazetteer.groupBy("name").agg(F.min("tag").alias("tag"))
     # One row: the distinct name lengths, in tokens.
-    lengths = names.agg(F.array_sort(F.collect_set(F.size(F.split("name", " "))))).first()[0]
+    lengths = names.agg(F.sort_array(F.collect_set(F.size(F.split("name", " "))))).first()[0]
     key = {
         "t1": F.xxhash64("sentence"),
         "t2": F.xxhash64(F.lit("sentence"), "sentence"),
@@ -91,10 +83,8 @@ def tag_entities(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
     if not lengths:
         return sentences
     texts = keyed.select("t1", "t2", "sentence").groupBy("t1", "t2").agg(F.first("sentence").alias("sentence"))
-    grams = bind(
-        F.split(F.col("sentence"), " "),
-        lambda tokens: F.concat(*(_grams(tokens, length) for length in lengths)),
-    )
+    runs = ", ".join(_grams("tokens", length) for length in lengths)
+    grams = F.expr(bind("split(sentence, ' ')", "tokens", f"concat({runs})"))
     hits = (
         texts.select("t1", "t2", F.explode(grams).alias("g"))
         .select("t1", "t2", F.col("g.gram").alias("name"), F.col("g.start").alias("start"), F.col("g.length").alias("length"))

@@ -105,7 +105,7 @@ def merge_seeds(seeds: DataFrame, found: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
     """``(bucket, n)``: rows, or their ``weight``, per tenth of ``column``."""
     size = F.sum(weight) if weight else F.count(F.lit(1))
-    return df.groupBy(bucket_of(F.col(column)).alias("bucket")).agg(size.alias("n"))
+    return df.groupBy(bucket_of(column).alias("bucket")).agg(size.alias("n"))
 
 
 def join_histogram(level1: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def match_histogram(mentioned: DataFrame, matches: DataFrame, patterns: DataFram
     ``matches`` holds the pairs of at least half a bucket; every other pair is
     in bucket 0, which is the number of all pairs less the others.
     """
-    positive = pattern_matches(mentioned, matches).groupBy(bucket_of(F.col("similarity")).alias("bucket")).agg(
+    positive = pattern_matches(mentioned, matches).groupBy(bucket_of("similarity").alias("bucket")).agg(
         F.sum("n").alias("n")
     )
     zero = F.lit(0).cast("bigint")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.tagged import bind, entity_names, sites, tagged_tokens
+from pairloom.functions.tagged import bind, entity_names, sites_sql, tagged_tokens, tokens_sql
 from pairloom.functions.vectors import context_vector
 from pairloom.params import Params
 
@@ -24,7 +24,7 @@ def filter_by_tags(sentences: DataFrame, params: Params = Params()) -> DataFrame
 
 def org_sentences(sentences: DataFrame, params: Params = Params()) -> DataFrame:
     """``(sentence_id, org, sentence)``, one row per occurrence of an organization."""
-    names = entity_names(F.col("sentence"), params.entity_tags[0])
+    names = entity_names("sentence", params.entity_tags[0])
     return sentences.select("sentence_id", F.explode(names).alias("org"), "sentence")
 
 
@@ -35,7 +35,7 @@ def sentence_seed_join(organizations: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def tokenize(sentences: DataFrame) -> DataFrame:
     """``(sentence_id, tokens)``."""
-    return sentences.select("sentence_id", tagged_tokens(F.col("sentence")).alias("tokens"))
+    return sentences.select("sentence_id", tagged_tokens("sentence").alias("tokens"))
 
 
 def mention_sites(tokens: DataFrame, params: Params = Params()) -> DataFrame:
@@ -43,52 +43,40 @@ def mention_sites(tokens: DataFrame, params: Params = Params()) -> DataFrame:
     first, second = params.entity_tags
     return tokens.select(
         "sentence_id",
-        sites(F.col("tokens"), first).alias("org_sites"),
-        sites(F.col("tokens"), second).alias("loc_sites"),
+        F.expr(sites_sql("tokens", first)).alias("org_sites"),
+        F.expr(sites_sql("tokens", second)).alias("loc_sites"),
     )
 
 
-def _pairs(tokens: Column, params: Params, windows: bool) -> Column:
-    """Site pairs within reach of each other, optionally with their token windows."""
-    first, second = params.entity_tags
+def _pairs(tokens: str, params: Params, windows: bool) -> Column:
+    """Site pairs within reach of each other, optionally with their token windows.
 
-    def pair(t: Column, a: Column, b: Column) -> Column:
-        fields = [
-            a.alias("a"),
-            b.alias("b"),
-            F.get(t["text"], a).alias("org"),
-            F.get(t["text"], b).alias("loc"),
-            F.when(a < b, F.lit(first)).otherwise(F.lit(second)).alias("left_tag"),
-        ]
-        if windows:
-            low, high, width = F.least(a, b), F.greatest(a, b), F.lit(params.window_size)
-            fields += [
-                F.slice(t["text"], F.greatest(low - width, F.lit(0)) + 1, F.least(width, low)).alias("lw"),
-                F.slice(t["text"], low + 2, high - low - 1).alias("mw"),
-                F.slice(t["text"], high + 2, width).alias("rw"),
-            ]
-        return F.struct(*fields)
-
-    def all_pairs(t: Column) -> Column:
-        return bind(
-            F.struct(sites(t, first).alias("orgs"), sites(t, second).alias("locs")),
-            lambda s: F.flatten(
-                F.transform(
-                    s["orgs"],
-                    lambda a: F.transform(
-                        F.filter(s["locs"], lambda b: F.abs(a - b) <= params.max_distance),
-                        lambda b: pair(t, a, b),
-                    ),
-                )
-            ),
+    The token list and the sites are each bound once: inlined at every use they
+    would be computed anew for every element.
+    """
+    first, second = params.entity_tags
+    width = params.window_size
+    fields = (
+        "'a', a, 'b', b, 'org', get(t.text, a), 'loc', get(t.text, b), "
+        f"'left_tag', if(a < b, '{first}', '{second}')"
+    )
+    if windows:
+        fields += (
+            f", 'lw', slice(t.text, greatest(least(a, b) - {width}, 0) + 1, least({width}, a, b))"
+            ", 'mw', slice(t.text, least(a, b) + 2, abs(a - b) - 1)"
+            f", 'rw', slice(t.text, greatest(a, b) + 2, {width})"
         )
-
-    return bind(tokens, all_pairs)
+    pairs = (
+        "flatten(transform(s.orgs, a -> transform("
+        f"filter(s.locs, b -> abs(a - b) <= {params.max_distance}), b -> named_struct({fields}))))"
+    )
+    both = f"named_struct('orgs', {sites_sql('t', first)}, 'locs', {sites_sql('t', second)})"
+    return F.expr(bind(tokens, "t", bind(both, "s", pairs)))
 
 
 def entity_pairs(tokens: DataFrame, params: Params = Params()) -> DataFrame:
     """``(sentence_id, a, b, org, loc, left_tag)``: a band join inside each sentence, without a shuffle."""
-    pairs = F.explode(_pairs(F.col("tokens"), params, windows=False)).alias("pair")
+    pairs = F.explode(_pairs("tokens", params, windows=False)).alias("pair")
     return tokens.select("sentence_id", pairs).select("sentence_id", "pair.*")
 
 
@@ -99,8 +87,8 @@ def context_windows(sentences: DataFrame, params: Params = Params()) -> DataFram
     the sentence, which is how often the pair counts as a raw pattern. One
     pass over each row: no UDF and no shuffle.
     """
-    pairs = F.explode(_pairs(tagged_tokens(F.col("sentence")), params, windows=True)).alias("pair")
-    names = entity_names(F.col("sentence"), params.entity_tags[0]).alias("names")
+    pairs = F.explode(_pairs(tokens_sql("sentence"), params, windows=True)).alias("pair")
+    names = entity_names("sentence", params.entity_tags[0]).alias("names")
     return sentences.select("sentence_id", names, pairs).select(
         "sentence_id",
         "pair.*",
@@ -111,7 +99,7 @@ def context_windows(sentences: DataFrame, params: Params = Params()) -> DataFram
 def with_vectors(windows: DataFrame) -> DataFrame:
     """Replace the token windows ``lw, mw, rw`` by context vectors ``lc, mc, rc``."""
     kept = [c for c in windows.columns if c not in ("lw", "mw", "rw")]
-    vectors = [context_vector(F.col(w)).alias(v) for w, v in (("lw", "lc"), ("mw", "mc"), ("rw", "rc"))]
+    vectors = [context_vector(w).alias(v) for w, v in (("lw", "lc"), ("mw", "mc"), ("rw", "rc"))]
     return windows.select(*kept, *vectors)
 
 
@@ -133,7 +121,7 @@ def mentions(sentences: DataFrame, params: Params = Params()) -> DataFrame:
         "org",
         "loc",
         "left_tag",
-        *(F.array_sort(w).alias(w) for w in ("lw", "mw", "rw")),
+        *(F.sort_array(w).alias(w) for w in ("lw", "mw", "rw")),
         "occurrences",
     )
     counted = sorted_windows.groupBy("org", "loc", *WINDOWS).agg(

@@ -51,6 +51,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows are expensive to work on, over at least as many tasks as there are cores.
+
+    A large table already comes in more splits than that and is left as it is.
+    """
+    rows = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(sentence_id, sentence)``, one per lineitem row."""
     nation = table(spark, sf_dir, "nation")
@@ -62,7 +72,7 @@ def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("o_orderkey", F.col("cn.n_name"))
     )
     return (
-        table(spark, sf_dir, "lineitem")
+        wide_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nation.alias("sn"), F.col("s_nationkey") == F.col("sn.n_nationkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -73,7 +83,7 @@ def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same sentences without tags."""
-    return tagged_sentences(spark, sf_dir).withColumn("sentence", strip_tags(F.col("sentence")))
+    return tagged_sentences(spark, sf_dir).withColumn("sentence", strip_tags("sentence"))
 
 
 def supplier_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +119,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(line)``: documents as tab-separated articles, newlines as the two characters ``\\n``."""
     text = F.replace("text", F.lit("\n"), F.lit("\\n"))
     fields = [F.col("doc_id").cast("string"), "lang", "source", F.col("n_chars").cast("string"), text]
-    return table(spark, sf_dir, "documents").select(F.concat_ws("\t", *fields).alias("line"))
+    return wide_table(spark, sf_dir, "documents", "doc_id", "lang", "source", "n_chars", "text").select(F.concat_ws("\t", *fields).alias("line"))
 
 
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
