@@ -7,6 +7,8 @@ rows splits exactly into at most 2 x 8 independent passes.
 
 from __future__ import annotations
 
+import logging
+
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
@@ -22,6 +24,8 @@ from pairloom.staging import stage
 # The pass travels with its tasks, so workers need no installed copy of it.
 cloudpickle.register_pickle_by_value(passes)
 
+logger = logging.getLogger(__name__)
+
 GROUP = ["left_tag", "signature"]
 CENTROID_COLUMNS = ["bucket", "left_tag", "signature", *PARTS, "size", "copies", "histogram"]
 _CENTROID_SCHEMA = (
@@ -222,6 +226,7 @@ def _long_pass(items: DataFrame, largest: int, params: Params) -> DataFrame:
                 pending[:0] = [(modulus * 2, residue), (modulus * 2, residue + modulus)]
                 continue
             batch = rows.unionByName(near)
+        logger.debug("slice %d of %d", residue, modulus)
         resolved = batch.groupBy(*GROUP).applyInPandas(_pass_over_chunk(params, number), _STATE_SCHEMA)
         if clusters is None:
             clusters = stage(resolved, "clusters")

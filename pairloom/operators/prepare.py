@@ -82,7 +82,7 @@ def tag_entities(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
     keyed = sentences.withColumns(key)
     if not lengths:
         return sentences
-    texts = keyed.select("t1", "t2", "sentence").groupBy("t1", "t2").agg(F.first("sentence").alias("sentence"))
+    texts = keyed.select("t1", "t2", "sentence").distinct()
     runs = ", ".join(_grams("tokens", length) for length in lengths)
     grams = F.expr(bind("split(sentence, ' ')", "tokens", f"concat({runs})"))
     hits = (

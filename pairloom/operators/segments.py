@@ -135,8 +135,7 @@ def mentions(sentences: DataFrame, params: Params = Params()) -> DataFrame:
 
 def distinct_contexts(mentioned: DataFrame) -> DataFrame:
     """``(c1, c2, left_tag, lc, mc, rc)``, one row per distinct context of :func:`mentions`."""
-    first = [F.first(c).alias(c) for c in WINDOWS]
-    return with_vectors(mentioned.groupBy(*CONTEXT_KEY).agg(*first))
+    return with_vectors(mentioned.select(*CONTEXT_KEY, *WINDOWS).distinct())
 
 
 def seed_counts(seeds: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pairloom.operators.cluster import centroids, cluster_patterns
 from pairloom.params import Params
 from pairloom.plans.bootstrap import Round, bootstrap_relations, prepare_mentions
 from pairloom.sources import format_relations, parse_articles, parse_seeds, union_lines
+from pairloom.staging import stage
 from pairloom.workload import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,7 +79,8 @@ def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _round(spark: SparkSession, sf_dir: str, params: Params = EXACT) -> Round:
     sentences = corpus.tagged_sentences(spark, sf_dir)
-    return Round(prepare_mentions(sentences, params), corpus.seed_pairs(spark, sf_dir), params)
+    seeds = stage(corpus.seed_pairs(spark, sf_dir), "seeds")
+    return Round(prepare_mentions(sentences, params), seeds, params)
 
 
 def _mentions(round_: Round) -> DataFrame:
