@@ -85,14 +85,14 @@ def match_contexts(
     kept = [c for c in contexts.columns if c not in PARTS]
     features = "concat(" + ", ".join(f"transform({p}, x -> {_feature(p)})" for p in PARTS) + ")"
     probes = contexts.select("*", signature().alias("signature"), F.expr(features).alias("features")).select(
-        "*", F.explode("features").alias("feature")
+        "*", F.explode_outer("features").alias("feature")
     )
     joined = probes.join(
         index,
         (F.col("left_tag") == F.col("pattern_tag"))
         & (F.col("signature") == F.col("pattern_signature"))
         & (probes["feature"] == index["feature"]),
-    ).where(F.get(F.array_intersect("features", "needed"), F.lit(0)) == index["feature"])
+    ).where(F.get(F.array_intersect("features", "needed"), F.lit(0)).eqNullSafe(index["feature"]))
     similarity = degree_of_match(
         "left_tag",
         PARTS,
@@ -101,6 +101,7 @@ def match_contexts(
         tuple(f"{p}_norm" for p in PARTS),
         params,
     )
-    scored = joined.select(*kept, key, similarity.alias("similarity"))
+    # Exploding a list of one keeps the filter above the score, which is then computed once per candidate.
+    scored = joined.select(*kept, key, F.explode_outer(F.array(similarity)).alias("similarity"))
     reached = F.col("similarity") > threshold if strict else F.col("similarity") >= threshold
     return scored.where(reached)
