@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The inline tag syntax.
@@ -18,6 +18,17 @@ def bind(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+def exploded(df: DataFrame, kept: list[str], items: Column, *names: str) -> DataFrame:
+    """``kept`` columns and one row per item; with two names the first is the position.
+
+    A plain explode of an expression makes the optimizer add a filter that
+    computes the expression once more. The outer form does not, and the null it
+    yields for an empty list is dropped here.
+    """
+    generator = F.posexplode_outer(items) if len(names) == 2 else F.explode_outer(items)
+    return df.select(*kept, generator.alias(*names)).where(F.col(names[-1]).isNotNull())
+
+
 def tokens_sql(sentence: str) -> str:
     """SQL of :func:`tagged_tokens`."""
     marked = (

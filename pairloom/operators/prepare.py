@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.tagged import bind, sentence_list
+from pairloom.functions.tagged import bind, exploded, sentence_list
 
 
 def clean_newlines(articles: DataFrame) -> DataFrame:
@@ -18,16 +18,16 @@ def clean_newlines(articles: DataFrame) -> DataFrame:
 
 def split_sentences(articles: DataFrame) -> DataFrame:
     """``(index, text)`` to ``(index, pos, sentence)``, tokens joined by one space."""
-    return articles.select("index", F.posexplode(sentence_list("text")).alias("pos", "sentence"))
+    return exploded(articles, ["index"], sentence_list("text"), "pos", "sentence")
 
 
 def _grams(tokens: str, length: int) -> str:
-    """SQL of ``(gram, start, length)`` for every run of ``length`` tokens."""
+    """SQL of the runs of ``length`` tokens, as ``(name, start, length, row)``."""
     if length == 1:
-        return f"transform({tokens}, (t, i) -> named_struct('gram', t, 'start', i, 'length', 1))"
+        return f"transform({tokens}, (t, i) -> named_struct('name', t, 'start', i, 'length', 1, 'row', null))"
     starts = f"slice(transform({tokens}, (t, i) -> i), 1, greatest(size({tokens}) - {length - 1}, 0))"
-    gram = f"array_join(slice({tokens}, i + 1, {length}), ' ')"
-    return f"transform({starts}, i -> named_struct('gram', {gram}, 'start', i, 'length', {length}))"
+    name = f"array_join(slice({tokens}, i + 1, {length}), ' ')"
+    return f"transform({starts}, i -> named_struct('name', {name}, 'start', i, 'length', {length}, 'row', null))"
 
 
 def _leftmost_longest(hits: Column) -> Column:
@@ -61,41 +61,49 @@ def _render(sentence: Column, hits: Column) -> Column:
         return F.array_join(F.transform(ends, lambda h: F.concat(F.lit("</"), h["tag"], F.lit(">"))), "")
 
     words = F.transform(F.split(sentence, " "), lambda t, i: F.concat(opening(i), t, closing(i)))
-    return F.when(hits.isNull(), sentence).otherwise(F.array_join(words, " "))
+    return F.when(F.size(hits) == 0, sentence).otherwise(F.array_join(words, " "))
 
 
 def tag_entities(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Wrap every dictionary name in a sentence in its tag, leftmost longest on whole tokens.
 
     ``gazetteer`` is ``(name, tag)``; of two tags for a name the first in order
-    counts. All columns but ``sentence`` pass through. Each distinct sentence
-    text is tagged once: its token runs are joined with the dictionary (the
-    optimizer broadcasts a small one) and its hits joined back by text key.
+    counts. All columns but ``sentence`` pass through. The token runs of each
+    row are joined with the dictionary (the optimizer broadcasts a small one),
+    and only the hits, and each row once, are brought together by a 128-bit row
+    key. Equal rows fold into one with a count on the map side.
     """
     names = gazetteer.groupBy("name").agg(F.min("tag").alias("tag"))
     # One row: the distinct name lengths, in tokens.
     lengths = names.agg(F.sort_array(F.collect_set(F.size(F.split("name", " "))))).first()[0]
-    key = {
-        "t1": F.xxhash64("sentence"),
-        "t2": F.xxhash64(F.lit("sentence"), "sentence"),
-    }
-    keyed = sentences.withColumns(key)
     if not lengths:
         return sentences
-    texts = keyed.select("t1", "t2", "sentence").distinct()
+    columns = sentences.columns
+    identity = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    key = [F.xxhash64(*identity).alias("k1"), F.xxhash64(F.lit("row"), *identity).alias("k2")]
+    whole = ", ".join(f"'{c}', `{c}`" for c in columns)
+    # The row itself travels under a name no dictionary holds, different for each row to spread a shuffle.
+    itself = f"array(named_struct('name', concat(char(1), k1), 'start', 0, 'length', 0, 'row', named_struct({whole})))"
     runs = ", ".join(_grams("tokens", length) for length in lengths)
-    grams = F.expr(bind("split(sentence, ' ')", "tokens", f"concat({runs})"))
-    hits = (
-        texts.select("t1", "t2", F.explode(grams).alias("g"))
-        .select("t1", "t2", F.col("g.gram").alias("name"), F.col("g.start").alias("start"), F.col("g.length").alias("length"))
-        .join(names, "name")
-        .groupBy("t1", "t2")
-        .agg(F.collect_list(F.struct("start", (-F.col("length")).alias("minus_length"), "tag")).alias("found"))
-        .select("t1", "t2", _leftmost_longest(F.col("found")).alias("hits"))
+    found = (
+        exploded(sentences.select("*", *key), ["k1", "k2"], F.expr(bind("split(sentence, ' ')", "tokens", f"concat({itself}, {runs})")), "g")
+        .select("k1", "k2", "g.*")
+        .join(names, "name", "left")
+        .where(F.col("row").isNotNull() | F.col("tag").isNotNull())
+        .groupBy("k1", "k2")
+        .agg(
+            F.first("row", ignorenulls=True).alias("row"),
+            F.count("row").cast("int").alias("copies"),
+            F.collect_set(F.when(F.col("tag").isNotNull(), F.struct("start", (-F.col("length")).alias("minus_length"), "tag"))).alias("found"),
+        )
+        .select("row", "copies", _leftmost_longest(F.col("found")).alias("hits"))
     )
-    others = [c for c in sentences.columns if c != "sentence"]
-    tagged = keyed.join(hits, ["t1", "t2"], "left")
-    return tagged.select(*others, _render(F.col("sentence"), F.col("hits")).alias("sentence"))
+    tagged = found.select(
+        *(_render(F.col("row.sentence"), F.col("hits")).alias(c) if c == "sentence" else f"row.{c}" for c in columns),
+        "copies",
+    )
+    copies = F.array_repeat(F.lit(0), F.col("copies"))
+    return tagged.select(*columns, F.explode_outer(copies).alias("copy")).drop("copy")
 
 
 def tag_with_model(sentences: DataFrame, load_model: Callable[[], Callable[[str], str]]) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.tagged import bind, entity_names, sites_sql, tagged_tokens, tokens_sql
+from pairloom.functions.tagged import bind, entity_names, exploded, sites_sql, tagged_tokens, tokens_sql
 from pairloom.functions.vectors import context_vector
 from pairloom.params import Params
 
@@ -25,7 +25,7 @@ def filter_by_tags(sentences: DataFrame, params: Params = Params()) -> DataFrame
 def org_sentences(sentences: DataFrame, params: Params = Params()) -> DataFrame:
     """``(sentence_id, org, sentence)``, one row per occurrence of an organization."""
     names = entity_names("sentence", params.entity_tags[0])
-    return sentences.select("sentence_id", F.explode(names).alias("org"), "sentence")
+    return exploded(sentences, ["sentence_id", "sentence"], names, "org").select("sentence_id", "org", "sentence")
 
 
 def sentence_seed_join(organizations: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -76,8 +76,8 @@ def _pairs(tokens: str, params: Params, windows: bool) -> Column:
 
 def entity_pairs(tokens: DataFrame, params: Params = Params()) -> DataFrame:
     """``(sentence_id, a, b, org, loc, left_tag)``: a band join inside each sentence, without a shuffle."""
-    pairs = F.explode(_pairs("tokens", params, windows=False)).alias("pair")
-    return tokens.select("sentence_id", pairs).select("sentence_id", "pair.*")
+    pairs = _pairs("tokens", params, windows=False)
+    return exploded(tokens, ["sentence_id"], pairs, "pair").select("sentence_id", "pair.*")
 
 
 def context_windows(sentences: DataFrame, params: Params = Params()) -> DataFrame:
@@ -87,9 +87,9 @@ def context_windows(sentences: DataFrame, params: Params = Params()) -> DataFram
     the sentence, which is how often the pair counts as a raw pattern. One
     pass over each row: no UDF and no shuffle.
     """
-    pairs = F.explode(_pairs(tokens_sql("sentence"), params, windows=True)).alias("pair")
+    pairs = _pairs(tokens_sql("sentence"), params, windows=True)
     names = entity_names("sentence", params.entity_tags[0]).alias("names")
-    return sentences.select("sentence_id", names, pairs).select(
+    return exploded(sentences, ["sentence_id", names], pairs, "pair").select(
         "sentence_id",
         "pair.*",
         F.size(F.filter("names", lambda n: n == F.col("pair.org"))).cast("bigint").alias("occurrences"),

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.tagged import exploded
+
 
 def split_words(tagged: DataFrame) -> DataFrame:
     """``(text)`` to ``(item)`` at single spaces; trailing empty items do not count."""
     items = F.when(F.rtrim("text") != "", F.split(F.rtrim("text"), " ")).when(
         F.col("text") == "", F.array(F.lit(""))
     )
-    return tagged.select(F.explode(items).alias("item"))
+    return exploded(tagged, [], items, "item")
 
 
 def word_tags(items: DataFrame, strict: bool = False) -> DataFrame:

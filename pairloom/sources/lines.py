@@ -27,17 +27,19 @@ def union_lines(*inputs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, inputs)
 
 
-def _fields(line: Column) -> Column:
+def _fields(line: str) -> Column:
     # Trailing empty fields do not count as fields.
     return F.split(F.regexp_replace(line, r"\t+\z", ""), "\t")
 
 
 def _article_columns(lines: DataFrame) -> DataFrame:
-    index = F.get(_fields(F.col("line")), F.lit(INDEX_FIELD))
-    return lines.select(
+    # The filters below would otherwise cut each line into fields once more.
+    split_once = lines.select("line", F.explode_outer(F.array(_fields("line"))).alias("fields"))
+    index = F.get("fields", F.lit(INDEX_FIELD))
+    return split_once.select(
         "line",
         F.when(index.rlike(r"\A[+-]?[0-9]+\z"), index.try_cast("int")).alias("index"),
-        F.get(_fields(F.col("line")), F.lit(TEXT_FIELD)).alias("text"),
+        F.get("fields", F.lit(TEXT_FIELD)).alias("text"),
     )
 
 
@@ -65,7 +67,7 @@ def rejected_articles(lines: DataFrame) -> DataFrame:
 
 def parse_seeds(lines: DataFrame) -> DataFrame:
     """``(line)`` to ``(org, loc)`` from fields 0 and 1; further fields are ignored, duplicates kept."""
-    fields = _fields(F.col("line"))
+    fields = _fields("line")
     return lines.select(
         F.get(fields, F.lit(0)).alias("org"),
         F.get(fields, F.lit(1)).alias("loc"),
