@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pairloom.functions.tagged import bind
 from pairloom.params import Params
 
+# Rounding errors never decide whether a pair is looked at.
+SLACK = 1e-9
 VECTOR = "ARRAY<STRUCT<token: STRING, weight: DOUBLE>>"
 PARTS = ("lc", "mc", "rc")
 
@@ -74,7 +77,7 @@ def _part_score(vector: str, weights: str, norm: str, damped: bool) -> str:
     dot = f"aggregate({vector}, 0D, (acc, x) -> acc + x.weight * {found})"
     if damped:
         # The right-hand score counts the weights of shared tokens twice in the centroid's norm.
-        norm = f"({norm} + aggregate({vector}, 0D, (acc, x) -> acc + {found} * {found}))"
+        norm = f"({norm} + aggregate({vector}, 0D, (acc, x) -> acc + pow({found}, 2)))"
     score = f"try_divide({dot}, sqrt({norm}) * sqrt({_squared_norm(vector)}))"
     return f"if(size({vector}) = 0 AND size({weights}) = 0, 0D, {score})"
 
@@ -86,6 +89,7 @@ def degree_of_match(
     centroid_maps: tuple[str, str, str],
     centroid_norms: tuple[str, str, str],
     params: Params = Params(),
+    at_least: float = 0.0,
 ) -> Column:
     """Similarity of a context with a centroid, in [0, 1].
 
@@ -93,12 +97,21 @@ def degree_of_match(
     0 if the two entities come in different order. NULL (never NaN, which would
     pass every threshold) if one side has an empty context where the other has
     none, so such a pair can never match.
+
+    Similarities below ``at_least`` may come out as NULL: the middle and left
+    scores are taken first, and the rest is skipped where even full marks for it
+    would not do.
     """
-    scores = [
+    left, middle, right = (
         _part_score(v, m, n, damped=(i == 2 and not params.plain_cosine))
         for i, (v, m, n) in enumerate(zip(vectors, centroid_maps, centroid_norms))
-    ]
-    return F.expr(f"if({left_tag} = {centroid_tag}, ({' + '.join(scores)}) / 3, 0D)")
+    )
+    left_most, _, right_most = params.part_ceilings()
+    needed = 3 * at_least - SLACK
+    total = f"(sl + sm + {right}) / 3"
+    with_left = bind(left, "sl", f"if(sl + sm < {needed - right_most}D, null, {total})")
+    whole = bind(middle, "sm", f"if(sm < {needed - right_most - left_most}D, null, {with_left})")
+    return F.expr(f"if({left_tag} = {centroid_tag}, {whole}, 0D)")
 
 
 def bucket_of(value: str) -> Column:

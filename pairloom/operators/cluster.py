@@ -27,6 +27,8 @@ cloudpickle.register_pickle_by_value(passes)
 logger = logging.getLogger(__name__)
 
 GROUP = ["left_tag", "signature"]
+# A pass takes max_pass_rows rows, or as many of any length as hold this many tokens each on average.
+TOKENS_PER_ROW = 16
 CENTROID_COLUMNS = ["bucket", "left_tag", "signature", *PARTS, "size", "copies", "histogram"]
 _CENTROID_SCHEMA = (
     f"bucket BIGINT, left_tag STRING, signature INT, lc {VECTOR}, mc {VECTOR}, rc {VECTOR}, "
@@ -93,8 +95,9 @@ def _with_buckets(distinct: DataFrame, params: Params) -> DataFrame:
 
     A group that fits is one bucket. Otherwise contexts go by their middle
     context, so that alike ones meet, and a middle context with too many rows is
-    spread over salts. Both sides of the size tables are bounded: 16 groups, and
-    at most rows / ``max_pass_rows`` large middle contexts.
+    spread over salts. There are at most 16 groups, so their table is broadcast;
+    the large middle contexts are left to the optimizer, which splits the rows of
+    a hot one in a shuffle join.
     """
     limit, middle = params.max_pass_rows, F.xxhash64("mc")
     groups = distinct.groupBy(*GROUP).agg(F.ceil(F.count(F.lit(1)) / limit).alias("buckets"))
@@ -106,7 +109,7 @@ def _with_buckets(distinct: DataFrame, params: Params) -> DataFrame:
     )
     return (
         distinct.join(F.broadcast(groups), GROUP)
-        .join(F.broadcast(large), [*GROUP, "mc"], "left")
+        .join(large, [*GROUP, "mc"], "left")
         .withColumn("bucket", F.when(F.col("salts").isNull(), F.pmod(middle, F.col("buckets"))).otherwise(middle))
         .withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.size("lc"), "lc", "rc"), F.col("salts")), F.lit(-1)))
     )
@@ -201,7 +204,18 @@ def _clusters_near(clusters: DataFrame, items: DataFrame, params: Params) -> Dat
     return keyed.join(near.select("cluster_id").distinct(), "cluster_id", "left_semi").drop("cluster_id")
 
 
-def _long_pass(items: DataFrame, largest: int, params: Params) -> DataFrame:
+def _tasks_needed(rows: DataFrame, params: Params) -> int:
+    """How many tasks' worth of rows and tokens the largest group holds; reads at most 16 totals."""
+    tokens = sum((F.size(p) for p in PARTS), F.lit(0))
+    share = F.greatest(
+        F.count(F.lit(1)) / params.max_pass_rows,
+        F.sum(tokens) / (params.max_pass_rows * TOKENS_PER_ROW),
+    )
+    largest = rows.groupBy(*GROUP).agg(F.ceil(share).alias("tasks")).agg(F.max("tasks")).first()[0]
+    return int(largest or 0)
+
+
+def _long_pass(items: DataFrame, slices: int, params: Params) -> DataFrame:
     """The level-2 pass over more rows than one task may hold, with the same result as one task.
 
     The rows are taken in slices by hash. For a slice, only clusters that one of
@@ -209,8 +223,6 @@ def _long_pass(items: DataFrame, largest: int, params: Params) -> DataFrame:
     for every row of the slice and is not changed by it, so leaving it out does
     not alter a single decision. A slice that would load too much is halved.
     """
-    limit = params.max_pass_rows
-    slices = -(-largest // limit)
     hashed = stage(items.withColumn("h", F.xxhash64(F.size("lc"), "lc", F.size("mc"), "mc", "rc")), "centroids")
     clusters, number = None, 0
     pending = [(slices, r) for r in range(slices)]
@@ -221,8 +233,7 @@ def _long_pass(items: DataFrame, largest: int, params: Params) -> DataFrame:
             batch = rows
         else:
             near = stage(_clusters_near(clusters, rows, params), "near")
-            heaviest = near.groupBy(*GROUP).count().agg(F.max("count")).first()[0] or 0
-            if heaviest > limit and rows.select(*PARTS).distinct().count() > 1:
+            if _tasks_needed(near, params) > 1 and rows.select(*PARTS).distinct().count() > 1:
                 pending[:0] = [(modulus * 2, residue), (modulus * 2, residue + modulus)]
                 continue
             batch = rows.unionByName(near)
@@ -244,10 +255,9 @@ def merge_centroids(level1: DataFrame, params: Params = Params()) -> DataFrame:
     """
     joinable = F.col("signature").isin(params.joinable_signatures())
     items = level1.where(joinable)
-    # At most 16 rows, one per group.
-    largest = items.groupBy(*GROUP).count().agg(F.max("count")).first()[0] or 0
-    if largest > params.max_pass_rows:
-        merged = _long_pass(items, largest, params)
+    tasks = _tasks_needed(items, params)
+    if tasks > 1:
+        merged = _long_pass(items, tasks, params)
     else:
         merged = _as_state(items).groupBy(*GROUP).applyInPandas(_pass_over_chunk(params, 0), _STATE_SCHEMA)
     # Centroids that cannot join anything stay as they are.

@@ -11,12 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions.vectors import PARTS, degree_of_match, lookup, signature, squared_norm
+from pairloom.functions.vectors import PARTS, SLACK, degree_of_match, lookup, signature, squared_norm
 from pairloom.params import Params
 
-_SLACK = 1e-9
-
-
 def _feature(part: str) -> str:
     """SQL of a token prefixed by its part."""
     return f"concat('{part[0]}:', x.token)"
@@ -27,9 +24,10 @@ def pattern_index(
 ) -> DataFrame:
     """One row per (pattern, token it must share): the table :func:`match_contexts` joins with.
 
-    Tokens are ranked from the most to the least common among the patterns. A
-    leading run of them is left out as long as a context sharing only that run
-    stays below ``threshold``, so what remains is the rarest sufficient set.
+    Tokens are ranked by how many patterns hold them over how much they add to
+    the score, so common and weightless tokens come first. A leading run is left
+    out as long as a context sharing only that run stays below ``threshold``;
+    what remains is a small set of telling tokens that any match must share.
     """
     prepared = patterns.select(key, "left_tag", *PARTS, signature().alias("signature"))
     shares = (
@@ -49,7 +47,7 @@ def pattern_index(
     ranked = features.join(commonness, ["left_tag", "signature", "feature"])
 
     # Best score of a context that shares only the features up to and including this one.
-    order = Window.partitionBy(key).orderBy(F.desc("patterns"), F.desc("part"), "share", "feature")
+    order = Window.partitionBy(key).orderBy(F.desc(F.col("patterns") / F.col("share")), "feature")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def reach(part: str) -> Column:
@@ -59,7 +57,7 @@ def pattern_index(
     best = (F.sqrt(reach("lc")) + F.sqrt(reach("mc")) + F.sqrt(right_reach)) / 3
     needed = (
         ranked.withColumn("best", best)
-        .where(F.col("best") >= threshold - _SLACK)
+        .where(F.col("best") >= threshold - SLACK)
         .groupBy(key)
         .agg(F.collect_list("feature").alias("needed"))
     )
@@ -100,6 +98,7 @@ def match_contexts(
         tuple(f"{p}_map" for p in PARTS),
         tuple(f"{p}_norm" for p in PARTS),
         params,
+        at_least=threshold,
     )
     # Exploding a list of one keeps the filter above the score, which is then computed once per candidate.
     scored = joined.select(*kept, key, F.explode_outer(F.array(similarity)).alias("similarity"))

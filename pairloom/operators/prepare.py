@@ -21,13 +21,13 @@ def split_sentences(articles: DataFrame) -> DataFrame:
     return exploded(articles, ["index"], sentence_list("text"), "pos", "sentence")
 
 
-def _grams(tokens: str, length: int) -> str:
+def _grams(tokens: str, length: int, no_row: str) -> str:
     """SQL of the runs of ``length`` tokens, as ``(name, start, length, row)``."""
     if length == 1:
-        return f"transform({tokens}, (t, i) -> named_struct('name', t, 'start', i, 'length', 1, 'row', null))"
+        return f"transform({tokens}, (t, i) -> named_struct('name', t, 'start', i, 'length', 1, 'row', {no_row}))"
     starts = f"slice(transform({tokens}, (t, i) -> i), 1, greatest(size({tokens}) - {length - 1}, 0))"
     name = f"array_join(slice({tokens}, i + 1, {length}), ' ')"
-    return f"transform({starts}, i -> named_struct('name', {name}, 'start', i, 'length', {length}, 'row', null))"
+    return f"transform({starts}, i -> named_struct('name', {name}, 'start', i, 'length', {length}, 'row', {no_row}))"
 
 
 def _leftmost_longest(hits: Column) -> Column:
@@ -84,7 +84,9 @@ def tag_entities(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
     whole = ", ".join(f"'{c}', `{c}`" for c in columns)
     # The row itself travels under a name no dictionary holds, different for each row to spread a shuffle.
     itself = f"array(named_struct('name', concat(char(1), k1), 'start', 0, 'length', 0, 'row', named_struct({whole})))"
-    runs = ", ".join(_grams("tokens", length) for length in lengths)
+    # Of the row's own type, so that the lists are joined as they are and not cast item by item.
+    no_row = "CAST(null AS STRUCT<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in sentences.schema) + ">)"
+    runs = ", ".join(_grams("tokens", length, no_row) for length in lengths)
     found = (
         exploded(sentences.select("*", *key), ["k1", "k2"], F.expr(bind("split(sentence, ' ')", "tokens", f"concat({itself}, {runs})")), "g")
         .select("k1", "k2", "g.*")
