@@ -1,5 +1,16 @@
 """Whole jobs composed of the operators."""
 
 from pairloom.plans.bootstrap import Corpus, Extraction, Round, bootstrap_relations, prepare_mentions
+from pairloom.plans.jobs import extract_relations, tag_articles, tag_parts_of_speech, word_statistics
 
-__all__ = ["Corpus", "Extraction", "Round", "bootstrap_relations", "prepare_mentions"]
+__all__ = [
+    "Corpus",
+    "Extraction",
+    "Round",
+    "bootstrap_relations",
+    "extract_relations",
+    "prepare_mentions",
+    "tag_articles",
+    "tag_parts_of_speech",
+    "word_statistics",
+]

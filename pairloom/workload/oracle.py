@@ -258,6 +258,14 @@ _SELECTS = {
     "context_windows": f"SELECT sentence_id, a, b, occurrences, {_WINDOWS} FROM windows",
     "text_segments": f"SELECT sentence_id, a, b, org, loc, left_tag, occurrences, {_VECTORS} FROM segments",
     "context_vectors": f"SELECT sentence_id, a, b, part, x.token AS token, round(x.weight, 6) AS weight FROM ( {_EACH_PART} )",
+    "add_vectors": """
+        SELECT s.sentence_id, s.a, s.b, coalesce(vector, '') AS vector, coalesce(total, 0.0) AS total FROM segments s LEFT JOIN (
+            SELECT sentence_id, a, b, round(sum(weight), 6) AS total,
+                   string_agg(token || '=' || CAST(CAST(floor(weight * 1000000 + 0.3) AS BIGINT) AS VARCHAR), ' ' ORDER BY token) AS vector
+            FROM (SELECT sentence_id, a, b, x.token AS token, sum(x.weight) AS weight FROM (
+                SELECT sentence_id, a, b, unnest(lc) AS x FROM segments UNION ALL
+                SELECT sentence_id, a, b, unnest(rc) AS x FROM segments) GROUP BY ALL)
+            GROUP BY sentence_id, a, b) v ON s.sentence_id = v.sentence_id AND s.a = v.a AND s.b = v.b""",
     "sentence_seed_join": "SELECT o.org, o.sentence_id, o.sentence, s.loc FROM org_rows o JOIN seeds s ON o.org = s.org",
     "raw_patterns": f"SELECT left_tag, {_VECTORS}, weight FROM raw1",
     "split_words": "SELECT item FROM items",

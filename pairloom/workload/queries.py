@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions.vectors import PARTS, degree_of_match, lookup, squared_norm
+from pairloom.functions.vectors import PARTS, add_vectors, degree_of_match, lookup, squared_norm, vector_total
 from pairloom.operators import prepare, score, segments, wordstats
 from pairloom.operators.cluster import centroids, cluster_patterns
 from pairloom.params import Params
@@ -163,6 +163,12 @@ def context_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def summed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left and right context of every segment added up, with the total weight."""
+    both = _segments(spark, sf_dir).select("sentence_id", "a", "b", add_vectors("lc", "rc").alias("vector"))
+    return both.select("sentence_id", "a", "b", shown("vector"), F.round(vector_total("vector"), 6).alias("total"))
+
+
 def sentence_seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     organizations = segments.org_sentences(_filtered(spark, sf_dir))
     return segments.sentence_seed_join(organizations, corpus.seed_pairs(spark, sf_dir))
@@ -350,6 +356,7 @@ QUERIES: dict[str, Query] = {
     "context_windows": context_windows,
     "text_segments": text_segments,
     "context_vectors": context_vectors,
+    "add_vectors": summed_vectors,
     "sentence_seed_join": sentence_seed_join,
     "raw_patterns": raw_patterns,
     "split_words": split_words,
