@@ -104,3 +104,36 @@ def match_contexts(
     scored = joined.select(*kept, key, F.explode_outer(F.array(similarity)).alias("similarity"))
     reached = F.col("similarity") > threshold if strict else F.col("similarity") >= threshold
     return scored.where(reached)
+
+
+def _postings(df: DataFrame, kept: list[str], prefix: str) -> DataFrame:
+    """One row per token of each context, with the three squared norms."""
+    items = ", ".join(f"transform({p}, x -> named_struct('part', '{p}', 'token', x.token, 'weight', x.weight))" for p in PARTS)
+    norms = [squared_norm(p).alias(f"{prefix}_{p}") for p in PARTS]
+    listed = df.select(*kept, "left_tag", signature().alias("signature"), *norms, F.expr(f"concat({items})").alias("items"))
+    carried = [c for c in listed.columns if c != "items"]
+    return listed.select(*carried, F.explode_outer("items").alias("x")).select(
+        *carried, "x.part", "x.token", F.col("x.weight").alias(f"{prefix}_weight")
+    )
+
+
+def score_contexts(contexts: DataFrame, patterns: DataFrame, params: Params = Params(), key: str = "pattern_id") -> DataFrame:
+    """``key`` and ``similarity`` of every pair that shares a token: a sparse matrix product.
+
+    For low thresholds, where no token can be left out of an index. A context's
+    products meet in one task and are summed there, so the shuffle carries one
+    small row per pair and no vectors.
+    """
+    kept = [c for c in contexts.columns if c not in (*PARTS, "left_tag")]
+    meeting = ["left_tag", "signature", "part", "token"]
+    products = _postings(contexts, kept, "p").join(_postings(patterns, [key], "c"), meeting)
+    norms = [F.max(f"{side}_{p}").alias(f"{side}_{p}") for side in "pc" for p in PARTS]
+    dots = [F.sum(F.expr(f"if(part = '{p}', p_weight * c_weight, 0D)")).alias(f"dot_{p}") for p in PARTS]
+    shared = F.sum(F.expr("if(part = 'rc', c_weight * c_weight, 0D)")).alias("shared")
+    sums = products.groupBy(*kept, key).agg(*norms, *dots, shared)
+    norm = {p: f"c_{p}" for p in PARTS}
+    if not params.plain_cosine:
+        norm["rc"] = "(c_rc + shared)"
+    # The signatures agree, so a part is empty on both sides or on none.
+    parts = " + ".join(f"coalesce(try_divide(dot_{p}, sqrt({norm[p]}) * sqrt(p_{p})), 0D)" for p in PARTS)
+    return sums.select(*kept, key, F.expr(f"({parts}) / 3").alias("similarity"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 SQRT_HALF = 0.5**0.5
@@ -38,8 +39,8 @@ class Params:
             raise ValueError("window_size, max_distance and max_pass_rows must be positive")
         if self.cluster_mode not in ("two_level", "exact"):
             raise ValueError(f"unknown cluster_mode {self.cluster_mode!r}")
-        if self.entity_tags[0] == self.entity_tags[1]:
-            raise ValueError("the two entity tags must differ")
+        if self.entity_tags[0] == self.entity_tags[1] or not all(re.fullmatch("[A-Z]+", t) for t in self.entity_tags):
+            raise ValueError("the two entity tags must differ and be of capital letters")
 
     def part_ceilings(self) -> tuple[float, float, float]:
         """Greatest score the left, middle and right context can each reach."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.cluster import cluster_patterns, final_patterns
-from pairloom.operators.match import match_contexts, pattern_index
+from pairloom.operators.match import match_contexts, pattern_index, score_contexts
 from pairloom.operators.score import (
     best_pattern,
     candidate_tuples,
@@ -30,8 +30,6 @@ from pairloom.staging import stage
 
 METRICS = ["raw_patterns", "centroids", "final_patterns", "text_segments", "candidates", "new_seeds", "total_seeds"]
 METRICS_SCHEMA = "iteration INT, " + ", ".join(f"{m} BIGINT" for m in METRICS) + ", seconds DOUBLE"
-# Pairs from this similarity on are outside the histogram's zero bucket.
-FIRST_BUCKET = 0.05
 
 
 @dataclass(frozen=True)
@@ -66,13 +64,12 @@ class Round:
     def patterns(self) -> DataFrame:
         return final_patterns(self.level1, self.params)
 
-    def _matches(self, threshold: float) -> DataFrame:
-        index = stage(pattern_index(self.patterns, threshold, self.params), "index")
-        return match_contexts(self.corpus.contexts, index, threshold, self.params).drop("left_tag")
-
     @cached_property
     def matches(self) -> DataFrame:
-        return stage(self._matches(self.params.degree_of_match_threshold), "matches")
+        threshold = self.params.degree_of_match_threshold
+        index = stage(pattern_index(self.patterns, threshold, self.params), "index")
+        found = match_contexts(self.corpus.contexts, index, threshold, self.params)
+        return stage(found.drop("left_tag"), "matches")
 
     @cached_property
     def support(self) -> DataFrame:
@@ -106,7 +103,8 @@ class Round:
         return join_histogram(self.level1)
 
     def match_histogram(self) -> DataFrame:
-        return match_histogram(self.corpus.mentions, self._matches(FIRST_BUCKET), self.patterns)
+        scores = score_contexts(self.corpus.contexts, self.patterns, self.params)
+        return match_histogram(self.corpus.mentions, scores, self.patterns)
 
     def tuple_histogram(self) -> DataFrame:
         return histogram(self.tuples, "confidence")
@@ -150,16 +148,18 @@ def bootstrap_relations(sentences: DataFrame, seeds: DataFrame, params: Params =
     known = seeds.select("org", "loc")
     known = stage(known.distinct() if params.dedup_seeds else known, "seeds")
     rounds, rows = [], []
-    before = known.count()
-    is_set = before == known.distinct().count()
+    # How many pairs the round starts from, if they are a set.
+    before = None
+    if params.early_stop and known.count() == known.distinct().count():
+        before = known.count()
     for iteration in range(1, params.iterations + 1):
         started = time.monotonic()
         step = Round(corpus, known, params)
         counted = step.counts()
         rounds.append(step)
         rows.append((iteration, *(counted[m] for m in METRICS), time.monotonic() - started))
-        if params.early_stop and is_set and counted["total_seeds"] == before:
+        if params.early_stop and counted["total_seeds"] == before:
             break
-        known, before, is_set = step.merged, counted["total_seeds"], True
+        known, before = step.merged, counted["total_seeds"]
     relations = rounds[-1].merged if rounds else known
     return Extraction(relations, spark.createDataFrame(rows, METRICS_SCHEMA), tuple(rounds))

@@ -24,6 +24,10 @@ def session_builder(app_name: str = "pairloom") -> SparkSession.Builder:
     return builder
 
 
+# Folders of local sessions, removed when the process ends.
+_local_folders: list[tempfile.TemporaryDirectory] = []
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
@@ -36,7 +40,8 @@ def staging_root(spark: SparkSession) -> str:
     if not root:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pairloom-"))
+        _local_folders.append(tempfile.TemporaryDirectory(prefix="pairloom-", ignore_cleanup_errors=True))
+        context.setCheckpointDir(_local_folders[-1].name)
         root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/pairloom-{context.applicationId}"
 

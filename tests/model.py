@@ -54,7 +54,7 @@ def raw_patterns(texts, seeds):
 
 
 def similarity(p, c, plain=False):
-    """None where the reference semantics give not-a-number."""
+    """None where one side has an empty context and the other has not."""
     if p[0] != c[0]:
         return 0.0
     total = 0.0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import model
 from pairloom import Params
 from pairloom.functions.vectors import PARTS, VECTOR
-from pairloom.operators.match import match_contexts, pattern_index
+from pairloom.operators.match import match_contexts, pattern_index, score_contexts
 from pairloom.staging import stage
 from test_cluster import random_patterns
 
@@ -42,6 +42,24 @@ def test_matches_equal_all_pairs(spark, threshold, plain, words):
     assert got == expected
 
 
+@pytest.mark.parametrize("plain", [False, True])
+def test_scores_equal_all_pairs(spark, plain):
+    rng = random.Random(9)
+    contexts = [p for p, _ in random_patterns(rng, 70, "abcdef")]
+    patterns = [p for p, _ in random_patterns(rng, 40, "abcdef")]
+    params = Params(plain_cosine=plain)
+    scored = score_contexts(frame(spark, contexts, "c1"), frame(spark, patterns, "pattern_id"), params).collect()
+    got = {(r.c1, r.pattern_id): round(r.similarity, 6) for r in scored}
+    assert len(got) == len(scored)
+    expected = {}
+    for i, c in enumerate(contexts):
+        for j, p in enumerate(patterns):
+            s = model.similarity(c, p, plain)
+            if s:
+                expected[i, j] = round(s, 6)
+    assert got == expected
+
+
 def test_strict_threshold(spark):
     same = ("LOCATION", {"a": 1.0}, {"b": 1.0}, {})
     index = pattern_index(frame(spark, [same], "pattern_id"), 2 / 3)
