@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import model
 from conftest import TINY
 from pairloom import Params
-from pairloom.operators import score
+from pairloom.operators import prepare, score
 from pairloom.operators.cluster import cluster_patterns
 from pairloom.operators.segments import mentions, raw_patterns
 from pairloom.plans import Round, bootstrap_relations, prepare_mentions
@@ -218,3 +218,23 @@ def test_level1_sizes_add_up_to_the_raw_patterns(rendered, known):
     for mode in ("exact", "two_level"):
         level1 = cluster_patterns(raw, Params(cluster_mode=mode, max_pass_rows=10))
         assert level1.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] == 491
+
+
+def test_shuffle_joins_give_the_same_result(spark, rendered, known):
+    """What is broadcast here is small; with large tables every join is a shuffle join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        step = Round(prepare_mentions(rendered), known)
+        plan = step.candidates._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert step.counts()["candidates"] == 3009
+        assert len(pairs_of(step.merged)) == 10
+        plain = corpus.plain_sentences(spark, TINY)
+        tagged = prepare.tag_entities(plain, corpus.gazetteer(spark, TINY))
+        without_persons = F.regexp_replace("sentence", "</?PERSON>", "")
+        assert tagged.exceptAll(rendered.withColumn("sentence", without_persons)).count() == 0
+        assert tagged.count() == 6000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
