@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, mixing, quality
-from pairloom.llm.common import fold
+from pairloom.llm import decontaminate, mixing, quality, tokens, topk
+from pairloom.llm.common import fold, shared_folder
 
 #: Scores from which a document counts as good, and a text as toxic.
 GOOD = 0.7
@@ -31,6 +31,23 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", found["n_words"].alias("n_words"), found["n_hit"].alias("n_hit"), n_items.alias("n_items"), digest.alias("items_sha256"), (found["n_hit"] > 0).alias("contaminated"))
 
 
+def encoded(docs: DataFrame) -> DataFrame:
+    """Documents written as sequence files and read back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    files = tokens.write_sequences(docs, shared_folder(docs.sparkSession), tokenizer=path, vocabulary=50_257, end_id=2)
+    return tokens.read_documents(files).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.QualityModel:
     return quality.fit_quality(docs, table(spark, sf_dir, "labels"), fold(F.col("key"), 4) != 2)
 
@@ -45,5 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op5_decontamination": op5_decontamination,
+    "op6_tokens": op6_tokens,
+    "op9_topk": op9_topk,
     "op10_quality": op10_quality,
 }
