@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, mixing, quality, tokens, topk
+from pairloom.llm import decontaminate, mixing, neardup, quality, tokens, topk
 from pairloom.llm.common import fold, shared_folder
 
 #: Scores from which a document counts as good, and a text as toxic.
@@ -24,6 +24,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "size", plan["source_size"].alias("source_size"), plan["target"].alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, name = decontaminate.matched(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     found = F.col(name)
@@ -61,6 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_neardup": op3_neardup,
     "op5_decontamination": op5_decontamination,
     "op6_tokens": op6_tokens,
     "op9_topk": op9_topk,
