@@ -31,7 +31,7 @@ from pairloom.llm.common import column, slices, staged
 
 BATCH_ROWS = 256
 #: Different words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 900_000
 #: White space beside a space: such a text is encoded in one piece.
 _RUN = re.compile(r" \s|\s ")
 FILES = "part int, file string, n_docs long, n_tokens long, n_sequences long"
