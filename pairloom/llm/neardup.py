@@ -8,9 +8,9 @@ and a set near the upper end of its band is also sketched for the next one, so l
 
 Words that only one set holds are dropped early. A set of which too few words are shared drops out as a whole. Of the rest, each set
 keeps its least shared words, as many as the pigeonhole needs (a prefix in one order of all words); sets that share one are candidates
-and are verified on their whole sets. Exact copies are one class from the start. For components, every class is first verified
-against the smallest class of a bucket; after that only candidates of different components are, so a large group of near copies
-does not cost all its pairs.
+and are verified: by bit sketches of the same kind, then on their whole sets. Exact copies are one class from the start. For components,
+every class is first compared with a few others of its buckets; after that only candidates of different components are, so a large
+group of near copies does not cost all its pairs.
 
 Hashes have 64 bits; equal hashes of different shingles, or a band's words too few for the pigeonhole (beyond 8 deviations), are of
 that order and are left to chance.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,6 +37,10 @@ SHINGLE = 5
 OVER, UNDER = 3, 4
 #: Bits of the filter that spares most documents from being fetched again; full, it spares none.
 FILTER_BITS = 1 << 23
+#: Bits of the sketch that tells most pairs apart before their sets are compared.
+SKETCH_BITS = 4096
+#: Partners that a class is compared with before the rest is searched; this only saves work.
+FIRST_PARTNERS = 8
 _ODD = np.random.default_rng(5).integers(1, 2**62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Words of a sketch for each shingle at the band's upper end, by that end; the first band has a word for every shingle.
 _SHARE = {32: None, 64: 2.0, 128: 0.67, 256: 0.5, 512: 0.4}
@@ -92,6 +96,18 @@ def sketch(s: np.ndarray, top: int) -> np.ndarray:
     return mixed(np.bitwise_xor.reduceat(s, begin) ^ mixed(place[begin] + (np.uint64(top) << np.uint64(32))))
 
 
+def bit_sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS parities: the bit that each hash falls on, flipped for each."""
+    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(x: Column, y: Column, n_x: Column, n_y: Column) -> Column:
+    """Whether the Hamming distance of two bit sketches, and the sizes, allow the similarity."""
+    distance = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, v: total + v)
+    return (F.least(n_x, n_y) * UNDER >= F.greatest(n_x, n_y) * OVER) & (distance * (UNDER + OVER) <= (n_x + n_y) * (UNDER - OVER))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(column(id_col).cast("long").alias("key"), column(text_col).alias("text"))
 
@@ -162,7 +178,7 @@ def _held(bits: bytes, numbers: np.ndarray) -> np.ndarray:
 
 
 def fetched(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """class, set: the whole sets of the classes (and of some others that the filter lets through)."""
+    """class, n, set, bits: the whole sets of the classes and their bit sketches."""
     bits = docs.sparkSession.sparkContext.broadcast(_bits(classes, "class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +187,9 @@ def fetched(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) ->
                 sets = [s for s in shingle_sets(part.column("text")) if len(s)]
                 names = np.array([set_class(s) for s in sets], np.int64)
                 kept = np.flatnonzero(_held(bits.value, names))
-                yield pa.RecordBatch.from_arrays([pa.array(names[kept]), pa.array([sets[i].tobytes() for i in kept], pa.binary())], ["class", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[kept]), pa.array([len(sets[i]) for i in kept], pa.int64()), pa.array([sets[i].tobytes() for i in kept], pa.binary()), pa.array([bit_sketch(sets[i]) for i in kept], pa.list_(pa.int64()))], ["class", "n", "set", "bits"])
 
-    rows = _texts(docs, id_col, text_col).mapInArrow(run, "class long, set binary")
+    rows = _texts(docs, id_col, text_col).mapInArrow(run, "class long, n long, set binary, bits array<long>")
     return staged(rows.join(classes, "class", "left_semi").dropDuplicates(["class"]))
 
 
@@ -198,10 +214,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                         column_.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "shared", "united"])
 
-    rows = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
+    near = pairs.join(_named(sets, "a", n="n_a", bits="bits_a"), "a").join(_named(sets, "b", n="n_b", bits="bits_b"), "b")
+    near = staged(near.where(_may_link(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    rows = near.join(_named(sets, "a", set="x"), "a").join(_named(sets, "b", set="y"), "b")
     return staged(rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, united long"))
 
 
+def _named(sets: DataFrame, key: str, **columns: str) -> DataFrame:
+    return sets.select(F.col("class").alias(key), *(F.col(k).alias(v) for k, v in columns.items()))
+
+
 def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The join: described documents (key, n, class), and all linked pairs (a, b, shared, united) of different classes."""
     described = staged(describe(docs, id_col, text_col))
@@ -216,19 +238,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     described = staged(describe(docs, id_col, text_col))
     rows = buckets(docs, described, id_col, text_col)
     sets = fetched(docs, rows.select("class").distinct(), id_col, text_col)
-    # every class against the smallest class of one of its buckets
-    centers = rows.groupBy("word").agg(F.min("class").alias("a"))
-    stars = rows.join(centers, "word").where(F.col("a") != F.col("class")).groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a"))
-    links = verified(stars.select("a", "b"), sets).select("a", "b")
-    labels = components(links)
-    # what is left: candidates of different components. In a bucket, all but the most frequent component meet the others.
-    rows = staged(rows.join(labels.withColumnRenamed("node", "class"), "class", "left").select("word", "class", F.coalesce("label", "class").alias("label")))
-    counts = rows.groupBy("word", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("word").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed_rows = staged(rows.join(main.select("word", "main"), "word"))
-    minor = mixed_rows.where(F.col("label") != F.col("main")).select("word", F.col("class").alias("a"), F.col("label").alias("of_a"))
-    other = mixed_rows.select("word", F.col("class").alias("b"), F.col("label").alias("of_b"), (F.col("label") == F.col("main")).alias("is_main"))
-    left = minor.join(other, "word").where((F.col("of_a") != F.col("of_b")) & (F.col("is_main") | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # neighbours in a random order of each bucket first: in a large group of near copies this joins most of them
+    labeled = rows.withColumn("label", F.col("class"))
+    links = None
+    for turn in range(2):
+        order = Window.partitionBy("word").orderBy(F.xxhash64("class", F.lit(turn)), "class")
+        met = labeled.withColumn("b", F.lag("class").over(order)).withColumn("of_b", F.lag("label").over(order)).where(F.col("label") != F.col("of_b"))
+        met = met.select(F.col("class").alias("a"), "b").distinct()
+        some = Window.partitionBy("a").orderBy(F.xxhash64("b", F.lit(turn)))
+        met = met.withColumn("k", F.row_number().over(some)).where(F.col("k") <= FIRST_PARTNERS).select("a", "b")
+        found = verified(met, sets).select("a", "b")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        named = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").select("word", "class", F.coalesce("label", "class").alias("label"))
+        several = named.groupBy("word").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("word")
+        labeled = staged(named.join(several, "word"))
+    # then every pair of different components that is left. In a bucket, all but the most frequent component meet the others.
+    counts = labeled.groupBy("word", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("word").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    split = staged(labeled.join(main, "word").join(_named(sets, "class", n="n", bits="bits"), "class"))
+    minor = split.where(F.col("label") != F.col("main")).select("word", F.col("class").alias("a"), F.col("label").alias("of_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    other = split.select("word", F.col("class").alias("b"), F.col("label").alias("of_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), (F.col("label") == F.col("main")).alias("is_main"))
+    near = _may_link(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"))
+    meet = (minor["word"] == other["word"]) & (F.col("of_a") != F.col("of_b")) & (F.col("is_main") | (F.col("a") < F.col("b"))) & near
+    left = minor.join(other, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.unionByName(verified(left, sets).select("a", "b"))
     labels = staged(components(links))
     firsts = described.where("n > 0").groupBy("class").agg(F.min("key").alias("first"))

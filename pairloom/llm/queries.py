@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, mixing, neardup, quality, tokens, topk
+from pairloom.llm import decontaminate, html, mixing, neardup, quality, tokens, topk
 from pairloom.llm.common import fold, shared_folder
 
 #: Scores from which a document counts as good, and a text as toxic.
@@ -49,6 +49,10 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neardup": op3_neardup,
     "op5_decontamination": op5_decontamination,
     "op6_tokens": op6_tokens,
+    "op8_html": op8_html,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
 }
