@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, html, mixing, neardup, quality, tokens, topk
+from pairloom.llm import decontaminate, html, mixing, neardup, quality, tokens, topk, toxicity
 from pairloom.llm.common import fold, shared_folder
 
 #: Scores from which a document counts as good, and a text as toxic.
@@ -49,6 +49,13 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), fold(F.col("key"), 5) != 0)
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neardup": op3_neardup,
     "op5_decontamination": op5_decontamination,
     "op6_tokens": op6_tokens,
+    "op7_toxicity": op7_toxicity,
     "op8_html": op8_html,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
