@@ -2,4 +2,117 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The turned hashes: one md5 of a document, and the sixteen turns a source tries.
+_MIXING = r"""
+WITH sizes AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS u
+  FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
+weighted AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM totals),
+leveled AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER w, 0) AS DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM weighted
+  WINDOW w AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+reached AS (
+  SELECT *, first_value(level) OVER (ORDER BY CASE WHEN level * weight <= 3 * source_size THEN 0 ELSE 1 END, 3.0::DOUBLE * source_size / weight, level) AS at_level,
+    bool_or(level * weight <= 3 * source_size) OVER () AS any_open
+  FROM leveled),
+targets AS (
+  SELECT source, source_size, CASE WHEN any_open THEN least(CAST(3 * source_size AS DOUBLE), at_level * weight) ELSE CAST(3 * source_size AS DOUBLE) END AS target
+  FROM reached),
+rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets),
+tried AS (
+  SELECT s.source, k, abs(sum(s.size * (floor(rate) + CASE WHEN ((u + k * 268435456) % 4294967296) / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)) - any_value(target)) AS off
+  FROM sizes s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source, (SELECT unnest(range(16)) AS k) t
+  GROUP BY s.source, k),
+turned AS (SELECT source, k FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, k) AS n FROM tried) x WHERE n = 1)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (floor(rate) + CASE WHEN ((u + k * 268435456) % 4294967296) / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sizes s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source JOIN turned t ON s.source IS NOT DISTINCT FROM t.source
+"""
+
+_PREFERENCE = """
+WITH turns AS (
+  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place, role, text
+  FROM conversations WHERE conv_id IS NOT NULL),
+met AS (
+  SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.place, b.place) AS place,
+    a.pair_id IS NOT NULL AND b.pair_id IS NOT NULL AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text AS same
+  FROM (SELECT * FROM turns WHERE side = 'chosen') a FULL JOIN (SELECT * FROM turns WHERE side = 'rejected') b ON a.pair_id = b.pair_id AND a.place = b.place),
+prefix AS (SELECT pair_id, CAST(coalesce(min(CASE WHEN NOT same THEN place END), count(*)) AS BIGINT) AS n_prefix FROM met GROUP BY pair_id),
+kept AS (SELECT t.*, n_prefix, '<|' || coalesce(role, '') || '|>' || chr(10) AS header FROM turns t JOIN prefix p ON t.pair_id = p.pair_id WHERE place >= n_prefix OR side = 'chosen'),
+shown AS (SELECT *, header || coalesce(text, '') || '<|end|>' || chr(10) AS content, place >= n_prefix AND role IS NOT DISTINCT FROM 'assistant' AS learned FROM kept)
+SELECT pair_id, CASE WHEN place < n_prefix THEN 'prompt' ELSE side END AS part, place, content,
+  CAST(CASE WHEN learned THEN length(header) ELSE 0 END AS BIGINT) AS mask_start, CAST(CASE WHEN learned THEN length(content) ELSE 0 END AS BIGINT) AS mask_end, n_prefix
+FROM shown
+"""
+
+_LINES = """
+WITH split AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+page_lines AS (SELECT DISTINCT doc_id, source, unnest(lines) AS line FROM split),
+counts AS (SELECT source, line, count(*) AS n FROM page_lines WHERE trim(line, ' ') <> '' GROUP BY source, line),
+totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+boiler AS (SELECT c.source, c.line FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE total >= 10 AND n > CAST(0.1 AS DOUBLE) * total),
+numbered AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM split),
+kept AS (
+  SELECT n.doc_id, count(*) AS n_lines, count(b.line) AS n_dropped, coalesce(string_agg(n.line, chr(10) ORDER BY k) FILTER (WHERE b.line IS NULL), '') AS text
+  FROM numbered n LEFT JOIN boiler b ON n.source IS NOT DISTINCT FROM b.source AND n.line = b.line GROUP BY n.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN n_dropped > 0 THEN k.text ELSE d.text END AS text, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+_TOPK = """
+WITH parts AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+whole AS (SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM parts),
+products AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.v * c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.i = c.i WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id GROUP BY q.vec_id, c.vec_id)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM products) r WHERE rank <= 5
+"""
+
+_DECONTAMINATION = rf"""
+WITH doc_words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item_words AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS window_text
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM item_words WHERE len(w) > 0) x),
+sizes AS (SELECT DISTINCT size FROM item_windows),
+doc_windows AS (
+  SELECT doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') AS window_text
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM doc_words, sizes WHERE len(w) >= size) x),
+found AS (SELECT d.doc_id, d.k, d.size, i.item_id FROM doc_windows d JOIN item_windows i ON d.size = i.size AND d.window_text = i.window_text),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS place FROM found) x GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) x GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
+"""
+
+_NEARDUP = rf"""
+WITH RECURSIVE doc_words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM doc_words WHERE len(w) > 0) x),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM doc_words d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_mixing": _MIXING,
+    "op2_preference": _PREFERENCE,
+    "op3_neardup": _NEARDUP,
+    "op4_lines": _LINES,
+    "op5_decontamination": _DECONTAMINATION,
+    "op9_topk": _TOPK,
+}

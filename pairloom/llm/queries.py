@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, html, mixing, neardup, quality, tokens, topk, toxicity
+from pairloom.llm import decontaminate, html, lines, mixing, neardup, preference, quality, tokens, topk, toxicity
 from pairloom.llm.common import fold, shared_folder
 
 #: Scores from which a document counts as good, and a text as toxic.
@@ -24,6 +24,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "size", plan["source_size"].alias("source_size"), plan["target"].alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.segments(preference.turns(table(spark, sf_dir, "conversations")))
+
+
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, dropped = lines.without_site_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), F.col("source"))
+    return rows.select("doc_id", "text", F.col(dropped).alias("n_dropped"))
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -77,7 +86,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_preference": op2_preference,
     "op3_neardup": op3_neardup,
+    "op4_lines": op4_lines,
     "op5_decontamination": op5_decontamination,
     "op6_tokens": op6_tokens,
     "op7_toxicity": op7_toxicity,
