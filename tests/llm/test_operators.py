@@ -113,7 +113,7 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_pigeonhole_holds_for_all_sizes():
     chance = np.random.default_rng(1)
     for n in [1, 2, 3, 4, 7, 20, 31, 32, 33, 42, 64, 100, 128, 200, 400, 700, 1024, 1500, 3000]:
-        s = np.unique(chance.integers(1, 2**63, n, dtype=np.uint64))
+        s = np.unique(chance.integers(0, 2**64 - 1, n, dtype=np.uint64))
         for top, allowed in neardup.bands(n):
             assert len(neardup.sketch(s, top)) > allowed
         least = -(-3 * n // 4)
