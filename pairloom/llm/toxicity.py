@@ -13,6 +13,7 @@ labels every score is 0; repeated rows are scored each; equal texts have equal s
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -285,7 +286,7 @@ def train_model(texts: list[str], labels: np.ndarray, passes: int = 12) -> Toxic
     return ToxicityModel(model.lexicon, network, max(slope, 1e-3), shift)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 2500) -> ToxicityModel | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1200) -> ToxicityModel | None:
     """Learn from at most `per_label` rows of each label for which `train` (over the key, named `key`) is true."""
     known = labels.select(column(id_col).alias("key"), column(label_col).cast("int").alias("label")).where(train & F.col("label").isin(0, 1) & F.col("key").isNotNull())
     known = known.groupBy("key").agg(F.max("label").alias("label"))
@@ -294,8 +295,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: s
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("key"), "key").limit(per_label)
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.select(column(id_col).alias("key"), F.coalesce(column(text_col), F.lit("")).alias("text"))
-    rows = sorted(texts.join(F.broadcast(sample), "key").collect(), key=lambda r: (str(r["key"]), r["text"]))
-    return train_model([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64)) if rows else None
+    rows = texts.join(F.broadcast(sample), "key").select(F.col("key").cast("string").alias("key"), "text", "label")
+
+    def train_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "label")), strict=True))
+        model = train_model([t for _, t, _ in held], np.array([y for *_, y in held], np.int64)) if held else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # the sample is bounded, so one task can learn from it; the driver only gets the model
+    return pickle.loads(rows.repartition(1).mapInArrow(train_all, "model binary").first()["model"])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
