@@ -91,35 +91,15 @@ def _ungrouped(distinct: DataFrame, params: Params, joinable: bool) -> DataFrame
 
 
 def _with_buckets(distinct: DataFrame, params: Params) -> DataFrame:
-    """Assign ``bucket`` and ``salt`` so that a (group, bucket, salt) holds about ``max_pass_rows`` rows.
-
-    A group that fits is one bucket. Otherwise contexts go by their middle
-    context, so that alike ones meet, and a middle context with too many rows is
-    spread over salts. There are at most 16 groups, so their table is broadcast;
-    the large middle contexts are left to the optimizer, which splits the rows of
-    a hot one in a shuffle join.
-    """
-    limit, middle = params.max_pass_rows, F.xxhash64("mc")
-    groups = distinct.groupBy(*GROUP).agg(F.ceil(F.count(F.lit(1)) / limit).alias("buckets"))
-    large = (
-        distinct.groupBy(*GROUP, "mc")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .where(F.col("rows") > limit)
-        .select(*GROUP, "mc", F.ceil(F.col("rows") / limit).alias("salts"))
-    )
-    return (
-        distinct.join(F.broadcast(groups), GROUP)
-        .join(large, [*GROUP, "mc"], "left")
-        .withColumn("bucket", F.when(F.col("salts").isNull(), F.pmod(middle, F.col("buckets"))).otherwise(middle))
-        .withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.size("lc"), "lc", "rc"), F.col("salts")), F.lit(-1)))
-    )
+    """Assign ``bucket`` by the middle context, so that alike ones meet; never by the number of rows."""
+    return distinct.withColumn("bucket", F.pmod(F.xxhash64("mc"), F.lit(params.buckets)))
 
 
 def _pass_over_bucket(params: Params):
     threshold, plain = params.similarity_threshold, params.plain_cosine
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left_tag, sig, bucket, _ = key
+        left_tag, sig, bucket = key
         items = [
             (int(w), as_vectors((lc, mc, rc)))
             for lc, mc, rc, w in zip(rows["lc"], rows["mc"], rows["rc"], rows["weight"])
@@ -154,7 +134,7 @@ def cluster_patterns(patterns: DataFrame, params: Params = Params()) -> DataFram
         return alone.unionByName(_ungrouped(distinct.where(joinable), params, joinable=True))
     clustered = (
         _with_buckets(distinct.where(joinable), params)
-        .groupBy(*GROUP, "bucket", "salt")
+        .groupBy(*GROUP, "bucket")
         .applyInPandas(_pass_over_bucket(params), _CENTROID_SCHEMA)
     )
     return clustered.unionByName(alone)

@@ -88,7 +88,7 @@ def tag_entities(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
     no_row = "CAST(null AS STRUCT<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in sentences.schema) + ">)"
     runs = ", ".join(_grams("tokens", length, no_row) for length in lengths)
     found = (
-        exploded(sentences.select("*", *key), ["k1", "k2"], F.expr(bind("split(sentence, ' ')", "tokens", f"concat({itself}, {runs})")), "g")
+        exploded(sentences.select("*", *key), ["k1", "k2"], F.expr(bind("split(coalesce(sentence, ''), ' ')", "tokens", f"concat({itself}, {runs})")), "g")
         .select("k1", "k2", "g.*")
         .join(names, "name", "left")
         .where(F.col("row").isNotNull() | F.col("tag").isNotNull())

@@ -15,7 +15,9 @@ class Params:
     ``plain_cosine`` replaces the damped right-hand score by a textbook cosine.
     ``cluster_mode`` is ``"two_level"`` (single pass per bucket, then a single
     pass over the bucket results) or ``"exact"`` (level 1 only groups equal
-    contexts). ``max_pass_rows`` bounds the rows one clustering task receives.
+    contexts). ``buckets`` is the number of level-1 buckets of a group, part of the
+    meaning: results depend on the rows and the settings, not on the number of
+    rows. ``max_pass_rows`` bounds the rows one level-2 task receives.
     """
 
     window_size: int = 5
@@ -30,13 +32,14 @@ class Params:
     dedup_seeds: bool = False
     early_stop: bool = False
     cluster_mode: str = "two_level"
+    buckets: int = 16
     max_pass_rows: int = 20_000
 
     def __post_init__(self) -> None:
         if self.degree_of_match_threshold <= 0 or self.similarity_threshold <= 0:
             raise ValueError("similarity thresholds must be positive")
-        if self.window_size < 0 or self.max_distance < 1 or self.max_pass_rows < 1:
-            raise ValueError("window_size, max_distance and max_pass_rows must be positive")
+        if self.window_size < 0 or self.max_distance < 1 or min(self.max_pass_rows, self.buckets) < 1:
+            raise ValueError("window_size, max_distance, buckets and max_pass_rows must be positive")
         if self.cluster_mode not in ("two_level", "exact"):
             raise ValueError(f"unknown cluster_mode {self.cluster_mode!r}")
         if self.entity_tags[0] == self.entity_tags[1] or not all(re.fullmatch("[A-Z]+", t) for t in self.entity_tags):

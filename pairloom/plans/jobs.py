@@ -11,13 +11,19 @@ from pairloom.operators import wordstats
 from pairloom.operators.prepare import clean_newlines, prepare_corpus, split_sentences, tag_words
 from pairloom.params import Params
 from pairloom.plans.bootstrap import Extraction, bootstrap_relations
-from pairloom.sources import parse_articles, parse_seeds, read_lines, write_relations, write_table
+from pairloom.sources import parse_articles, parse_seeds, read_lines, rejected_articles, write_relations, write_table
 
 
 def _numbered(lines: DataFrame, column: str) -> DataFrame:
     return lines.select(F.monotonically_increasing_id().alias("sentence_id"), F.col(column).alias("sentence"))
 
 
+def _articles(lines: DataFrame, output: str) -> DataFrame:
+    """The articles; lines that are none are kept in a folder beside the output."""
+    write_table(rejected_articles(lines), f"{output.rstrip('/')}-rejected", format="text")
+    return parse_articles(lines)
+
+
 def extract_relations(
     spark: SparkSession,
     inputs: str | Sequence[str],
@@ -36,7 +42,7 @@ def extract_relations(
     if gazetteer is None:
         sentences = _numbered(lines, "line")
     else:
-        sentences = _numbered(prepare_corpus(parse_articles(lines), gazetteer), "sentence")
+        sentences = _numbered(prepare_corpus(_articles(lines, output), gazetteer), "sentence")
     extraction = bootstrap_relations(sentences, parse_seeds(read_lines(spark, seeds)), params)
     write_relations(extraction.relations, output, format)
     return extraction
@@ -44,7 +50,7 @@ def extract_relations(
 
 def tag_articles(spark: SparkSession, inputs: str | Sequence[str], gazetteer: DataFrame, output: str) -> None:
     """Tab-separated articles to files with one tagged sentence per line."""
-    articles = parse_articles(read_lines(spark, inputs))
+    articles = _articles(read_lines(spark, inputs), output)
     write_table(prepare_corpus(articles, gazetteer).select("sentence"), output, format="text")
 
 
@@ -52,7 +58,7 @@ def tag_parts_of_speech(
     spark: SparkSession, inputs: str | Sequence[str], lexicon: DataFrame, output: str, default_tag: str = "NN"
 ) -> None:
     """Tab-separated articles to ``(index, pos, word, tag)`` with each word's tag from the lexicon."""
-    sentences = split_sentences(clean_newlines(parse_articles(read_lines(spark, inputs))))
+    sentences = split_sentences(clean_newlines(_articles(read_lines(spark, inputs), output)))
     named = sentences.select(F.struct("index", "pos").alias("sentence_id"), "sentence")
     words = tag_words(named, lexicon, default_tag)
     write_table(words.select("sentence_id.index", F.col("sentence_id.pos").alias("sentence"), "pos", "word", "tag"), output)

@@ -38,7 +38,7 @@ def _article_columns(lines: DataFrame) -> DataFrame:
     index = F.get("fields", F.lit(INDEX_FIELD))
     return split_once.select(
         "line",
-        F.when(index.rlike(r"\A[+-]?[0-9]+\z"), index.try_cast("int")).alias("index"),
+        F.when(index.rlike(r"\A[+-]?[0-9]+\z"), index.try_cast("bigint")).alias("index"),
         F.get("fields", F.lit(TEXT_FIELD)).alias("text"),
     )
 
@@ -54,7 +54,7 @@ def parse_articles(lines: DataFrame, strict: bool = False) -> DataFrame:
         broken = F.raise_error(F.concat(F.lit("malformed article line: "), F.col("line")))
         good = F.col("index").isNotNull() & F.col("text").isNotNull()
         return parsed.select(
-            F.when(good, F.col("index")).otherwise(broken.cast("int")).alias("index"),
+            F.when(good, F.col("index")).otherwise(broken.cast("bigint")).alias("index"),
             F.when(good, F.col("text")).otherwise(broken.cast("string")).alias("text"),
         )
     return parsed.where(F.col("index").isNotNull() & F.col("text").isNotNull()).select("index", "text")

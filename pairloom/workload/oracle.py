@@ -116,7 +116,7 @@ CTES = {
         SELECT concat_ws(chr(9), CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), role, CAST(turn AS VARCHAR),
                replace(text, chr(10), '\\n')) AS line FROM conversations""",
     "articles": """
-        SELECT CAST(f[1] AS INTEGER) AS "index", f[5] AS text
+        SELECT CAST(f[1] AS BIGINT) AS "index", f[5] AS text
         FROM (SELECT string_split(line, chr(9)) AS f FROM document_lines) WHERE f[5] <> ''""",
     "clean": """SELECT "index", replace(text, '\\n', ' ') AS text FROM articles""",
     "spaced": """
@@ -308,7 +308,7 @@ _SELECTS = {
         GROUP BY bucket HAVING sum(n) > 0""",
     "hist_tuple_confidence": f"SELECT {_BUCKET.format('confidence')} AS bucket, count(*) AS n FROM tuples1 GROUP BY 1",
     "prepare_corpus": """
-        SELECT CAST(split_part(sentence_id, '-', 1) AS INTEGER) AS "index", 0 AS pos, sentence FROM retagged""",
+        SELECT CAST(split_part(sentence_id, '-', 1) AS BIGINT) AS "index", 0 AS pos, sentence FROM retagged""",
 }
 
 ORACLES = {name: _with(select) for name, select in _SELECTS.items()}

@@ -72,7 +72,7 @@ def test_level1_equals_one_sequential_pass(spark, plain):
     """Also shows that the 16 groups are independent: the model runs one ungrouped pass."""
     patterns = random_patterns(random.Random(1), 150)
     expected = model_shapes(model.cluster(expanded(patterns), plain=plain))
-    got = cluster.cluster_patterns(as_frame(spark, patterns), Params(plain_cosine=plain))
+    got = cluster.cluster_patterns(as_frame(spark, patterns), Params(plain_cosine=plain, buckets=1))
     rows = got.withColumn("size", F.explode(F.array_repeat("size", F.col("copies").cast("int"))))
     assert frame_shapes(rows) == expected
 
@@ -90,7 +90,7 @@ def test_join_histogram_equals_sequential_passes(spark):
         else:
             for member in members:
                 model.cluster(expanded([member]), histogram=expected)
-    level1 = cluster.cluster_patterns(as_frame(spark, patterns))
+    level1 = cluster.cluster_patterns(as_frame(spark, patterns), Params(buckets=1))
     got = {r.bucket: r.n for r in score.join_histogram(level1).collect()}
     assert got == {b: n for b, n in expected.items() if n}
 
@@ -118,17 +118,22 @@ def test_exact_mode_groups_equal_contexts_only(spark):
         assert (r.copies == 1) if r.signature in Params().joinable_signatures() else (r["size"] == 1)
 
 
-def test_small_buckets_hold_every_row_and_salt_a_hot_middle(spark):
+def test_level1_depends_on_rows_and_settings_only(spark):
+    """Ten times more rows of another entity order, another row order and other partitions change no cluster."""
     rng = random.Random(4)
-    patterns = [((t, l, {"in": 1.0} if rng.random() < 0.7 else m, r), w) for (t, l, m, r), w in random_patterns(rng, 300, empty=0)]
-    distinct = as_frame(spark, patterns).groupBy("left_tag", *PARTS).agg(F.sum("weight").alias("weight"))
+    patterns = [((t, l, {"in": 1.0} if rng.random() < 0.7 else m, r), w) for (t, l, m, r), w in random_patterns(rng, 200, empty=0)]
+    own = [x for x in patterns if x[0][0] == "ORGANIZATION"]
+    other = [(("LOCATION", *p[1:]), w) for p, w in random_patterns(rng, 10 * len(own), empty=0)]
     params = Params(max_pass_rows=20)
-    placed = cluster._with_buckets(distinct.withColumn("signature", F.lit(7)), params)
-    sizes = [r["count"] for r in placed.groupBy("left_tag", "signature", "bucket", "salt").count().collect()]
-    assert sum(sizes) == distinct.count()
-    assert max(sizes) <= 3 * params.max_pass_rows
-    level1 = cluster.cluster_patterns(as_frame(spark, patterns), params)
-    assert level1.agg(F.sum("size")).first()[0] == sum(w for _, w in patterns)
+
+    def clusters(rows, partitions):
+        found = cluster.cluster_patterns(as_frame(spark, rows).repartition(partitions), params).where("left_tag = 'ORGANIZATION'")
+        return sorted(str(r) for r in found.drop("histogram").collect())
+
+    alone = clusters(own, 1)
+    rng.shuffle(own)
+    assert clusters(own + other, 7) == alone
+    assert cluster.cluster_patterns(as_frame(spark, patterns), params).agg(F.sum("size")).first()[0] == sum(w for _, w in patterns)
 
 
 def level2_frame(spark, patterns):

@@ -88,3 +88,12 @@ def test_whole_preparation(spark):
         (7, 0, "<ORGANIZATION>Acme</ORGANIZATION> fell ."),
         (7, 1, "<LOCATION>Rome</LOCATION> saw <ORGANIZATION>Acme</ORGANIZATION> rise ."),
     ]
+
+
+def test_rows_without_a_sentence_stay(spark):
+    from pairloom.operators.prepare import tag_entities
+
+    rows = spark.createDataFrame([("a", None), ("b", "Acme here")], "sentence_id STRING, sentence STRING")
+    names = spark.createDataFrame([("Acme", "ORGANIZATION")], "name STRING, tag STRING")
+    got = dict(tuple(r) for r in tag_entities(rows, names).collect())
+    assert got == {"a": None, "b": "<ORGANIZATION>Acme</ORGANIZATION> here"}

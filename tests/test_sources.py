@@ -31,7 +31,7 @@ def test_reading_several_paths_keeps_every_line(spark, tmp_path):
 
 
 GOOD = ["1\ta\tb\tc\ttext", "+2\t\t\t\tx\ty", "-3\ta\tb\tc\t t "]
-BAD = ["x\ta\tb\tc\ttext", "4\ta\tb\tc", "5\ta\tb\tc\t\t\t", " 6\ta\tb\tc\tt", "99999999999\ta\tb\tc\tt", ""]
+BAD = ["x\ta\tb\tc\ttext", "4\ta\tb\tc", "5\ta\tb\tc\t\t\t", " 6\ta\tb\tc\tt", "99999999999999999999\ta\tb\tc\tt", ""]
 
 
 def test_articles(spark):
@@ -74,3 +74,10 @@ def test_stages_live_in_the_shared_folder(spark):
     assert staging_root(spark).startswith(folder)
     staged = stage(spark.range(3), "numbers")
     assert staged.count() == 3 and all(folder in f for f in staged.inputFiles())
+
+
+def test_large_article_numbers_are_kept(spark):
+    from pairloom.sources import parse_articles
+
+    lines = spark.createDataFrame([("3000000000\ta\tb\tc\ttext",)], "line STRING")
+    assert [tuple(r) for r in parse_articles(lines).collect()] == [(3000000000, "text")]
