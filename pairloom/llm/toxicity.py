@@ -303,7 +303,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: s
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # the sample is bounded, so one task can learn from it; the driver only gets the model
-    return pickle.loads(rows.repartition(1).mapInArrow(train_all, "model binary").first()["model"])
+    learned = rows.repartition(1).mapInArrow(train_all, "model binary").first()
+    return pickle.loads(learned["model"]) if learned else None
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

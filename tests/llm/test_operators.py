@@ -201,7 +201,7 @@ def test_top_products_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
     chance = np.random.default_rng(2)
     vectors = [(i, (chance.normal(0, 1, 6) * chance.choice([0.1, 1, 3])).tolist()) for i in range(240)]
-    vectors += [(300 + i, vectors[0][1]) for i in range(40)] + [(400, None), (450, [1.0, None, 0, 0, 0, 0]), (500, [float("nan")] * 6), (550, [0.0] * 6), (600, [1.0, 2.0])]
+    vectors += [(300 + i, vectors[0][1]) for i in range(40)] + [(400, None), (450, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (500, [float("nan")] * 6), (550, [0.0] * 6), (600, [1.0, 2.0])]
     got = topk.top_products(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0)
     good = {i: np.floor(256 * np.array(v)).astype(int) for i, v in vectors if v and None not in v and np.isfinite(v).all()}
     expected = []
