@@ -2,21 +2,19 @@
 
 A context can only join a cluster with the same entity order and the same
 non-empty contexts (any other score is zero or undefined), so one pass over all
-rows splits exactly into at most 2 x 8 independent passes.
+rows splits exactly into at most 2 x 8 independent passes. Both levels cut these
+further into buckets, as many as the settings say, whatever the number of rows.
 """
 
 from __future__ import annotations
 
-import logging
-
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions.vectors import PARTS, VECTOR, scaled_vector, signature
+from pairloom.functions.vectors import PARTS, VECTOR, signature
 from pairloom.operators import passes
-from pairloom.operators.match import match_contexts, pattern_index
 from pairloom.operators.passes import BUCKETS, ClusterPass, as_vectors, sort_key
 from pairloom.params import Params
 from pairloom.staging import stage
@@ -24,19 +22,15 @@ from pairloom.staging import stage
 # The pass travels with its tasks, so workers need no installed copy of it.
 cloudpickle.register_pickle_by_value(passes)
 
-logger = logging.getLogger(__name__)
-
 GROUP = ["left_tag", "signature"]
-# A pass takes max_pass_rows rows, or as many of any length as hold this many tokens each on average.
-TOKENS_PER_ROW = 16
 CENTROID_COLUMNS = ["bucket", "left_tag", "signature", *PARTS, "size", "copies", "histogram"]
 _CENTROID_SCHEMA = (
     f"bucket BIGINT, left_tag STRING, signature INT, lc {VECTOR}, mc {VECTOR}, rc {VECTOR}, "
     "size BIGINT, copies BIGINT, histogram ARRAY<BIGINT>"
 )
-_STATE_SCHEMA = (
-    f"left_tag STRING, signature INT, cluster_no BIGINT, lc {VECTOR}, mc {VECTOR}, rc {VECTOR}, size BIGINT"
-)
+_MERGED_SCHEMA = f"left_tag STRING, signature INT, lc {VECTOR}, mc {VECTOR}, rc {VECTOR}, size BIGINT"
+#: The contexts whose heaviest tokens choose the bucket of a merge round, in turn.
+MERGE_KEYS = [("lc", "mc"), ("mc", "rc"), ("lc", "rc")]
 
 
 def centroids(members: DataFrame) -> DataFrame:
@@ -140,109 +134,51 @@ def cluster_patterns(patterns: DataFrame, params: Params = Params()) -> DataFram
     return clustered.unionByName(alone)
 
 
-def _pass_over_chunk(params: Params, number: int):
-    """Continue a pass: rows with a ``cluster_no`` are clusters so far, the others join in order."""
+def _merge_bucket(turn: int, buckets: int) -> Column:
+    """The bucket of a centroid in a merge round, by the heaviest tokens of two of its contexts (the smallest of equals)."""
+
+    def heaviest(part: str) -> Column:
+        return F.array_min(F.transform(part, lambda x: F.struct((-x["weight"]).alias("w"), x["token"].alias("t"))))["t"]
+
+    return F.pmod(F.xxhash64(*(heaviest(p) for p in MERGE_KEYS[turn % len(MERGE_KEYS)])), F.lit(buckets))
+
+
+def _merge_pass(params: Params):
     threshold, plain = params.similarity_threshold, params.plain_cosine
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left_tag, sig = key
-        known, new = [], []
-        for no, lc, mc, rc, size in zip(rows["cluster_no"], rows["lc"], rows["mc"], rows["rc"], rows["size"]):
-            vectors = as_vectors((lc, mc, rc))
-            if no >= 0:
-                known.append((int(no), vectors, int(size)))
-            else:
-                new.append((int(size), vectors))
-        known.sort(key=lambda k: k[0])
-        new.sort(key=lambda item: (-item[0], sort_key(item[1])))
+        left_tag, sig, _ = key
+        items = [
+            (int(size), as_vectors((lc, mc, rc)))
+            for lc, mc, rc, size in zip(rows["lc"], rows["mc"], rows["rc"], rows["size"])
+        ]
+        items.sort(key=lambda item: (-item[0], sort_key(item[1])))
         single = ClusterPass(threshold, plain)
-        numbers = [no for no, _, _ in known]
-        for _, vectors, size in known:
-            single.open(vectors, size)
-        for size, vectors in new:
+        for size, vectors in items:
             single.add(vectors, size=size)
-        fresh = len(single.sums) - len(numbers)
-        numbers += [(number << 32) + i for i in range(fresh)]
-        out = [(left_tag, sig, no, *single.sum_vectors(c), single.sizes[c]) for c, no in enumerate(numbers)]
-        return pd.DataFrame(out, columns=["left_tag", "signature", "cluster_no", *PARTS, "size"])
+        out = [(left_tag, sig, *single.centroid(c), single.sizes[c]) for c in range(len(single.sums))]
+        return pd.DataFrame(out, columns=[*GROUP, *PARTS, "size"])
 
     return run
 
 
-def _as_state(items: DataFrame) -> DataFrame:
-    return items.select(*GROUP, F.lit(-1).cast("bigint").alias("cluster_no"), *PARTS, "size")
-
-
-def _clusters_near(clusters: DataFrame, items: DataFrame, params: Params) -> DataFrame:
-    """The clusters some item is similar enough to join."""
-    threshold = params.similarity_threshold
-    keyed = clusters.withColumn("cluster_id", F.struct(*GROUP, "cluster_no"))
-    index = pattern_index(keyed, threshold, params, key="cluster_id")
-    near = match_contexts(
-        items.select("left_tag", *PARTS), index, threshold, params, key="cluster_id", strict=True
-    )
-    return keyed.join(near.select("cluster_id").distinct(), "cluster_id", "left_semi").drop("cluster_id")
-
-
-def _tasks_needed(rows: DataFrame, params: Params) -> int:
-    """How many tasks' worth of rows and tokens the largest group holds; reads at most 16 totals."""
-    tokens = sum((F.size(p) for p in PARTS), F.lit(0))
-    share = F.greatest(
-        F.count(F.lit(1)) / params.max_pass_rows,
-        F.sum(tokens) / (params.max_pass_rows * TOKENS_PER_ROW),
-    )
-    largest = rows.groupBy(*GROUP).agg(F.ceil(share).alias("tasks")).agg(F.max("tasks")).first()[0]
-    return int(largest or 0)
-
-
-def _long_pass(items: DataFrame, slices: int, params: Params) -> DataFrame:
-    """The level-2 pass over more rows than one task may hold, with the same result as one task.
-
-    The rows are taken in slices by hash. For a slice, only clusters that one of
-    its rows could join are loaded: any other cluster stays below the threshold
-    for every row of the slice and is not changed by it, so leaving it out does
-    not alter a single decision. A slice that would load too much is halved.
-    """
-    hashed = stage(items.withColumn("h", F.xxhash64(F.size("lc"), "lc", F.size("mc"), "mc", "rc")), "centroids")
-    clusters, number = None, 0
-    pending = [(slices, r) for r in range(slices)]
-    while pending:
-        modulus, residue = pending.pop(0)
-        rows = _as_state(hashed.where(F.pmod(F.col("h"), F.lit(modulus)) == residue))
-        if clusters is None:
-            batch = rows
-        else:
-            near = stage(_clusters_near(clusters, rows, params), "near")
-            if _tasks_needed(near, params) > 1 and rows.select(*PARTS).distinct().count() > 1:
-                pending[:0] = [(modulus * 2, residue), (modulus * 2, residue + modulus)]
-                continue
-            batch = rows.unionByName(near)
-        logger.debug("slice %d of %d", residue, modulus)
-        resolved = batch.groupBy(*GROUP).applyInPandas(_pass_over_chunk(params, number), _STATE_SCHEMA)
-        if clusters is None:
-            clusters = stage(resolved, "clusters")
-        else:
-            untouched = clusters.join(near, [*GROUP, "cluster_no"], "left_anti")
-            clusters = stage(untouched.unionByName(resolved), "clusters")
-        number += 1
-    return clusters
-
-
 def merge_centroids(level1: DataFrame, params: Params = Params()) -> DataFrame:
-    """Level 2: one pass over all centroids; ``(left_tag, signature, lc, mc, rc, size)`` of all clusters.
+    """Level 2: ``(left_tag, signature, lc, mc, rc, size)`` of all clusters after a fixed number of merge rounds.
 
-    ``level1`` is read more than once, so it should be staged.
+    A similarity above the threshold takes at least two alike contexts, so each
+    round deals the centroids to ``params.merge_buckets`` buckets by the heaviest
+    tokens of another two contexts, and all buckets run at once. The result
+    depends on the rows and the settings only. Equal rows all count; no rows
+    give no clusters. Rounds of one bucket are single passes over a group.
     """
     joinable = F.col("signature").isin(params.joinable_signatures())
-    items = level1.where(joinable)
-    tasks = _tasks_needed(items, params)
-    if tasks > 1:
-        merged = _long_pass(items, tasks, params)
-    else:
-        merged = _as_state(items).groupBy(*GROUP).applyInPandas(_pass_over_chunk(params, 0), _STATE_SCHEMA)
+    columns = [*GROUP, *PARTS, "size"]
+    merged = level1.where(joinable).select(*columns)
+    for turn, buckets in enumerate(params.merge_buckets):
+        dealt = merged.withColumn("merge_bucket", _merge_bucket(turn, buckets))
+        merged = dealt.groupBy(*GROUP, "merge_bucket").applyInPandas(_merge_pass(params), _MERGED_SCHEMA)
     # Centroids that cannot join anything stay as they are.
-    alone = level1.where(~joinable).select(*GROUP, *PARTS, "size")
-    return merged.select(*GROUP, *(scaled_vector(p).alias(p) for p in PARTS), "size").unionByName(alone)
+    return merged.unionByName(level1.where(~joinable).select(*columns))
 
 
 def numbered(patterns: DataFrame) -> DataFrame:

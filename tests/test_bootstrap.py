@@ -138,7 +138,8 @@ def known(spark, rendered):
 
 def test_rendered_corpus_goldens(spark, rendered, known):
     assert rendered.count() == 6000 and rendered.select("sentence_id").distinct().count() == 6000
-    extraction = bootstrap_relations(rendered, known, Params(iterations=3))
+    # The recorded runs are single passes: one bucket on either level.
+    extraction = bootstrap_relations(rendered, known, Params(iterations=3, buckets=1, merge_buckets=(1,)))
     assert metrics_of(extraction) == [
         (491, 6, 5, 4207, 3009, 10, 10),
         (2541, 6, 6, 4207, 3607, 10, 10),
@@ -164,7 +165,7 @@ def test_rendered_corpus_exact_goldens(rendered, known):
 def test_rendered_corpus_equals_the_sequential_model(rendered, known):
     texts = [r.sentence for r in rendered.orderBy("sentence_id").collect()]
     seeds, metrics, confidences, _ = model.extract(texts, pairs_of(known))
-    extraction = bootstrap_relations(rendered, known)
+    extraction = bootstrap_relations(rendered, known, Params(buckets=1, merge_buckets=(1,)))
     assert metrics_of(extraction) == metrics
     assert pairs_of(extraction.relations) == seeds
     got = {(r.org, r.loc): r.confidence for r in extraction.rounds[0].tuples.collect()}
@@ -178,7 +179,7 @@ def test_result_does_not_depend_on_partitions(spark, rendered, known):
     for partitions in ("1", "13"):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
         try:
-            params = Params(max_pass_rows=40)
+            params = Params()
             step = Round(prepare_mentions(rendered.repartition(int(partitions)), params), known, params)
             patterns = sorted((r.pattern_id, r.left_tag, r["size"]) for r in step.patterns.collect())
             results.append((patterns, pairs_of(step.merged)))
@@ -216,7 +217,7 @@ def test_best_pattern_tie_goes_to_the_lowest_id(spark):
 def test_level1_sizes_add_up_to_the_raw_patterns(rendered, known):
     raw = raw_patterns(mentions(rendered), known)
     for mode in ("exact", "two_level"):
-        level1 = cluster_patterns(raw, Params(cluster_mode=mode, max_pass_rows=10))
+        level1 = cluster_patterns(raw, Params(cluster_mode=mode))
         assert level1.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] == 491
 
 

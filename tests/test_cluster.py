@@ -1,8 +1,6 @@
 from __future__ import annotations
 
-import logging
 import random
-import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -124,7 +122,7 @@ def test_level1_depends_on_rows_and_settings_only(spark):
     patterns = [((t, l, {"in": 1.0} if rng.random() < 0.7 else m, r), w) for (t, l, m, r), w in random_patterns(rng, 200, empty=0)]
     own = [x for x in patterns if x[0][0] == "ORGANIZATION"]
     other = [(("LOCATION", *p[1:]), w) for p, w in random_patterns(rng, 10 * len(own), empty=0)]
-    params = Params(max_pass_rows=20)
+    params = Params()
 
     def clusters(rows, partitions):
         found = cluster.cluster_patterns(as_frame(spark, rows).repartition(partitions), params).where("left_tag = 'ORGANIZATION'")
@@ -149,27 +147,50 @@ def test_level2_equals_one_sequential_pass(spark):
     patterns = random_patterns(random.Random(5), 150, heaviest=9)
     joinable = F.col("signature").isin(Params().joinable_signatures())
     level1 = level2_frame(spark, patterns).where(joinable)
-    got = cluster.merge_centroids(level1)
+    got = cluster.merge_centroids(level1, Params(merge_buckets=(1,)))
     assert frame_shapes(got) == model_shapes(model.cluster(pass_order(level2_items(patterns))))
 
 
-@pytest.mark.parametrize("limit,words", [(12, "abcdefgh"), (3, "abcdefghijklmnopqrstuvwxyz")])
-def test_a_pass_longer_than_one_task_has_the_same_result(spark, caplog, limit, words):
-    """Sliced by hash, with clusters loaded on demand, against one pass in the same order."""
-    patterns = random_patterns(random.Random(6), 45, words, empty=0.05, heaviest=9)
+def test_a_merge_round_is_one_sequential_pass_per_bucket(spark):
+    patterns = random_patterns(random.Random(6), 150, empty=0.05, heaviest=9)
     joinable = F.col("signature").isin(Params().joinable_signatures())
     level1 = level2_frame(spark, patterns).where(joinable)
-    with caplog.at_level(logging.DEBUG, logger=cluster.__name__):
-        got = frame_shapes(cluster.merge_centroids(level1, Params(max_pass_rows=limit)))
-    slices = [tuple(map(int, re.findall(r"\d+", r.getMessage()))) for r in caplog.records if "slice" in r.getMessage()]
-    assert len(slices) > 1
-    hashed = level1.withColumn("h", F.xxhash64(F.size("lc"), "lc", F.size("mc"), "mc", "rc")).collect()
-    items = [((r.left_tag, *({x["token"]: x["weight"] for x in r[p]} for p in PARTS)), r["size"], r.h) for r in hashed]
-    ordered = []
-    for residue, modulus in slices:
-        ordered += pass_order([(p, size) for p, size, h in items if h % modulus == residue])
-    assert len(ordered) == len(items)
-    assert got == model_shapes(model.cluster(ordered))
+    dealt = defaultdict(list)
+    for r in level1.withColumn("b", cluster._merge_bucket(0, 4)).collect():
+        dealt[r.b].append(((r.left_tag, *({x["token"]: x["weight"] for x in r[p]} for p in PARTS)), r["size"]))
+    assert len(dealt) > 1
+    expected = sum((model_shapes(model.cluster(pass_order(items))) for items in dealt.values()), Counter())
+    assert frame_shapes(cluster.merge_centroids(level1, Params(merge_buckets=(4,)))) == expected
+
+
+def test_level2_depends_on_rows_and_settings_only(spark):
+    """Ten times more rows of another entity order, another row order and other partitions change no cluster."""
+    rng = random.Random(8)
+    own = [(("ORGANIZATION", *p[1:]), w) for p, w in random_patterns(rng, 80, empty=0.05, heaviest=9)]
+    own = list({repr(p): (p, w) for p, w in own}.values())
+    other = [(("LOCATION", *p[1:]), w) for p, w in random_patterns(rng, 800, empty=0.05)]
+
+    def clusters(rows, partitions):
+        level1 = level2_frame(spark, rows).repartition(partitions)
+        return sorted(str(r) for r in cluster.merge_centroids(level1).where("left_tag = 'ORGANIZATION'").collect())
+
+    alone = clusters(own, 1)
+    rng.shuffle(own)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            assert clusters(own + other, 7) == alone
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_merging_loses_no_member_and_takes_empty_tables(spark):
+    patterns = random_patterns(random.Random(9), 200, heaviest=9)
+    level1 = level2_frame(spark, patterns)
+    total = level1.agg(F.sum("size")).first()[0]
+    assert cluster.merge_centroids(level1).agg(F.sum("size")).first()[0] == total
+    assert cluster.merge_centroids(level1.where("false")).count() == 0
 
 
 def test_size_rule_is_strict_and_ids_are_dense(spark):
