@@ -96,6 +96,16 @@ def sketch(s: np.ndarray, top: int) -> np.ndarray:
     return mixed(np.bitwise_xor.reduceat(s, begin) ^ mixed(place[begin] + (np.uint64(top) << np.uint64(32))))
 
 
+def unseen(sets: list[np.ndarray], seen: set[int]) -> list[tuple[int, np.ndarray]]:
+    """Class and set of those that are not empty and whose class the task meets first; `seen` holds a number per class of one partition."""
+    firsts = []
+    for s in sets:
+        if len(s) and (name := set_class(s)) not in seen:
+            seen.add(name)
+            firsts.append((name, s))
+    return firsts
+
+
 def bit_sketch(s: np.ndarray) -> np.ndarray:
     """SKETCH_BITS parities: the bit that each hash falls on, flipped for each."""
     odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
@@ -131,16 +141,17 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """word, class, next (whether for the next band): the sketches of all documents."""
+    """word, class, next (whether for the next band): the sketches of all classes. A task sends each class once, however many its copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
                 found, classes, upper = [np.zeros(0, np.uint64)], [], []
-                for s in shingle_sets(part.column("text")):
-                    for k, (top, _) in enumerate(bands(len(s)) if len(s) else []):
+                for name, s in unseen(shingle_sets(part.column("text")), seen):
+                    for k, (top, _) in enumerate(bands(len(s))):
                         found.append(sketch(s, top))
-                        classes.append(np.full(len(found[-1]), set_class(s)))
+                        classes.append(np.full(len(found[-1]), name))
                         upper.append(np.full(len(found[-1]), bool(k)))
                 flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((classes, np.int64), (upper, bool))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *map(pa.array, flat)], ["word", "class", "next"])
@@ -178,14 +189,15 @@ def _held(bits: bytes, numbers: np.ndarray) -> np.ndarray:
 
 
 def fetched(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """class, n, set, bits: the whole sets of the classes and their bit sketches."""
+    """class, n, set, bits: the whole sets of the classes and their bit sketches. A task sends each class once."""
     bits = docs.sparkSession.sparkContext.broadcast(_bits(classes, "class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [s for s in shingle_sets(part.column("text")) if len(s)]
-                names = np.array([set_class(s) for s in sets], np.int64)
+                firsts = unseen(shingle_sets(part.column("text")), seen)
+                sets, names = [s for _, s in firsts], np.array([name for name, _ in firsts], np.int64)
                 kept = np.flatnonzero(_held(bits.value, names))
                 yield pa.RecordBatch.from_arrays([pa.array(names[kept]), pa.array([len(sets[i]) for i in kept], pa.int64()), pa.array([sets[i].tobytes() for i in kept], pa.binary()), pa.array([bit_sketch(sets[i]) for i in kept], pa.list_(pa.int64()))], ["class", "n", "set", "bits"])
 
