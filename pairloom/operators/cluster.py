@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions.vectors import PARTS, VECTOR, signature
+from pairloom.functions.vectors import PARTS, VECTOR, scaled_vector, signature
 from pairloom.operators import passes
 from pairloom.operators.passes import BUCKETS, ClusterPass, as_vectors, sort_key
 from pairloom.params import Params
@@ -42,24 +42,17 @@ def centroids(members: DataFrame) -> DataFrame:
     parts = F.concat(
         *(F.expr(f"transform({p}, x -> named_struct('part', '{p}', 'token', x.token, 'weight', x.weight))") for p in PARTS)
     )
-    tags = members.groupBy("cluster_id").agg(F.min("left_tag").alias("left_tag"))
+    # One pass over the members: the tag travels with the tokens, and a member without any keeps one row.
     sums = (
-        members.select("cluster_id", F.explode(parts).alias("x"))
+        members.select("cluster_id", "left_tag", F.explode_outer(parts).alias("x"))
         .groupBy("cluster_id", "x.part", "x.token")
-        .agg(F.sum("x.weight").alias("weight"))
+        .agg(F.min("left_tag").alias("left_tag"), F.sum("x.weight").alias("weight"))
     )
-    totals = sums.groupBy("cluster_id", "part").agg(F.sum("weight").alias("total"))
-    shares = sums.join(totals, ["cluster_id", "part"]).withColumn("weight", F.col("weight") / F.col("total"))
-    vectors = shares.groupBy("cluster_id").agg(
-        *(
-            F.sort_array(F.collect_list(F.when(F.col("part") == p, F.struct("token", "weight")))).alias(p)
-            for p in PARTS
-        )
-    )
-    nothing = F.array().cast(VECTOR)
-    return tags.join(vectors, "cluster_id", "left").select(
-        "cluster_id", "left_tag", *(F.coalesce(p, nothing).alias(p) for p in PARTS)
+    summed = sums.groupBy("cluster_id").agg(
+        F.min("left_tag").alias("left_tag"),
+        *(F.sort_array(F.collect_list(F.when(F.col("part") == p, F.struct("token", "weight")))).alias(p) for p in PARTS),
     )
+    return summed.select("cluster_id", "left_tag", *(scaled_vector(p).alias(p) for p in PARTS))
 
 
 def _ungrouped(distinct: DataFrame, params: Params, joinable: bool) -> DataFrame:
