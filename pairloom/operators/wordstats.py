@@ -16,6 +16,11 @@ def split_words(tagged: DataFrame) -> DataFrame:
     return exploded(tagged, [], items, "item")
 
 
+def word_items(words: DataFrame) -> DataFrame:
+    """``(word, tag)`` to ``(item)`` of the form ``word_TAG``."""
+    return words.select(F.concat("word", F.lit("_"), "tag").alias("item"))
+
+
 def word_tags(items: DataFrame, strict: bool = False) -> DataFrame:
     """``word_TAG`` items to ``(word, tag)``; pieces after the second are ignored.
 

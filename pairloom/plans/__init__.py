@@ -1,12 +1,13 @@
 """Whole jobs composed of the operators."""
 
 from pairloom.plans.bootstrap import Corpus, Extraction, Round, bootstrap_relations, prepare_mentions
-from pairloom.plans.jobs import extract_relations, tag_articles, tag_parts_of_speech, word_statistics
+from pairloom.plans.jobs import article_statistics, extract_relations, tag_articles, tag_parts_of_speech, word_statistics
 
 __all__ = [
     "Corpus",
     "Extraction",
     "Round",
+    "article_statistics",
     "bootstrap_relations",
     "extract_relations",
     "prepare_mentions",

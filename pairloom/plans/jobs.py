@@ -54,16 +54,41 @@ def tag_articles(spark: SparkSession, inputs: str | Sequence[str], gazetteer: Da
     write_table(prepare_corpus(articles, gazetteer).select("sentence"), output, format="text")
 
 
+def _tagged_words(lines: DataFrame, lexicon: DataFrame, output: str, default_tag: str) -> DataFrame:
+    sentences = split_sentences(clean_newlines(_articles(lines, output)))
+    return tag_words(sentences.select(F.struct("index", "pos").alias("sentence_id"), "sentence"), lexicon, default_tag)
+
+
 def tag_parts_of_speech(
     spark: SparkSession, inputs: str | Sequence[str], lexicon: DataFrame, output: str, default_tag: str = "NN"
 ) -> None:
     """Tab-separated articles to ``(index, pos, word, tag)`` with each word's tag from the lexicon."""
-    sentences = split_sentences(clean_newlines(_articles(read_lines(spark, inputs), output)))
-    named = sentences.select(F.struct("index", "pos").alias("sentence_id"), "sentence")
-    words = tag_words(named, lexicon, default_tag)
+    words = _tagged_words(read_lines(spark, inputs), lexicon, output, default_tag)
     write_table(words.select("sentence_id.index", F.col("sentence_id.pos").alias("sentence"), "pos", "word", "tag"), output)
 
 
+def _statistics(items: DataFrame, best_tag: str, most_tags: str, k: int) -> DataFrame:
+    pairs = wordstats.word_tags(items)
+    write_table(wordstats.word_tag_sorted(wordstats.word_tag_counts(pairs)), best_tag, format="text")
+    per_word = wordstats.tags_per_word(pairs)
+    write_table(per_word, most_tags, format="text")
+    return wordstats.most_ambiguous_words(per_word, k)
+
+
+def article_statistics(
+    spark: SparkSession,
+    inputs: str | Sequence[str],
+    lexicon: DataFrame,
+    best_tag: str,
+    most_tags: str,
+    k: int = 10,
+    default_tag: str = "NN",
+) -> DataFrame:
+    """:func:`word_statistics` straight from tab-separated articles, each word's tag from the lexicon."""
+    words = _tagged_words(read_lines(spark, inputs), lexicon, best_tag, default_tag)
+    return _statistics(wordstats.word_items(words), best_tag, most_tags, k)
+
+
 def word_statistics(
     spark: SparkSession, inputs: str | Sequence[str], best_tag: str, most_tags: str, k: int = 10
 ) -> DataFrame:
@@ -73,8 +98,4 @@ def word_statistics(
     of distinct tags per word.
     """
     tagged = read_lines(spark, inputs).withColumnRenamed("line", "text")
-    pairs = wordstats.word_tags(wordstats.split_words(tagged))
-    write_table(wordstats.word_tag_sorted(wordstats.word_tag_counts(pairs)), best_tag, format="text")
-    per_word = wordstats.tags_per_word(pairs)
-    write_table(per_word, most_tags, format="text")
-    return wordstats.most_ambiguous_words(per_word, k)
+    return _statistics(wordstats.split_words(tagged), best_tag, most_tags, k)

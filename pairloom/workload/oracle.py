@@ -271,6 +271,10 @@ _SELECTS = {
     "split_words": "SELECT item FROM items",
     "word_tags": "SELECT word, tag FROM pairs_of_words",
     "word_tag_counts": "SELECT word, tag, n FROM counts",
+    "article_word_counts": """
+        SELECT split_part(item, '_', 1) AS word, split_part(item, '_', 2) AS tag, count(*) AS n FROM (
+            SELECT w || '_' || coalesce(tag, 'NN') AS item FROM words LEFT JOIN top_tags ON w = word)
+        WHERE regexp_matches(item, '_[^_]') GROUP BY ALL""",
     "word_tag_sorted": "SELECT word, tag, n FROM counts ORDER BY word, tag",
     "top_tag_per_word": "SELECT word, tag, n FROM top_tags",
     "tags_per_word": "SELECT word, n FROM tag_numbers",

@@ -192,6 +192,11 @@ def word_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordstats.word_tag_counts(_word_tags(spark, sf_dir))
 
 
+def article_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From articles to counts, with the tags of :func:`tag_words`."""
+    return wordstats.word_tag_counts(wordstats.word_tags(wordstats.word_items(tag_words(spark, sf_dir))))
+
+
 def word_tag_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordstats.word_tag_sorted(word_tag_counts(spark, sf_dir))
 
@@ -362,6 +367,7 @@ QUERIES: dict[str, Query] = {
     "split_words": split_words,
     "word_tags": word_tags,
     "word_tag_counts": word_tag_counts,
+    "article_word_counts": article_word_counts,
     "word_tag_sorted": word_tag_sorted,
     "top_tag_per_word": top_tag_per_word,
     "tags_per_word": tags_per_word,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from pairloom import Params
-from pairloom.plans import extract_relations, tag_articles, tag_parts_of_speech, word_statistics
+from pairloom.plans import article_statistics, extract_relations, tag_articles, tag_parts_of_speech, word_statistics
 from test_bootstrap import SEEDS, TEXTS
 
 
@@ -61,3 +61,14 @@ def test_parts_of_speech(spark, files):
     assert [tuple(r) for r in rows] == [
         (3, 0, 0, "The", "DT"), (3, 0, 1, "cat", "NN"), (3, 0, 2, ".", "."), (3, 1, 0, "A", "NN"), (3, 1, 1, "dog", "NN"),
     ]
+
+
+def test_statistics_from_articles(spark, files):
+    (files / "articles.tsv").write_text("3\t\t\t\tThe cat. A cat\nno article\n")
+    lexicon = spark.createDataFrame([("The", "DT"), (".", "P")], "word STRING, tag STRING")
+    best, most = str(files / "besttag"), str(files / "mosttags")
+    top = article_statistics(spark, str(files / "articles.tsv"), lexicon, best, most, k=2)
+    assert [tuple(r) for r in top.collect()] == [(".", 1), ("A", 1)]
+    assert [r.value for r in spark.read.text(best).collect()] == ["(.,P,1)", "(A,NN,1)", "(The,DT,1)", "(cat,NN,2)"]
+    assert sorted(r.value for r in spark.read.text(most).collect()) == ["(.,1)", "(A,1)", "(The,1)", "(cat,1)"]
+    assert [r.value for r in spark.read.text(best + "-rejected").collect()] == ["no article"]
