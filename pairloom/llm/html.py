@@ -1,14 +1,15 @@
 """Main text of pages by template deduction.
 
 Pages of one host share a template. Every page is cut into tokens: tags (with class, id and role) and text pieces. For each host and
-token, Spark sums over all pages how often the token occurs and a hash of (page, occurrences); tokens with equal sums have equal
+token, Spark sums over all distinct pages how often the token occurs and a hash of (page, occurrences); tokens with equal sums have equal
 occurrence vectors and form an equivalence class. Classes that occur once on nearly every page of the host are its template. Elements
 of the template nest; the innermost one that still holds most of the host's text outside menus and the like is the slot of the article
 (an `article` or `main` element, where the template has one). Text pieces of the template outside such an element are fixed text and
 left out. What remains of the slot is the article.
 
 Defined results: a null or empty page has an empty text; on a host with few pages, or a page that does not fit its host's template,
-the page's own `article`, `main` or `body` is the slot; a null url is a host of its own; repeated rows count as pages each.
+the page's own `article`, `main` or `body` is the slot; a null url is a host of its own; copies
+of a page (equal text outside of menus and the like) each get their text, but count as one page of their host.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ _OUTSIDE_WORDS = re.compile(
     r"share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|popup|modal|widget|toolbar|pagination|pager|copyright)(?:$|[\s_-])",
     re.I,
 )
+_TOKENS = pa.list_(pa.struct([("token", pa.string()), ("count", pa.int32()), ("mass", pa.int64())]))
 _OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
 
@@ -110,6 +112,25 @@ class Page:
             last = block
         return " ".join(filter(None, (" ".join(x.split()) for x in blocks)))
 
+    def occurrences(self) -> list[tuple[str, int, int]]:
+        """Tokens of the page, with how often they occur and the text that they hold; the token '' stands for the page."""
+        mass: Counter[int] = Counter()
+        pieces: Counter[str] = Counter()
+        for _, piece, around, outside in self.pieces:
+            if not outside:
+                for k in around:
+                    mass[k] += len(piece)
+                if around:
+                    pieces[f"#{piece_hash(piece)}"] += len(piece)
+        by_tag: Counter[str] = Counter()
+        for k, tag in enumerate(self.tags):
+            by_tag[tag] += mass[k]
+        counts = Counter(f"#{piece_hash(p)}" for _, p, around, _ in self.pieces if around)
+        found = [(tag, count, by_tag[tag]) for tag, count in Counter(self.tags).items()]
+        found += [("/" + name, count, 0) for name, count in self.ends.items()]
+        found += [(piece, count, pieces[piece]) for piece, count in counts.items()]
+        return [*found, ("", 1, sum(pieces.values()))]
+
     def own_slot(self) -> set[int] | None:
         """Elements of the article, by the page's own names."""
         for name in ("article", "main", "body"):
@@ -123,40 +144,30 @@ def piece_hash(piece: str) -> int:
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, is_text, pages, v1, v2 (the occurrence vector, as two sums), once, mass, link: summed over slices of pages."""
+    """host, token, pages, v1, v2 (the occurrence vector, as two sums), once, mass: sums over the distinct pages of each host.
+
+    Pages of one host with the same text outside of menus and the like are copies and count once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str], list[int]] = {}
-
-            def add(host: str, token: str, count: int, row: int, mass: int) -> None:
-                h = xxhash.xxh64_intdigest(f"{row} {count}")
-                s = sums.setdefault((host, token), [0, 0, 0, 0, 0])
-                for k, v in enumerate((1, h & 0x3FFFFFFF, h >> 34, count == 1, mass)):
-                    s[k] += v
-
-            for url, source, row in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "row")), strict=True):
+            votes: dict[tuple[str, int], tuple[int, list]] = {}
+            for url, source in zip(*(batch.column(c).to_pylist() for c in ("url", "html")), strict=True):
                 host, page = host_of(url), Page(source or "")
-                mass: Counter[int] = Counter()
-                for _, piece, around, outside in page.pieces:
-                    if not outside:
-                        for k in around:
-                            mass[k] += len(piece)
-                by_tag: Counter[str] = Counter()
-                for k, tag in enumerate(page.tags):
-                    by_tag[tag] += mass[k]
-                for tag, count in Counter(page.tags).items():
-                    add(host, tag, count, row, by_tag[tag])
-                for name, count in page.ends.items():
-                    add(host, "/" + name, count, row, 0)
-                for piece, count in Counter(piece_hash(p) for _, p, around, _ in page.pieces if around).items():
-                    add(host, f"#{piece}", count, row, 0)
-                add(host, "", 1, row, sum(len(p) for _, p, around, outside in page.pieces if around and not outside))
-            keys = list(zip(*sums, strict=True)) if sums else [[], []]
-            values = list(zip(*sums.values(), strict=True)) if sums else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), *(pa.array([int(x) for x in v], pa.int64()) for v in values)], ["host", "token", "pages", "v1", "v2", "once", "mass"])
-
-    rows = pages.mapInArrow(run, "host string, token string, pages long, v1 long, v2 long, once long, mass long")
+                text = xxhash.xxh64_intdigest("\n".join(" ".join(p.split()) for _, p, around, outside in page.pieces if not outside).encode()) >> 1
+                vote = xxhash.xxh64_intdigest((source or "").encode("utf-8", "surrogatepass")) >> 1
+                if (host, text) not in votes or vote < votes[host, text][0]:
+                    votes[host, text] = vote, page.occurrences()
+            if votes:
+                hosts, texts = zip(*votes, strict=True)
+                firsts, tokens = zip(*votes.values(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(firsts, pa.int64()), pa.array(tokens, _TOKENS)], ["host", "page", "first", "tokens"])
+
+    found = pages.mapInArrow(run, "host string, page long, first long, tokens array<struct<token: string, count: int, mass: long>>")
+    distinct = found.groupBy("host", "page").agg(F.min(F.struct("first", "tokens"))["tokens"].alias("tokens"))
+    rows = distinct.select("host", "page", F.inline("tokens"))
+    h = F.xxhash64(F.concat_ws(" ", F.col("page").cast("string"), F.col("count").cast("string")))
+    rows = rows.select("host", "token", F.lit(1).alias("pages"), h.bitwiseAND(F.lit(0x3FFFFFFF)).alias("v1"), F.shiftrightunsigned(h, 34).alias("v2"), (F.col("count") == 1).cast("long").alias("once"), "mass")
     return rows.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "v1", "v2", "once", "mass")])
 
 
@@ -184,7 +195,7 @@ def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     """id, url and text of every page."""
     kind = pages.select(column(id_col)).dtypes[0][1]
     rows = pages.select(column(id_col).alias("id"), column(url_col).cast("string").alias("url"), column(html_col).alias("html"))
-    found = staged(templates(rows.withColumn("row", F.xxhash64("id", "url"))).select(F.col("host").alias("of"), "slot", "fixed"))
+    found = staged(templates(rows).select(F.col("host").alias("of"), "slot", "fixed"))
     side = F.broadcast(found) if found.count() <= BROADCAST_HOSTS else found
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:.*?://)?(?:[^/?#]*@)?([^/?#]*)", 1))
 
@@ -207,5 +218,5 @@ def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
 
 def vector_sums(counts: np.ndarray) -> tuple[int, int]:
     """The two sums of one occurrence vector (rows are pages), for tests."""
-    hashes = [xxhash.xxh64_intdigest(f"{row} {count}") for row, count in enumerate(counts.tolist()) if count]
+    hashes = [xxhash.xxh64_intdigest(f"{row} {count}", seed=42) for row, count in enumerate(counts.tolist()) if count]
     return sum(h & 0x3FFFFFFF for h in hashes), sum(h >> 34 for h in hashes)

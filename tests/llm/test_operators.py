@@ -225,6 +225,18 @@ def test_main_texts(spark):
     assert got[105] == "Story 5 is long enough to be the text" and len(got) == len(rows)
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    copy = "<div id=top>Logo</div><div id=story><p>One story</p><p>that ten pages</p><p>hold alike</p></div>"
+    rows = [(i, f"http://div.only/{i}", page(copy)) for i in range(10)]
+    rows += [(10, "http://div.only/10", page(copy.replace("ten", "eleven"))), (11, "http://div.only/11", page(copy.replace("One", "Another")))]
+    rows += [(20 + i, f"http://ads.only/{i}", page(copy + f"<div class=ad>buy {i}</div>")) for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].endswith("One story that ten pages hold alike") for i in [*range(10), *range(20, 30)])
+    stories = [(i, f"http://div.only/{i}", page(f"<div id=top>Logo</div><div id=story><p>Story {i} is long enough to be the text</p></div>")) for i in (*range(6), *[6] * 30)]
+    got = {(r["page_id"], r["text"]) for r in html.main_texts(spark.createDataFrame(stories, "page_id long, url string, html string")).collect()}
+    assert got == {(i, f"Story {i} is long enough to be the text") for i in range(7)}
+
+
 def test_occurrence_sums_tell_vectors_apart():
     assert html.vector_sums(np.array([1, 0, 2])) != html.vector_sums(np.array([1, 2, 0])) and html.vector_sums(np.array([0, 0])) == (0, 0)
 
