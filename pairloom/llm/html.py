@@ -2,10 +2,11 @@
 
 Pages of one host share a template. Every page is cut into tokens: tags (with class, id and role) and text pieces. For each host and
 token, Spark sums over all distinct pages how often the token occurs and a hash of (page, occurrences); tokens with equal sums have equal
-occurrence vectors and form an equivalence class. Classes that occur once on nearly every page of the host are its template. Elements
-of the template nest; the innermost one that still holds most of the host's text outside menus and the like is the slot of the article
-(an `article` or `main` element, where the template has one). Text pieces of the template outside such an element are fixed text and
-left out. What remains of the slot is the article.
+occurrence vectors and form an equivalence class. Elements that can be a slot are also tokens by their place (names around
+them, and number among such), which tells an article from teasers of the same name. Classes that occur once on nearly every page of the
+host are its template. Elements of the template nest; the innermost one that still holds most of the host's text outside menus and the
+like is the slot of the article (an `article` or `main` element, where the template has one). Text pieces of the template are fixed text
+and left out, unless they would be most of the host's text. What remains of the slot is the article.
 
 Defined results: a null or empty page has an empty text; on a host with few pages, or a page that does not fit its host's template,
 the page's own `article`, `main` or `body` is the slot; a null url is a host of its own; copies
@@ -30,6 +31,8 @@ from pairloom.llm.common import column, staged
 #: Share of a host's pages that hold a template token, pages below which no template is deduced, and the share of the host's text
 #: that the slot of the article holds.
 SUPPORT, LEAST_PAGES, MASS = 0.8, 5, 0.6
+#: Share that is enough for an article element with at least twice the text of every other one in its template, as among teasers.
+LEAST = 0.3
 #: Templates are a row for each host; beyond this many hosts the join is left to a shuffle.
 BROADCAST_HOSTS = 20_000
 
@@ -42,6 +45,7 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements that interrupt a line, that need no end, and that are not part of an article.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SLOTS = set("article main section div td".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = set("nav header footer aside form button head title menu dialog fieldset audio video".split())
 _OUTSIDE_WORDS = re.compile(
@@ -64,7 +68,10 @@ class Page:
     def __init__(self, source: str):
         self.pieces: list[tuple[int, str, tuple[int, ...], bool]] = []
         self.tags: list[str] = []  # the name with class, id and role, of each element that began
+        self.roles: list[str | None] = []  # for elements that can be a slot: the name with the names around it and its number among such
         self.ends: Counter[str] = Counter()
+        paths: list[int] = []
+        numbers: Counter[int] = Counter()
         open_: list[tuple[str, int, bool]] = []
         block, at = 0, 0
         for m in [*_MARKUP.finditer(source), None]:
@@ -92,6 +99,12 @@ class Page:
                 if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and open_ and open_[-1][0] == name:
                     open_.pop()
                 self.tags.append(name + "".join(f" {k}={found[k]}" for k in sorted(found)))
+                paths.append(xxhash.xxh64_intdigest(f"{paths[open_[-1][1]] if open_ else 0} {name}") >> 1)
+                role = None
+                if name in SLOTS and not (outside and name not in ("article", "main")) and not any(x for *_, x in open_):
+                    numbers[paths[-1]] += 1
+                    role = f"{name} @{paths[-1]} {numbers[paths[-1]]}"
+                self.roles.append(role)
                 open_.append((name, len(self.tags) - 1, outside and name not in ("html", "body", "article", "main")))
 
     def text(self, inside: set[int] | None, fixed: frozenset[int] = frozenset()) -> str:
@@ -127,10 +140,20 @@ class Page:
             by_tag[tag] += mass[k]
         counts = Counter(f"#{piece_hash(p)}" for _, p, around, _ in self.pieces if around)
         found = [(tag, count, by_tag[tag]) for tag, count in Counter(self.tags).items()]
+        found += [(role, 1, mass[k]) for k, role in enumerate(self.roles) if role]
         found += [("/" + name, count, 0) for name, count in self.ends.items()]
         found += [(piece, count, pieces[piece]) for piece, count in counts.items()]
         return [*found, ("", 1, sum(pieces.values()))]
 
+    def slot(self, token: str | None, fixed: frozenset[int]) -> set[int] | None:
+        """Elements of the article: those of the template's token, or the page's own where it does not fit the template."""
+        found = {k for k, (tag, role) in enumerate(zip(self.tags, self.roles, strict=True)) if token in (tag, role)} if token else set()
+        if found and " @" in token:  # one of several alike: a page that has most of its text elsewhere is of another kind
+            sizes = [(len(piece), not found.isdisjoint(around)) for _, piece, around, outside in self.pieces if not outside and piece_hash(piece) not in fixed]
+            if sum(n for n, inside in sizes if inside) < LEAST * sum(n for n, _ in sizes):
+                found = set()
+        return found or self.own_slot()
+
     def own_slot(self) -> set[int] | None:
         """Elements of the article, by the page's own names."""
         for name in ("article", "main", "body"):
@@ -181,14 +204,20 @@ def templates(pages: DataFrame) -> DataFrame:
     tokens = found.where("token <> ''").join(hosts, "host").where((F.col("of") >= LEAST_PAGES) & (F.col("pages") >= SUPPORT * F.col("of")))
     classes = tokens.groupBy("host", "pages", "v1", "v2").agg(F.first("of").alias("of"), F.first("text").alias("text"), F.min(F.col("once") == F.col("pages")).alias("once"), F.collect_list(F.struct("token", "mass")).alias("tokens"))
     valid = classes.where((F.size("tokens") >= 3) & F.col("once")).withColumn("token", F.explode("tokens")).select("host", "text", F.col("token")["token"].alias("token"), F.col("token")["mass"].alias("mass"))
-    name = F.substring_index("token", " ", 1)
+    valid = staged(valid)
+    name, role = F.substring_index("token", " ", 1), F.col("token").contains(" @")
     is_tag = ~F.substring("token", 1, 1).isin("#", "/") & ~name.isin("html", "body", "head", "p", "h1", "title")
     slots = valid.where(is_tag & (F.col("mass") >= MASS * F.col("text")) & (F.col("text") > 0))
+    articles = valid.where((name == "article") & role).groupBy("host").agg(F.first("text").alias("text"), F.sort_array(F.collect_list(F.struct("mass", "token")), False).alias("all"))
+    first, second = F.col("all")[0], F.get("all", F.lit(1))
+    lead = articles.where((first["mass"] >= LEAST * F.col("text")) & (F.col("text") > 0) & (first["mass"] >= 2 * F.coalesce(second["mass"], F.lit(0))))
+    slots = slots.unionByName(lead.select("host", "text", first["token"].alias("token"), first["mass"].alias("mass")))
     # an article or main element first; otherwise the innermost one, which holds the least text beyond the share
     wanted = F.when(name == "article", 0).when(name == "main", 1).otherwise(2)
-    slot = slots.groupBy("host").agg(F.min(F.struct(wanted.alias("wanted"), "mass", "token")).alias("best")).select("host", F.col("best")["token"].alias("slot"))
-    fixed = valid.where(F.col("token").startswith("#")).groupBy("host").agg(F.collect_list(F.substring("token", 2, 20).cast("long")).alias("fixed"))
-    return slot.join(fixed, "host", "full")
+    slot = slots.groupBy("host").agg(F.min(F.struct(wanted.alias("wanted"), "mass", role.alias("role"), "token")).alias("best")).select("host", F.col("best")["token"].alias("slot"))
+    # where fixed text would be most of the text, the pages are near copies, and it cannot be told from articles
+    fixed = valid.where(F.col("token").startswith("#")).groupBy("host").agg(F.collect_list(F.substring("token", 2, 20).cast("long")).alias("fixed"), F.sum("mass").alias("mass"), F.first("text").alias("text"))
+    return slot.join(fixed.where(F.col("mass") <= MASS * F.col("text")).select("host", "fixed"), "host", "full")
 
 
 def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -204,12 +233,8 @@ def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
             texts = []
             for source, slot, fixed in zip(*(batch.column(c).to_pylist() for c in ("html", "slot", "fixed")), strict=True):
                 page = Page(source or "")
-                chosen = {k for k, tag in enumerate(page.tags) if tag == slot} if slot else set()
-                semantic = bool(slot) and slot.split(" ", 1)[0] in ("article", "main")
-                own = page.own_slot()
-                named = own is not None and page.tags[min(own)].split(" ", 1)[0] != "body"
-                drop = frozenset() if semantic or named else frozenset(fixed or ())
-                texts.append(page.text(own if named else chosen or own, drop))
+                drop = frozenset(fixed or ())
+                texts.append(page.text(page.slot(slot, drop), drop))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
     joined = rows.withColumn("host", host).join(side, F.col("host") == F.col("of"), "left").select("id", "url", "html", "slot", "fixed")

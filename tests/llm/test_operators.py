@@ -225,6 +225,19 @@ def test_main_texts(spark):
     assert got[105] == "Story 5 is long enough to be the text" and len(got) == len(rows)
 
 
+def test_template_goes_before_own_article(spark):
+    teasers = lambda i: "".join(f"<article><h3>Teaser {i} {k}</h3></article>" for k in range(1 + i % 3))
+    rows = [(i, f"http://t.x/{i}", page(f"<main><article id=post-{i}><p>Send us a letter</p><p>Story {i} is long enough to be the text of a page, which is more than its teasers hold</p></article>{teasers(i)}</main>")) for i in range(12)]
+    rows += [(50 + i, f"http://u.x/{i}", page(f"<main><article><p>Story {i} is long enough to be the text of a page</p></article>{teasers(i)}</main>")) for i in range(12)]
+    rows += [(20, "http://u.x/list", page("<main>" + "".join(f"<article><p>Entry {k} of a list</p></article>" for k in range(6)) + "</main>"))]
+    rows += [(30 + i, f"http://near.x/{i}", page(f"<div><p>All pages have this long text alike, but for a word</p><p>of number {i}</p></div>")) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} is long enough to be the text of a page, which is more than its teasers hold" for i in range(12))
+    assert all(got[50 + i] == f"Story {i} is long enough to be the text of a page" for i in range(12))
+    assert got[20] == " ".join(f"Entry {k} of a list" for k in range(6))
+    assert all(got[30 + i] == f"All pages have this long text alike, but for a word of number {i}" for i in range(8))
+
+
 def test_copies_of_a_page_keep_their_text(spark):
     copy = "<div id=top>Logo</div><div id=story><p>One story</p><p>that ten pages</p><p>hold alike</p></div>"
     rows = [(i, f"http://div.only/{i}", page(copy)) for i in range(10)]
