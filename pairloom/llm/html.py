@@ -6,7 +6,8 @@ occurrence vectors and form an equivalence class. Elements that can be a slot ar
 them, and number among such), which tells an article from teasers of the same name. Classes that occur once on nearly every page of the
 host are its template. Elements of the template nest; the innermost one that still holds most of the host's text outside menus and the
 like is the slot of the article (an `article` or `main` element, where the template has one). Text pieces of the template are fixed text
-and left out, unless they would be most of the host's text. What remains of the slot is the article.
+and left out, unless they would be most of the host's text. What remains of the slot is the article. A form is outside of it, except one
+that encloses it.
 
 Defined results: a null or empty page has an empty text; on a host with few pages, or a page that does not fit its host's template,
 the page's own `article`, `main` or `body` is the slot; a null url is a host of its own; copies
@@ -38,13 +39,15 @@ BROADCAST_HOSTS = 20_000
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(script|style|noscript|template|textarea|select|svg|iframe|object|canvas|math)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<svg\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+(?<=/)>"
+    r"|<(script|style|noscript|template|textarea|select|svg|iframe|object|canvas|annotation|annotation-xml)(?![\w:-])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements that interrupt a line, that need no end, and that are not part of an article.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= set("math semantics maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover none".split())
 SLOTS = set("article main section div td".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = set("nav header footer aside form button head title menu dialog fieldset audio video".split())
@@ -67,6 +70,8 @@ class Page:
 
     def __init__(self, source: str):
         self.pieces: list[tuple[int, str, tuple[int, ...], bool]] = []
+        forms: set[int] = set()
+        around_article: set[int] = set()
         self.tags: list[str] = []  # the name with class, id and role, of each element that began
         self.roles: list[str | None] = []  # for elements that can be a slot: the name with the names around it and its number among such
         self.ends: Counter[str] = Counter()
@@ -95,7 +100,7 @@ class Page:
                         pass
             elif name not in VOID and not m[4].endswith("/"):
                 found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[4])} if m[4] else {}
-                outside = name in OUTSIDE or found.get("role", "").lower() in _OUTSIDE_ROLES or any(_OUTSIDE_WORDS.search(found.get(k, "")) for k in ("class", "id"))
+                outside = name in OUTSIDE and name != "form" or found.get("role", "").lower() in _OUTSIDE_ROLES or any(_OUTSIDE_WORDS.search(found.get(k, "")) for k in ("class", "id"))
                 if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and open_ and open_[-1][0] == name:
                     open_.pop()
                 self.tags.append(name + "".join(f" {k}={found[k]}" for k in sorted(found)))
@@ -105,8 +110,23 @@ class Page:
                     numbers[paths[-1]] += 1
                     role = f"{name} @{paths[-1]} {numbers[paths[-1]]}"
                 self.roles.append(role)
+                if name == "form":
+                    forms.add(len(self.tags) - 1)
+                elif name in ("article", "main"):
+                    around_article.update(n for _, n, _ in open_ if n in forms)
                 open_.append((name, len(self.tags) - 1, outside and name not in ("html", "body", "article", "main")))
 
+        if forms:
+            self._forms(forms, around_article)
+
+    def _forms(self, forms: set[int], around_article: set[int]) -> None:
+        """Forms are outside of articles, except those that enclose one: by its name or, where the page names none, by nearly all the text."""
+        if not any(tag.split(" ", 1)[0] in ("article", "main") for tag in self.tags):
+            sizes = [(len(piece), around) for _, piece, around, outside in self.pieces if not outside and around]
+            around_article = {k for k in forms if sum(n for n, around in sizes if k in around) >= SUPPORT * sum(n for n, _ in sizes)}
+        closed = forms - around_article
+        self.pieces = [(block, piece, around, outside or not closed.isdisjoint(around)) for block, piece, around, outside in self.pieces]
+
     def text(self, inside: set[int] | None, fixed: frozenset[int] = frozenset()) -> str:
         """Words of the pieces within one of the elements (None: all), block by block."""
         blocks: list[str] = []

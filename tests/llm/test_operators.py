@@ -225,6 +225,18 @@ def test_main_texts(spark):
     assert got[105] == "Story 5 is long enough to be the text" and len(got) == len(rows)
 
 
+def test_markup_that_does_not_swallow_an_article():
+    def text(body):
+        found = html.Page(page(body))
+        return found.text(found.own_slot())
+
+    assert text("<article>a <svg class='i'/>b <svg><text>no</text></svg>c <math/>d</article>") == "a b c d"
+    assert text("<article><p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math> holds</p></article>") == "so x=1 holds"
+    assert text("<form id=all><nav>n</nav><article>story<form>your name</form></article></form>") == "story"
+    assert text("<form><nav>n</nav><div>a story in a form</div><footer>f</footer></form>") == "a story in a form"
+    assert text("<div>a story of its own</div><form>your name</form>") == "a story of its own"
+
+
 def test_template_goes_before_own_article(spark):
     teasers = lambda i: "".join(f"<article><h3>Teaser {i} {k}</h3></article>" for k in range(1 + i % 3))
     rows = [(i, f"http://t.x/{i}", page(f"<main><article id=post-{i}><p>Send us a letter</p><p>Story {i} is long enough to be the text of a page, which is more than its teasers hold</p></article>{teasers(i)}</main>")) for i in range(12)]
