@@ -6,7 +6,8 @@ bucket is left out; near 1 a coordinate is chosen and only vectors within its fe
 are long enough. What remains is verified by exact integer products.
 
 Defined results: a vector that is null, or holds null or non-finite components, takes no part; vectors of other dimensions never meet;
-a row with the query's own id is the query's own; repeated rows count each; ties go to the smaller id. Scores must fit into a long.
+a row with the query's own id is the query's own; repeated rows count each as candidates, but as a query once, and queries of one id with
+different vectors have ranks of their own; ties go to the smaller id. Scores must fit into a long.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             exact = d * float(np.abs(matrix).max(initial=0)) * float(np.abs(queries).max(initial=0)) < 2.0**52
             kind = np.float64 if exact else np.int64  # products in doubles are exact there, and much faster
             left, right, ranges = matrix.astype(kind), queries.astype(kind), {}
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            found: list[tuple[np.ndarray, ...]] = []
             for j in range(len(q_ids)):
                 rows = _candidates(queries[j], q_norms[j], least[j], matrix, norms, ranges)
                 near = ids[rows]
@@ -124,16 +125,16 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 keep = (near != q_ids[j]) & (scores >= least[j])
                 near, scores = near[keep], scores[keep]
                 top = _best(scores, near, k)
-                found.append((np.full(len(top), q_ids[j]), near[top], scores[top].astype(np.int64)))
-            columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), row["block"])), *map(pa.array, columns)], ["block", "query_id", "vec_id", "score"])
+                found.append((np.full(len(top), j), np.full(len(top), q_ids[j]), near[top], scores[top].astype(np.int64)))
+            columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), row["block"])), *map(pa.array, columns)], ["block", "query", "query_id", "vec_id", "score"])
 
 
 def top_products(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of each query (is_query is over the column `id`)."""
     rows = staged(integer_vectors(vectors, scale, id_col, vector_col))
     buckets = packed(rows, BUCKET_ROWS)
-    asked = packed(rows.where(is_query), BLOCK_ROWS).select(F.col("pack").alias("block"), F.col("dim").alias("q_dim"), F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("norms").alias("q_norms"), F.col("matrix").alias("q_matrix"))
+    asked = packed(rows.where(is_query).dropDuplicates(["id", "v"]), BLOCK_ROWS).select(F.col("pack").alias("block"), F.col("dim").alias("q_dim"), F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("norms").alias("q_norms"), F.col("matrix").alias("q_matrix"))
     # every block of queries meets every bucket of its dimension that its thresholds allow; only numbers of both are joined here,
     # spread over salts because all may have one dimension
     salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -145,27 +146,27 @@ def top_products(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int
     def search(chosen: DataFrame) -> DataFrame:
         met = chosen.join(asked, "block").join(buckets, "pack")
         met = met.select("block", "dim", "ids", "norms", "matrix", "q_ids", "q_norms", "q_matrix", "least")
-        return met.mapInArrow(lambda batches: _search(batches, k), "block long, query_id long, vec_id long, score long")
+        return met.mapInArrow(lambda batches: _search(batches, k), "block long, query long, query_id long, vec_id long, score long")
 
     start = staged(search(first.withColumn("least", F.lit(None).cast("binary"))))
-    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    kth = start.withColumn("at", ranked).where(F.col("at") == k).select("query_id", F.col("score").cast("double").alias("least"))
+    ranked = F.row_number().over(Window.partitionBy("block", "query").orderBy(F.desc("score")))
+    kth = start.withColumn("at", ranked).where(F.col("at") == k).select("block", "query", F.col("score").cast("double").alias("least"))
 
     def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 known = dict(row["known"] or [])
-                least = np.array([known.get(i, -np.inf) for i in np.frombuffer(row["q_ids"], np.int64).tolist()])
+                least = np.array([known.get(j, -np.inf) for j in range(len(row["q_ids"]) // 8)])
                 out.append((row["block"], float(least.min(initial=np.inf)), least.tobytes()))
             columns = list(zip(*out, strict=True)) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.binary()), strict=True)], ["block", "lowest", "least"])
 
     # at most BLOCK_ROWS thresholds gather in a row
-    by_block = start.select("block", "query_id").distinct().join(kth, "query_id").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "least"))).alias("known"))
+    by_block = kth.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query", "least"))).alias("known"))
     limits = staged(asked.select("block", "q_ids").join(by_block, "block", "left").mapInArrow(thresholds, "block long, lowest double, least binary"))
     open_pairs = pairs.join(first.withColumnRenamed("pack", "done"), "block").where(F.col("pack") != F.col("done")).join(limits, "block")
     open_pairs = open_pairs.where(F.col("longest") * F.col("q_longest") * (1 + _SLACK) >= F.col("lowest")).select("block", "pack", "least")
     found = start.unionByName(search(open_pairs))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("block", "query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -212,6 +212,20 @@ def test_top_products_equal_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(expected)
 
 
+def test_top_products_of_repeated_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BUCKET_ROWS", 16)
+    chance = np.random.default_rng(3)
+    vectors = [(i, chance.normal(0, 1, 4).tolist()) for i in range(90)]
+    repeated = [*vectors, vectors[50], vectors[50], vectors[7], (0, [-x for x in vectors[0][1]])]
+    got = topk.top_products(spark.createDataFrame(repeated, "vec_id long, embedding array<double>").repartition(3), F.col("id") % 50 == 0).collect()
+    rows = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in repeated]
+    expected = []
+    for q, v in [rows[0], rows[50], rows[-1]]:
+        best = sorted((-int(w @ v), i) for i, w in rows if i != q)[:5]
+        expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
 def page(body, head="<title>t</title>"):
     return f"<!DOCTYPE html><html><head>{head}<script>var a='<p>';</script></head><body>{body}</body></html>"
 
