@@ -5,7 +5,8 @@ hold it) and those of its characters (the same for its byte trigrams: mean and h
 recurrent units read a window in both directions, attention pools their states, and a logistic unit scores the window. A document's
 score is that of its highest window, calibrated on the training documents. All windows of whole texts are scored.
 
-Learning uses a bounded sample of the labelled rows: at most `per_label` of each label, by the order of a hash of their keys.
+Learning uses a bounded sample of the labelled rows: at most `per_label` of each label, by the order of a hash of their keys, and one
+text (the smallest) of each key.
 
 Defined results: a null or empty text is scored as a window without words; null labels or keys teach nothing; without rows of both
 labels every score is 0; repeated rows are scored each; equal texts have equal scores.
@@ -286,7 +287,7 @@ def train_model(texts: list[str], labels: np.ndarray, passes: int = 12) -> Toxic
     return ToxicityModel(model.lexicon, network, max(slope, 1e-3), shift)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1200) -> ToxicityModel | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 2500) -> ToxicityModel | None:
     """Learn from at most `per_label` rows of each label for which `train` (over the key, named `key`) is true."""
     known = labels.select(column(id_col).alias("key"), column(label_col).cast("int").alias("label")).where(train & F.col("label").isin(0, 1) & F.col("key").isNotNull())
     known = known.groupBy("key").agg(F.max("label").alias("label"))
@@ -296,6 +297,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: s
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.select(column(id_col).alias("key"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(sample), "key").select(F.col("key").cast("string").alias("key"), "text", "label")
+    rows = rows.groupBy("key").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
     def train_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "label")), strict=True))

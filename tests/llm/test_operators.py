@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+import pickle
 import random
 import re
 import zlib
@@ -325,6 +327,15 @@ def test_toxicity_held_out(spark):
     assert {r["score"] for r in toxicity.score_toxicity(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_learns_one_text_of_each_key(spark):
+    docs, labels = labelled(spark, lambda t, c: t + " scum")
+    few = docs.where("doc_id < 24")
+    repeated = few.unionByName(few.where("doc_id < 3")).unionByName(few.where("doc_id < 3").withColumn("text", F.lit("~ later text")))
+    models = [toxicity.fit_toxicity(d, labels, F.lit(True), per_label=20) for d in (few, repeated.repartition(2))]
+    assert pickle.dumps(models[0].network.p) == pickle.dumps(models[1].network.p) and models[0].shift == models[1].shift
+    assert inspect.signature(toxicity.fit_toxicity).parameters["per_label"].default == 2500
+
+
 def test_quality_held_out(spark):
     docs, labels = labelled(spark, lambda t, c: t.upper().replace(" ", "!! | "))
     model = quality.fit_quality(docs, labels, common.fold(F.col("key"), 4) != 2)
