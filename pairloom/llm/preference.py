@@ -6,8 +6,8 @@ never gathered in one row. A mask says which characters of a segment are learned
 end mark; nothing of the prompt.
 
 Defined results: null roles and texts equal one another and are rendered empty; turns follow one another by turn (null first), role and
-text, and rows that are equal in all stay as they are; a conversation without a partner has an empty prefix; an empty table
-gives no rows.
+text, and rows that are equal in all stay as they are; a conversation without a partner has an empty prefix; rows with a
+null conv_id belong to no conversation and are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
