@@ -108,6 +108,96 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
 FROM doc_words d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
 
+#: The table of the crc32, and the crc32 of a list of bytes with it.
+_CRC_TABLE = """
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), list_transform(range(8), lambda x: CAST(x AS BIGINT))),
+      lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS i) b) t"""
+
+
+def _crc32(codes: str) -> str:
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: xor(c // 256, tab[(xor(c, b) % 256) + 1])), CAST(4294967295 AS BIGINT))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, start: str, levels: int) -> str:
+    """CTEs {name}0 to {name}{levels} of nodes (owner, idx, h, n), and sib{name}{k} with each node's siblings before and after it."""
+    found = [f"{name}0 AS ({start})"]
+    for k in range(levels):
+        found.append(f"""sib{name}{k} AS (
+  SELECT owner, idx, n, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {name}{k} WINDOW w AS (PARTITION BY owner, idx // 16 ORDER BY idx))""")
+        found.append(f"""{name}{k + 1} AS (
+  SELECT owner, idx // 16 AS idx, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY idx)) END AS h, (any_value(n) + 15) // 16 AS n
+  FROM {name}{k} GROUP BY owner, idx // 16)""")
+    return ",\n".join(found)
+
+
+def _ways(name: str, tree: str, start: str, levels: int) -> str:
+    """CTEs {name}0 to {name}{levels}: each leaf's proof and folded node, level by level."""
+    found = [f"{name}0 AS ({start})"]
+    for k in range(levels):
+        found.append(f"""{name}{k + 1} AS (
+  SELECT doc_id, source_no, leaf, w.owner, w.idx // 16 AS idx, proof || CASE WHEN n = 1 THEN '' ELSE before || after END AS proof,
+    CASE WHEN n = 1 THEN folded ELSE sha256(before || folded || after) END AS folded
+  FROM {name}{k} w JOIN sib{tree}{k} s ON s.owner = w.owner AND s.idx = w.idx)""")
+    return ",\n".join(found)
+
+
+#: Enough levels for 16 ** 5 rows of a source, and 16 ** 3 sources.
+_MERKLE = f"""
+WITH crc AS ({_CRC_TABLE}),
+leaves AS (
+  SELECT doc_id, {_leaf("text")} AS leaf,
+    CASE WHEN {_crc32("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(unicode(ch) AS BIGINT))")} % 5 = 0
+      THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS shown,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS source_no, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n
+  FROM documents, crc),
+{_tree("a", "SELECT source_no AS owner, place AS idx, leaf AS h, n FROM leaves", 5)},
+{_tree("b", "SELECT 0 AS owner, owner AS idx, h, count(*) OVER () AS n FROM a5", 3)},
+{_ways("u", "a", "SELECT doc_id, source_no, leaf, source_no AS owner, place AS idx, '' AS proof, coalesce(shown, leaf) AS folded FROM leaves", 5)},
+{_ways("v", "b", "SELECT doc_id, source_no, leaf, 0 AS owner, source_no AS idx, proof, folded FROM u5", 3)}
+SELECT doc_id, leaf, a5.h AS subroot, b3.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = b3.h AS verified
+FROM v3 JOIN a5 ON a5.owner = source_no, b3
+"""
+
+#: Near words by their deletions, not by chunks.
+_SPELLING = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) x
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, c, {_crc32("flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(ch) AS BIGINT) - 64] END))")} AS h
+  FROM runs, crc),
+words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT c, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed) x
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+shorter AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words) x),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS place FROM near),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word AND place = 1),
+reach AS (SELECT word, word AS root FROM forms UNION ALL SELECT r.word, f.form FROM reach r JOIN forms f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM forms f JOIN reach r ON r.word = f.word JOIN forms l ON l.word = r.root AND l.form IS NULL
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mixing": _MIXING,
     "op2_preference": _PREFERENCE,
@@ -115,4 +205,6 @@ ORACLES: dict[str, str] = {
     "op4_lines": _LINES,
     "op5_decontamination": _DECONTAMINATION,
     "op9_topk": _TOPK,
+    "op12_merkle": _MERKLE,
+    "op13_spelling": _SPELLING,
 }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, html, lines, mixing, neardup, preference, quality, tokens, topk, toxicity
-from pairloom.llm.common import fold, shared_folder
+from pairloom.llm import decontaminate, html, lines, merkle, mixing, neardup, preference, quality, spelling, tokens, topk, toxicity
+from pairloom.llm.common import LOWER, UPPER, fold, shared_folder
 
 #: Scores from which a document counts as good, and a text as toxic.
 GOOD = 0.7
@@ -84,6 +84,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.digest(*(F.translate("text", UPPER, LOWER) if c == "text" else F.col(c) for c in fields))
+    shown = F.when(fold(F.col("doc_id"), 5) == 0, tampered)
+    proved = merkle.manifest(docs, fields, group_col="source", id_col="doc_id", shown=shown)
+    proof = F.sha2(F.array_join("siblings", "").cast("binary"), 256)
+    return proved.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_preference": op2_preference,
@@ -95,4 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
+    "op12_merkle": op12_merkle,
+    "op13_spelling": op13_spelling,
 }
