@@ -153,6 +153,21 @@ def _ways(name: str, tree: str, start: str, levels: int) -> str:
     return ",\n".join(found)
 
 
+_SUBSTRING = r"""
+WITH doc_words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS window_text FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM doc_words WHERE len(w) >= 13) x),
+repeated AS (SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY window_text) AS first FROM windows) x WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS i FROM repeated),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM doc_words),
+left_over AS (
+  SELECT p.doc_id, count(g.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p.i) FILTER (WHERE g.i IS NULL), '') AS kept
+  FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM doc_words d LEFT JOIN left_over l ON d.doc_id = l.doc_id
+"""
+
 #: Enough levels for 16 ** 5 rows of a source, and 16 ** 3 sources.
 _MERKLE = f"""
 WITH crc AS ({_CRC_TABLE}),
@@ -205,6 +220,7 @@ ORACLES: dict[str, str] = {
     "op4_lines": _LINES,
     "op5_decontamination": _DECONTAMINATION,
     "op9_topk": _TOPK,
+    "op11_substring": _SUBSTRING,
     "op12_merkle": _MERKLE,
     "op13_spelling": _SPELLING,
 }

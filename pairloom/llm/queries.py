@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, html, lines, merkle, mixing, neardup, preference, quality, spelling, tokens, topk, toxicity
+from pairloom.llm import decontaminate, html, lines, merkle, mixing, neardup, preference, quality, spelling, substring, tokens, topk, toxicity
 from pairloom.llm.common import LOWER, UPPER, fold, shared_folder
 
 #: Scores from which a document counts as good, and a text as toxic.
@@ -84,6 +84,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op11_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_topk": op9_topk,
     "op10_quality": op10_quality,
+    "op11_substring": op11_substring,
     "op12_merkle": op12_merkle,
     "op13_spelling": op13_spelling,
 }
