@@ -1,9 +1,10 @@
-"""Contexts against patterns: a similarity join.
+"""Contexts against patterns: a similarity join over posting rows.
 
-A pair can only reach a threshold if it shares one of the tokens the pattern
-cannot do without, so candidates come from an equi-join on those tokens, and
-only candidates are scored. Nothing is capped: leaving a token out of the index
-is allowed only where the tokens left out could not reach the threshold together.
+Contexts and patterns are cut into postings, one thin row per token with the token's share of its part's length. A pair can only reach
+a threshold if it shares one of the tokens the pattern cannot do without, so only those are indexed, the telling ones first. Products
+of the postings that meet are summed per pair; with a bound on what the tokens left out can add, most pairs are settled there. The
+vectors are joined once for each pair that is left. Nothing is capped: leaving a token out of the index is allowed only where the tokens
+left out could not reach the threshold together.
 """
 
 from __future__ import annotations
@@ -14,37 +15,34 @@ from pyspark.sql import functions as F
 from pairloom.functions.vectors import PARTS, SLACK, degree_of_match, lookup, signature, squared_norm
 from pairloom.params import Params
 
-def _feature(part: str) -> str:
-    """SQL of a token prefixed by its part."""
-    return f"concat('{part[0]}:', x.token)"
+_MEETING = ["left_tag", "signature", "feature"]
 
 
-def pattern_index(
-    patterns: DataFrame, threshold: float, params: Params = Params(), key: str = "pattern_id"
-) -> DataFrame:
-    """One row per (pattern, token it must share): the table :func:`match_contexts` joins with.
+def _units(df: DataFrame, kept: list[str]) -> DataFrame:
+    """One row per token: ``kept``, left_tag, signature, part, feature and ``unit``, the weight over the length of its part."""
+    items = ", ".join(
+        f"transform({p}, x -> named_struct('part', '{p}', 'feature', concat('{p[0]}:', x.token), 'unit', x.weight / sqrt({p}_norm)))"
+        for p in PARTS
+    )
+    normed = df.select(*kept, "left_tag", signature().alias("signature"), *PARTS, *(squared_norm(p).alias(f"{p}_norm") for p in PARTS))
+    carried = [*kept, "left_tag", "signature"]
+    listed = normed.select(*carried, F.explode_outer(F.expr(f"concat({items})")).alias("x"))
+    return listed.select(*carried, "x.*").where(F.col("feature").isNotNull())
+
+
+def pattern_index(patterns: DataFrame, threshold: float, params: Params = Params(), key: str = "pattern_id") -> DataFrame:
+    """Postings ``(key, left_tag, signature, feature, share, rest_lc, rest_mc, rest_rc)`` of the tokens a match must share one of.
 
     Tokens are ranked by how many patterns hold them over how much they add to
     the score, so common and weightless tokens come first. A leading run is left
     out as long as a context sharing only that run stays below ``threshold``;
     what remains is a small set of telling tokens that any match must share.
+    ``rest`` is the part's share that was left out. Rows and work are linear in
+    the tokens of a pattern.
     """
-    prepared = patterns.select(key, "left_tag", *PARTS, signature().alias("signature"))
-    shares = (
-        F.expr(
-            f"transform({p}, x -> named_struct('part', '{p}', 'feature', {_feature(p)}, "
-            f"'share', x.weight * x.weight / {p}_norm))"
-        )
-        for p in PARTS
-    )
-    norms = [squared_norm(p).alias(f"{p}_norm") for p in PARTS]
-    features = (
-        prepared.select("*", *norms)
-        .select(key, "left_tag", "signature", F.explode(F.concat(*shares)).alias("f"))
-        .select(key, "left_tag", "signature", "f.*")
-    )
-    commonness = features.groupBy("left_tag", "signature", "feature").agg(F.count(F.lit(1)).alias("patterns"))
-    ranked = features.join(commonness, ["left_tag", "signature", "feature"])
+    features = _units(patterns, [key]).withColumn("share", F.col("unit") * F.col("unit")).drop("unit")
+    commonness = features.groupBy(*_MEETING).agg(F.count(F.lit(1)).alias("patterns"))
+    ranked = features.join(commonness, _MEETING)
 
     # Best score of a context that shares only the features up to and including this one.
     order = Window.partitionBy(key).orderBy(F.desc(F.col("patterns") / F.col("share")), "feature")
@@ -55,42 +53,53 @@ def pattern_index(
 
     right_reach = reach("rc") if params.plain_cosine else reach("rc") / (1 + reach("rc"))
     best = (F.sqrt(reach("lc")) + F.sqrt(reach("mc")) + F.sqrt(right_reach)) / 3
-    needed = (
-        ranked.withColumn("best", best)
-        .where(F.col("best") >= threshold - SLACK)
-        .groupBy(key)
-        .agg(F.collect_list("feature").alias("needed"))
-    )
-    maps = [lookup(p).alias(f"{p}_map") for p in PARTS]
-    tags = [F.col("left_tag").alias("pattern_tag"), F.col("signature").alias("pattern_signature")]
-    return prepared.select(key, *tags, *maps, *norms).join(needed, key).withColumn("feature", F.explode("needed"))
+    needed = F.col("best") >= threshold - SLACK
+    whole = Window.partitionBy(key)
+    rests = [F.sum(F.when((F.col("part") == p) & ~needed, F.col("share")).otherwise(0.0)).over(whole).alias(f"rest_{p}") for p in PARTS]
+    marked = ranked.withColumn("best", best).select(key, *_MEETING, "share", "best", *rests)
+    return marked.where(needed).drop("best")
+
+
+def _candidates(contexts: DataFrame, index: DataFrame, threshold: float, params: Params, kept: list[str], key: str) -> DataFrame:
+    """Pairs ``(kept, key)`` whose shared postings, with the best that the unindexed tokens could add, reach the threshold."""
+    met = _units(contexts, kept).join(index, _MEETING)
+
+    def summed(part: str, value: Column) -> Column:
+        return F.sum(F.when(F.col("part") == part, value).otherwise(0.0))
+
+    own, share = F.col("unit"), F.col("share")
+    sums = [summed(p, own * F.sqrt(share)).alias(f"dot_{p}") for p in PARTS] + [summed(p, own * own).alias(f"seen_{p}") for p in PARTS]
+    rests = [F.max(f"rest_{p}").alias(f"rest_{p}") for p in PARTS]
+    pairs = met.groupBy(*kept, key).agg(*sums, *rests, summed("rc", share).alias("shared"))
+
+    def bound(part: str) -> Column:
+        return F.col(f"dot_{part}") + F.sqrt(F.greatest(F.lit(0.0), 1 - F.col(f"seen_{part}")) * F.col(f"rest_{part}"))
+
+    right = bound("rc")
+    if not params.plain_cosine:
+        most = F.col("shared") + F.col("rest_rc")
+        right = F.least(right / F.sqrt(1 + F.col("shared")), F.sqrt(most / (1 + most)))
+    return pairs.where((bound("lc") + bound("mc") + right) / 3 >= threshold - SLACK).select(*kept, key)
 
 
 def match_contexts(
     contexts: DataFrame,
+    patterns: DataFrame,
     index: DataFrame,
     threshold: float,
     params: Params = Params(),
     key: str = "pattern_id",
     strict: bool = False,
 ) -> DataFrame:
-    """All columns of ``contexts`` but the vectors, plus ``key`` and ``similarity`` of every match.
+    """The other columns of ``contexts``, which name a context, plus ``key`` and ``similarity`` of every match, each pair once.
 
-    A pair that shares several indexed tokens meets once per token; only the
-    meeting at the first of them counts, which keeps the pairs distinct without
-    a shuffle.
+    ``index`` is the :func:`pattern_index` of ``patterns`` at this threshold.
     """
-    kept = [c for c in contexts.columns if c not in PARTS]
-    features = "concat(" + ", ".join(f"transform({p}, x -> {_feature(p)})" for p in PARTS) + ")"
-    probes = contexts.select("*", signature().alias("signature"), F.expr(features).alias("features")).select(
-        "*", F.explode_outer("features").alias("feature")
-    )
-    joined = probes.join(
-        index,
-        (F.col("left_tag") == F.col("pattern_tag"))
-        & (F.col("signature") == F.col("pattern_signature"))
-        & (probes["feature"] == index["feature"]),
-    ).where(F.get(F.array_intersect("features", "needed"), F.lit(0)).eqNullSafe(index["feature"]))
+    kept = [c for c in contexts.columns if c not in (*PARTS, "left_tag")]
+    pairs = _candidates(contexts, index, threshold, params, kept, key)
+    maps = [lookup(p).alias(f"{p}_map") for p in PARTS]
+    norms = [squared_norm(p).alias(f"{p}_norm") for p in PARTS]
+    joined = pairs.join(patterns.select(key, F.col("left_tag").alias("pattern_tag"), *maps, *norms), key).join(contexts, kept)
     similarity = degree_of_match(
         "left_tag",
         PARTS,

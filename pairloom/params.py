@@ -13,12 +13,12 @@ class Params:
     """Extraction settings; the defaults are the published experiment values.
 
     ``plain_cosine`` replaces the damped right-hand score by a textbook cosine.
-    ``cluster_mode`` is ``"two_level"`` (single pass per bucket, then merge rounds
-    over the bucket results) or ``"exact"`` (level 1 only groups equal
-    contexts). ``buckets`` is the number of level-1 buckets of a group, and
-    ``merge_buckets`` that of each level-2 merge round. Both are part of the
-    meaning: results depend on the rows and the settings, not on the number of
-    rows. Larger corpora need more buckets to keep tasks small.
+    ``cluster_mode`` is ``"two_level"`` (single pass per bucket, then merges of
+    alike clusters of all buckets) or ``"exact"`` (level 1 only groups equal
+    contexts). A group has ``buckets`` level-1 buckets by the middle context,
+    times ``side_buckets`` by the other two. Both are part of the meaning:
+    results depend on the rows and the settings, not on the number of rows.
+    Larger corpora need more buckets to keep tasks small.
     """
 
     window_size: int = 5
@@ -34,13 +34,13 @@ class Params:
     early_stop: bool = False
     cluster_mode: str = "two_level"
     buckets: int = 16
-    merge_buckets: tuple[int, ...] = (16, 16, 16)
+    side_buckets: int = 4
 
     def __post_init__(self) -> None:
         if self.degree_of_match_threshold <= 0 or self.similarity_threshold <= 0:
             raise ValueError("similarity thresholds must be positive")
-        if self.window_size < 0 or self.max_distance < 1 or min(self.buckets, *self.merge_buckets, len(self.merge_buckets)) < 1:
-            raise ValueError("window_size, max_distance, buckets and merge_buckets must be positive")
+        if self.window_size < 0 or self.max_distance < 1 or min(self.buckets, self.side_buckets) < 1:
+            raise ValueError("window_size, max_distance, buckets and side_buckets must be positive")
         if self.cluster_mode not in ("two_level", "exact"):
             raise ValueError(f"unknown cluster_mode {self.cluster_mode!r}")
         if self.entity_tags[0] == self.entity_tags[1] or not all(re.fullmatch("[A-Z]+", t) for t in self.entity_tags):

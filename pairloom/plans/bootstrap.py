@@ -68,8 +68,8 @@ class Round:
     def matches(self) -> DataFrame:
         threshold = self.params.degree_of_match_threshold
         index = stage(pattern_index(self.patterns, threshold, self.params), "index")
-        found = match_contexts(self.corpus.contexts, index, threshold, self.params)
-        return stage(found.drop("left_tag"), "matches")
+        found = match_contexts(self.corpus.contexts, self.patterns, index, threshold, self.params)
+        return stage(found, "matches")
 
     @cached_property
     def support(self) -> DataFrame:

@@ -6,16 +6,17 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 ORG, LOC = "ORGANIZATION", "LOCATION"
 
 
 def tokens(sentence):
-    out, last = [], 0
-    for m in re.finditer(r"<([A-Z]+)>(.+?)</([A-Z]+)>", sentence):
-        out += [(w, "") for w in sentence[last : m.start()].split(" ") if w]
-        out.append((m.group(2), m.group(1)))
-        last = m.end()
-    return out + [(w, "") for w in sentence[last:].split(" ") if w]
+    """Splitting at the tagged entities leaves plain text, tag and name in turn."""
+    pieces = re.split(r"<([A-Z]+)>(.+?)</[A-Z]+>", sentence)
+    entities = zip(pieces[2::3], pieces[1::3])
+    plain = [[(w, "") for w in text.split(" ") if w] for text in pieces[::3]]
+    return plain[0] + [t for entity, after in zip(entities, plain[1:]) for t in (entity, *after)]
 
 
 def vector(window):
@@ -84,23 +85,52 @@ def centroid(members):
     return (members[0][0], *parts)
 
 
+class Sums:
+    """Clusters as rows of a matrix of summed weights, one column per part and token."""
+
+    def __init__(self, patterns):
+        names = sorted({(i, t) for p in patterns for i in (1, 2, 3) for t in p[i]})
+        self.column = {name: k for k, name in enumerate(names)}
+        self.part = np.array([i for i, _ in names], int)
+        self.rows, self.tags = np.zeros((0, len(names))), []
+
+    def row(self, pattern):
+        out = np.zeros(len(self.column))
+        for i in (1, 2, 3):
+            for t, w in pattern[i].items():
+                out[self.column[i, t]] = w
+        return out
+
+    def scores(self, pattern, plain):
+        """Similarity with every cluster; 0 for another entity order, negative where it is undefined."""
+        own, total = self.row(pattern), np.zeros(len(self.rows))
+        for i in (1, 2, 3):
+            x, c = own[self.part == i], self.rows[:, self.part == i]
+            squares = (c**2).sum(axis=1) + (0 if plain or i < 3 else (c**2 * (x > 0)).sum(axis=1))
+            filled = c.any(axis=1)
+            product = np.sqrt(squares) * np.linalg.norm(x)
+            total += np.where(filled & x.any(), c @ x / np.where(product > 0, product, 1), np.where(filled == x.any(), 0, -9))
+        return np.where(np.array(self.tags, object) == pattern[0], total / 3, 0.0)
+
+
 def cluster(items, tau=0.4, plain=False, histogram=None):
     """One pass over ``(pattern, size)``; returns ``[(members, size)]``."""
-    clusters = []
+    sums, members, sizes = Sums([p for p, _ in items]), [], []
     for pattern, size in items:
-        best, at = 0.0, None
-        for i, (members, _) in enumerate(clusters):
-            s = similarity(pattern, centroid(members), plain)
-            if s is not None and s > best:
-                best, at = s, i
-        if clusters and histogram is not None:
-            histogram[math.floor(best * 10 + 0.5)] += 1
-        if best > tau:
-            clusters[at][0].append(pattern)
-            clusters[at] = (clusters[at][0], clusters[at][1] + size)
+        scores = sums.scores(pattern, plain)
+        best = max(scores, default=0.0)
+        if len(scores) and histogram is not None:
+            histogram[math.floor(max(best, 0.0) * 10 + 0.5)] += 1
+        if best <= tau:
+            sums.rows, sums.tags = np.vstack([sums.rows, sums.row(pattern)]), [*sums.tags, pattern[0]]
+            members.append([pattern])
+            sizes.append(size)
         else:
-            clusters.append(([pattern], size))
-    return clusters
+            at = int(np.argmax(scores))
+            sums.rows[at] += sums.row(pattern)
+            members[at].append(pattern)
+            sizes[at] += size
+    return list(zip(members, sizes))
 
 
 def extract(texts, seeds, iterations=1, min_size=5, tau=0.4, match=0.6, keep=0.9):

@@ -138,8 +138,8 @@ def known(spark, rendered):
 
 def test_rendered_corpus_goldens(spark, rendered, known):
     assert rendered.count() == 6000 and rendered.select("sentence_id").distinct().count() == 6000
-    # The recorded runs are single passes: one bucket on either level.
-    extraction = bootstrap_relations(rendered, known, Params(iterations=3, buckets=1, merge_buckets=(1,)))
+    # The recorded runs are single passes: one level-1 bucket.
+    extraction = bootstrap_relations(rendered, known, Params(iterations=3, buckets=1, side_buckets=1))
     assert metrics_of(extraction) == [
         (491, 6, 5, 4207, 3009, 10, 10),
         (2541, 6, 6, 4207, 3607, 10, 10),
@@ -165,7 +165,7 @@ def test_rendered_corpus_exact_goldens(rendered, known):
 def test_rendered_corpus_equals_the_sequential_model(rendered, known):
     texts = [r.sentence for r in rendered.orderBy("sentence_id").collect()]
     seeds, metrics, confidences, _ = model.extract(texts, pairs_of(known))
-    extraction = bootstrap_relations(rendered, known, Params(buckets=1, merge_buckets=(1,)))
+    extraction = bootstrap_relations(rendered, known, Params(buckets=1, side_buckets=1))
     assert metrics_of(extraction) == metrics
     assert pairs_of(extraction.relations) == seeds
     got = {(r.org, r.loc): r.confidence for r in extraction.rounds[0].tuples.collect()}

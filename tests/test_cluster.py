@@ -70,7 +70,7 @@ def test_level1_equals_one_sequential_pass(spark, plain):
     """Also shows that the 16 groups are independent: the model runs one ungrouped pass."""
     patterns = random_patterns(random.Random(1), 150)
     expected = model_shapes(model.cluster(expanded(patterns), plain=plain))
-    got = cluster.cluster_patterns(as_frame(spark, patterns), Params(plain_cosine=plain, buckets=1))
+    got = cluster.cluster_patterns(as_frame(spark, patterns), Params(plain_cosine=plain, buckets=1, side_buckets=1))
     rows = got.withColumn("size", F.explode(F.array_repeat("size", F.col("copies").cast("int"))))
     assert frame_shapes(rows) == expected
 
@@ -88,7 +88,7 @@ def test_join_histogram_equals_sequential_passes(spark):
         else:
             for member in members:
                 model.cluster(expanded([member]), histogram=expected)
-    level1 = cluster.cluster_patterns(as_frame(spark, patterns), Params(buckets=1))
+    level1 = cluster.cluster_patterns(as_frame(spark, patterns), Params(buckets=1, side_buckets=1))
     got = {r.bucket: r.n for r in score.join_histogram(level1).collect()}
     assert got == {b: n for b, n in expected.items() if n}
 
@@ -143,24 +143,49 @@ def level2_items(patterns):
     return [(p, w) for p, w in patterns if sum(b for b, v in zip((4, 2, 1), p[1:]) if v) in joinable]
 
 
-def test_level2_equals_one_sequential_pass(spark):
-    patterns = random_patterns(random.Random(5), 150, heaviest=9)
-    joinable = F.col("signature").isin(Params().joinable_signatures())
-    level1 = level2_frame(spark, patterns).where(joinable)
-    got = cluster.merge_centroids(level1, Params(merge_buckets=(1,)))
-    assert frame_shapes(got) == model_shapes(model.cluster(pass_order(level2_items(patterns))))
+def alike(rows):
+    """Clusters that would join a larger one."""
+    clusters = [((r.left_tag, *({x["token"]: x["weight"] for x in r[p]} for p in PARTS)), r["size"]) for r in rows]
+    pairs = ((c, d) for c, n in clusters for d, m in clusters if n < m)
+    return [(c, d) for c, d in pairs if (model.similarity(c, d) or 0.0) > Params().similarity_threshold]
+
+
+def final_sizes(clusters):
+    return sorted((n for _, n in clusters if n > Params().minimal_cluster_size), reverse=True)
 
 
-def test_a_merge_round_is_one_sequential_pass_per_bucket(spark):
-    patterns = random_patterns(random.Random(6), 150, empty=0.05, heaviest=9)
+@pytest.mark.parametrize("words", ["abcdefgh", [f"w{i}" for i in range(40)]])
+def test_no_merged_cluster_would_join_a_larger_one(spark, words):
+    patterns = random_patterns(random.Random(5), 200, words, heaviest=9)
     joinable = F.col("signature").isin(Params().joinable_signatures())
-    level1 = level2_frame(spark, patterns).where(joinable)
-    dealt = defaultdict(list)
-    for r in level1.withColumn("b", cluster._merge_bucket(0, 4)).collect():
-        dealt[r.b].append(((r.left_tag, *({x["token"]: x["weight"] for x in r[p]} for p in PARTS)), r["size"]))
-    assert len(dealt) > 1
-    expected = sum((model_shapes(model.cluster(pass_order(items))) for items in dealt.values()), Counter())
-    assert frame_shapes(cluster.merge_centroids(level1, Params(merge_buckets=(4,)))) == expected
+    got = cluster.merge_centroids(level2_frame(spark, patterns)).where(joinable).collect()
+    assert sum(r["size"] for r in got) == sum(w for _, w in level2_items(patterns))
+    assert len(got) > 1 and not alike(got)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_default_settings_find_what_a_sequential_pass_over_everything_finds(spark, seed):
+    """On contexts of diverse words: both levels at their default settings, against two passes without buckets."""
+    patterns = random_patterns(random.Random(seed), 400, [f"w{i}" for i in range(40)], empty=0.05, heaviest=5)
+    first = [(model.centroid(m), n) for m, n in model.cluster(expanded(patterns))]
+    expected = final_sizes(model.cluster(sorted(first, key=lambda c: -c[1])))
+    level1 = stage(cluster.cluster_patterns(as_frame(spark, patterns)), "level1")
+    got = sorted((r["size"] for r in cluster.final_patterns(level1).collect()), reverse=True)
+    assert abs(len(got) - len(expected)) <= 0.1 * len(expected)
+    assert abs(sum(got) - sum(expected)) <= 0.1 * sum(expected)
+
+
+def test_merging_follows_the_best_leader(spark):
+    """A later cluster moves into the most similar earlier one that stays; one whose alike ones all move waits for the next round."""
+    a = ("ORGANIZATION", {"x": 1.0}, {"y": 1.0}, {})
+    b = ("ORGANIZATION", {"x": 0.5, "u": 0.5}, {"y": 0.5, "v": 0.5}, {})
+    c = ("ORGANIZATION", {"u": 1.0}, {"v": 1.0}, {})
+    apart = ("ORGANIZATION", {"p": 1.0}, {"q": 1.0}, {})
+    rows = cluster.merge_centroids(level2_frame(spark, [(a, 9), (b, 7), (c, 5), (apart, 3)])).collect()
+    merged = model.centroid([a, b])
+    assert model.similarity(b, a) > 0.4 and model.similarity(c, b) > 0.4 and model.similarity(c, a) == 0
+    sizes = [21, 3] if model.similarity(c, merged) > 0.4 else [16, 5, 3]
+    assert sorted((r["size"] for r in rows), reverse=True) == sizes
 
 
 def test_level2_depends_on_rows_and_settings_only(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import model
 from pairloom import Params
 from pairloom.functions.vectors import PARTS, VECTOR
+from pairloom.operators import match
 from pairloom.operators.match import match_contexts, pattern_index, score_contexts
 from pairloom.staging import stage
 from test_cluster import random_patterns
@@ -29,8 +30,8 @@ def test_matches_equal_all_pairs(spark, threshold, plain, words):
     contexts = [p for p, _ in random_patterns(rng, 70, words)]
     patterns = [model.centroid([p] * 2 + [q]) if model.similarity(p, q) else p for (p, _), (q, _) in zip(random_patterns(rng, 40, words), random_patterns(rng, 40, words))]
     params = Params(plain_cosine=plain)
-    index = pattern_index(frame(spark, patterns, "pattern_id"), threshold, params)
-    found = match_contexts(frame(spark, contexts, "c1"), index, threshold, params).collect()
+    table = frame(spark, patterns, "pattern_id")
+    found = match_contexts(frame(spark, contexts, "c1"), table, pattern_index(table, threshold, params), threshold, params).collect()
     got = {(r.c1, r.pattern_id): round(r.similarity, 6) for r in found}
     assert len(got) == len(found)
     expected = {}
@@ -62,9 +63,10 @@ def test_scores_equal_all_pairs(spark, plain):
 
 def test_strict_threshold(spark):
     same = ("LOCATION", {"a": 1.0}, {"b": 1.0}, {})
-    index = pattern_index(frame(spark, [same], "pattern_id"), 2 / 3)
+    table = frame(spark, [same], "pattern_id")
+    index = pattern_index(table, 2 / 3)
     for strict, n in ((False, 1), (True, 0)):
-        assert match_contexts(frame(spark, [same], "c1"), index, 2 / 3, strict=strict).count() == n
+        assert match_contexts(frame(spark, [same], "c1"), table, index, 2 / 3, strict=strict).count() == n
 
 
 def test_unreachable_signatures_are_not_indexed(spark):
@@ -80,10 +82,35 @@ def test_common_tokens_stay_out_of_the_index(spark):
 
 
 def test_a_small_index_is_broadcast_and_each_pair_is_scored_once(spark):
-    patterns = frame(spark, [("LOCATION", {"a": 1.0}, {"b": 1.0}, {"c": 1.0})], "pattern_id")
+    patterns = stage(frame(spark, [("LOCATION", {"a": 1.0}, {"b": 1.0}, {"c": 1.0})], "pattern_id"), "patterns")
     index = stage(pattern_index(patterns, 0.6), "index")
     contexts = stage(patterns.withColumnRenamed("pattern_id", "c1"), "contexts")
-    plan = match_contexts(contexts, index, 0.6)._jdf.queryExecution()
+    plan = match_contexts(contexts, patterns, index, 0.6)._jdf.queryExecution()
     physical = plan.executedPlan().toString()
     assert "BroadcastHashJoin" in physical and "SortMergeJoin" not in physical and "Python" not in physical
     assert plan.optimizedPlan().toString().count("element_at(lc_map") == 1
+
+
+def test_index_rows_grow_with_the_tokens_of_a_pattern(spark):
+    """A pattern of five thousand tokens has a posting for each at most, and is matched."""
+    tokens = {f"w{i:04d}": 1 / 5000 for i in range(5000)}
+    patterns = frame(spark, [("LOCATION", tokens, {"in": 1.0}, {"x": 1.0}), ("LOCATION", {"w0007": 1.0}, {"in": 1.0}, {"y": 1.0})], "pattern_id")
+    index = stage(pattern_index(patterns, 0.4), "index")
+    assert index.count() <= 5005 and all(len(str(r)) < 250 for r in index.limit(20).collect())
+    contexts = frame(spark, [("LOCATION", {"w0007": 0.5, "w4321": 0.5}, {"in": 1.0}, {"x": 1.0})], "c1")
+    found = {r.pattern_id: r.similarity for r in match_contexts(contexts, patterns, index, 0.4).collect()}
+    expected = [model.similarity(("LOCATION", {"w0007": 0.5, "w4321": 0.5}, {"in": 1.0}, {"x": 1.0}), ("LOCATION", t, {"in": 1.0}, r)) for t, r in ((tokens, {"x": 1.0}), ({"w0007": 1.0}, {"y": 1.0}))]
+    assert found == {i: pytest.approx(s) for i, s in enumerate(expected) if s >= 0.4}
+
+
+def test_bounds_settle_pairs_before_vectors_are_joined(spark):
+    """Pairs that share an indexed token but cannot reach the threshold do not get to the vectors."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(12)]
+    contexts = frame(spark, [p for p, _ in random_patterns(rng, 80, words, empty=0)], "c1")
+    patterns = frame(spark, [p for p, _ in random_patterns(rng, 80, words, empty=0)], "pattern_id")
+    index = stage(pattern_index(patterns, 0.6), "index")
+    sharing = match._units(contexts, ["c1"]).join(index, match._MEETING).select("c1", "pattern_id").distinct().count()
+    candidates = match._candidates(contexts, index, 0.6, Params(), ["c1"], "pattern_id").count()
+    matches = match_contexts(contexts, patterns, index, 0.6).count()
+    assert matches <= candidates < 0.9 * sharing
