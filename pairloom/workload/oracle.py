@@ -6,10 +6,11 @@ rows, contexts are compared pair by pair, patterns are numbered by a plain windo
 
 from __future__ import annotations
 
-from pairloom.params import Params
 from pairloom.workload.corpus import SENTENCE_ID, SHAPE_TAG, sentence_expression
 
-_P = Params()
+# The published settings, and the numbers of level-1 buckets.
+_WINDOW_SIZE, _MAX_DISTANCE, _SIMILARITY, _MATCH, _LEAST_SIZE, _CONFIDENCE = 5, 5, 0.4, 0.6, 5, 0.9
+_BUCKETS, _SIDE_BUCKETS = 16, 4
 _ENTITY = "'<([A-Z]+)>(.+?)</([A-Z]+)>'"
 
 
@@ -50,7 +51,9 @@ def _similarity(p: str, c: str) -> str:
 _SIGNATURE = (
     "CASE WHEN len(lc) > 0 THEN 4 ELSE 0 END + CASE WHEN len(mc) > 0 THEN 2 ELSE 0 END + CASE WHEN len(rc) > 0 THEN 1 ELSE 0 END"
 )
-_JOINABLE = ", ".join(str(s) for s in _P.joinable_signatures())
+# Left, middle and right context; the right one scores at most the square root of a half against itself.
+_SELF = {s: ((s >> 2 & 1) + (s >> 1 & 1) + (s & 1) * 0.5**0.5) / 3 for s in range(8)}
+_JOINABLE = ", ".join(str(s) for s in range(8) if _SELF[s] > _SIMILARITY)
 
 CTES = {
     "sentences": f"""
@@ -87,15 +90,15 @@ CTES = {
     "pairs": f"""
         SELECT o.sentence_id, o.pos AS a, l.pos AS b, o.text AS org, l.text AS loc,
                CASE WHEN o.pos < l.pos THEN 'ORGANIZATION' ELSE 'LOCATION' END AS left_tag
-        FROM tokens o JOIN tokens l ON o.sentence_id = l.sentence_id AND abs(o.pos - l.pos) <= {_P.max_distance}
+        FROM tokens o JOIN tokens l ON o.sentence_id = l.sentence_id AND abs(o.pos - l.pos) <= {_MAX_DISTANCE}
         WHERE o.tag = 'ORGANIZATION' AND l.tag = 'LOCATION'""",
     "texts": "SELECT sentence_id, list(text ORDER BY pos) AS t FROM tokens GROUP BY sentence_id",
     "org_counts": "SELECT sentence_id, org, count(*) AS occurrences FROM org_rows GROUP BY sentence_id, org",
     "windows": f"""
         SELECT p.*, coalesce(occurrences, 0) AS occurrences,
-               t[greatest(least(a, b) - {_P.window_size}, 0) + 1 : least(a, b)] AS lw,
+               t[greatest(least(a, b) - {_WINDOW_SIZE}, 0) + 1 : least(a, b)] AS lw,
                t[least(a, b) + 2 : greatest(a, b)] AS mw,
-               t[greatest(a, b) + 2 : greatest(a, b) + 1 + {_P.window_size}] AS rw
+               t[greatest(a, b) + 2 : greatest(a, b) + 1 + {_WINDOW_SIZE}] AS rw
         FROM pairs p JOIN texts USING (sentence_id) LEFT JOIN org_counts c ON p.sentence_id = c.sentence_id AND p.org = c.org""",
     "segments": f"""
         SELECT sentence_id, a, b, org, loc, left_tag, occurrences,
@@ -164,24 +167,118 @@ CTES = {
 }
 
 
-def _round(k: int, seeds: str) -> dict[str, str]:
-    """The tables of one round with exact clustering, named with the suffix ``k``."""
+def _added(left: str, right: str, times: str) -> str:
+    """Sum of a vector and ``times`` another."""
+    both = f"list_concat({left}, list_transform({right}, lambda z: {{'token': z.token, 'weight': z.weight * {times}}}))"
+    return _summed(both)
+
+
+def _summed(parts: str) -> str:
+    """The key-wise sum of the items of a list."""
+    total = f"list_sum(list_transform(list_filter({parts}, lambda y: y.token = t), lambda y: y.weight))"
+    return f"list_transform(list_sort(list_distinct(list_transform({parts}, lambda z: z.token))), lambda t: {{'token': t, 'weight': {total}}})"
+
+
+def _scaled(vector: str) -> str:
+    return f"list_transform({vector}, lambda z: {{'token': z.token, 'weight': z.weight / list_sum(list_transform({vector}, lambda y: y.weight))}})"
+
+
+def _score(p: str, c: str) -> str:
+    """Similarity of contexts with the same tag and signature."""
+    return "(" + " + ".join(_part(f"{p}.{v}", f"{c}.{v}", v == "rc") for v in ("lc", "mc", "rc")) + ") / 3"
+
+
+def _dealt(buckets: int, *parts: str) -> str:
+    tokens = " || '|' || ".join(f"array_to_string(list_transform({p}, lambda z: z.token), ' ')" for p in parts)
+    return f"CAST('0x' || substr(md5({tokens}), 1, 8) AS BIGINT) % {buckets}"
+
+
+_VECTOR = "STRUCT(token VARCHAR, weight DOUBLE)[]"
+_CLUSTER = f"STRUCT(lc {_VECTOR}, mc {_VECTOR}, rc {_VECTOR}, size BIGINT)"
+
+
+def _two_levels(k: str) -> dict[str, str]:
+    """The clusters of the raw patterns of a round: one pass over each bucket, a step per distinct context, then rounds of merges."""
+    grown = "{" + ", ".join(f"'{v}': {_added(f'c.{v}', f'i.{v}', 'i.weight')}" for v in ("lc", "mc", "rc")) + ", 'size': c.size + i.weight}"
+    times = lambda v: f"list_transform(i.{v}, lambda z: {{'token': z.token, 'weight': z.weight * i.weight}})"
+    opened = "{" + ", ".join(f"'{v}': {times(v)}" for v in ("lc", "mc", "rc")) + ", 'size': i.weight}"
+    group = "left_tag, signature, bucket"
+    return {
+        f"items{k}": f"""
+            SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY weight DESC, lc, mc, rc) AS turn FROM (
+                SELECT *, {_SIGNATURE} AS signature,
+                       {_dealt(_BUCKETS, 'mc')} * {_SIDE_BUCKETS} + {_dealt(_SIDE_BUCKETS, 'lc', 'rc')} AS bucket FROM raw{k})
+            WHERE signature IN ({_JOINABLE})""",
+        f"pass{k}": f"""
+            SELECT DISTINCT {group}, CAST(0 AS BIGINT) AS turn, CAST([] AS {_CLUSTER}[]) AS clusters,
+                   CAST(NULL AS DOUBLE) AS best, CAST(NULL AS BIGINT) AS place, CAST([] AS {_CLUSTER}[]) AS before FROM items{k}
+            UNION ALL
+            SELECT {group}, turn,
+                   CASE WHEN best > {_SIMILARITY} THEN list_transform(clusters, lambda c, j: CASE WHEN j = place THEN {grown} ELSE c END)
+                        ELSE list_append(clusters, {opened}) END AS clusters,
+                   best, place, clusters AS before
+            FROM (SELECT *, list_max(scores) AS best, CAST(list_position(scores, list_max(scores)) AS BIGINT) AS place FROM (
+                SELECT item.left_tag, item.signature, item.bucket, item.turn, p.clusters, list_transform(p.clusters, lambda c: {_score('item', 'c')}) AS scores,
+                       {{'lc': item.lc, 'mc': item.mc, 'rc': item.rc, 'weight': item.weight}} AS i
+                FROM pass{k} p JOIN items{k} item
+                    ON p.left_tag = item.left_tag AND p.signature = item.signature AND p.bucket = item.bucket AND item.turn = p.turn + 1) q)""",
+        f"centroid{k}": f"""
+            SELECT left_tag, signature, {', '.join(f"{_scaled(f'c.{v}')} AS {v}" for v in ('lc', 'mc', 'rc'))}, c.size AS size, CAST(1 AS BIGINT) AS copies FROM (
+                SELECT {group}, unnest(arg_max(clusters, turn)) AS c FROM pass{k} GROUP BY {group})
+            UNION ALL
+            SELECT left_tag, signature, lc, mc, rc, 1, weight FROM (SELECT *, {_SIGNATURE} AS signature FROM raw{k})
+            WHERE signature NOT IN ({_JOINABLE})""",
+        f"merge{k}": f"""
+            SELECT CAST(0 AS BIGINT) AS turn, row_number() OVER (ORDER BY size DESC, left_tag, lc, mc, rc) AS id,
+                   left_tag, signature, lc, mc, rc, CAST(size AS BIGINT) AS size
+            FROM centroid{k} WHERE signature IN ({_JOINABLE})
+            UNION ALL (
+            WITH links AS (
+                SELECT * FROM (
+                    SELECT p.id AS later, c.id AS earlier, c.size AS earlier_size, {_score('p', 'c')} AS s
+                    FROM merge{k} p JOIN merge{k} c ON p.left_tag = c.left_tag AND p.signature = c.signature
+                        AND (c.size > p.size OR (c.size = p.size AND c.id < p.id)))
+                WHERE s > {_SIMILARITY}),
+            moves AS (
+                SELECT later, earlier FROM (
+                    SELECT *, row_number() OVER (PARTITION BY later ORDER BY s DESC, earlier_size DESC, earlier) AS place
+                    FROM links WHERE earlier NOT IN (SELECT later FROM links)) WHERE place = 1)
+            SELECT any_value(turn) + 1, id, any_value(left_tag), any_value(signature),
+                   {', '.join(_summed(f'flatten(list({v}))') for v in ('lc', 'mc', 'rc'))}, CAST(sum(size) AS BIGINT)
+            FROM (SELECT turn, coalesce(earlier, id) AS id, left_tag, signature, lc, mc, rc, size FROM merge{k} LEFT JOIN moves ON later = id)
+            WHERE (SELECT count(*) FROM moves) > 0 GROUP BY id)""",
+        f"patterns{k}": f"""
+            SELECT CAST(row_number() OVER (ORDER BY size DESC, left_tag, lc, mc, rc) - 1 AS INTEGER) AS pattern_id, * FROM (
+                SELECT left_tag, signature, {', '.join(f"{_scaled(v)} AS {v}" for v in ('lc', 'mc', 'rc'))}, size
+                FROM merge{k} WHERE turn = (SELECT max(turn) FROM merge{k}) AND size > {_LEAST_SIZE})""",
+    }
+
+
+def _exact(k: str) -> dict[str, str]:
+    """Clusters of equal contexts only."""
     return {
-        f"raw{k}": f"""
-            SELECT left_tag, lc, mc, rc, CAST(sum(weight) AS BIGINT) AS weight FROM (
-                SELECT left_tag, weight, {_vector('lw')} AS lc, {_vector('mw')} AS mc, {_vector('rw')} AS rc
-                FROM mentions JOIN {seeds} USING (org, loc) WHERE weight > 0) GROUP BY ALL""",
         f"level{k}": f"""
             SELECT *, CASE WHEN signature IN ({_JOINABLE}) THEN weight ELSE 1 END AS size,
                    CASE WHEN signature IN ({_JOINABLE}) THEN 1 ELSE weight END AS copies
             FROM (SELECT *, {_SIGNATURE} AS signature FROM raw{k})""",
         f"patterns{k}": f"""
             SELECT CAST(row_number() OVER (ORDER BY size DESC, left_tag, lc, mc, rc) - 1 AS INTEGER) AS pattern_id, *
-            FROM level{k} WHERE size > {_P.minimal_cluster_size}""",
+            FROM level{k} WHERE size > {_LEAST_SIZE}""",
+    }
+
+
+def _round(k: str, seeds: str, two_levels: bool = False) -> dict[str, str]:
+    """The tables of one round, named with the suffix ``k``."""
+    return {
+        f"raw{k}": f"""
+            SELECT left_tag, lc, mc, rc, CAST(sum(weight) AS BIGINT) AS weight FROM (
+                SELECT left_tag, weight, {_vector('lw')} AS lc, {_vector('mw')} AS mc, {_vector('rw')} AS rc
+                FROM mentions JOIN {seeds} USING (org, loc) WHERE weight > 0) GROUP BY ALL""",
+        **(_two_levels(k) if two_levels else _exact(k)),
         f"scores{k}": f"""
             SELECT c.left_tag, c.lw, c.mw, c.rw, pattern_id, {_similarity('c', 'p')} AS similarity
             FROM contexts c JOIN patterns{k} p ON c.left_tag = p.left_tag AND c.signature = p.signature""",
-        f"matches{k}": f"SELECT * FROM scores{k} WHERE similarity >= {_P.degree_of_match_threshold}",
+        f"matches{k}": f"SELECT * FROM scores{k} WHERE similarity >= {_MATCH}",
         f"matched{k}": f"""
             SELECT m.org, m.loc, m.left_tag, m.lw, m.mw, m.rw, m.n, pattern_id, similarity
             FROM mentions m JOIN matches{k} x ON m.left_tag = x.left_tag AND m.lw = x.lw AND m.mw = x.mw AND m.rw = x.rw""",
@@ -202,7 +299,7 @@ def _round(k: int, seeds: str) -> dict[str, str]:
         f"tuples{k}": f"""
             SELECT org, loc, 1 - product(power(1 - pattern_confidence * similarity, n)) AS confidence, CAST(sum(n) AS BIGINT) AS n
             FROM candidates{k} GROUP BY org, loc""",
-        f"kept{k}": f"SELECT * FROM tuples{k} WHERE confidence > {_P.tuple_confidence_threshold}",
+        f"kept{k}": f"SELECT * FROM tuples{k} WHERE confidence > {_CONFIDENCE}",
         f"found{k}": f"""
             SELECT org, loc FROM (
                 SELECT *, row_number() OVER (PARTITION BY org ORDER BY confidence DESC, loc) AS place FROM kept{k}) WHERE place = 1""",
@@ -210,24 +307,28 @@ def _round(k: int, seeds: str) -> dict[str, str]:
     }
 
 
-CTES |= _round(1, "seeds") | _round(2, "merged1")
+CTES |= _round("1", "seeds") | _round("2", "merged1")
+CTES |= _round("3", "seeds", two_levels=True) | _round("4", "merged3", two_levels=True)
 
 
 def _with(select: str) -> str:
     """``select`` with just the tables it needs, each defined once and computed once."""
     needed: dict[str, None] = {}
 
-    def visit(sql: str) -> None:
+    def visit(sql: str, of: str = "") -> None:
         words = set(sql.replace("(", " ").replace(")", " ").replace(",", " ").split())
         for name, body in CTES.items():
-            if name in words and name not in needed:
-                visit(body)
+            if name in words and name not in needed and name != of:
+                visit(body, name)
                 needed.setdefault(name)
 
     visit(select)
     if not needed:
         return select
-    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({CTES[name]})" for name in needed) + f"\n{select}"
+    # Tables that grow from themselves cannot be marked as computed once.
+    own = {name: f"FROM {name} " in CTES[name] for name in needed}
+    kept = ",\n".join(f"{name} AS {'' if own[name] else 'MATERIALIZED '}({CTES[name]})" for name in needed)
+    return f"WITH {'RECURSIVE ' if any(own.values()) else ''}{kept}\n{select}"
 
 
 _BUCKET = "CAST(floor(coalesce({}, 0.0) * 10 + 0.5) AS INTEGER)"
@@ -237,6 +338,11 @@ _EACH_PART = " UNION ALL ".join(
     f"SELECT sentence_id, a, b, '{v}' AS part, unnest({v}) AS x FROM segments" for v in ("lc", "mc", "rc")
 )
 
+_COPIES = _score(
+    "i", "list_transform([{c}], lambda q: {{" + ", ".join(f"'{v}': {_added(f'q.{v}', f'i.{v}', 'j')}".replace("{", "{{").replace("}", "}}") for v in ("lc", "mc", "rc")) + "}})[1]"
+)
+_ALONE = _score("i", "i")
+
 _SELECTS = {
     "scan_union": "SELECT line FROM document_lines UNION ALL SELECT line FROM conversation_lines",
     "parse_articles": """SELECT "index", text FROM articles""",
@@ -285,6 +391,27 @@ _SELECTS = {
                round({_similarity('s', 'k')}, 6) AS similarity
         FROM (SELECT DISTINCT loc, left_tag, lc, mc, rc FROM segments) s JOIN centers k ON s.loc = k.loc""",
     "exact_pattern_clusters": f"SELECT left_tag, {_VECTORS}, size, copies FROM level1",
+    "pattern_clusters": f"SELECT left_tag, {_VECTORS}, size, copies FROM centroid3",
+    "final_patterns": f"SELECT pattern_id, left_tag, {_VECTORS}, size FROM patterns3",
+    "bootstrap_relations": "SELECT org, loc FROM merged4",
+    "iteration_metrics": " UNION ALL ".join(
+        f"""SELECT {i} AS iteration, (SELECT CAST(coalesce(sum(weight), 0) AS BIGINT) FROM raw{k} ) AS raw_patterns,
+               (SELECT CAST(coalesce(sum(copies), 0) AS BIGINT) FROM centroid{k} ) AS centroids, (SELECT count(*) FROM patterns{k} ) AS final_patterns,
+               (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM mentions ) AS text_segments, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM tuples{k} ) AS candidates,
+               (SELECT count(*) FROM found{k} ) AS new_seeds, (SELECT count(*) FROM merged{k} ) AS total_seeds"""
+        for i, k in ((1, "3"), (2, "4"))
+    ),
+    # The first copy of a context meets the clusters before it, every further copy the cluster that the one before it is in.
+    "hist_cluster_similarity": f"""
+        SELECT CAST(floor(s * 10 + 0.5) AS INTEGER) AS bucket, count(*) AS n FROM (
+            SELECT unnest(CASE WHEN best > {_SIMILARITY} THEN list_transform(range(weight), lambda j: {_COPIES.format(c='before[place]', j='j')})
+                WHEN len(before) = 0 THEN list_transform(range(1, weight), lambda j: {_ALONE})
+                ELSE list_prepend(greatest(best, 0), list_transform(range(1, weight), lambda j: {_ALONE})) END) AS s
+            FROM pass3 p JOIN items3 i ON p.left_tag = i.left_tag AND p.signature = i.signature AND p.bucket = i.bucket AND p.turn = i.turn
+            UNION ALL
+            SELECT CASE signature {' '.join(f'WHEN {s} THEN CAST({v} AS DOUBLE)' for s, v in _SELF.items())} END
+            FROM (SELECT signature, unnest(range(1, copies)) AS j FROM centroid3 WHERE signature NOT IN ({_JOINABLE}) ))
+        GROUP BY 1""",
     "pattern_matches": f"SELECT org, loc, left_tag, {_WINDOWS}, n, pattern_id, round(similarity, 6) AS similarity FROM matched1",
     "match_seed_join": """
         SELECT m.org, m.loc, s.loc AS seed_loc, pattern_id, CAST(sum(n) AS BIGINT) AS n
