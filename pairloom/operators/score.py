@@ -45,6 +45,12 @@ def label_contexts(mentioned: DataFrame, seeds: DataFrame) -> DataFrame:
     )
 
 
+def added_labels(before: DataFrame, change: DataFrame) -> DataFrame:
+    """Labels with those of changed seeds added."""
+    sums = [F.sum(c).alias(c) for c in ("positives", "negatives")]
+    return before.unionByName(change).groupBy(*CONTEXT_KEY).agg(*sums).where("positives + negatives > 0")
+
+
 def pattern_support(matches: DataFrame, labels: DataFrame) -> DataFrame:
     """``(pattern_id, positives, negatives)``; patterns without a known organization drop out."""
     return (

@@ -139,14 +139,31 @@ def distinct_contexts(mentioned: DataFrame) -> DataFrame:
 
 
 def seed_counts(seeds: DataFrame) -> DataFrame:
-    """Seeds as ``(org, loc, copies)``: duplicate seeds multiply the joins they take part in."""
+    """Seeds as ``(org, loc, copies)``: duplicate seeds multiply the joins they take part in. Counted ones stay as they are."""
+    if "copies" in seeds.columns:
+        return seeds
     return seeds.groupBy("org", "loc").agg(F.count(F.lit(1)).alias("copies"))
 
 
+def seed_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(org, loc, copies)``: how many more times a pair is in ``after``; pairs that are as often in both are left out."""
+    taken = seed_counts(before).withColumn("copies", -F.col("copies"))
+    both = seed_counts(after).unionByName(taken).groupBy("org", "loc").agg(F.sum("copies").alias("copies"))
+    return both.where(F.col("copies") != 0)
+
+
+def added_patterns(before: DataFrame, change: DataFrame) -> DataFrame:
+    """Raw patterns with those of changed seeds added."""
+    both = before.unionByName(change).groupBy("left_tag", "lc", "mc", "rc").agg(F.sum("weight").alias("weight"))
+    return both.where(F.col("weight") > 0)
+
+
 def raw_patterns(mentioned: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(left_tag, lc, mc, rc, weight)``: contexts of the seed pairs, one row per distinct context.
 
-    ``weight`` is the number of raw patterns with that context.
+    ``weight`` is the number of raw patterns with that context. Seeds may come
+    counted, also with the negative counts of :func:`seed_changes`; weights then
+    add up to those of the seeds after the changes.
     """
     found = (
         mentioned.where(F.col("weight") > 0)

@@ -6,12 +6,14 @@ import time
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.vectors import PARTS
 from pairloom.operators.cluster import cluster_patterns, final_patterns
 from pairloom.operators.match import match_contexts, pattern_index, score_contexts
 from pairloom.operators.score import (
+    added_labels,
     best_pattern,
     candidate_tuples,
     histogram,
@@ -24,9 +26,9 @@ from pairloom.operators.score import (
     pattern_support,
     tuple_confidence,
 )
-from pairloom.operators.segments import distinct_contexts, mentions, raw_patterns
+from pairloom.operators.segments import added_patterns, distinct_contexts, mentions, raw_patterns, seed_changes
 from pairloom.params import Params
-from pairloom.staging import stage
+from pairloom.staging import measured_stage, stage
 
 METRICS = ["raw_patterns", "centroids", "final_patterns", "text_segments", "candidates", "new_seeds", "total_seeds"]
 METRICS_SCHEMA = "iteration INT, " + ", ".join(f"{m} BIGINT" for m in METRICS) + ", seconds DOUBLE"
@@ -38,42 +40,74 @@ class Corpus:
 
     mentions: DataFrame
     contexts: DataFrame
+    segments: int
 
 
 def prepare_mentions(sentences: DataFrame, params: Params = Params()) -> Corpus:
     """Tokenize and cut contexts once: the counted segments and their distinct contexts, both written."""
-    mentioned = stage(mentions(sentences, params), "mentions")
-    return Corpus(mentioned, stage(distinct_contexts(mentioned), "contexts"))
+    mentioned, sums = measured_stage(mentions(sentences, params), "mentions", segments=F.col("n"))
+    return Corpus(mentioned, stage(distinct_contexts(mentioned), "contexts"), sums["segments"])
 
 
 class Round:
-    """One round from one seed set. Each table is computed, and written, when first asked for."""
+    """One round from one seed set. Each table is computed, and written, when first asked for.
 
-    def __init__(self, corpus: Corpus, seeds: DataFrame, params: Params = Params()) -> None:
-        self.corpus, self.seeds, self.params = corpus, seeds, params
+    A round that follows ``last`` looks up only the pairs that were added (or
+    counted several times before) and the patterns that are new; raw patterns,
+    labels and matches of the others are taken from there. Stage counts are
+    gathered while the tables are written.
+    """
+
+    def __init__(self, corpus: Corpus, seeds: DataFrame, params: Params = Params(), last: Round | None = None) -> None:
+        self.corpus, self.seeds, self.params, self.last = corpus, seeds, params, last
+        self._sums: dict[str, int] = {"text_segments": corpus.segments}
+
+    def _measured(self, df: DataFrame, name: str, **totals: Column) -> DataFrame:
+        written, sums = measured_stage(df, name, **totals)
+        self._sums |= sums
+        return written
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        """The seeds, or what is different from those of the last round."""
+        return self.seeds if self.last is None else stage(seed_changes(self.last.seeds, self.seeds), "changes")
 
     @cached_property
     def raw(self) -> DataFrame:
-        return stage(raw_patterns(self.corpus.mentions, self.seeds), "raw")
+        found = raw_patterns(self.corpus.mentions, self.changes)
+        found = found if self.last is None else added_patterns(self.last.raw, found)
+        return self._measured(found, "raw", raw_patterns=F.col("weight"))
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        found = label_contexts(self.corpus.mentions, self.changes)
+        return stage(found if self.last is None else added_labels(self.last.labels, found), "labels")
 
     @cached_property
     def level1(self) -> DataFrame:
-        return stage(cluster_patterns(self.raw, self.params), "level1")
+        return self._measured(cluster_patterns(self.raw, self.params), "level1", centroids=F.col("copies"))
 
     @cached_property
     def patterns(self) -> DataFrame:
-        return final_patterns(self.level1, self.params)
+        return self._measured(final_patterns(self.level1, self.params), "final", final_patterns=F.lit(1))
 
     @cached_property
     def matches(self) -> DataFrame:
         threshold = self.params.degree_of_match_threshold
-        index = stage(pattern_index(self.patterns, threshold, self.params), "index")
-        found = match_contexts(self.corpus.contexts, self.patterns, index, threshold, self.params)
-        return stage(found, "matches")
+        fresh, known = self.patterns, None
+        if self.last is not None:
+            content = ["left_tag", *PARTS]
+            before = self.last.patterns.select(F.col("pattern_id").alias("old_id"), *content)
+            same = stage(self.patterns.join(before, content).select("pattern_id", "old_id"), "same")
+            known = self.last.matches.withColumnRenamed("pattern_id", "old_id").join(same, "old_id")
+            fresh = stage(self.patterns.join(same, "pattern_id", "left_anti"), "fresh")
+        index = stage(pattern_index(fresh, threshold, self.params), "index")
+        found = match_contexts(self.corpus.contexts, fresh, index, threshold, self.params)
+        return stage(found if known is None else found.unionByName(known.select(found.columns)), "matches")
 
     @cached_property
     def support(self) -> DataFrame:
-        return pattern_support(self.matches, label_contexts(self.corpus.mentions, self.seeds))
+        return pattern_support(self.matches, self.labels)
 
     @cached_property
     def confidence(self) -> DataFrame:
@@ -89,15 +123,15 @@ class Round:
 
     @cached_property
     def tuples(self) -> DataFrame:
-        return stage(tuple_confidence(self.candidates), "tuples")
+        return self._measured(tuple_confidence(self.candidates), "tuples", candidates=F.col("n"))
 
     @cached_property
     def found(self) -> DataFrame:
-        return new_seeds(self.tuples, self.params)
+        return self._measured(new_seeds(self.tuples, self.params), "found", new_seeds=F.lit(1))
 
     @cached_property
     def merged(self) -> DataFrame:
-        return stage(merge_seeds(self.seeds, self.found), "seeds")
+        return self._measured(merge_seeds(self.seeds, self.found), "seeds", total_seeds=F.lit(1))
 
     def join_histogram(self) -> DataFrame:
         return join_histogram(self.level1)
@@ -110,22 +144,9 @@ class Round:
         return histogram(self.tuples, "confidence")
 
     def counts(self) -> dict[str, int]:
-        """The stage counts, brought together as one row each."""
-        one = F.count(F.lit(1))
-        measured = {
-            "raw_patterns": self.raw.agg(F.sum("weight").alias("n")),
-            "centroids": self.level1.agg(F.sum("copies").alias("n")),
-            "final_patterns": self.patterns.agg(one.alias("n")),
-            "text_segments": self.corpus.mentions.agg(F.sum("n").alias("n")),
-            "candidates": self.tuples.agg(F.sum("n").alias("n")),
-            "new_seeds": self.found.agg(one.alias("n")),
-            "total_seeds": self.merged.agg(one.alias("n")),
-        }
-        rows = None
-        for name, value in measured.items():
-            row = value.select(F.lit(name).alias("name"), F.coalesce("n", F.lit(0)).alias("n"))
-            rows = row if rows is None else rows.union(row)
-        return {r["name"]: r["n"] for r in rows.collect()}
+        """The stage counts, known once the last table of the round is written."""
+        _ = self.merged
+        return dict(self._sums)
 
 
 @dataclass(frozen=True)
@@ -154,7 +175,7 @@ def bootstrap_relations(sentences: DataFrame, seeds: DataFrame, params: Params =
         before = known.count()
     for iteration in range(1, params.iterations + 1):
         started = time.monotonic()
-        step = Round(corpus, known, params)
+        step = Round(corpus, known, params, rounds[-1] if rounds else None)
         counted = step.counts()
         rounds.append(step)
         rows.append((iteration, *(counted[m] for m in METRICS), time.monotonic() - started))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -57,3 +58,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def measured_stage(df: DataFrame, name: str, **totals: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`stage`, with sums over the rows that are gathered while they are written. A sum over no rows is 0."""
+    observation = Observation()
+    written = stage(df.observe(observation, *(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(k) for k, c in totals.items())), name)
+    return written, observation.get

@@ -239,3 +239,51 @@ def test_shuffle_joins_give_the_same_result(spark, rendered, known):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def shuffled_bytes(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_a_later_round_equals_one_from_scratch(spark, rendered, known):
+    """What a round takes from the last one is what it would find itself, also where pairs stood twice."""
+    corpus_ = prepare_mentions(rendered)
+    params = Params(cluster_mode="exact")
+    first = Round(corpus_, known.union(known.limit(1)), params)
+    after = first.merged
+    delta, scratch = Round(corpus_, after, params, first), Round(corpus_, after, params)
+    assert delta.counts() == scratch.counts()
+    for table in ("raw", "labels", "patterns", "tuples", "merged"):
+        a, b = (sorted(map(str, getattr(r, table).select(sorted(getattr(scratch, table).columns)).collect())) for r in (delta, scratch))
+        assert a == b
+    a, b = ({(r.c1, r.c2, r.pattern_id): round(r.similarity, 9) for r in x.matches.collect()} for x in (delta, scratch))
+    assert a == b
+
+
+def test_a_later_round_shuffles_only_what_is_new(spark, rendered):
+    """Nine of ten organizations are known; the second round adds the tenth."""
+    corpus_ = prepare_mentions(rendered)
+    truth = corpus.supplier_nations(spark, TINY).select("org", "loc").orderBy("org")
+    params = Params(cluster_mode="exact")
+    marks = [shuffled_bytes(spark)]
+    first = Round(corpus_, truth.where(F.col("org") != truth.first().org), params)
+    for step in (lambda: first.raw, lambda: first.labels, lambda: first.matches):
+        step()
+    marks.append(shuffled_bytes(spark))
+    second = Round(corpus_, first.merged, params, first)
+    marks.append(shuffled_bytes(spark))
+    for step in (lambda: second.raw, lambda: second.labels, lambda: second.matches):
+        step()
+    marks.append(shuffled_bytes(spark))
+    print("shuffled", marks)
+    assert 3 * (marks[3] - marks[2]) < marks[1] - marks[0]
+
+
+def test_counts_take_no_job_of_their_own(spark, sentences, seeds):
+    step = Round(prepare_mentions(sentences(*TEXTS)), seeds(*SEEDS))
+    _ = step.merged
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert step.counts()["candidates"] == 13
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
