@@ -16,7 +16,8 @@ Hashes have 64 bits; equal hashes of different shingles, or a band's words too f
 that order and are left to chance.
 
 Defined results: a null, empty or word-less text has an empty set and no links; fewer words than a shingle are one shingle; documents
-of equal keys count as one key with the links of all of them; a null key can link others but is no component id.
+of equal keys count as one key with the links of all of them; a null key can link others but is no component id. Texts of any length
+are taken whole; other columns stay with their rows in first_of_each and are not looked at elsewhere.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pairloom.llm.common import LOWERED, column, mixed, slices, staged, text_bytes, word_hashes, words
+from pairloom.llm.common import LOWERED, column, mixed, slices, staged, text_bytes, unused, word_hashes, words
 from pairloom.llm.components import components
 
 SHINGLE = 5
@@ -246,7 +248,10 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, n, component: for every document the size of its set and the smallest key that it reaches by links."""
+    """key, n, component, class, group: for every document the size of its set and the smallest key that it reaches by links.
+
+    `class` names its set (equal sets have one class) and `group` all that it reaches, also where no key does; null for an empty set.
+    """
     described = staged(describe(docs, id_col, text_col))
     rows = buckets(docs, described, id_col, text_col)
     sets = fetched(docs, rows.select("class").distinct(), id_col, text_col)
@@ -279,18 +284,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     firsts = described.where("n > 0").groupBy("class").agg(F.min("key").alias("first"))
     named = firsts.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     component = named.groupBy("label").agg(F.min("first").alias("component"))
-    by_class = named.where("label != class").join(component, "label").select("class", "component")
-    same = named.where("label = class").join(component, "label").select("class", "component")
-    joined = described.select("key", "n", "class").join(by_class.unionByName(same), "class", "left")
-    return joined.select("key", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
+    found = named.join(component, "label").select("class", "component", F.col("label").alias("group"))
+    joined = described.select("key", "n", "class").join(found, "class", "left")
+    empty = F.col("n") == 0
+    return joined.select("key", "n", F.when(empty, F.col("key")).otherwise(F.col("component")).alias("component"), F.when(~empty, F.col("class")).alias("class"), F.when(~empty, F.col("group")).alias("group"))
+
+
+def _with_class(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """The rows of docs with the class of their sets, null for an empty one."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(place))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_class(s) if len(s) else None for s in sets], pa.int64())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
-def first_of_each(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, with their columns, that are the first of their component.
+def first_of_each(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with its columns, of each group of `found`, which near_duplicates(docs) gave; documents without words all stay.
 
-    A filter of fixed size tells most documents that stay from the rest; only the rest is joined.
+    It is the row of the group's smallest key. Where rows repeat this key, or no row of the group has a key, any one of them stays.
+    Rows of one key that are in different groups are looked at apart. A filter of fixed size tells most rows that stay from the rest;
+    only the rest is joined. Rows of null or repeated keys go a way of their own, by the class of their sets.
     """
-    gone = staged(found.where(F.col("component") != F.col("key")).select("key").distinct())
+    keys = staged(found.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("component")))
+    gone = staged(keys.where("key IS NOT NULL AND (rows > 1 OR component <> key)").select("key", "rows"))
     bits = docs.sparkSession.sparkContext.broadcast(_bits(gone, "key"))
     place = docs.columns.index(id_col)
 
@@ -299,9 +319,20 @@ def first_of_each(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id")
             for batch in batches:
                 keys = batch.column(place).cast(pa.int64())
                 held = _held(bits.value, pa.compute.fill_null(keys, 0).to_numpy()) & np.asarray(pa.compute.is_valid(keys))
-                yield batch.filter(pa.array(held == inside))
+                yield batch.filter(pa.array(held if inside else ~held & np.asarray(pa.compute.is_valid(keys))))
 
         return run
 
-    doubtful = docs.mapInArrow(part(True), docs.schema).join(gone, column(id_col) == gone["key"], "left_anti")
-    return docs.mapInArrow(part(False), docs.schema).unionByName(doubtful)
+    doubtful = docs.mapInArrow(part(True), docs.schema)
+    kept = docs.mapInArrow(part(False), docs.schema).unionByName(doubtful.join(gone, column(id_col) == gone["key"], "left_anti"))
+    if keys.where("rows > 1 OR key IS NULL").first() is None:
+        return kept
+    several = gone.where("rows > 1")
+    odd = docs.where(column(id_col).isNull()).unionByName(docs.join(several, column(id_col) == several["key"], "left_semi"))
+    name, of, first = (unused(docs, x) for x in ("set_class", "set_group", "first_key"))
+    groups = found.where("class IS NOT NULL").select(F.col("class").alias(name), F.col("group").alias(of)).distinct()
+    firsts = found.where("group IS NOT NULL").groupBy(F.col("group").alias(of)).agg(F.min("key").alias(first))
+    odd = _with_class(odd, text_col, name)
+    met = odd.where(column(name).isNotNull()).join(groups, name).join(firsts, of).where(column(first).eqNullSafe(column(id_col)))
+    chosen = met.dropDuplicates([of]).select(*(column(c) for c in docs.columns))
+    return kept.unionByName(chosen).unionByName(odd.where(column(name).isNull()).select(*(column(c) for c in docs.columns)))
