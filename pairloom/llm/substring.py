@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import column, mixed, slices, span_hashes, staged, text_bytes, word_hashes, words
+from pairloom.llm.common import SLICE_BYTES, column, mixed, slices, span_hashes, staged, text_bytes, word_hashes, words
 
 WINDOW, SEED = 13, 5
 #: Rows that a task gathers before it sends what is left of them.
-GATHERED = 1 << 20
+GATHERED = 1 << 18
 #: What is known of a row: nothing, that its anchor is shared, that its windows are repeated.
 OPEN, SHARED, REPEATED = 0, 1, 2
 _ODD = np.random.default_rng(11).integers(1, 2**62, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -182,9 +182,10 @@ def _compressed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
         for batch in batches:
-            texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
-            zipped = pa.array([codec.compress(x, asbytes=True) if x else b"" for x in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("part"), pa.array([len(x) for x in texts], pa.int64()), zipped], ["doc", "part", "size", "zipped"])
+            for piece in slices(batch, "text"):
+                texts = [(x or "").encode() for x in piece.column("text").to_pylist()]
+                zipped = pa.array([codec.compress(x, asbytes=True) if x else b"" for x in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column("doc"), piece.column("part"), pa.array([len(x) for x in texts], pa.int64()), zipped], ["doc", "part", "size", "zipped"])
 
     return docs.select("doc", "part", "text").mapInArrow(run, "doc long, part int, size long, zipped binary")
 
@@ -195,6 +196,18 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield codec.decompress(zipped.as_buffer(), size, asbytes=True) if size else b""
 
 
+def _unzipped(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that have about SLICE_BYTES of text together, as `text`; a longer text is taken alone."""
+    ends = np.cumsum(np.asarray(batch.column("size")))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        piece = batch.slice(start, stop - start)
+        yield piece.append_column("text", pa.array(list(_texts(piece)), pa.binary()))
+        start = stop
+
+
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All items of the lists, and the number of the list that each belongs to."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
@@ -207,8 +220,7 @@ def border_windows(docs: DataFrame, lists: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gathered = []
-            whole = pa.record_batch([batch.column("doc"), batch.column("part"), batch.column("items"), pa.array(_texts(batch), pa.binary())], names=["doc", "part", "items", "text"])
-            for piece in slices(whole, "text"):
+            for piece in _unzipped(batch):
                 h, first = _hashed(piece.column("text"))
                 item, of = _flat(piece.column("items"))
                 start, n, state = unpacked(item)
@@ -280,15 +292,16 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, repeats in zip(_texts(batch), batch.column("repeats").to_pylist(), strict=True):
-                left = text.split()  # at the bytes 9 to 13 and 32
-                n_words.append(len(left))
-                for r in reversed(repeats or ()):
-                    del left[r["start"] : r["start"] + r["length"]]
-                n_removed.append(n_words[-1] - len(left))
-                kept.append(b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), batch.column("repeats")], ["key", "n_words", "n_removed", "kept", "repeats"])
+            for piece in _unzipped(batch):
+                n_words, n_removed, kept = [], [], []
+                for text, repeats in zip(piece.column("text").to_pylist(), piece.column("repeats").to_pylist(), strict=True):
+                    left = text.split()  # at the bytes 9 to 13 and 32
+                    n_words.append(len(left))
+                    for r in reversed(repeats or ()):
+                        del left[r["start"] : r["start"] + r["length"]]
+                    n_removed.append(n_words[-1] - len(left))
+                    kept.append(b" ".join(left).decode())
+                yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), piece.column("repeats")], ["key", "n_words", "n_removed", "kept", "repeats"])
 
     rows = numbered_parts(docs, id_col, text_col)
     repeats = staged(maximal_repeats(rows))
