@@ -84,12 +84,22 @@ def candidate_tuples(mentioned: DataFrame, best: DataFrame, confidence: DataFram
     )
 
 
+# Logarithms are added as whole numbers of this unit, so that their order does not matter.
+_LOG_UNIT = 1 << 40
+
+
 def tuple_confidence(candidates: DataFrame) -> DataFrame:
-    """``(org, loc, confidence, n)``: one minus the product of the misses of all ``n`` occurrences."""
+    """``(org, loc, confidence, n)``: one minus the product of the misses of all ``n`` occurrences.
+
+    The product is a sum of logarithms in fixed point: the same bits whatever
+    the partitions and the order of rows. An occurrence without a miss makes
+    the confidence 1.
+    """
     miss = F.lit(1.0) - F.col("pattern_confidence") * F.col("similarity")
-    return candidates.groupBy("org", "loc").agg(
-        (F.lit(1.0) - F.product(F.pow(miss, F.col("n")))).alias("confidence"), F.sum("n").alias("n")
-    )
+    units = F.round(F.ln(F.when(miss > 0, miss)) * _LOG_UNIT).cast("decimal(19,0)") * F.col("n").cast("decimal(18,0)")
+    total = F.sum(F.coalesce(units, F.lit(0).cast("decimal(37,0)")))
+    product = F.when(F.max(miss <= 0), 0.0).otherwise(F.exp(total.cast("double") / _LOG_UNIT))
+    return candidates.groupBy("org", "loc").agg((F.lit(1.0) - product).alias("confidence"), F.sum("n").alias("n"))
 
 
 def filtered_tuples(confidences: DataFrame, params: Params = Params()) -> DataFrame:

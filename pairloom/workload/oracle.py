@@ -352,7 +352,8 @@ _SELECTS = {
     "split_sentences": """SELECT "index", pos, sentence FROM document_sentences""",
     "tag_entities": "SELECT sentence_id, sentence FROM retagged",
     "tag_words": """
-        SELECT sentence_id, pos, w AS word, coalesce(tag, 'NN') AS tag FROM words LEFT JOIN top_tags ON w = word""",
+        SELECT sentence_id, count(*) AS n_words, string_agg(w || '_' || coalesce(tag, 'NN'), ' ' ORDER BY pos) AS tagged
+        FROM words LEFT JOIN top_tags ON w = word GROUP BY sentence_id""",
     "filter_by_tags": "SELECT sentence_id, sentence FROM filtered",
     "org_sentences": "SELECT sentence_id, org, sentence FROM org_rows",
     "tokenize_tagged": "SELECT sentence_id, pos, text, tag FROM tokens",

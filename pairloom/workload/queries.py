@@ -115,10 +115,17 @@ def tag_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.tag_entities(corpus.plain_sentences(spark, sf_dir), corpus.gazetteer(spark, sf_dir))
 
 
-def tag_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.tag_words(_document_sentences(spark, sf_dir), _lexicon(spark, sf_dir))
 
 
+def tag_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each sentence, with its words and tags in order."""
+    item = F.struct("pos", F.concat_ws("_", "word", "tag").alias("item"))
+    items = F.array_join(F.sort_array(F.collect_list(item))["item"], " ")
+    return _tagged_words(spark, sf_dir).groupBy("sentence_id").agg(F.count(F.lit(1)).alias("n_words"), items.alias("tagged"))
+
+
 def filter_by_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filtered(spark, sf_dir)
 
@@ -193,8 +200,8 @@ def word_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From articles to counts, with the tags of :func:`tag_words`."""
-    return wordstats.word_tag_counts(wordstats.word_tags(wordstats.word_items(tag_words(spark, sf_dir))))
+    """From articles to counts, with the tags of the lexicon."""
+    return wordstats.word_tag_counts(wordstats.word_tags(wordstats.word_items(_tagged_words(spark, sf_dir))))
 
 
 def word_tag_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:

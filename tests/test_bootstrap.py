@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -287,3 +288,19 @@ def test_counts_take_no_job_of_their_own(spark, sentences, seeds):
     before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
     assert step.counts()["candidates"] == 13
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+
+
+def test_tuple_confidence_has_the_same_bits_in_any_order(spark):
+    rng = random.Random(3)
+    rows = [(f"o{i % 5}", "l", rng.random(), rng.random(), rng.randrange(1, 4)) for i in range(3000)]
+    rows += [("sure", "l", 1.0, 1.0, 2), ("sure", "l", 0.5, 0.5, 1), ("none", "l", 0.0, 0.7, 9), ("often", "l", 1e-9, 1.0, 10**12)]
+    found = []
+    for partitions in (1, 7, 200):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "org STRING, loc STRING, pattern_confidence DOUBLE, similarity DOUBLE, n BIGINT").repartition(partitions)
+        found.append({r.org: (r.confidence.hex(), r.n) for r in score.tuple_confidence(df).collect()})
+    assert found[0] == found[1] == found[2]
+    misses = math.prod((1 - c * s) ** n for o, _, c, s, n in rows if o == "o1")
+    assert float.fromhex(found[0]["o1"][0]) == pytest.approx(1 - misses, abs=1e-9)
+    assert [float.fromhex(found[0][o][0]) for o in ("sure", "none")] == [1.0, 0.0]
+    assert float.fromhex(found[0]["often"][0]) == pytest.approx(1.0)
