@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.sources import (
     format_relations,
@@ -81,3 +82,16 @@ def test_large_article_numbers_are_kept(spark):
 
     lines = spark.createDataFrame([("3000000000\ta\tb\tc\ttext",)], "line STRING")
     assert [tuple(r) for r in parse_articles(lines).collect()] == [(3000000000, "text")]
+
+
+def test_a_failing_job_leaves_the_old_output_whole(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "word STRING, n INT")
+    write_table(rows, path)
+    failing = rows.withColumn("n", F.when(F.col("word") == "b", F.raise_error(F.lit("no"))).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="no"):
+        write_table(failing, path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1), ("b", 2)]
+    write_table(rows.where("n = 2"), path + "/")
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("b", 2)]
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
