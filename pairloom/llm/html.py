@@ -11,15 +11,18 @@ that encloses it.
 
 Defined results: a null or empty page has an empty text; on a host with few pages, or a page that does not fit its host's template,
 the page's own `article`, `main` or `body` is the slot; a null url is a host of its own; copies
-of a page (equal text outside of menus and the like) each get their text, but count as one page of their host.
+of a page (equal text outside of menus and the like) each get their text, but count as one page of their host. A tag whose quotes stay
+open ends at the next ``>``; one without any is text. Very long pages are read in one pass, whatever is unclosed or nested in them.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +40,12 @@ LEAST = 0.3
 #: Templates are a row for each host; beyond this many hosts the join is left to a shuffle.
 BROADCAST_HOSTS = 20_000
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<svg\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+(?<=/)>"
-    r"|<(script|style|noscript|template|textarea|select|svg|iframe|object|canvas|annotation|annotation-xml)(?![\w:-])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_TAG_REST = re.compile(r"((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>")
+#: Elements whose content is no text, up to their end tag.
+UNREAD = "script style noscript template textarea select svg iframe object canvas annotation annotation-xml".split()
+_END_TAGS = {name: re.compile(rf"</{name}\s*>", re.I) for name in UNREAD}
+_ZEROS, _LONG_NUMBER = re.compile(r"&#0{8,}"), re.compile(r"&#[1-9]\d{7,}")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements that interrupt a line, that need no end, and that are not part of an article.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -65,100 +67,204 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2].lower()
 
 
+def unescaped(text: str) -> str:
+    """The text without character references; a number of any length is beyond the last character."""
+    if "&" not in text:
+        return text
+    return references.unescape(_LONG_NUMBER.sub("&#1114112", _ZEROS.sub("&#0", text)))
+
+
+class Ends:
+    """Where tags end: at the first ``>`` outside of quotes or, where quotes stay open, at the first ``>``; in one pass over a page."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.table: tuple[list[int], list[int]] | None = None
+
+    def rest(self, at: int) -> tuple[str, int, bool]:
+        """What stands between ``at`` and the end of the tag, where the tag ends, and whether its quotes are closed."""
+        if self.table is None:
+            if found := _TAG_REST.match(self.source, at):
+                return found[1], found.end(), True
+            self.table = self._of_all()  # one broken tag: further ones look theirs up, since each could be searched to the end of the page
+        marks, ends = self.table
+        end = ends[bisect_left(marks, at)]
+        if end >= 0:
+            return self.source[at:end], end + 1, True
+        end = self.source.find(">", at)
+        return self.source[at:end], end + 1, False
+
+    def _of_all(self) -> tuple[list[int], list[int]]:
+        """Positions of ``>`` and quotes, and the end of a tag whose next mark is that one (-1: none), from the last to the first."""
+        marks = [m.start() for m in re.finditer("[>\"']", self.source)]
+        ends = [-1] * (len(marks) + 1)
+        later: dict[str, int] = {}
+        for k in range(len(marks) - 1, -1, -1):
+            kind = self.source[marks[k]]
+            if kind == ">":
+                ends[k] = marks[k]
+            else:
+                closing = later.get(kind)
+                ends[k] = -1 if closing is None else ends[closing + 1]
+                later[kind] = k
+        return marks, ends
+
+
+def markup(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, lower-case name (empty: no element), whether it is an end tag, and attributes of all markup of a page, in order."""
+    ends, at = Ends(source), 0
+    while (start := source.find("<", at)) >= 0:
+        at = start + 1
+        if source.startswith("<!--", start):
+            closing = source.find("-->", start + 4)
+            at = closing + 3 if closing >= 0 else len(source)
+            yield start, at, "", False, ""
+        elif start > ends.last:  # no tag can end here any more
+            if (at := source.find("<!--", start)) < 0:
+                return
+        elif source.startswith(("<!", "<?"), start):
+            at = source.find(">", start) + 1
+            yield start, at, "", False, ""
+        elif found := _NAME.match(source, start + 1):
+            attributes, at, closed = ends.rest(found.end())
+            name = found[2].lower()
+            if not closed:
+                name = ""
+            elif not found[1] and name in _END_TAGS:
+                if not (name == "svg" and attributes.endswith("/")):
+                    closing = _END_TAGS[name].search(source, at)
+                    at = closing.end() if closing else len(source)
+                name = ""
+            yield start, at, name, bool(found[1]), attributes
+
+
 class Page:
-    """Text pieces of a page in order, each with its block, the elements around it, and whether it is outside of any article."""
+    """Text pieces of a page in order, each with its block, the innermost element around it, and whether it is outside of any article.
+
+    Elements know the one around them, so time and memory grow with the page alone, however deep elements nest.
+    """
 
     def __init__(self, source: str):
-        self.pieces: list[tuple[int, str, tuple[int, ...], bool]] = []
-        forms: set[int] = set()
-        around_article: set[int] = set()
+        self.pieces: list[tuple[int, str, int, bool]] = []  # element -1: none, -2: only white space
         self.tags: list[str] = []  # the name with class, id and role, of each element that began
         self.roles: list[str | None] = []  # for elements that can be a slot: the name with the names around it and its number among such
+        self.around: list[int] = []  # the element around each (-1: none), which always began before it
         self.ends: Counter[str] = Counter()
+        forms: set[int] = set()
         paths: list[int] = []
         numbers: Counter[int] = Counter()
-        open_: list[tuple[str, int, bool]] = []
+        open_: list[tuple[str, int, bool]] = []  # name, element, whether it or one around it is outside of articles
+        names: Counter[str] = Counter()
         block, at = 0, 0
-        for m in [*_MARKUP.finditer(source), None]:
-            text = source[at : m.start() if m else len(source)]
+        for start, end, name, is_end, attributes in chain(markup(source), [(len(source), len(source), "", False, "")]):
+            text = source[at:start]
             if text and not text.isspace():
-                self.pieces.append((block, references.unescape(text), tuple(n for _, n, _ in open_), any(x for *_, x in open_)))
+                self.pieces.append((block, unescaped(text), open_[-1][1] if open_ else -1, bool(open_) and open_[-1][2]))
             elif text and self.pieces:
-                self.pieces.append((block, " ", (), True))
-            if m is None:
-                break
-            at = m.end()
-            name = (m[3] or "").lower()
+                self.pieces.append((block, " ", -2, True))
+            at = end
             if not name:
                 continue
             if name not in INLINE:
                 block += 1
-            if m[2]:
+            if is_end:
                 self.ends[name] += 1
-                if any(n == name for n, *_ in open_):
-                    while open_.pop()[0] != name:
-                        pass
-            elif name not in VOID and not m[4].endswith("/"):
-                found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[4])} if m[4] else {}
+                if names[name]:
+                    while True:
+                        last = open_.pop()[0]
+                        names[last] -= 1
+                        if last == name:
+                            break
+            elif name not in VOID and not attributes.endswith("/"):
+                found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
                 outside = name in OUTSIDE and name != "form" or found.get("role", "").lower() in _OUTSIDE_ROLES or any(_OUTSIDE_WORDS.search(found.get(k, "")) for k in ("class", "id"))
                 if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and open_ and open_[-1][0] == name:
-                    open_.pop()
+                    names[open_.pop()[0]] -= 1
+                number, parent, beyond = len(self.tags), open_[-1][1] if open_ else -1, bool(open_) and open_[-1][2]
                 self.tags.append(name + "".join(f" {k}={found[k]}" for k in sorted(found)))
-                paths.append(xxhash.xxh64_intdigest(f"{paths[open_[-1][1]] if open_ else 0} {name}") >> 1)
+                self.around.append(parent)
+                paths.append(xxhash.xxh64_intdigest(f"{paths[parent] if parent >= 0 else 0} {name}") >> 1)
                 role = None
-                if name in SLOTS and not (outside and name not in ("article", "main")) and not any(x for *_, x in open_):
+                if name in SLOTS and not (outside and name not in ("article", "main")) and not beyond:
                     numbers[paths[-1]] += 1
                     role = f"{name} @{paths[-1]} {numbers[paths[-1]]}"
                 self.roles.append(role)
                 if name == "form":
-                    forms.add(len(self.tags) - 1)
-                elif name in ("article", "main"):
-                    around_article.update(n for _, n, _ in open_ if n in forms)
-                open_.append((name, len(self.tags) - 1, outside and name not in ("html", "body", "article", "main")))
+                    forms.add(number)
+                open_.append((name, number, beyond or outside and name not in ("html", "body", "article", "main")))
+                names[name] += 1
 
         if forms:
-            self._forms(forms, around_article)
-
-    def _forms(self, forms: set[int], around_article: set[int]) -> None:
+            self._forms(forms)
+
+    def within(self, elements: set[int]) -> list[bool]:
+        """Of each element, and last of no element (twice), whether it is one of these or inside of one."""
+        inside = [False] * (len(self.tags) + 2)
+        for k, parent in enumerate(self.around):
+            inside[k] = k in elements or parent >= 0 and inside[parent]
+        return inside
+
+    def summed(self, own: list[int]) -> list[int]:
+        """Sums of each element's own number and those of all elements inside of it."""
+        total = own[:]
+        for k in range(len(self.around) - 1, -1, -1):
+            if self.around[k] >= 0:
+                total[self.around[k]] += total[k]
+        return total
+
+    def _own_sizes(self) -> list[int]:
+        own = [0] * len(self.tags)
+        for _, piece, element, outside in self.pieces:
+            if not outside and element >= 0:
+                own[element] += len(piece)
+        return own
+
+    def _forms(self, forms: set[int]) -> None:
         """Forms are outside of articles, except those that enclose one: by its name or, where the page names none, by nearly all the text."""
-        if not any(tag.split(" ", 1)[0] in ("article", "main") for tag in self.tags):
-            sizes = [(len(piece), around) for _, piece, around, outside in self.pieces if not outside and around]
-            around_article = {k for k in forms if sum(n for n, around in sizes if k in around) >= SUPPORT * sum(n for n, _ in sizes)}
-        closed = forms - around_article
-        self.pieces = [(block, piece, around, outside or not closed.isdisjoint(around)) for block, piece, around, outside in self.pieces]
-
-    def text(self, inside: set[int] | None, fixed: frozenset[int] = frozenset()) -> str:
+        named = [int(tag.split(" ", 1)[0] in ("article", "main")) for tag in self.tags]
+        if any(named):
+            held = self.summed(named)
+            around_article = {k for k in forms if held[k]}
+        else:
+            own = self._own_sizes()
+            held, all_ = self.summed(own), sum(own)
+            around_article = {k for k in forms if held[k] >= SUPPORT * all_}
+        closed = self.within(forms - around_article)
+        self.pieces = [(block, piece, element, outside or closed[element]) for block, piece, element, outside in self.pieces]
+
+    def text(self, elements: set[int] | None, fixed: frozenset[int] = frozenset()) -> str:
         """Words of the pieces within one of the elements (None: all), block by block."""
-        blocks: list[str] = []
+        blocks: list[list[str]] = []
+        inside = None if elements is None else self.within(elements)
         last = None
-        for block, piece, around, outside in self.pieces:
-            if piece == " " and not around:
+        for block, piece, element, outside in self.pieces:
+            if piece == " " and element < 0:
                 if blocks and last == block:
-                    blocks[-1] += " "
+                    blocks[-1].append(" ")
                 continue
-            if outside or inside is not None and inside.isdisjoint(around) or fixed and piece_hash(piece) in fixed:
+            if outside or inside is not None and not inside[element] or fixed and piece_hash(piece) in fixed:
                 continue
             if block == last:
-                blocks[-1] += piece
+                blocks[-1].append(piece)
             else:
-                blocks.append(piece)
+                blocks.append([piece])
             last = block
-        return " ".join(filter(None, (" ".join(x.split()) for x in blocks)))
+        return " ".join(filter(None, (" ".join("".join(x).split()) for x in blocks)))
 
     def occurrences(self) -> list[tuple[str, int, int]]:
         """Tokens of the page, with how often they occur and the text that they hold; the token '' stands for the page."""
-        mass: Counter[int] = Counter()
+        mass = self.summed(self._own_sizes())
         pieces: Counter[str] = Counter()
-        for _, piece, around, outside in self.pieces:
-            if not outside:
-                for k in around:
-                    mass[k] += len(piece)
-                if around:
-                    pieces[f"#{piece_hash(piece)}"] += len(piece)
+        counts: Counter[str] = Counter()
+        for _, piece, element, outside in self.pieces:
+            if element >= 0:
+                token = f"#{piece_hash(piece)}"
+                counts[token] += 1
+                pieces[token] += 0 if outside else len(piece)
         by_tag: Counter[str] = Counter()
         for k, tag in enumerate(self.tags):
             by_tag[tag] += mass[k]
-        counts = Counter(f"#{piece_hash(p)}" for _, p, around, _ in self.pieces if around)
         found = [(tag, count, by_tag[tag]) for tag, count in Counter(self.tags).items()]
         found += [(role, 1, mass[k]) for k, role in enumerate(self.roles) if role]
         found += [("/" + name, count, 0) for name, count in self.ends.items()]
@@ -169,8 +275,9 @@ class Page:
         """Elements of the article: those of the template's token, or the page's own where it does not fit the template."""
         found = {k for k, (tag, role) in enumerate(zip(self.tags, self.roles, strict=True)) if token in (tag, role)} if token else set()
         if found and " @" in token:  # one of several alike: a page that has most of its text elsewhere is of another kind
-            sizes = [(len(piece), not found.isdisjoint(around)) for _, piece, around, outside in self.pieces if not outside and piece_hash(piece) not in fixed]
-            if sum(n for n, inside in sizes if inside) < LEAST * sum(n for n, _ in sizes):
+            inside = self.within(found)
+            sizes = [(len(piece), inside[element]) for _, piece, element, outside in self.pieces if not outside and piece_hash(piece) not in fixed]
+            if sum(n for n, held in sizes if held) < LEAST * sum(n for n, _ in sizes):
                 found = set()
         return found or self.own_slot()
 
@@ -197,7 +304,7 @@ def _occurrences(pages: DataFrame) -> DataFrame:
             votes: dict[tuple[str, int], tuple[int, list]] = {}
             for url, source in zip(*(batch.column(c).to_pylist() for c in ("url", "html")), strict=True):
                 host, page = host_of(url), Page(source or "")
-                text = xxhash.xxh64_intdigest("\n".join(" ".join(p.split()) for _, p, around, outside in page.pieces if not outside).encode()) >> 1
+                text = xxhash.xxh64_intdigest("\n".join(" ".join(p.split()) for _, p, _, outside in page.pieces if not outside).encode()) >> 1
                 vote = xxhash.xxh64_intdigest((source or "").encode("utf-8", "surrogatepass")) >> 1
                 if (host, text) not in votes or vote < votes[host, text][0]:
                     votes[host, text] = vote, page.occurrences()

@@ -6,6 +6,7 @@ import inspect
 import pickle
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -253,6 +254,45 @@ def test_markup_that_does_not_swallow_an_article():
     assert text("<div>a story of its own</div><form>your name</form>") == "a story of its own"
 
 
+@pytest.mark.parametrize(
+    "body,expected",
+    [
+        ("<article>a <b title='x>y'>b</b> <i class=\"open>c</i></article>", "a b c"),  # open quotes end at the next >
+        ("<article>a < b <c", "a < b <c"),  # a tag without an end is text
+        ("<article>a<!-- b > c", "a"),
+        ("<article>a<script>b > c", "a"),
+        ("<article>a<!x<p>b", "ab"),  # a declaration ends at the next >
+        ("<article>a <nav><p>b<div>c</nav>d</article>e", "a d"),
+        ("<article>&#" + "9" * 6000 + "; &#" + "0" * 6000 + "65;</article>", "\ufffd A"),
+    ],
+)
+def test_broken_markup(body, expected):
+    found = html.Page(body)
+    assert found.text(found.own_slot()) == expected
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<svg '", "<div>x ", '<a "> " ', "<a<b", "<!", "<!-", "<script", "<form>x", "<b>x</b>", '<div class="', "<p>x<p class='ad'", "</div"])
+def test_long_broken_pages_are_read_in_one_pass(piece):
+    """Ten times the page takes about ten times the time; a pass for each tag would take a hundred times."""
+
+    def seconds(size):
+        begin = time.process_time()
+        found = html.Page("<article>" + piece * (size // len(piece)) + ">")
+        found.occurrences()
+        found.text(found.own_slot())
+        return time.process_time() - begin
+
+    assert seconds(1_000_000) < 40 * max(seconds(100_000), 0.02)
+
+
+def test_pages_with_clashing_columns_and_no_pages(spark):
+    columns = "page_id long, url string, html string, host string, slot string, fixed array<long>, of string, id int, text string"
+    rows = [(i, f"http://a.b/{i}", page(f"<article>story {i}</article>"), "h", "s", [1], "o", 3, "t") for i in (1, 2, 2, None)]
+    got = html.main_texts(spark.createDataFrame(rows, columns))
+    assert got.columns == ["page_id", "url", "text"] and sorted((r["page_id"] or 0, r["text"]) for r in got.collect()) == [(0, "story None"), (1, "story 1"), (2, "story 2"), (2, "story 2")]
+    assert html.main_texts(spark.createDataFrame([], columns)).collect() == []
+
+
 def test_template_goes_before_own_article(spark):
     teasers = lambda i: "".join(f"<article><h3>Teaser {i} {k}</h3></article>" for k in range(1 + i % 3))
     rows = [(i, f"http://t.x/{i}", page(f"<main><article id=post-{i}><p>Send us a letter</p><p>Story {i} is long enough to be the text of a page, which is more than its teasers hold</p></article>{teasers(i)}</main>")) for i in range(12)]
