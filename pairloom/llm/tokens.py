@@ -1,7 +1,7 @@
 """Token ids as Arrow files of equal-length sequences.
 
 Documents are tokenized where they are, dealt out by ranges of their key, and each range becomes one file in Arrow's file format:
-record batches of `BATCH_ROWS` rows, each row a fixed-size list of ids and a fixed-size list of mask bits. Row i of a file is row
+record batches of `BATCH_ROWS` rows, each row a fixed-size list of ids and a fixed-size list of mask bytes (1: a real token). Row i of a file is row
 i % BATCH_ROWS of batch i // BATCH_ROWS, at a fixed place of a memory map: random access without copying. A file is filled without gaps,
 its last sequence is padded and masked. Beside it lies an index file (key, start, length). A task writes files under new names and
 reports them, so a task that runs again leaves nothing that anybody reads.
@@ -118,7 +118,7 @@ class _SequenceFile:
         system, path = _filesystem(self.name)
         system.create_dir(path.rpartition("/")[0], recursive=True)
         size = pa.list_(pa.from_numpy_dtype(kind), length)
-        self.schema = pa.schema([("input_ids", size), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("input_ids", size), ("mask", pa.list_(pa.uint8(), length))])
         self.index_schema = pa.schema([("key", key_type), ("start", pa.int64()), ("length", pa.int64())])
         self.streams = [system.open_output_stream(path), system.open_output_stream(path + ".index")]
         self.data = pa.ipc.new_file(self.streams[0], self.schema)
@@ -145,7 +145,7 @@ class _SequenceFile:
         self.waiting, self.held = [ids[full:]], len(ids) - full
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = pa.array(np.arange(len(ids)) < real)
+        mask = pa.array((np.arange(len(ids)) < real).astype(np.uint8))
         lists = [pa.FixedSizeListArray.from_arrays(x, self.length) for x in (pa.array(np.ascontiguousarray(ids, self.kind)), mask)]
         self.data.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.sequences += len(ids) // self.length
@@ -209,12 +209,12 @@ def open_sequences(file: str) -> pa.ipc.RecordBatchFileReader:
 
 
 def sequence(reader: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids (a view, not a copy) and mask of row i."""
+    """Ids and mask (True: a real token) of row i, both views of the file, not copies."""
     batch = reader.get_batch(i // BATCH_ROWS)
     row = i % BATCH_ROWS
     length = batch.schema.field("input_ids").type.list_size
-    ids = batch.column("input_ids").values.to_numpy(zero_copy_only=True)
-    return ids[row * length : (row + 1) * length], batch.column("mask").values.slice(row * length, length).to_numpy(zero_copy_only=False)
+    ids, mask = (batch.column(c).values.to_numpy(zero_copy_only=True)[row * length : (row + 1) * length] for c in ("input_ids", "mask"))
+    return ids, mask.view(np.bool_)
 
 
 def read_documents(files: DataFrame) -> DataFrame:

@@ -192,9 +192,14 @@ def test_token_files_round_trip(spark):
         reader = tokens.open_sequences(r["file"])
         for i in range(r["n_sequences"]):
             ids, mask = tokens.sequence(reader, i)
-            assert len(ids) == 64
+            assert len(ids) == len(mask) == 64 and mask.dtype == bool
+            assert not ids.flags.owndata and not mask.flags.owndata and not mask.flags.writeable  # views of the file
             rows += ids[mask].tolist()
     assert rows == stream
+    odd = documents(spark, [(5, "b", None), (None, "n", None), (5, "a", None), (None, None, None), (5, "b", None)])
+    files = tokens.write_sequences(odd, common.shared_folder(spark), tokenizer=path("byte_bpe_50k.json"), vocabulary=50_257, end_id=2, length=4)
+    got = [(r["key"], r["start"], r["n_tokens"]) for r in tokens.read_documents(files).orderBy("start").collect()]
+    assert got == [(None, 0, 1), (None, 1, 2), (5, 3, 2), (5, 5, 2), (5, 7, 2)] or got == [(None, 0, 2), (None, 2, 1), (5, 3, 2), (5, 5, 2), (5, 7, 2)]
     empty = tokens.write_sequences(docs.limit(0), common.shared_folder(spark), tokenizer=path("byte_bpe_50k.json"), vocabulary=50_257, end_id=2)
     assert tokens.read_documents(empty).count() == 0
 
