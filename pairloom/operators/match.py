@@ -9,6 +9,11 @@ left out could not reach the threshold together.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,10 @@ from pairloom.functions.vectors import PARTS, SLACK, degree_of_match, lookup, si
 from pairloom.params import Params
 
 _MEETING = ["left_tag", "signature", "feature"]
+_GROUP = ["left_tag", "signature"]
+
+#: About as many contexts and patterns in a block of the product, and copies of a pattern block for tasks to share a group.
+CONTEXT_BLOCK, PATTERN_BLOCK, SHARES = 1024, 256, 16
 
 
 def _units(df: DataFrame, kept: list[str]) -> DataFrame:
@@ -146,3 +155,82 @@ def score_contexts(contexts: DataFrame, patterns: DataFrame, params: Params = Pa
     # The signatures agree, so a part is empty on both sides or on none.
     parts = " + ".join(f"coalesce(try_divide(dot_{p}, sqrt({norm[p]}) * sqrt(p_{p})), 0D)" for p in PARTS)
     return sums.select(*kept, key, F.expr(f"({parts}) / 3").alias("similarity"))
+
+
+def _blocks(df: DataFrame, size: int, groups: DataFrame, *columns: str) -> DataFrame:
+    """``(left_tag, signature, block, rows)``: rows of one group with their columns, dealt by a hash to lists of about ``size``.
+
+    ``groups`` is ``(left_tag, signature, rows_in_all)``, at most 16 rows.
+    """
+    rows = df.withColumn("signature", signature()).join(F.broadcast(groups), _GROUP)
+    block = F.pmod(F.xxhash64(*PARTS), F.ceil(F.col("rows_in_all") / size)).alias("block")
+    return rows.groupBy(*_GROUP, block).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+
+
+def _groups(df: DataFrame) -> DataFrame:
+    return df.select("left_tag", signature().alias("signature")).groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("rows_in_all"))
+
+
+def _entries(rows: pa.StructArray, part: str) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of one part of a block's vectors: how many tokens each has, all tokens and all weights."""
+    lists = rows.field(part)
+    flat = lists.flatten()
+    return pa.compute.list_value_length(lists).to_numpy(), flat.field("token"), flat.field("weight").to_numpy()
+
+
+def _block_similarities(contexts: pa.StructArray, patterns: pa.StructArray, damped: bool) -> np.ndarray:
+    """Similarity of every context (row) of a block with every pattern (column) of another, both of one group.
+
+    A part is empty on all sides or on none. Pattern weights stand in a matrix with a row for each token that the
+    contexts hold, so work grows with the tokens of contexts times patterns, whichever tokens are frequent.
+    """
+    total = np.zeros((len(contexts), len(patterns)))
+    for part in PARTS:
+        sizes, tokens, weights = _entries(contexts, part)
+        if not len(tokens):
+            continue
+        p_sizes, p_tokens, p_weights = _entries(patterns, part)
+        owner = np.repeat(np.arange(len(patterns)), p_sizes)
+        known = tokens.dictionary_encode()
+        row = pa.compute.fill_null(pa.compute.index_in(p_tokens, known.dictionary), -1).to_numpy()
+        matrix = np.zeros((len(known.dictionary), len(patterns)))
+        matrix[row[row >= 0], owner[row >= 0]] = p_weights[row >= 0]
+        at = known.indices.to_numpy()
+        first = np.cumsum(sizes) - sizes
+        dot = np.add.reduceat(weights[:, None] * matrix[at], first)
+        norm = np.bincount(owner, p_weights * p_weights, len(patterns))
+        if part == "rc" and damped:
+            norm = norm + np.add.reduceat(matrix[at] ** 2, first)
+        length = np.add.reduceat(weights * weights, first)
+        total += dot / (np.sqrt(norm) * np.sqrt(length)[:, None])
+    return total / 3
+
+
+def similarity_counts(contexts: DataFrame, patterns: DataFrame, params: Params = Params()) -> DataFrame:
+    """``(bucket, n)``, above bucket 0: how often (by ``n`` of the contexts) contexts and patterns have a similarity of so many tenths.
+
+    A sparse matrix product in blocks: of a group of contexts with the same entity order and the same non-empty parts,
+    blocks of contexts meet blocks of patterns, and a task counts its pairs at once, so no row is made for a pair and a
+    token that every context holds weighs on no single task. Groups without patterns are left out before.
+    """
+    damped = not params.plain_cosine
+    of_patterns = _groups(patterns)
+    of_contexts = _groups(contexts).join(F.broadcast(of_patterns.select(*_GROUP)), _GROUP)
+    share = F.pmod("block", F.lit(SHARES)).alias("share")
+    left = _blocks(contexts, CONTEXT_BLOCK, of_contexts, *PARTS, "n").select(*_GROUP, share, F.col("rows").alias("contexts"))
+    shares = F.explode(F.expr(f"sequence(0L, {SHARES - 1}L)")).alias("share")
+    right = _blocks(patterns, PATTERN_BLOCK, of_patterns, *PARTS).select(*_GROUP, F.col("rows").alias("patterns"), shares)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = np.zeros(11, np.int64)
+            for met, held in zip(batch.column("contexts"), batch.column("patterns")):
+                tenths = np.floor(_block_similarities(met.values, held.values, damped) * 10 + 0.5)
+                times = met.values.field("n").to_numpy()
+                for bucket in range(1, 11):
+                    sums[bucket] += times @ (tenths == bucket).sum(axis=1)
+            found = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(sums[found])], ["bucket", "n"])
+
+    pairs = left.join(right, [*_GROUP, "share"]).select("contexts", "patterns")
+    return pairs.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))

@@ -130,25 +130,19 @@ def join_histogram(level1: DataFrame) -> DataFrame:
     return counted.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
 
 
-def match_histogram(mentioned: DataFrame, scores: DataFrame, patterns: DataFrame) -> DataFrame:
+def match_histogram(mentioned: DataFrame, counts: DataFrame, patterns: DataFrame) -> DataFrame:
     """``(bucket, n)`` over every segment and pattern.
 
-    ``scores`` holds all pairs of at least half a bucket; every other pair is
-    in bucket 0, which is the number of all pairs less the others.
+    ``counts`` is ``(bucket, n)`` of all pairs above bucket 0; every other pair
+    is in bucket 0, which is the number of all pairs less the others.
     """
-    bucket = bucket_of("similarity").alias("bucket")
-    segments = mentioned.groupBy(*CONTEXT_KEY).agg(F.sum("n").alias("n"))
-    tenths = scores.select(*CONTEXT_KEY, bucket).where("bucket > 0").groupBy(*CONTEXT_KEY, "bucket").agg(
-        F.count(F.lit(1)).alias("pairs")
-    )
-    positive = tenths.join(segments, CONTEXT_KEY).groupBy("bucket").agg(F.sum(F.col("n") * F.col("pairs")).alias("n"))
     zero = F.lit(0).cast("bigint")
     all_segments = mentioned.agg(F.sum("n").alias("segments")).select("segments", zero.alias("patterns"), zero.alias("found"))
     count = patterns.agg(F.count(F.lit(1)).alias("patterns")).select(zero.alias("segments"), "patterns", zero.alias("found"))
-    found = positive.agg(F.sum("n").alias("found")).select(zero.alias("segments"), zero.alias("patterns"), "found")
+    found = counts.agg(F.sum("n").alias("found")).select(zero.alias("segments"), zero.alias("patterns"), "found")
     totals = all_segments.union(count).union(found).agg(F.sum("segments"), F.sum("patterns"), F.sum("found")).toDF("s", "p", "f")
     rest = totals.select(
         F.lit(0).alias("bucket"),
         (F.coalesce("s", zero) * F.coalesce("p", zero) - F.coalesce("f", zero)).alias("n"),
     )
-    return positive.unionByName(rest).where(F.col("n") > 0)
+    return counts.unionByName(rest).where(F.col("n") > 0)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import PARTS
 from pairloom.operators.cluster import cluster_patterns, final_patterns
-from pairloom.operators.match import match_contexts, pattern_index, score_contexts
+from pairloom.operators.match import match_contexts, pattern_index, similarity_counts
 from pairloom.operators.score import (
     added_labels,
     best_pattern,
@@ -26,7 +26,7 @@ from pairloom.operators.score import (
     pattern_support,
     tuple_confidence,
 )
-from pairloom.operators.segments import added_patterns, distinct_contexts, mentions, raw_patterns, seed_changes
+from pairloom.operators.segments import CONTEXT_KEY, added_patterns, distinct_contexts, mentions, raw_patterns, seed_changes
 from pairloom.params import Params
 from pairloom.staging import measured_stage, stage
 
@@ -137,8 +137,10 @@ class Round:
         return join_histogram(self.level1)
 
     def match_histogram(self) -> DataFrame:
-        scores = score_contexts(self.corpus.contexts, self.patterns, self.params)
-        return match_histogram(self.corpus.mentions, scores, self.patterns)
+        segments = self.corpus.mentions.groupBy(*CONTEXT_KEY).agg(F.sum("n").alias("n"))
+        contexts = self.corpus.contexts.join(segments, CONTEXT_KEY)
+        counts = stage(similarity_counts(contexts, self.patterns, self.params), "tenths")
+        return match_histogram(self.corpus.mentions, counts, self.patterns)
 
     def tuple_histogram(self) -> DataFrame:
         return histogram(self.tuples, "confidence")

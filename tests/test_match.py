@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ import model
 from pairloom import Params
 from pairloom.functions.vectors import PARTS, VECTOR
 from pairloom.operators import match
-from pairloom.operators.match import match_contexts, pattern_index, score_contexts
+from pairloom.operators.match import match_contexts, pattern_index, score_contexts, similarity_counts
 from pairloom.staging import stage
 from test_cluster import random_patterns
 
@@ -114,3 +116,32 @@ def test_bounds_settle_pairs_before_vectors_are_joined(spark):
     candidates = match._candidates(contexts, index, 0.6, Params(), ["c1"], "pattern_id").count()
     matches = match_contexts(contexts, patterns, index, 0.6).count()
     assert matches <= candidates < 0.9 * sharing
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_histogram_counts_equal_all_pairs(spark, plain, monkeypatch):
+    """Small blocks, so that many meet; contexts stand for several segments each."""
+    monkeypatch.setattr(match, "CONTEXT_BLOCK", 8)
+    monkeypatch.setattr(match, "PATTERN_BLOCK", 5)
+    rng = random.Random(21)
+    contexts = [p for p, _ in random_patterns(rng, 150, "abcdefgh")]
+    patterns = [p for p, _ in random_patterns(rng, 60, "abcdefgh")]
+    weighted = frame(spark, contexts, "c1").withColumn("n", F.col("c1") % 4 + 1)
+    got = {r.bucket: r.n for r in similarity_counts(weighted, frame(spark, patterns, "pattern_id"), Params(plain_cosine=plain)).collect()}
+    expected = Counter()
+    for i, c in enumerate(contexts):
+        for p in patterns:
+            expected[math.floor((model.similarity(c, p, plain) or 0.0) * 10 + 0.5)] += i % 4 + 1
+    del expected[0]
+    assert got == expected
+    nothing = frame(spark, patterns, "pattern_id").limit(0)
+    assert similarity_counts(weighted, nothing).count() == 0 and similarity_counts(weighted.limit(0), frame(spark, patterns, "pattern_id")).count() == 0
+
+
+def test_a_token_in_every_context_weighs_on_no_single_block(spark, monkeypatch):
+    monkeypatch.setattr(match, "CONTEXT_BLOCK", 64)
+    contexts = frame(spark, [("LOCATION", {"the": 1.0}, {"x" + str(i): 1.0, "the": 1.0}, {}) for i in range(4000)], "c1").withColumn("n", F.lit(1))
+    sizes = [len(r.rows) for r in match._blocks(contexts, match.CONTEXT_BLOCK, match._groups(contexts), *match.PARTS, "n").collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+    patterns = frame(spark, [("LOCATION", {"the": 1.0}, {"the": 1.0}, {}) for _ in range(3)], "pattern_id")
+    assert [tuple(r) for r in similarity_counts(contexts, patterns).collect()] == [(6, 12000)]
