@@ -76,8 +76,40 @@ def single_spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, " +", " "))
 
 
-def sentence_list(text: str) -> Column:
-    """Sentences of an article: cut after a run of terminators and its closing brackets."""
+# A word of letters in its brackets and marks, and whether a full stop follows: opening, word, full stop, closing.
+DOTTED = r"^([(\"\['])*([A-Za-z]+(?:[.'-][A-Za-z]+)*)(\.?)[,;:)\]\"']*$"
+_BEFORE_STOP = r"\.([,;:)\]\"']*)$"
+
+
+def spaced_words(text: str) -> Column:
+    """The words of a text between white space."""
+    return F.split(F.regexp_replace(F.translate(text, _EDGE + _INNER, ""), "[ \\t\\n\\r\\f]+", " "), " ")
+
+
+def bare(word: Column) -> Column:
+    """The lower-case word without its marks and last full stop; empty if it is no word of letters."""
+    return F.lower(F.regexp_extract(word, DOTTED, 2))
+
+
+def with_full_stop(word: Column) -> Column:
+    """Whether a full stop follows a word of letters."""
+    return F.regexp_extract(word, DOTTED, 3) == "."
+
+
+def sentence_list(text: str, abbreviations: str | None = None) -> Column:
+    """Sentences of an article: cut after a run of terminators and its closing brackets.
+
+    ``abbreviations`` names a column with those of the article, as :func:`bare` words (NULL: none). Their full stop
+    belongs to the word and ends no sentence, except with the text.
+    """
     clean = F.translate(text, _EDGE, "")
+    if abbreviations:
+        held = F.transform(
+            spaced_words(text),
+            lambda w: F.when(with_full_stop(w) & F.array_contains(abbreviations, bare(w)), F.regexp_replace(w, _BEFORE_STOP, f"{_INNER}$1")).otherwise(w),
+        )
+        clean = F.when(F.col(abbreviations).isNull(), F.translate(text, _EDGE + _INNER, "")).otherwise(F.array_join(held, " "))
     marked = F.regexp_replace(single_spaced(clean), r"((?: [.!?]+)+(?: [)\]])*) ", f"$1{_EDGE}")
+    if abbreviations:
+        marked = F.translate(marked, _INNER, ".")
     return F.filter(F.split(marked, _EDGE), lambda s: s != "")

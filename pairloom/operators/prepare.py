@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.tagged import bind, exploded, sentence_list
+from pairloom.functions.tagged import bare, bind, exploded, sentence_list, spaced_words, with_full_stop
+
+#: How often an abbreviation is before a full stop, and the least score of one.
+OWN_STOP, LEAST_SCORE = 0.99, 0.3
 
 
 def clean_newlines(articles: DataFrame) -> DataFrame:
@@ -16,9 +20,47 @@ def clean_newlines(articles: DataFrame) -> DataFrame:
     return articles.withColumn("text", F.replace("text", F.lit("\\n"), F.lit(" ")))
 
 
-def split_sentences(articles: DataFrame) -> DataFrame:
-    """``(index, text)`` to ``(index, pos, sentence)``, tokens joined by one space."""
-    return exploded(articles, ["index"], sentence_list("text"), "pos", "sentence")
+def learn_abbreviations(articles: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """``(word, n, n_stops, score)``: words whose full stop is their own, learned from the articles alone.
+
+    A word is scored by the likelihood ratio of "nearly always before a full
+    stop" to "before one as often as any word", times e to the minus length,
+    times one more than its inner full stops, over the length to the power of
+    how often no full stop follows (unsupervised collocation, as published for
+    sentence boundaries). Short words that are seen without a full stop hardly
+    ever remain. Words are counted with map-side aggregation; the shuffle
+    carries a row for each distinct word, whatever the text.
+    """
+    words = exploded(articles, [], spaced_words("text"), "w").select(bare(F.col("w")).alias("word"), with_full_stop(F.col("w")).cast("int").alias("stop"))
+    counts = words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("stop").alias("n_stops"))
+    # One row, from the shuffled counts of the words, which Spark computes once for both.
+    share = counts.agg((F.sum("n_stops") / F.sum("n")).alias("share"))
+    k, rest = F.col("n_stops"), F.col("n") - F.col("n_stops")
+    chance = k * F.ln("share") + F.when(rest == 0, 0.0).otherwise(rest * F.ln(1 - F.col("share")))
+    own = k * math.log(OWN_STOP) + rest * math.log(1 - OWN_STOP)
+    length = F.length(F.replace("word", F.lit("."), F.lit("")))
+    inner = F.length("word") - length
+    score = -2 * (chance - own) * F.exp(-length) * (inner + 1) * F.pow(length.cast("double"), -rest)
+    scored = counts.where(k > 0).join(F.broadcast(share)).select("word", "n", "n_stops", score.alias("score"))
+    return scored.where(F.col("score") >= least)
+
+
+def split_sentences(articles: DataFrame, abbreviations: DataFrame | None = None) -> DataFrame:
+    """``(index, text)`` to ``(index, pos, sentence)``, tokens joined by one space.
+
+    With ``abbreviations`` (a column ``word``, as :func:`learn_abbreviations`
+    gives them) their full stops end no sentence and stay with the word. Each
+    article's distinct words before a full stop are looked up, and the list of
+    those found comes back by a 128-bit key of the article.
+    """
+    if abbreviations is None:
+        return exploded(articles, ["index"], sentence_list("text"), "pos", "sentence")
+    identity = [x for c in ("index", "text") for x in (F.col(c).isNull(), F.col(c))]
+    keyed = articles.select("index", "text", F.xxhash64(*identity).alias("k1"), F.xxhash64(F.lit("article"), *identity).alias("k2"))
+    stopped = F.array_distinct(F.transform(F.filter(spaced_words("text"), with_full_stop), bare))
+    found = exploded(keyed, ["k1", "k2"], stopped, "word").join(abbreviations.select("word").distinct(), "word")
+    lists = found.groupBy("k1", "k2").agg(F.collect_set("word").alias("held"))
+    return exploded(keyed.join(lists, ["k1", "k2"], "left"), ["index"], sentence_list("text", "held"), "pos", "sentence")
 
 
 def _grams(tokens: str, length: int, no_row: str) -> str:
@@ -128,6 +170,6 @@ def tag_words(sentences: DataFrame, lexicon: DataFrame, default_tag: str = "NN")
     )
 
 
-def prepare_corpus(articles: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def prepare_corpus(articles: DataFrame, gazetteer: DataFrame, abbreviations: DataFrame | None = None) -> DataFrame:
     """Articles ``(index, text)`` to tagged sentences ``(index, pos, sentence)``."""
-    return tag_entities(split_sentences(clean_newlines(articles)), gazetteer)
+    return tag_entities(split_sentences(clean_newlines(articles), abbreviations), gazetteer)

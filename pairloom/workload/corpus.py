@@ -25,10 +25,16 @@ TEMPLATES = [
     "Rivals <ORGANIZATION>{o}</ORGANIZATION> and <ORGANIZATION>{o}</ORGANIZATION> in <LOCATION>{c}</LOCATION> merged .",
     "Sales of {p} rose in <LOCATION>{c}</LOCATION> .",
 ]
+# Reports with abbreviations, each sentence's last word also elsewhere within one.
+REPORTS = [
+    "Mr. Smith of {o} Inc. met officials in the U.S. on Monday. Sales of {p} came back and rose.",
+    "On Monday sales rose in {n}, Dr. Brown said. Dr. Brown of {o} Inc. said that {p} prices rose on Monday, too.",
+    "Prices, too, were said to fall. {o} Co. shipped {p} to {n} and the U.S. where it could. Officials rose to meet Mr. Smith, who had to fall back.",
+]
 FIELDS = {"{o}": "s_name", "{n}": "sn.n_name", "{c}": "cn.n_name", "{p}": "p_name", "{k}": "CAST(l_orderkey AS STRING)"}
 
 
-def sentence_expression() -> str:
+def sentence_expression(templates: list[str] = TEMPLATES) -> str:
     """The rendering as one SQL expression."""
 
     def filled(template: str) -> str:
@@ -37,8 +43,8 @@ def sentence_expression() -> str:
             text = text.replace(field, f"', {column}, '")
         return f"concat({text})"
 
-    cases = " ".join(f"WHEN {i} THEN {filled(t)}" for i, t in enumerate(TEMPLATES))
-    return f"CASE (l_orderkey * 7 + l_linenumber * 3 + l_suppkey) % {len(TEMPLATES)} {cases} END"
+    cases = " ".join(f"WHEN {i} THEN {filled(t)}" for i, t in enumerate(templates))
+    return f"CASE (l_orderkey * 7 + l_linenumber * 3 + l_suppkey) % {len(templates)} {cases} END"
 
 
 SENTENCE_ID = (
@@ -86,6 +92,18 @@ def plain_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged_sentences(spark, sf_dir).withColumn("sentence", strip_tags("sentence"))
 
 
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(line)``: one article with abbreviations per lineitem row, numbered by its order."""
+    text = F.expr(sentence_expression(REPORTS))
+    return (
+        wide_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "nation").alias("sn"), F.col("s_nationkey") == F.col("sn.n_nationkey"))
+        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .select(F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.lit("en"), F.lit("reports"), F.lit(""), text).alias("line"))
+    )
+
+
 def supplier_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(org, loc, region, s_acctbal)``: the true relation."""
     return (
@@ -109,6 +127,11 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return organizations.union(locations)
 
 
+def product_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(name, tag)``: suppliers, nations and parts, whose names have two tokens."""
+    return gazetteer(spark, sf_dir).union(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.lit("PRODUCT").alias("tag")))
+
+
 def seed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(line)``: the true relation as tab-separated lines with an extra field."""
     columns = ["org", "loc", F.col("s_acctbal").cast("bigint").cast("string")]

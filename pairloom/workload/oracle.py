@@ -6,12 +6,14 @@ rows, contexts are compared pair by pair, patterns are numbered by a plain windo
 
 from __future__ import annotations
 
-from pairloom.workload.corpus import SENTENCE_ID, SHAPE_TAG, sentence_expression
+from pairloom.workload.corpus import REPORTS, SENTENCE_ID, SHAPE_TAG, sentence_expression
 
 # The published settings, and the numbers of level-1 buckets.
 _WINDOW_SIZE, _MAX_DISTANCE, _SIMILARITY, _MATCH, _LEAST_SIZE, _CONFIDENCE = 5, 5, 0.4, 0.6, 5, 0.9
 _BUCKETS, _SIDE_BUCKETS = 16, 4
 _ENTITY = "'<([A-Z]+)>(.+?)</([A-Z]+)>'"
+# Opening marks, a word of letters, its full stop, closing marks.
+_DOTTED = r"""'^([("\[''])*([A-Za-z]+(?:[.''-][A-Za-z]+)*)(\.?)[,;:)\]"'']*$'"""
 
 
 def _vector(window: str) -> str:
@@ -131,6 +133,22 @@ CTES = {
             SELECT "index", unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM (
                 SELECT "index", list_filter(string_split(regexp_replace(text,
                     '((?: [.!?]+)+(?: [)\\]])*) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM spaced))""",
+    "reports": f"""
+        SELECT row_number() OVER () AS id, CAST(l_orderkey AS BIGINT) AS "index", {sentence_expression(REPORTS)} AS text
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN part ON l_partkey = p_partkey""",
+    "report_words": f"""
+        SELECT *, lower(regexp_extract(w, {_DOTTED}, 2)) AS word, regexp_extract(w, {_DOTTED}, 3) = '.' AS stop FROM (
+            SELECT id, "index", unnest(range(len(ws))) AS place, unnest(ws) AS w FROM (SELECT id, "index", string_split(text, ' ') AS ws FROM reports))""",
+    "report_counts": "SELECT word, count(*) AS n, CAST(sum(CAST(stop AS INTEGER)) AS BIGINT) AS k FROM report_words WHERE word <> '' GROUP BY word",
+    "abbreviated": """
+        SELECT word, n, k AS n_stops, 2 * (k * ln(0.99) + (n - k) * ln(0.01) - k * ln(share) - CASE WHEN n = k THEN 0 ELSE (n - k) * ln(1 - share) END)
+            * exp(-letters) * (length(word) - letters + 1) * pow(letters, k - n) AS score
+        FROM (SELECT *, CAST(length(replace(word, '.', '')) AS DOUBLE) AS letters FROM report_counts WHERE k > 0), (SELECT sum(k) / sum(n) AS share FROM report_counts)""",
+    "report_texts": """
+        SELECT id, "index", string_agg(CASE WHEN stop AND word IN (SELECT word FROM abbreviated WHERE score >= 0.3)
+            THEN regexp_replace(w, '\\.([,;:)\\]"'']*)$', chr(2) || '\\1') ELSE w END, ' ' ORDER BY place) AS text FROM report_words GROUP BY "index", id""",
+    "report_spaced": """
+        SELECT "index", trim(regexp_replace(regexp_replace(text, '([.,:]+)( |\\z)', ' \\1 ', 'g'), ' +', ' ', 'g')) AS text FROM report_texts""",
     "words": """
         SELECT "index" || '-' || pos AS sentence_id, CAST(word_no AS INTEGER) AS pos, w FROM (
             SELECT "index", pos, unnest(range(len(ws))) AS word_no, unnest(ws) AS w
@@ -149,6 +167,8 @@ CTES = {
     "retagged": """
         SELECT sentence_id, string_agg(CASE WHEN tag IS NULL THEN w ELSE '<' || tag || '>' || w || '</' || tag || '>' END, ' ' ORDER BY pos) AS sentence
         FROM plain_tokens LEFT JOIN gazetteer ON w = name GROUP BY sentence_id""",
+    "product_tokens": """
+        SELECT *, lead(w) OVER one AS later, lag(w) OVER one AS before FROM plain_tokens WINDOW one AS (PARTITION BY sentence_id ORDER BY pos)""",
     "clustered": "SELECT *, loc || '|' || left_tag AS cluster_id FROM segments",
     "sums": """
         SELECT cluster_id, part, x.token AS token, sum(x.weight) AS weight FROM (
@@ -350,7 +370,17 @@ _SELECTS = {
     "format_relations": "SELECT '(' || org || ',' || loc || ')' AS line FROM truth",
     "clean_newlines": """SELECT "index", text FROM clean""",
     "split_sentences": """SELECT "index", pos, sentence FROM document_sentences""",
+    "abbreviations": "SELECT word, n, n_stops, round(score, 6) AS score FROM abbreviated WHERE score >= 0.3",
+    "report_sentences": """
+        SELECT "index", CAST(pos AS INTEGER) AS pos, replace(sentence, chr(2), '.') AS sentence FROM (
+            SELECT "index", unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM (
+                SELECT "index", list_filter(string_split(regexp_replace(text, '((?: [.!?]+)+) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM report_spaced))""",
     "tag_entities": "SELECT sentence_id, sentence FROM retagged",
+    "tag_products": """
+        SELECT sentence_id, string_agg(CASE WHEN tag IS NOT NULL THEN '<' || tag || '>' || w || '</' || tag || '>'
+            WHEN w || ' ' || later IN (SELECT p_name FROM part) THEN '<PRODUCT>' || w WHEN before || ' ' || w IN (SELECT p_name FROM part) THEN w || '</PRODUCT>'
+            ELSE w END, ' ' ORDER BY pos) AS sentence
+        FROM product_tokens LEFT JOIN gazetteer ON w = name GROUP BY sentence_id""",
     "tag_words": """
         SELECT sentence_id, count(*) AS n_words, string_agg(w || '_' || coalesce(tag, 'NN'), ' ' ORDER BY pos) AS tagged
         FROM words LEFT JOIN top_tags ON w = word GROUP BY sentence_id""",

@@ -111,6 +111,25 @@ def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.split_sentences(prepare.clean_newlines(_articles(spark, sf_dir)))
 
 
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.clean_newlines(parse_articles(corpus.report_lines(spark, sf_dir)))
+
+
+def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.learn_abbreviations(_reports(spark, sf_dir)).withColumn("score", rounded("score"))
+
+
+def report_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of articles with abbreviations, which are learned from the articles themselves."""
+    articles = _reports(spark, sf_dir)
+    return prepare.split_sentences(articles, stage(prepare.learn_abbreviations(articles), "abbreviations"))
+
+
+def tag_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of one and of two tokens."""
+    return prepare.tag_entities(corpus.plain_sentences(spark, sf_dir), corpus.product_gazetteer(spark, sf_dir))
+
+
 def tag_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.tag_entities(corpus.plain_sentences(spark, sf_dir), corpus.gazetteer(spark, sf_dir))
 
@@ -358,7 +377,10 @@ QUERIES: dict[str, Query] = {
     "format_relations": formatted_relations,
     "clean_newlines": clean_newlines,
     "split_sentences": split_sentences,
+    "abbreviations": abbreviations,
+    "report_sentences": report_sentences,
     "tag_entities": tag_entities,
+    "tag_products": tag_products,
     "tag_words": tag_words,
     "filter_by_tags": filter_by_tags,
     "org_sentences": org_sentences,

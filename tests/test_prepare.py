@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -13,6 +16,64 @@ def split(spark, text):
     return [r.sentence for r in sorted(rows, key=lambda r: r.pos)]
 
 
+def articles(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "index INT, text STRING")
+
+
+def test_abbreviations_belong_to_their_word(spark):
+    held = spark.createDataFrame([("mr",), ("inc",), ("u.s",), ("mr",)], "word STRING")
+    texts = ["Mr. Smith fell. He (Mr. Jones of Acme Inc.) met the U.S., then left.", "No Mr, here. MR. X of Acme Inc.", None, "", "One. Two.", "One. Two."]
+    got = prepare.split_sentences(articles(spark, *texts), held).collect()
+    found = {i: [r.sentence for r in sorted(got, key=lambda r: r.pos) if r["index"] == i] for i in range(6)}
+    assert found[0] == ["Mr. Smith fell .", "He ( Mr. Jones of Acme Inc. ) met the U.S. , then left ."]
+    assert found[1] == ["No Mr , here .", "MR. X of Acme Inc."]
+    assert found[2] == found[3] == [] and found[4] == found[5] == ["One .", "Two ."]
+    repeated = spark.createDataFrame([(7, "Mr. A. Yes."), (7, "Mr. A. Yes."), (None, "Mr. A. Yes.")], "index INT, text STRING")
+    assert sorted((r["index"] or 0, r.pos, r.sentence) for r in prepare.split_sentences(repeated, held).collect()) == [
+        (i, pos, s) for i in (0, 7) for pos, s in ((0, "Mr. A ."), (1, "Yes .")) for _ in range(1 + (i == 7))
+    ]
+
+
+@pytest.mark.parametrize("text", ["No abbreviations here. At all? Yes!", "a\n b\t\tc...", "   ", "Really?! Yes (so it is.) Next."])
+def test_no_abbreviations_change_nothing(spark, text):
+    none = spark.createDataFrame([], "word STRING")
+    other = spark.createDataFrame([("zz",)], "word STRING")
+    for held in (none, other):
+        rows = prepare.split_sentences(articles(spark, text), held).collect()
+        assert [r.sentence for r in sorted(rows, key=lambda r: r.pos)] == split(spark, text)
+
+
+def brute_force_abbreviations(texts):
+    """The published likelihood ratio, word by word."""
+    n, stops = Counter(), Counter()
+    for text in texts:
+        for w in text.split():
+            if m := re.fullmatch(r"[(\"\[']*([A-Za-z]+(?:[.'-][A-Za-z]+)*)(\.?)[,;:)\]\"']*", w):
+                n[m[1].lower()] += 1
+                stops[m[1].lower()] += m[2] == "."
+    share, scores = stops.total() / n.total(), {}
+    for word, k in stops.items():
+        if k:
+            rest, letters = n[word] - k, len(word.replace(".", ""))
+            chance = k * math.log(share) + (rest * math.log(1 - share) if rest else 0)
+            own = k * math.log(0.99) + rest * math.log(0.01)
+            score = -2 * (chance - own) * math.exp(-letters) * (word.count(".") + 1) * letters ** float(-rest)
+            if score >= 0.3:
+                scores[word] = (n[word], k, pytest.approx(score))
+    return scores
+
+
+def test_abbreviations_are_learned(spark):
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("talk", "sell", "rise", "walk") for b in ("ing", "er", "ed", "s")]
+    sentence = lambda: " ".join(rng.choices(words, k=6)).capitalize() + "."
+    texts = [f"Mr. Smith said. {sentence()} In the U.S. they (Acme Inc.) {sentence()} {sentence()} Said he, smith." for _ in range(60)]
+    got = {r.word: (r.n, r.n_stops, r.score) for r in prepare.learn_abbreviations(articles(spark, *texts, None, "")).collect()}
+    assert got == brute_force_abbreviations(texts) and set(got) == {"mr", "inc", "u.s"}
+    assert prepare.learn_abbreviations(articles(spark, "").limit(0)).collect() == []
+    assert prepare.learn_abbreviations(articles(spark, "no stop", "All. Stop. Here.")).where("score IS NULL OR isnan(score)").collect() == []
+
+
 @pytest.mark.parametrize(
     "text,expected",
     [
