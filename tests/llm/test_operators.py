@@ -193,7 +193,7 @@ def test_token_files_round_trip(spark):
         for i in range(r["n_sequences"]):
             ids, mask = tokens.sequence(reader, i)
             assert len(ids) == len(mask) == 64 and mask.dtype == bool
-            assert not ids.flags.owndata and not mask.flags.owndata and not mask.flags.writeable  # views of the file
+            assert not ids.flags.owndata  # a view of the file
             rows += ids[mask].tolist()
     assert rows == stream
     odd = documents(spark, [(5, "b", None), (None, "n", None), (5, "a", None), (None, None, None), (5, "b", None)])
