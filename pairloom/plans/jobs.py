@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.operators import wordstats
-from pairloom.operators.prepare import clean_newlines, prepare_corpus, split_sentences, tag_words
+from pairloom.operators.prepare import clean_newlines, learn_abbreviations, prepare_corpus, split_sentences, tag_words
 from pairloom.params import Params
 from pairloom.plans.bootstrap import Extraction, bootstrap_relations
 from pairloom.sources import parse_articles, parse_seeds, read_lines, rejected_articles, write_relations, write_table
+from pairloom.staging import stage
 
 
 def _numbered(lines: DataFrame, column: str) -> DataFrame:
@@ -24,6 +25,13 @@ def _articles(lines: DataFrame, output: str) -> DataFrame:
     return parse_articles(lines)
 
 
+def _prepared(lines: DataFrame, output: str, gazetteer: DataFrame, abbreviations: bool) -> DataFrame:
+    """Tagged sentences of the articles, whose abbreviations are learned first if wanted."""
+    articles = _articles(lines, output)
+    held = stage(learn_abbreviations(clean_newlines(articles)), "abbreviations") if abbreviations else None
+    return prepare_corpus(articles, gazetteer, held)
+
+
 def extract_relations(
     spark: SparkSession,
     inputs: str | Sequence[str],
@@ -32,26 +40,30 @@ def extract_relations(
     params: Params = Params(),
     gazetteer: DataFrame | None = None,
     format: str = "text",
+    abbreviations: bool = False,
 ) -> Extraction:
     """Read sentences and seeds, run the loop, write the pairs.
 
     ``inputs`` hold one tagged sentence per line or, if a ``gazetteer`` is
-    given, one tab-separated article per line.
+    given, one tab-separated article per line. With ``abbreviations`` those are
+    learned from the articles, and their full stops end no sentence.
     """
     lines = read_lines(spark, inputs)
     if gazetteer is None:
         sentences = _numbered(lines, "line")
     else:
-        sentences = _numbered(prepare_corpus(_articles(lines, output), gazetteer), "sentence")
+        sentences = _numbered(_prepared(lines, output, gazetteer, abbreviations), "sentence")
     extraction = bootstrap_relations(sentences, parse_seeds(read_lines(spark, seeds)), params)
     write_relations(extraction.relations, output, format)
     return extraction
 
 
-def tag_articles(spark: SparkSession, inputs: str | Sequence[str], gazetteer: DataFrame, output: str) -> None:
-    """Tab-separated articles to files with one tagged sentence per line."""
-    articles = _articles(read_lines(spark, inputs), output)
-    write_table(prepare_corpus(articles, gazetteer).select("sentence"), output, format="text")
+def tag_articles(
+    spark: SparkSession, inputs: str | Sequence[str], gazetteer: DataFrame, output: str, abbreviations: bool = False
+) -> None:
+    """Tab-separated articles to files with one tagged sentence per line; ``abbreviations`` as in :func:`extract_relations`."""
+    sentences = _prepared(read_lines(spark, inputs), output, gazetteer, abbreviations)
+    write_table(sentences.select("sentence"), output, format="text")
 
 
 def _tagged_words(lines: DataFrame, lexicon: DataFrame, output: str, default_tag: str) -> DataFrame:

@@ -43,6 +43,21 @@ def test_extraction_from_articles_equals_that_from_tagged_sentences(spark, files
     assert sorted(r.value for r in spark.read.text(out).collect()) == sorted(t + " ." for t in TEXTS)
 
 
+def test_articles_with_abbreviations(spark, files):
+    """An abbreviation between two names no longer separates them."""
+    rows = [f"Shares of Acme Inc. of Rome rose {w} in trade." for w in ("more", "less", "twice", "here", "there")] * 4
+    rows += ["In trade, shares rose.", "Rose, here and there."] * 4
+    (files / "articles.tsv").write_text("".join(f"{i}\t\t\t\t{t}\n" for i, t in enumerate(rows)))
+    gazetteer = spark.createDataFrame([("Acme", "ORGANIZATION"), ("Rome", "LOCATION")], "name STRING, tag STRING")
+    found = []
+    for learned in (False, True):
+        tag_articles(spark, str(files / "articles.tsv"), gazetteer, str(files / "out"), abbreviations=learned)
+        found.append({r.value for r in spark.read.text(str(files / "out")).collect()})
+    assert "Shares of <ORGANIZATION>Acme</ORGANIZATION> Inc ." in found[0]
+    assert "Shares of <ORGANIZATION>Acme</ORGANIZATION> Inc. of <LOCATION>Rome</LOCATION> rose more in trade ." in found[1]
+    assert "In trade , shares rose ." in found[0] & found[1]
+
+
 def test_word_statistics(spark, files):
     (files / "tagged.txt").write_text("a_X a_Y b_X\nb_X\n")
     best, most = str(files / "besttag"), str(files / "mosttags")
