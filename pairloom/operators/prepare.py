@@ -91,19 +91,16 @@ def _leftmost_longest(hits: Column) -> Column:
     )
 
 
-def _render(sentence: Column, hits: Column) -> Column:
-    """The sentence with each hit wrapped in its tag."""
-
-    def opening(i: Column) -> Column:
-        tags = F.transform(F.filter(hits, lambda h: h["start"] == i), lambda h: F.concat(F.lit("<"), h["tag"], F.lit(">")))
-        return F.array_join(tags, "")
-
-    def closing(i: Column) -> Column:
-        ends = F.filter(hits, lambda h: h["start"] - h["minus_length"] - 1 == i)
-        return F.array_join(F.transform(ends, lambda h: F.concat(F.lit("</"), h["tag"], F.lit(">"))), "")
-
-    words = F.transform(F.split(sentence, " "), lambda t, i: F.concat(opening(i), t, closing(i)))
-    return F.when(F.size(hits) == 0, sentence).otherwise(F.array_join(words, " "))
+def _render(sentence: str, hits: str) -> Column:
+    """The sentence with each hit wrapped in its tag: the words up to each hit, the hit, and the words after the last, each taken once."""
+    before = f"get({hits}, i - 1)"
+    done = f"if(i = 0, 0, {before}.start - {before}.minus_length)"
+    name = "array_join(slice(words, h.start + 1, -h.minus_length), ' ')"
+    pieces = f"transform({hits}, (h, i) -> concat(slice(words, {done} + 1, h.start - {done}), array(concat('<', h.tag, '>', {name}, '</', h.tag, '>'))))"
+    last = f"get({hits}, size({hits}) - 1)"
+    rest = f"slice(words, {last}.start - {last}.minus_length + 1, size(words))"
+    whole = bind(f"split({sentence}, ' ')", "words", f"array_join(concat(flatten({pieces}), {rest}), ' ')")
+    return F.expr(f"if(size({hits}) = 0, {sentence}, {whole})")
 
 
 def tag_entities(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -143,7 +140,7 @@ def tag_entities(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
         .select("row", "copies", _leftmost_longest(F.col("found")).alias("hits"))
     )
     tagged = found.select(
-        *(_render(F.col("row.sentence"), F.col("hits")).alias(c) if c == "sentence" else f"row.{c}" for c in columns),
+        *(_render("row.sentence", "hits").alias(c) if c == "sentence" else f"row.{c}" for c in columns),
         "copies",
     )
     copies = F.array_repeat(F.lit(0), F.col("copies"))
