@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.operators import wordstats
+from pairloom.operators import postags, wordstats
+from pairloom.operators.postags import learn_tags
 from pairloom.operators.prepare import clean_newlines, learn_abbreviations, prepare_corpus, split_sentences, tag_words
 from pairloom.params import Params
 from pairloom.plans.bootstrap import Extraction, bootstrap_relations
@@ -79,6 +80,14 @@ def tag_parts_of_speech(
     write_table(words.select("sentence_id.index", F.col("sentence_id.pos").alias("sentence"), "pos", "word", "tag"), output)
 
 
+def tag_in_context(spark: SparkSession, inputs: str | Sequence[str], tagged: str | Sequence[str], output: str) -> None:
+    """Tab-separated articles to ``(index, sentence, pos, word, tag)``, tags by the words around, learned from lines of ``word_TAG`` items."""
+    model = learn_tags(read_lines(spark, tagged).withColumnRenamed("line", "text"))
+    sentences = split_sentences(clean_newlines(_articles(read_lines(spark, inputs), output)))
+    words = postags.tag_in_context(sentences.select(F.struct("index", "pos").alias("sentence_id"), "sentence"), model)
+    write_table(words.select("sentence_id.index", F.col("sentence_id.pos").alias("sentence"), "pos", "word", "tag"), output)
+
+
 def _statistics(items: DataFrame, best_tag: str, most_tags: str, k: int) -> DataFrame:
     pairs = wordstats.word_tags(items)
     write_table(wordstats.word_tag_sorted(wordstats.word_tag_counts(pairs)), best_tag, format="text")

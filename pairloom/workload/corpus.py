@@ -31,7 +31,18 @@ REPORTS = [
     "On Monday sales rose in {n}, Dr. Brown said. Dr. Brown of {o} Inc. said that {p} prices rose on Monday, too.",
     "Prices, too, were said to fall. {o} Co. shipped {p} to {n} and the U.S. where it could. Officials rose to meet Mr. Smith, who had to fall back.",
 ]
-FIELDS = {"{o}": "s_name", "{n}": "sn.n_name", "{c}": "cn.n_name", "{p}": "p_name", "{k}": "CAST(l_orderkey AS STRING)"}
+# Sentences with a tag for each word, some of which depend on their neighbours. {q} is a part, tagged.
+TAGGED = [
+    "Analysts_NNS said_VBD {o}_NNP will_MD plant_VB more_JJR trees_NNS in_IN {n}_NNP ._.",
+    "The_DT plant_NN of_IN {o}_NNP sold_VBD more_JJR {q} units_NNS ._.",
+    "Shares_NNS rose_VBD after_IN the_DT board_NN met_VBD in_IN {n}_NNP ._.",
+    "They_PRP board_VB the_DT rail_NN cars_NNS to_TO {n}_NNP ,_, officials_NNS said_VBD ._.",
+    "A_DT rose_NN by_IN the_DT rail_NN was_VBD sold_VBN ,_, and_CC rivals_NNS will_MD comment_VB ._.",
+    "Yesterday_NN {o}_NNP declined_VBD to_TO comment_VB about_IN {q} imports_NNS ._.",
+    "{o}_NNP imports_VBZ {q} goods_NNS and_CC based_VBD its_PRP$ forecast_NN on_IN sales_NNS ._.",
+    "Units_NNS based_VBN in_IN {n}_NNP will_MD meet_VB again_RB next_JJ week_NN ._.",
+]
+FIELDS = {"{q}": "concat(replace(p_name, ' ', '_JJ '), '_NN')", "{o}": "s_name", "{n}": "sn.n_name", "{c}": "cn.n_name", "{p}": "p_name", "{k}": "CAST(l_orderkey AS STRING)"}
 
 
 def sentence_expression(templates: list[str] = TEMPLATES) -> str:
@@ -92,6 +103,17 @@ def plain_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged_sentences(spark, sf_dir).withColumn("sentence", strip_tags("sentence"))
 
 
+def word_tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(text)``: a sentence of ``word_TAG`` items per lineitem row."""
+    return (
+        wide_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "nation").alias("sn"), F.col("s_nationkey") == F.col("sn.n_nationkey"))
+        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .select(F.expr(sentence_expression(TAGGED)).alias("text"))
+    )
+
+
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(line)``: one article with abbreviations per lineitem row, numbered by its order."""
     text = F.expr(sentence_expression(REPORTS))

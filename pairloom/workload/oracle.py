@@ -6,7 +6,7 @@ rows, contexts are compared pair by pair, patterns are numbered by a plain windo
 
 from __future__ import annotations
 
-from pairloom.workload.corpus import REPORTS, SENTENCE_ID, SHAPE_TAG, sentence_expression
+from pairloom.workload.corpus import REPORTS, SENTENCE_ID, SHAPE_TAG, TAGGED, sentence_expression
 
 # The published settings, and the numbers of level-1 buckets.
 _WINDOW_SIZE, _MAX_DISTANCE, _SIMILARITY, _MATCH, _LEAST_SIZE, _CONFIDENCE = 5, 5, 0.4, 0.6, 5, 0.9
@@ -57,6 +57,9 @@ _SIGNATURE = (
 _SELF = {s: ((s >> 2 & 1) + (s >> 1 & 1) + (s & 1) * 0.5**0.5) / 3 for s in range(8)}
 _JOINABLE = ", ".join(str(s) for s in range(8) if _SELF[s] > _SIMILARITY)
 
+_SHAPE = """CASE WHEN regexp_matches(word, '^[a-z]+$') THEN 'lower-' || right(word, 2) WHEN regexp_matches(word, '^[0-9]+([.,][0-9]+)*$') THEN 'number'
+    WHEN regexp_matches(word, '^[^A-Za-z0-9]+$') THEN 'mark' WHEN regexp_matches(word, '^[A-Z][a-z]+$') THEN 'capital' WHEN regexp_matches(word, '^[A-Z]+$') THEN 'upper' ELSE 'other' END"""
+
 CTES = {
     "sentences": f"""
         SELECT {SENTENCE_ID} AS sentence_id, {sentence_expression()} AS sentence
@@ -149,6 +152,35 @@ CTES = {
             THEN regexp_replace(w, '\\.([,;:)\\]"'']*)$', chr(2) || '\\1') ELSE w END, ' ' ORDER BY place) AS text FROM report_words GROUP BY "index", id""",
     "report_spaced": """
         SELECT "index", trim(regexp_replace(regexp_replace(text, '([.,:]+)( |\\z)', ' \\1 ', 'g'), ' +', ' ', 'g')) AS text FROM report_texts""",
+    "taught": f"""
+        SELECT id, unnest(range(len(xs))) AS pos, regexp_extract(unnest(xs), '^(.+)_([^_]+)$', 1) AS word, regexp_extract(unnest(xs), '^(.+)_([^_]+)$', 2) AS tag FROM (
+            SELECT row_number() OVER () AS id, string_split({sentence_expression(TAGGED)}, ' ') AS xs
+            FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN part ON l_partkey = p_partkey)""",
+    "taught_words": "SELECT word, tag, count(*) AS n FROM taught GROUP BY word, tag",
+    "taught_tags": "SELECT tag, sum(n) AS n, count(*) AS kinds FROM taught_words GROUP BY tag",
+    "taught_steps": """
+        SELECT before, tag, count(*) AS n FROM (
+            SELECT coalesce(lag(tag) OVER (PARTITION BY id ORDER BY pos), '') AS before, tag FROM taught
+            UNION ALL SELECT arg_max(tag, pos), '' FROM taught GROUP BY id)
+        GROUP BY before, tag""",
+    "step_costs": """
+        SELECT before, tag, CAST(round(-ln((n + 1) / (sum(n) OVER (PARTITION BY before) + count(*) OVER (PARTITION BY before))) * 1000000) AS BIGINT) AS cost
+        FROM (SELECT b.tag AS before, t.tag AS tag, coalesce(n, 0) AS n
+              FROM (SELECT tag FROM taught_tags UNION ALL SELECT '') b CROSS JOIN (SELECT tag FROM taught_tags UNION ALL SELECT '') t
+              LEFT JOIN taught_steps s ON s.before = b.tag AND s.tag = t.tag)""",
+    "shaped": f"""
+        SELECT *, CASE WHEN shape LIKE 'lower-%' THEN 'lower' ELSE shape END AS coarse FROM (
+            SELECT DISTINCT word, {_SHAPE} AS shape FROM (SELECT word FROM taught_words UNION SELECT w FROM plain_tokens))""",
+    "new_words": """
+        SELECT shape, tag, CAST(count(*) AS BIGINT) AS m FROM taught_words JOIN shaped USING (word) GROUP BY ALL
+        UNION ALL SELECT coarse, tag, count(*) FROM taught_words JOIN shaped USING (word) WHERE coarse = 'lower' GROUP BY ALL
+        UNION ALL SELECT '', tag, kinds FROM taught_tags""",
+    "word_costs": """
+        SELECT word, tag, CAST(round(-ln(c / (t.n + t.kinds)) * 1000000) AS BIGINT) AS cost FROM (
+            SELECT word, tag, n AS c FROM taught_words UNION ALL
+            SELECT word, tag, m FROM (
+                SELECT word, CASE WHEN shape IN (SELECT shape FROM new_words) THEN shape WHEN coarse IN (SELECT shape FROM new_words) THEN coarse ELSE '' END AS shape
+                FROM shaped WHERE word NOT IN (SELECT word FROM taught_words)) JOIN new_words USING (shape)) JOIN taught_tags t USING (tag)""",
     "words": """
         SELECT "index" || '-' || pos AS sentence_id, CAST(word_no AS INTEGER) AS pos, w FROM (
             SELECT "index", pos, unnest(range(len(ws))) AS word_no, unnest(ws) AS w
@@ -384,6 +416,18 @@ _SELECTS = {
     "tag_words": """
         SELECT sentence_id, count(*) AS n_words, string_agg(w || '_' || coalesce(tag, 'NN'), ' ' ORDER BY pos) AS tagged
         FROM words LEFT JOIN top_tags ON w = word GROUP BY sentence_id""",
+    "tag_costs": "SELECT nullif(before, '') AS before, nullif(tag, '') AS tag, cost FROM step_costs",
+    "tag_words_in_context": """
+        SELECT sentence_id, len(tags) AS n_words, array_to_string(list_transform(list_zip(ws, tags), lambda z: z[1] || '_' || z[2]), ' ') AS tagged FROM (
+            SELECT sentence_id, ws, best.tags AS tags FROM (
+                WITH RECURSIVE path AS (
+                    SELECT sentence_id, string_split(sentence, ' ') AS ws, 0 AS done, '' AS tag, CAST(0 AS BIGINT) AS cost, CAST([] AS VARCHAR[]) AS tags FROM plain
+                    UNION ALL
+                    SELECT p.sentence_id, first(p.ws), p.done + 1, w.tag, min(p.cost + s.cost) + first(w.cost), list_append(arg_min(p.tags, {'cost': p.cost + s.cost, 'tag': p.tag}), w.tag)
+                    FROM path p JOIN word_costs w ON p.done < len(p.ws) AND w.word = p.ws[p.done + 1] JOIN step_costs s ON s.before = p.tag AND s.tag = w.tag
+                    GROUP BY p.sentence_id, p.done, w.tag)
+                SELECT sentence_id, first(ws) AS ws, arg_min({'tags': tags}, {'cost': path.cost + s.cost, 'tag': path.tag}) AS best
+                FROM path JOIN step_costs s ON s.before = path.tag AND s.tag = '' WHERE done = len(ws) GROUP BY sentence_id))""",
     "filter_by_tags": "SELECT sentence_id, sentence FROM filtered",
     "org_sentences": "SELECT sentence_id, org, sentence FROM org_rows",
     "tokenize_tagged": "SELECT sentence_id, pos, text, tag FROM tokens",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import PARTS, add_vectors, degree_of_match, lookup, squared_norm, vector_total
-from pairloom.operators import prepare, score, segments, wordstats
+from pairloom.operators import postags, prepare, score, segments, wordstats
 from pairloom.operators.cluster import centroids, cluster_patterns
 from pairloom.params import Params
 from pairloom.plans.bootstrap import Round, bootstrap_relations, prepare_mentions
@@ -145,6 +145,25 @@ def tag_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tagged_words(spark, sf_dir).groupBy("sentence_id").agg(F.count(F.lit(1)).alias("n_words"), items.alias("tagged"))
 
 
+def _tag_model(spark: SparkSession, sf_dir: str) -> postags.TagModel:
+    return postags.learn_tags(corpus.word_tagged_sentences(spark, sf_dir))
+
+
+def tag_words_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each untagged sentence with its most probable tags, learned from other, tagged sentences."""
+    words = postags.tag_in_context(corpus.plain_sentences(spark, sf_dir), _tag_model(spark, sf_dir))
+    items = F.array_join(F.sort_array(F.collect_list(F.struct("pos", F.concat_ws("_", "word", "tag").alias("item"))))["item"], " ")
+    return words.groupBy("sentence_id").agg(F.count(F.lit(1)).alias("n_words"), items.alias("tagged"))
+
+
+def tag_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost of each tag after each tag; null stands for the start and the end."""
+    chain = _tag_model(spark, sf_dir).chain
+    costs = chain.select("names", F.posexplode("costs").alias("at", "cost"))
+    side = lambda at: F.expr(f"get(names, CAST({at} AS INT))")
+    return costs.select(side("at div (size(names) + 1)").alias("before"), side("at % (size(names) + 1)").alias("tag"), "cost")
+
+
 def filter_by_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filtered(spark, sf_dir)
 
@@ -382,6 +401,8 @@ QUERIES: dict[str, Query] = {
     "tag_entities": tag_entities,
     "tag_products": tag_products,
     "tag_words": tag_words,
+    "tag_words_in_context": tag_words_in_context,
+    "tag_costs": tag_costs,
     "filter_by_tags": filter_by_tags,
     "org_sentences": org_sentences,
     "tokenize_tagged": tokenize_tagged,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from pairloom import Params
-from pairloom.plans import article_statistics, extract_relations, tag_articles, tag_parts_of_speech, word_statistics
+from pairloom.plans import article_statistics, extract_relations, tag_articles, tag_in_context, tag_parts_of_speech, word_statistics
 from test_bootstrap import SEEDS, TEXTS
 
 
@@ -87,3 +87,15 @@ def test_statistics_from_articles(spark, files):
     assert [r.value for r in spark.read.text(best).collect()] == ["(.,P,1)", "(A,NN,1)", "(The,DT,1)", "(cat,NN,2)"]
     assert sorted(r.value for r in spark.read.text(most).collect()) == ["(.,1)", "(A,1)", "(The,1)", "(cat,1)"]
     assert [r.value for r in spark.read.text(best + "-rejected").collect()] == ["no article"]
+
+
+def test_tags_in_context_from_articles(spark, files):
+    (files / "tagged.txt").write_text("the_DT rose_NN fell_VBD ._.\nprices_NNS rose_VBD ._.\n")
+    (files / "articles.tsv").write_text("3\t\t\t\tThe prices rose. the rose fell.\n")
+    out = str(files / "out")
+    tag_in_context(spark, str(files / "articles.tsv"), str(files / "tagged.txt"), out)
+    rows = spark.read.parquet(out).orderBy("sentence", "pos").collect()
+    assert [(r["index"], r.sentence, r.word, r.tag) for r in rows][1:] == [
+        (3, 0, "prices", "NNS"), (3, 0, "rose", "VBD"), (3, 0, ".", "."),
+        (3, 1, "the", "DT"), (3, 1, "rose", "NN"), (3, 1, "fell", "VBD"), (3, 1, ".", "."),
+    ]
