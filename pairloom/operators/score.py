@@ -1,7 +1,8 @@
 """Pattern confidence, tuple confidence and new seeds.
 
 ``mentioned`` is the counted segment table of :func:`pairloom.operators.segments.mentions`,
-``matches`` is ``(c1, c2, pattern_id, similarity)``.
+``matches`` is ``(c1, c2, pattern_id, similarity)``; ``hot`` lists frequent organizations and contexts
+(:func:`pairloom.operators.hot.hot_keys` over ``org`` and ``c1``), whose rows joins deal to several tasks.
 """
 
 from __future__ import annotations
@@ -10,22 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import bucket_of
+from pairloom.operators.hot import spread_join
 from pairloom.operators.segments import CONTEXT_KEY, seed_counts
 from pairloom.params import Params
 
 
-def pattern_matches(mentioned: DataFrame, matches: DataFrame) -> DataFrame:
+def pattern_matches(mentioned: DataFrame, matches: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """``(org, loc, c1, c2, n, pattern_id, similarity)`` of every matched segment, equal ones counted in ``n``."""
-    return mentioned.select("org", "loc", *CONTEXT_KEY, "n").join(matches, CONTEXT_KEY)
+    return spread_join(mentioned.select("org", "loc", *CONTEXT_KEY, "n"), matches, CONTEXT_KEY, hot, "c1")
 
 
-def match_seed_join(matched: DataFrame, seeds: DataFrame) -> DataFrame:
+def match_seed_join(matched: DataFrame, seeds: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Matched segments of known organizations, once per known location ``seed_loc``."""
     known = seeds.select("org", F.col("loc").alias("seed_loc"))
-    return matched.join(known, "org")
+    return spread_join(matched, known, ["org"], hot, "org")
 
 
-def label_contexts(mentioned: DataFrame, seeds: DataFrame) -> DataFrame:
+def label_contexts(mentioned: DataFrame, seeds: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """``(c1, c2, positives, negatives)``: segments of known organizations by whether their location is the known one.
 
     Every pattern that matches a context matches all its segments, so the labels
@@ -35,8 +37,7 @@ def label_contexts(mentioned: DataFrame, seeds: DataFrame) -> DataFrame:
     correct = F.col("loc") == F.col("seed_loc")
     times = F.col("n") * F.col("copies")
     return (
-        mentioned.select("org", "loc", *CONTEXT_KEY, "n")
-        .join(known, "org")
+        spread_join(mentioned.select("org", "loc", *CONTEXT_KEY, "n"), known, ["org"], hot, "org")
         .groupBy(*CONTEXT_KEY)
         .agg(
             F.sum(F.when(correct, times).otherwise(0)).alias("positives"),
@@ -74,14 +75,11 @@ def best_pattern(matches: DataFrame) -> DataFrame:
     )
 
 
-def candidate_tuples(mentioned: DataFrame, best: DataFrame, confidence: DataFrame) -> DataFrame:
+def candidate_tuples(mentioned: DataFrame, best: DataFrame, confidence: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """``(org, loc, pattern_confidence, similarity, n)``: segments whose best pattern has a confidence."""
     scored = best.join(confidence.select("pattern_id", F.col("confidence").alias("pattern_confidence")), "pattern_id")
-    return (
-        mentioned.select("org", "loc", *CONTEXT_KEY, "n")
-        .join(scored, CONTEXT_KEY)
-        .select("org", "loc", "pattern_confidence", "similarity", "n")
-    )
+    found = spread_join(mentioned.select("org", "loc", *CONTEXT_KEY, "n"), scored, CONTEXT_KEY, hot, "c1")
+    return found.select("org", "loc", "pattern_confidence", "similarity", "n")
 
 
 # Logarithms are added as whole numbers of this unit, so that their order does not matter.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import PARTS
 from pairloom.operators.cluster import cluster_patterns, final_patterns
+from pairloom.operators.hot import hot_keys
 from pairloom.operators.match import match_contexts, pattern_index, similarity_counts
 from pairloom.operators.score import (
     added_labels,
@@ -41,12 +42,14 @@ class Corpus:
     mentions: DataFrame
     contexts: DataFrame
     segments: int
+    hot: DataFrame | None = None
 
 
 def prepare_mentions(sentences: DataFrame, params: Params = Params()) -> Corpus:
-    """Tokenize and cut contexts once: the counted segments and their distinct contexts, both written."""
+    """Tokenize and cut contexts once: the counted segments, their distinct contexts, and frequent keys, all written."""
     mentioned, sums = measured_stage(mentions(sentences, params), "mentions", segments=F.col("n"))
-    return Corpus(mentioned, stage(distinct_contexts(mentioned), "contexts"), sums["segments"])
+    hot = stage(hot_keys(mentioned, "org", "c1"), "hot")
+    return Corpus(mentioned, stage(distinct_contexts(mentioned), "contexts"), sums["segments"], hot)
 
 
 class Round:
@@ -80,7 +83,7 @@ class Round:
 
     @cached_property
     def labels(self) -> DataFrame:
-        found = label_contexts(self.corpus.mentions, self.changes)
+        found = label_contexts(self.corpus.mentions, self.changes, self.corpus.hot)
         return stage(found if self.last is None else added_labels(self.last.labels, found), "labels")
 
     @cached_property
@@ -119,7 +122,7 @@ class Round:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return candidate_tuples(self.corpus.mentions, self.best, self.confidence)
+        return candidate_tuples(self.corpus.mentions, self.best, self.confidence, self.corpus.hot)
 
     @cached_property
     def tuples(self) -> DataFrame:

@@ -311,7 +311,7 @@ def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = _round(spark, sf_dir)
-    matched = score.match_seed_join(score.pattern_matches(_mentions(step), step.matches), step.seeds)
+    matched = score.match_seed_join(score.pattern_matches(_mentions(step), step.matches, step.corpus.hot), step.seeds, step.corpus.hot)
     return matched.groupBy("org", "loc", "seed_loc", "pattern_id").agg(F.sum("n").alias("n"))
 
 
