@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.tagged import bind, entity_names, exploded, sites_sql, tagged_tokens, tokens_sql
 from pairloom.functions.vectors import context_vector
+from pairloom.operators.hot import spread_join
 from pairloom.params import Params
 
 CONTEXT_KEY = ["c1", "c2"]
@@ -158,17 +159,17 @@ def added_patterns(before: DataFrame, change: DataFrame) -> DataFrame:
     return both.where(F.col("weight") > 0)
 
 
-def raw_patterns(mentioned: DataFrame, seeds: DataFrame) -> DataFrame:
+def raw_patterns(mentioned: DataFrame, seeds: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """``(left_tag, lc, mc, rc, weight)``: contexts of the seed pairs, one row per distinct context.
 
     ``weight`` is the number of raw patterns with that context. Seeds may come
     counted, also with the negative counts of :func:`seed_changes`; weights then
-    add up to those of the seeds after the changes.
+    add up to those of the seeds after the changes. ``hot`` lists frequent
+    organizations, whose rows the join deals to several tasks.
     """
+    present = mentioned.where(F.col("weight") > 0).select("org", "loc", *WINDOWS, "weight")
     found = (
-        mentioned.where(F.col("weight") > 0)
-        .select("org", "loc", *WINDOWS, "weight")
-        .join(seed_counts(seeds), ["org", "loc"])
+        spread_join(present, seed_counts(seeds), ["org", "loc"], hot, "org")
         .groupBy(*WINDOWS)
         .agg(F.sum(F.col("weight") * F.col("copies")).alias("weight"))
     )

@@ -77,7 +77,7 @@ class Round:
 
     @cached_property
     def raw(self) -> DataFrame:
-        found = raw_patterns(self.corpus.mentions, self.changes)
+        found = raw_patterns(self.corpus.mentions, self.changes, self.corpus.hot)
         found = found if self.last is None else added_patterns(self.last.raw, found)
         return self._measured(found, "raw", raw_patterns=F.col("weight"))
 

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import score
+from pairloom.operators import score, segments
 from pairloom.operators.hot import hot_keys, spread_join
 
 
@@ -74,3 +74,12 @@ def test_scores_are_those_of_plain_joins(shuffled):
     ):
         assert plain.columns == dealt.columns and plain.count() > 0
         assert plain.exceptAll(dealt).count() == 0 and dealt.exceptAll(plain).count() == 0
+
+
+def test_raw_patterns_are_those_of_a_plain_join(shuffled):
+    words = F.array(F.concat(F.lit("w"), (F.col("n") % 3).cast("string")))
+    rows = mentioned(shuffled, 3_000).select("org", "loc", F.lit("ORGANIZATION").alias("left_tag"), *(words.alias(w) for w in ("lw", "mw", "rw")), F.col("n").alias("weight"))
+    seeds = shuffled.createDataFrame([("Acme", "loc1"), ("Acme", "loc1"), ("Acme", "loc3"), ("org5", "loc0")], "org STRING, loc STRING")
+    hot = hot_keys(rows, "org", partitions=16)
+    plain, dealt = (sorted(map(repr, segments.raw_patterns(rows, seeds, h).collect())) for h in (None, hot))
+    assert plain and plain == dealt
