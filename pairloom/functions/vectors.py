@@ -20,10 +20,10 @@ PARTS = ("lc", "mc", "rc")
 
 def context_vector(window: str) -> Column:
     """Each token's share of a window of tokens; an empty window gives an empty vector."""
-    return F.expr(
-        f"transform(sort_array(array_distinct({window})), t -> named_struct("
-        f"'token', t, 'weight', size(filter({window}, x -> x = t)) / size({window})))"
-    )
+    counted = f"transform(d, t -> named_struct('token', t, 'weight', size(filter({window}, x -> x = t)) / size({window})))"
+    once = f"transform(d, t -> named_struct('token', t, 'weight', 1 / size({window})))"
+    # Most windows repeat no token, so that nothing has to be counted.
+    return F.expr(bind(f"sort_array(array_distinct({window}))", "d", f"if(size(d) = size({window}), {once}, {counted})"))
 
 
 def _total(vector: str) -> str:
@@ -77,9 +77,10 @@ def _part_score(vector: str, weights: str, norm: str, damped: bool) -> str:
     dot = f"aggregate({vector}, 0D, (acc, x) -> acc + x.weight * {found})"
     if damped:
         # The right-hand score counts the weights of shared tokens twice in the centroid's norm.
-        norm = f"({norm} + aggregate({vector}, 0D, (acc, x) -> acc + pow({found}, 2)))"
-    score = f"try_divide({dot}, sqrt({norm}) * sqrt({_squared_norm(vector)}))"
-    return f"if(size({vector}) = 0 AND size({weights}) = 0, 0D, {score})"
+        damped_norm = f"({norm} + aggregate({vector}, 0D, (acc, x) -> acc + pow({found}, 2)))"
+    score = f"try_divide({dot}, sqrt({damped_norm if damped else norm}) * sqrt({_squared_norm(vector)}))"
+    # The norm tells an empty part: the map may hold the shared tokens only.
+    return f"if(size({vector}) = 0 AND {norm} = 0, 0D, {score})"
 
 
 def degree_of_match(
@@ -93,7 +94,8 @@ def degree_of_match(
 ) -> Column:
     """Similarity of a context with a centroid, in [0, 1].
 
-    The centroid comes as :func:`lookup` maps and :func:`squared_norm` values.
+    The centroid comes as :func:`lookup` maps and :func:`squared_norm` values; of a large centroid the maps may be left with the tokens that
+    the context holds, too, since looking a token up takes time linear in a map.
     0 if the two entities come in different order. NULL (never NaN, which would
     pass every threshold) if one side has an empty context where the other has
     none, so such a pair can never match.

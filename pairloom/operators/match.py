@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import PARTS, SLACK, degree_of_match, lookup, signature, squared_norm
 from pairloom.params import Params
+from pairloom.staging import stage
 
 _MEETING = ["left_tag", "signature", "feature"]
 _GROUP = ["left_tag", "signature"]
 
 #: About as many contexts and patterns in a block of the product, and copies of a pattern block for tasks to share a group.
 CONTEXT_BLOCK, PATTERN_BLOCK, SHARES = 1024, 256, 16
+#: A pattern with more tokens than this in a part is matched by a join of its tokens, not by looking each up in a map.
+WIDE = 64
 
 
 def _units(df: DataFrame, kept: list[str]) -> DataFrame:
@@ -91,6 +94,26 @@ def _candidates(contexts: DataFrame, index: DataFrame, threshold: float, params:
     return pairs.where((bound("lc") + bound("mc") + right) / 3 >= threshold - SLACK).select(*kept, key)
 
 
+def shared_weights(contexts: DataFrame, kept: list[str], patterns: DataFrame, on: list[str], key: str) -> DataFrame:
+    """``(kept, key, lc_map, mc_map, rc_map)``: for each context and pattern that agree in ``on`` the pattern's weights of the tokens both hold.
+
+    A join of token rows, so work grows with the tokens that meet, whatever the
+    vocabulary of a pattern. Pairs that share no token are left out. ``kept``
+    names a context, ``on`` is a part of it or of ``key``.
+    """
+
+    def tokens(df: DataFrame, columns: list[str], *fields: str) -> DataFrame:
+        taken = "".join(f", '{f}', x.{f}" for f in fields)
+        listed = F.expr("concat(" + ", ".join(f"transform({p}, x -> named_struct('part', '{p}'{taken}))" for p in PARTS) + ")")
+        return df.select(*columns, F.explode_outer(listed).alias("x")).select(*columns, "x.*").where(F.col("part").isNotNull())
+
+    left = tokens(contexts, list(dict.fromkeys([*kept, *on])), "token")
+    right = tokens(patterns, list(dict.fromkeys([*on, key])), "token", "weight")
+    shared = left.join(right, [*on, "part", "token"])
+    maps = [F.map_from_entries(F.collect_list(F.when(F.col("part") == p, F.struct("token", "weight")))).alias(f"{p}_map") for p in PARTS]
+    return shared.groupBy(*dict.fromkeys([*kept, key])).agg(*maps)
+
+
 def match_contexts(
     contexts: DataFrame,
     patterns: DataFrame,
@@ -102,13 +125,25 @@ def match_contexts(
 ) -> DataFrame:
     """The other columns of ``contexts``, which name a context, plus ``key`` and ``similarity`` of every match, each pair once.
 
-    ``index`` is the :func:`pattern_index` of ``patterns`` at this threshold.
+    ``index`` is the :func:`pattern_index` of ``patterns`` at this threshold;
+    whether a pattern is wide is asked once, so ``patterns`` should be staged.
     """
     kept = [c for c in contexts.columns if c not in (*PARTS, "left_tag")]
     pairs = _candidates(contexts, index, threshold, params, kept, key)
-    maps = [lookup(p).alias(f"{p}_map") for p in PARTS]
+    wide = F.greatest(*(F.size(p) for p in PARTS)) > WIDE
+    wide_patterns = patterns.where(wide)
+    some_wide = wide_patterns.first() is not None
+    if some_wide:
+        pairs, patterns = stage(pairs, "candidates"), patterns.where(~wide)
     norms = [squared_norm(p).alias(f"{p}_norm") for p in PARTS]
-    joined = pairs.join(patterns.select(key, F.col("left_tag").alias("pattern_tag"), *maps, *norms), key).join(contexts, kept)
+    tagged = [key, F.col("left_tag").alias("pattern_tag")]
+    maps = [lookup(p).alias(f"{p}_map") for p in PARTS]
+    joined = pairs.join(patterns.select(*tagged, *maps, *norms), key).join(contexts, kept)
+    if some_wide:
+        # Of these only the tokens that a context holds, too, come to it.
+        met = pairs.join(wide_patterns.select(*tagged, *norms), key).join(contexts, kept)
+        held = shared_weights(met, [*kept, key], wide_patterns, [key], key)
+        joined = joined.unionByName(met.join(held, [*kept, key]).select(joined.columns))
     similarity = degree_of_match(
         "left_tag",
         PARTS,

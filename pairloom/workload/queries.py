@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.functions.vectors import PARTS, add_vectors, degree_of_match, lookup, squared_norm, vector_total
+from pairloom.functions.vectors import PARTS, add_vectors, degree_of_match, squared_norm, vector_total
 from pairloom.operators import postags, prepare, score, segments, wordstats
 from pairloom.operators.cluster import centroids, cluster_patterns
+from pairloom.operators.match import shared_weights
 from pairloom.params import Params
 from pairloom.plans.bootstrap import Round, bootstrap_relations, prepare_mentions
 from pairloom.sources import format_relations, parse_articles, parse_seeds, union_lines
@@ -258,32 +259,33 @@ def most_ambiguous_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordstats.most_ambiguous_words(tags_per_word(spark, sf_dir))
 
 
-def _location_centroids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Segments, and one centroid per location and entity order."""
-    found = _segments(spark, sf_dir).withColumn("cluster_id", F.concat_ws("|", "loc", "left_tag"))
-    return found, centroids(found)
-
-
 def centroid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, centers = _location_centroids(spark, sf_dir)
-    return centers.select("cluster_id", "left_tag", *(shown(p) for p in PARTS))
+    """One centroid per location and entity order."""
+    found = _segments(spark, sf_dir).withColumn("cluster_id", F.concat_ws("|", "loc", "left_tag"))
+    return centroids(found).select("cluster_id", "left_tag", *(shown(p) for p in PARTS))
 
 
 def degrees_of_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct context of a location against both centroids of that location."""
-    found, centers = _location_centroids(spark, sf_dir)
-    maps = [lookup(p).alias(f"{p}_map") for p in PARTS]
+    folded = _segments(spark, sf_dir).groupBy("loc", "left_tag", *PARTS).agg(F.count(F.lit(1)).alias("n"))
+    identity = ["loc", "left_tag", *(x for p in PARTS for x in (F.size(p), p))]
+    key = [F.xxhash64(*identity).alias("k1"), F.xxhash64(F.lit("context"), *identity).alias("k2")]
+    # The sentences are read once; a context stands for its n segments in the sums.
+    contexts = stage(folded.select("*", *key), "located")
+    times = [F.expr(f"transform({p}, x -> named_struct('token', x.token, 'weight', x.weight * n))").alias(p) for p in PARTS]
+    members = contexts.select(F.concat_ws("|", "loc", "left_tag").alias("cluster_id"), "left_tag", *times)
+    centers = stage(centroids(members).withColumn("loc", F.split_part("cluster_id", F.lit("|"), F.lit(1))), "centers")
+    # A centroid holds the vocabulary of a location: only the weights of a context's own tokens come to it.
+    held = shared_weights(contexts, ["k1", "k2"], centers, ["loc"], "cluster_id")
     norms = [squared_norm(p).alias(f"{p}_norm") for p in PARTS]
-    centers = centers.select(
-        "cluster_id", F.col("left_tag").alias("centroid_tag"), F.split_part("cluster_id", F.lit("|"), F.lit(1)).alias("loc"), *maps, *norms
-    )
-    contexts = found.select("loc", "left_tag", *PARTS).distinct()
+    pairs = contexts.join(centers.select("cluster_id", F.col("left_tag").alias("centroid_tag"), "loc", *norms), "loc")
+    pairs = pairs.join(held, ["k1", "k2", "cluster_id"], "left")
+    nothing = F.expr("map_from_entries(CAST(array() AS ARRAY<STRUCT<token: STRING, weight: DOUBLE>>))")
+    pairs = pairs.withColumns({f"{p}_map": F.coalesce(f"{p}_map", nothing) for p in PARTS})
     similarity = degree_of_match(
         "left_tag", PARTS, "centroid_tag", tuple(f"{p}_map" for p in PARTS), tuple(f"{p}_norm" for p in PARTS)
     )
-    return contexts.join(centers, "loc").select(
-        "cluster_id", "left_tag", *(shown(p) for p in PARTS), F.round(similarity, 6).alias("similarity")
-    )
+    return pairs.select("cluster_id", "left_tag", *(shown(p) for p in PARTS), F.round(similarity, 6).alias("similarity"))
 
 
 def exact_pattern_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

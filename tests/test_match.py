@@ -145,3 +145,26 @@ def test_a_token_in_every_context_weighs_on_no_single_block(spark, monkeypatch):
     assert sum(sizes) == 4000 and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
     patterns = frame(spark, [("LOCATION", {"the": 1.0}, {"the": 1.0}, {}) for _ in range(3)], "pattern_id")
     assert [tuple(r) for r in similarity_counts(contexts, patterns).collect()] == [(6, 12000)]
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_wide_patterns_match_without_maps_of_their_vocabulary(spark, plain, monkeypatch):
+    """Patterns beyond a width are met token by token, with the result of all pairs."""
+    monkeypatch.setattr(match, "WIDE", 2)
+    rng = random.Random(5)
+    contexts = [p for p, _ in random_patterns(rng, 60, "abcdefgh")]
+    patterns = [model.centroid([p] * 2 + [q]) if model.similarity(p, q) else p for (p, _), (q, _) in zip(random_patterns(rng, 40, "abcdefgh"), random_patterns(rng, 40, "abcdefgh"))]
+    params = Params(plain_cosine=plain)
+    table = stage(frame(spark, patterns, "pattern_id"), "patterns")
+    matched = match_contexts(frame(spark, contexts, "c1"), table, pattern_index(table, 0.4, params), 0.4, params)
+    got = {(r.c1, r.pattern_id): round(r.similarity, 6) for r in matched.collect()}
+    pairs = {(i, j): model.similarity(c, p, plain) for i, c in enumerate(contexts) for j, p in enumerate(patterns)}
+    assert got == {ij: round(s, 6) for ij, s in pairs.items() if s is not None and s >= 0.4}
+
+
+def test_only_shared_tokens_of_a_pattern_come_to_a_context(spark):
+    tokens = {f"w{i:04d}": 1 / 5000 for i in range(5000)}
+    patterns = frame(spark, [("LOCATION", tokens, {"in": 1.0}, {})], "pattern_id").withColumn("loc", F.lit("x"))
+    contexts = frame(spark, [("LOCATION", {"w0007": 0.5, "new": 0.5}, {"in": 1.0}, {"y": 1.0})], "c1").withColumn("loc", F.lit("x"))
+    row = match.shared_weights(contexts, ["c1"], patterns, ["loc"], "pattern_id").first()
+    assert (row.lc_map, row.mc_map, row.rc_map) == ({"w0007": 1 / 5000}, {"in": 1.0}, {})
