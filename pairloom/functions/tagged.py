@@ -29,18 +29,35 @@ def exploded(df: DataFrame, kept: list[str], items: Column, *names: str) -> Data
     return df.select(*kept, generator.alias(*names)).where(F.col(names[-1]).isNotNull())
 
 
+def _pieces_sql(sentence: str) -> str:
+    """SQL of a sentence cut at entity borders: pieces with an odd number are entities, tag and name with a mark between them."""
+    clean = f"if(contains({sentence}, '{_EDGE}') OR contains({sentence}, '{_INNER}'), translate({sentence}, '{_EDGE}{_INNER}', ''), {sentence})"
+    return f"split(regexp_replace({clean}, '{TAGGED_ENTITY}', '{_EDGE}$1{_INNER}$2{_EDGE}'), '{_EDGE}')"
+
+
 def tokens_sql(sentence: str) -> str:
     """SQL of :func:`tagged_tokens`."""
-    marked = (
-        f"regexp_replace(translate({sentence}, '{_EDGE}{_INNER}', ''), "
-        f"'{TAGGED_ENTITY}', '{_EDGE}$1{_INNER}$2{_EDGE}')"
-    )
     entity = (
         f"array(named_struct('text', substring_index(c, '{_INNER}', -1), "
         f"'tag', substring_index(c, '{_INNER}', 1)))"
     )
-    words = "transform(filter(split(c, ' '), w -> w != ''), w -> named_struct('text', w, 'tag', ''))"
-    return f"flatten(transform(split({marked}, '{_EDGE}'), (c, i) -> if(i % 2 = 1, {entity}, {words})))"
+    words = "transform(array_remove(split(c, ' '), ''), w -> named_struct('text', w, 'tag', ''))"
+    return f"flatten(transform({_pieces_sql(sentence)}, (c, i) -> if(i % 2 = 1, {entity}, {words})))"
+
+
+def marked_tokens_sql(sentence: str) -> str:
+    """SQL of the same tokens as plain strings, a tagged one with its tag and a mark before it: less work per token than structs."""
+    return f"flatten(transform({_pieces_sql(sentence)}, (c, i) -> if(i % 2 = 1, array(c), array_remove(split(c, ' '), ''))))"
+
+
+def marked_sites_sql(tokens: str, tag: str) -> str:
+    """SQL of the 0-based positions of the marked tokens that carry ``tag``."""
+    return f"filter(transform({tokens}, (t, i) -> if(startswith(t, '{tag}{_INNER}'), i, null)), i -> i IS NOT NULL)"
+
+
+def bare_tokens_sql(tokens: str) -> str:
+    """SQL of marked tokens without their tags."""
+    return f"transform({tokens}, t -> substring_index(t, '{_INNER}', -1))"
 
 
 def tagged_tokens(sentence: str) -> Column:

@@ -5,10 +5,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.tagged import bind, entity_names, exploded, sites_sql, tagged_tokens, tokens_sql
+from pairloom.functions.tagged import bare_tokens_sql, bind, entity_names, exploded, marked_sites_sql, marked_tokens_sql, sites_sql, tagged_tokens
 from pairloom.functions.vectors import context_vector
 from pairloom.operators.hot import spread_join
 from pairloom.params import Params
@@ -49,36 +49,33 @@ def mention_sites(tokens: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
-def _pairs(tokens: str, params: Params, windows: bool) -> Column:
-    """Site pairs within reach of each other, optionally with their token windows.
-
-    The token list and the sites are each bound once: inlined at every use they
-    would be computed anew for every element.
-    """
+def _pairs(params: Params, text: str, windows: bool) -> str:
+    """SQL of the site pairs of ``s`` within reach of each other, optionally with their token windows; ``text`` are the tokens' texts."""
     first, second = params.entity_tags
     width = params.window_size
     fields = (
-        "'a', a, 'b', b, 'org', get(t.text, a), 'loc', get(t.text, b), "
+        f"'a', a, 'b', b, 'org', get({text}, a), 'loc', get({text}, b), "
         f"'left_tag', if(a < b, '{first}', '{second}')"
     )
     if windows:
         fields += (
-            f", 'lw', slice(t.text, greatest(least(a, b) - {width}, 0) + 1, least({width}, a, b))"
-            ", 'mw', slice(t.text, least(a, b) + 2, abs(a - b) - 1)"
-            f", 'rw', slice(t.text, greatest(a, b) + 2, {width})"
+            f", 'lw', slice({text}, greatest(least(a, b) - {width}, 0) + 1, least({width}, a, b))"
+            f", 'mw', slice({text}, least(a, b) + 2, abs(a - b) - 1)"
+            f", 'rw', slice({text}, greatest(a, b) + 2, {width})"
         )
-    pairs = (
+    return (
         "flatten(transform(s.orgs, a -> transform("
         f"filter(s.locs, b -> abs(a - b) <= {params.max_distance}), b -> named_struct({fields}))))"
     )
-    both = f"named_struct('orgs', {sites_sql('t', first)}, 'locs', {sites_sql('t', second)})"
-    return F.expr(bind(tokens, "t", bind(both, "s", pairs)))
 
 
 def entity_pairs(tokens: DataFrame, params: Params = Params()) -> DataFrame:
     """``(sentence_id, a, b, org, loc, left_tag)``: a band join inside each sentence, without a shuffle."""
-    pairs = _pairs("tokens", params, windows=False)
-    return exploded(tokens, ["sentence_id"], pairs, "pair").select("sentence_id", "pair.*")
+    first, second = params.entity_tags
+    both = f"named_struct('orgs', {sites_sql('t', first)}, 'locs', {sites_sql('t', second)})"
+    # The token list and the sites are each bound once: inlined at every use they would be computed anew for every element.
+    pairs = bind("tokens", "t", bind(both, "s", _pairs(params, "t.text", windows=False)))
+    return exploded(tokens, ["sentence_id"], F.expr(pairs), "pair").select("sentence_id", "pair.*")
 
 
 def context_windows(sentences: DataFrame, params: Params = Params()) -> DataFrame:
@@ -88,9 +85,12 @@ def context_windows(sentences: DataFrame, params: Params = Params()) -> DataFram
     the sentence, which is how often the pair counts as a raw pattern. One
     pass over each row: no UDF and no shuffle.
     """
-    pairs = _pairs(tokens_sql("sentence"), params, windows=True)
-    names = entity_names("sentence", params.entity_tags[0]).alias("names")
-    return exploded(sentences, ["sentence_id", names], pairs, "pair").select(
+    first, second = params.entity_tags
+    both = f"named_struct('orgs', {marked_sites_sql('t', first)}, 'locs', {marked_sites_sql('t', second)})"
+    cut = bind(bare_tokens_sql("t"), "w", _pairs(params, "w", windows=True))
+    pairs = bind(marked_tokens_sql("sentence"), "t", bind(both, "s", f"if(size(s.orgs) > 0 AND size(s.locs) > 0, {cut}, null)"))
+    names = entity_names("sentence", first).alias("names")
+    return exploded(sentences, ["sentence_id", names], F.expr(pairs), "pair").select(
         "sentence_id",
         "pair.*",
         F.size(F.filter("names", lambda n: n == F.col("pair.org"))).cast("bigint").alias("occurrences"),

@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import model
 from pairloom import Params
+from pairloom.functions.tagged import bare_tokens_sql, bind, marked_sites_sql, marked_tokens_sql, sites_sql, tokens_sql
 from pairloom.operators import segments
 
 SEGMENT = "said <ORGANIZATION>Acme Corp</ORGANIZATION> , based in <LOCATION>New York</LOCATION> , reported earnings today"
@@ -117,3 +119,16 @@ def test_one_tokenizer_per_row_and_no_python(sentences):
     plan = segments.text_segments(sentences(SEGMENT))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1
     assert "Python" not in plan
+
+
+def test_marked_tokens_are_the_tagged_tokens(spark, sentences):
+    """Tokens as marked strings give the texts and sites of the token structs."""
+    df = sentences(
+        "a <ORGANIZATION>Big Corp</ORGANIZATION>x  of <LOCATION>U S</LOCATION> .", "", " ", "no tags", "<A></B>x</C>",
+        "<ORGANIZATION>\u0001A\u0002</LOCATION> near <LOCATION>B</LOCATION>", "ORGANIZATION\u0002x <ORGANIZATION>y</ORGANIZATION>",
+    )
+    for tag in ("ORGANIZATION", "LOCATION"):
+        marked = F.expr(bind(marked_tokens_sql("sentence"), "t", f"named_struct('w', {bare_tokens_sql('t')}, 's', {marked_sites_sql('t', tag)})"))
+        whole = F.expr(bind(tokens_sql("sentence"), "t", f"named_struct('w', t.text, 's', {sites_sql('t', tag)})"))
+        rows = df.select(marked.alias("m"), whole.alias("t")).collect()
+        assert [r.m for r in rows] == [r.t for r in rows] and any(r.m.s for r in rows)
