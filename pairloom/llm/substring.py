@@ -141,8 +141,18 @@ def seeds(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[tuple[np.ndarray, ...]] = []
         rows = 0
+
+        def taken() -> list[np.ndarray]:
+            whole = [np.concatenate(x) for x in zip(*gathered, strict=True)]
+            gathered.clear()
+            return whole
+
         for batch in batches:
-            for piece in slices(batch.filter(batch.column("doc").is_valid()), "text"):
+            for piece in slices(batch, "text"):
+                # of a slice at a time, since it copies the texts
+                piece = piece.filter(piece.column("doc").is_valid())
+                if not piece.num_rows:
+                    continue
                 h, first = _hashed(piece.column("text"))
                 seed = grams(h, SEED)
                 place, start, n = anchors(seed, first)
@@ -151,11 +161,12 @@ def seeds(docs: DataFrame) -> DataFrame:
                 part = np.asarray(piece.column("part"))[text]
                 gathered.append((seed[place].view(np.int64), span_hashes(h, start, start + n + WINDOW - 1).view(np.int64), doc, part, start - first[text], n))
                 rows += len(place)
+                del h, seed
                 if rows >= GATHERED:
-                    yield _sent(*(np.concatenate(x) for x in zip(*gathered, strict=True)))
-                    gathered, rows = [], 0
+                    yield _sent(*taken())
+                    rows = 0
         if rows:
-            yield _sent(*(np.concatenate(x) for x in zip(*gathered, strict=True)))
+            yield _sent(*taken())
 
     return docs.mapInArrow(run, _ROW)
 

@@ -214,3 +214,10 @@ def test_spelling_brute_force(spark):
 def test_spelling_empty(spark):
     assert spelling.spelling_variants(table(spark, [], "doc_id LONG, text STRING")).collect() == []
     assert spelling.spelling_variants(table(spark, [(1, "short words only")], "doc_id LONG, text STRING")).collect() == []
+
+
+def test_slices_without_a_key_send_nothing(spark):
+    """Null keys are left out slice by slice: one of them is a slice of its own, longer than SLICE_BYTES."""
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, 0, "x " * (3 << 20)), (1, 0, text), (2, 0, text)], "doc long, part int, text string").coalesce(1)
+    assert sorted({r.doc for r in substring.seeds(docs).collect()}) == [1, 2]
