@@ -4,17 +4,23 @@ The model is counted from tagged text: which tag follows which, and which words
 whole numbers, so that sums and ties do not depend on the order of rows.
 
 Words that have one possible tag cut a sentence into runs: the best path goes through that tag, whatever stands on either side. So
-each run is decoded alone, with the tag before it and its own last word, and gives the same tags as decoding the sentence at once. A run
-holds words that are ambiguous or unknown, which are few even where a sentence is very long.
+each run of ambiguous words is decoded alone, with the tags on both sides, and gives the same tags as decoding the sentence at once.
+
+Sentences stay rows. A task knows the most frequent words, the shapes and the costs of the chain, which are of fixed bounds; the
+other words of a sentence that the model may know are looked up by a join, and their tags come back to the sentence as one list.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from pairloom.functions.tagged import exploded
 from pairloom.staging import stage
@@ -23,11 +29,14 @@ from pairloom.staging import stage
 UNIT = 1_000_000
 #: More tags than this are taken for broken input and fail the job, since every pair of tags has a cost.
 MOST_TAGS = 500
-#: Words whose tags are broadcast, the most frequent ones, so that none of them is a key of a shuffle.
-FREQUENT_WORDS = 5_000
+#: Words whose tags every task knows, the most frequent ones, so that none of them is a key of a shuffle.
+FREQUENT_WORDS = 50_000
+#: Numbers in the largest array of a step of the decoder, unless a single run needs more.
+STEP_NUMBERS = 1 << 21
 #: Shapes of words that the model does not know, tried in order; lower-case words go by their last two letters.
 SHAPES = [("^[0-9]+([.,][0-9]+)*$", "number"), ("^[^A-Za-z0-9]+$", "mark"), ("^[A-Z][a-z]+$", "capital"), ("^[A-Z]+$", "upper")]
 _LOWER = "^[a-z]+$"
+_LINE_END = "[\n\r\u0085\u2028\u2029]"
 
 
 @dataclass(frozen=True)
@@ -52,10 +61,40 @@ def _cost(share: Column) -> Column:
     return F.round(-F.ln(share) * UNIT).cast("bigint")
 
 
-def _tagged_items(tagged: DataFrame) -> DataFrame:
-    """``(items)``: of each text its (word, tag), cut at the last underscore; items without a word or a tag are left out."""
-    pieces = F.transform(F.split("text", " +"), lambda i: F.struct(F.regexp_extract(i, "^(.+)_([^_]+)$", 1).alias("word"), F.regexp_extract(i, "^(.+)_([^_]+)$", 2).alias("tag")))
-    return tagged.select(F.filter(pieces, lambda p: p["tag"] != "").alias("items"))
+def _word_steps(tagged: DataFrame) -> DataFrame:
+    """``(a, b, word, n)``: how often a word of tag b follows tag a; null stands for the start, and as b, without a word, for the end.
+
+    Items are cut at the last underscore, each different one of a batch once; those without a word or a tag, or with a line end in the
+    word, are left out. Equal steps of a batch are one row.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pa.compute.split_pattern(batch.column("text"), " ")
+            owner = np.repeat(np.arange(len(batch)), pa.compute.fill_null(lists.value_lengths(), 0).to_numpy())
+            known = lists.flatten().dictionary_encode()
+            words, tags, tag_of = [], {}, np.full(len(known.dictionary), -1, np.int64)
+            for i, item in enumerate(known.dictionary.to_pylist()):
+                word, _, tag = item.rpartition("_")
+                words.append(word)
+                if word and tag and not re.search(_LINE_END, word):
+                    tag_of[i] = tags.setdefault(tag, len(tags))
+            index = known.indices.to_numpy()
+            taken = tag_of[index] >= 0
+            owner, index, at = owner[taken], index[taken], tag_of[index][taken]
+            edge = np.flatnonzero(np.diff(owner, prepend=-1, append=-1)) if len(owner) else np.zeros(1, np.int64)
+            before = np.roll(at, 1)
+            before[edge[:-1]] = len(tags)
+            steps, n = np.unique(before * len(words) + index, return_counts=True)
+            a, item = np.divmod(steps, max(len(words), 1))
+            ends, n_ends = np.unique(at[edge[1:] - 1], return_counts=True)
+            names, none = pa.array([*tags, None], pa.string()), np.full(len(ends), len(tags))
+            columns = [names.take(pa.array(np.concatenate(x).astype(np.int64))) for x in ((a, ends), (tag_of[item], none))]
+            of_word = pa.concat_arrays([pa.array(words, pa.string()).take(pa.array(item)), pa.nulls(len(ends), pa.string())])
+            yield pa.RecordBatch.from_arrays([*columns, of_word, pa.array(np.concatenate([n, n_ends]).astype(np.int64))], ["a", "b", "word", "n"])
+
+    rows = tagged.select("text").mapInArrow(count, "a string, b string, word string, n long")
+    return rows.groupBy("a", "b", "word").agg(F.sum("n").alias("n"))
 
 
 def learn_tags(tagged: DataFrame) -> TagModel:
@@ -64,16 +103,14 @@ def learn_tags(tagged: DataFrame) -> TagModel:
     A tag has a known word with its share of occurrences; the share of its
     distinct words stands for words not seen yet, split by their shape. A tag
     follows a tag with its share plus one, so nothing is impossible. Null and
-    empty texts teach nothing. Counting has map-side aggregation; what is
-    shuffled are distinct words and pairs of tags.
+    empty texts teach nothing. The texts are read once: words are counted by the
+    tag before them, with map-side aggregation, and both counts are sums of these.
     """
-    items = _tagged_items(tagged).where(F.size("items") > 0)
-    counts = stage(exploded(items, [], F.col("items"), "i").groupBy("i.word", "i.tag").agg(F.count(F.lit(1)).alias("n")), "word-tags")
-    start = end = F.array(F.lit(None).cast("string"))
-    tags = F.col("items")["tag"]
-    steps = F.arrays_zip(F.concat(start, tags).alias("a"), F.concat(tags, end).alias("b"))
-    followed = exploded(items, [], steps, "s").groupBy("s.a", "s.b").agg(F.count(F.lit(1)).alias("n"))
+    seen = stage(_word_steps(tagged), "word-steps")
+    counts = stage(seen.where("b IS NOT NULL").groupBy("word", F.col("b").alias("tag")).agg(F.sum("n").alias("n")), "word-tags")
+    followed = seen.groupBy("a", "b").agg(F.sum("n").alias("n"))
     of_tag = counts.groupBy("tag").agg(F.sum("n").alias("n_tag"), F.count(F.lit(1)).alias("kinds"))
+    end = F.array(F.lit(None).cast("string"))
     many = F.raise_error(F.lit(f"more than {MOST_TAGS} different tags"))
     names = stage(of_tag.agg(F.sort_array(F.collect_set("tag")).alias("names"), F.count(F.lit(1)).alias("t")).select("names", F.when(F.col("t") > MOST_TAGS, many.cast("bigint")).otherwise(F.col("t")).alias("t")), "tags")
     # one row for each pair of numbers; the number after the last tag is the start, or the end
@@ -97,60 +134,145 @@ def learn_tags(tagged: DataFrame) -> TagModel:
     return TagModel(stage(words, "tag-words"), stage(shapes, "tag-shapes"), stage(chain, "tag-chain"))
 
 
-def _possible_tags(words: DataFrame, model: TagModel) -> DataFrame:
-    """Add ``tags``: those of the word, else of its shape, of its coarser shape, or all."""
-    frequent = model.words.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS)
-    frequent = F.broadcast(frequent.select(F.col("word").alias("w1"), F.col("tags").alias("t1")))
-    found = words.join(frequent, F.col("word") == F.col("w1"), "left")
-    # a word found already looks for a name that no word has, different for each row, so that these rows do not meet in one task
-    wanted = F.when(F.col("t1").isNull(), F.col("word")).otherwise(F.concat(F.lit(" "), F.col("k1").cast("string")))
-    found = found.withColumn("wanted", wanted).join(model.words.select(F.col("word").alias("wanted"), F.col("tags").alias("t2")), "wanted", "left")
-    # at most one row for each ending of two letters and each shape
-    shape = shape_of("word")
-    for k, key in enumerate((shape, F.substring_index(shape, "-", 1), F.lit(""))):
-        side = F.broadcast(model.shapes.select(F.col("shape").alias(f"s{k}"), F.col("tags").alias(f"u{k}")))
-        found = found.withColumn("wanted", F.when(F.coalesce("t1", "t2", *(f"u{j}" for j in range(k))).isNull(), key)).join(side, F.col("wanted") == F.col(f"s{k}"), "left")
-    return found.withColumn("tags", F.coalesce("t1", "t2", "u0", "u1", "u2"))
+def _matches(pattern: str, word: str) -> bool:
+    """As in Spark, where ``$`` stands before a last line end of any kind, too."""
+    return re.search(pattern.replace("$", f"(?=(?:\r\n|{_LINE_END})?\\Z)"), word) is not None
 
 
-def _best_path(items: str, before: str, is_last: str) -> Column:
-    """Tag numbers of a run by Viterbi's recursion; of equal costs the path with the lowest tag counts at each step.
+def _shapes(word: str) -> tuple[str, str, str]:
+    """:func:`shape_of` of a word, its coarser shape, and that of all words."""
+    if _matches(_LOWER, word):
+        return f"lower-{word[-2:]}", "lower", ""
+    found = next((name for pattern, name in SHAPES if _matches(pattern, word)), "other")
+    return found, found, ""
 
-    ``items`` are the words' (tag, cost) lists in order, ``before`` the number of the tag before them.
-    """
-    size = "(size(names) + 1)"
-    step = f"x -> named_struct('cost', x.cost + costs[CAST(x.tag * {size} + t.tag AS INT)], 'tag', x.tag, 'path', x.path)"
-    best = f"array_min(transform(acc, {step}))"
-    grown = f"transform(tags, t -> get(transform(array({best}), b -> named_struct('cost', b.cost + t.cost, 'tag', t.tag, 'path', concat(b.path, array(t.tag)))), 0))"
-    begin = f"array(named_struct('cost', CAST(0 AS BIGINT), 'tag', {before}, 'path', CAST(array() AS ARRAY<INT>)))"
-    ended = f"named_struct('cost', x.cost + if({is_last}, costs[CAST(x.tag * {size} + size(names) AS INT)], 0), 'tag', x.tag, 'path', x.path)"
-    return F.expr(f"aggregate({items}, {begin}, (acc, tags) -> {grown}, acc -> array_min(transform(acc, x -> {ended})).path)")
 
+class _Decoder:
+    """Tags of whole sentences, many at a time, from the parts of a model that are of fixed size."""
 
-def tag_in_context(sentences: DataFrame, model: TagModel) -> DataFrame:
-    """``(sentence_id, pos, word, tag)`` with the most probable tags of each whole sentence, words cut at single spaces.
+    def __init__(self, names: list[str], costs: list[int], frequent: list, shapes: list) -> None:
+        self.names = pa.array(names, pa.string())
+        self.costs = np.array(costs, np.int64).reshape(len(names) + 1, len(names) + 1)
+        self.frequent = {word: tuple(map(tuple, tags)) for word, tags in frequent}
+        self.shapes = {shape: tuple(map(tuple, tags)) for shape, tags in shapes}
+
+    def _choices(self, words: list[str], rare: dict[str, tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word the row of its choices; of each row their tags and costs, filled up, and their number."""
+        number: dict[tuple, int] = {}
+        rows = np.empty(len(words), np.int64)
+        for i, word in enumerate(words):
+            tags = self.frequent.get(word) or rare.get(word) or next(x for x in map(self.shapes.get, _shapes(word)) if x)
+            rows[i] = number.setdefault(tags, len(number))
+        size = np.array([len(x) for x in number], np.int64)
+        tags, costs = np.zeros((len(number), size.max()), np.int64), np.full((len(number), size.max()), 1 << 60, np.int64)
+        for i, x in enumerate(number):
+            tags[i, : len(x)], costs[i, : len(x)] = zip(*x, strict=True)
+        return rows, tags, costs, size
+
+    def tags(self, words: pa.ListArray, rare: dict[str, tuple]) -> pa.Array:
+        """The tags of lists of words; ``rare`` holds the tags of words of the model that are not frequent."""
+        lengths = words.value_lengths().to_numpy()
+        ends = np.cumsum(lengths)
+        flat = words.flatten()
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+        if not len(self.names) or not len(flat):
+            return pa.ListArray.from_arrays(offsets, pa.nulls(len(flat), pa.string()))
+        known = flat.dictionary_encode()
+        rows, tags, costs, size = self._choices(known.dictionary.to_pylist(), rare)
+        row = rows[known.indices.to_numpy()]
+        found = tags[row, 0]
+        open_ = size[row] > 1
+        first, last = np.zeros(len(row), bool), np.zeros(len(row), bool)
+        first[(ends - lengths)[lengths > 0]] = last[(ends - 1)[lengths > 0]] = True
+        begin = np.flatnonzero(open_ & (first | ~np.roll(open_, 1)))
+        end = np.flatnonzero(open_ & (last | ~np.roll(open_, -1)))
+        edge = len(self.names)
+        before = np.where(first[begin], edge, found[begin - 1])
+        after = np.where(last[end], edge, found[(end + 1) % len(row)])
+        long = end - begin + 1
+        order = np.argsort(-long, kind="stable")
+        part = max(STEP_NUMBERS // tags.shape[1] ** 2, 1)
+        for at in range(0, len(order), part):
+            runs = order[at : at + part]
+            self._decode(row, tags, costs, found, begin[runs], long[runs], before[runs], after[runs])
+        return pa.ListArray.from_arrays(offsets, self.names.take(pa.array(found)))
+
+    def _decode(self, row, tags, costs, found, begin, long, before, after) -> None:
+        """Viterbi's recursion on many runs, the longest first; of equal costs the lowest tag at each step. Sets the tags in ``found``."""
+        now = row[begin]
+        total = costs[now] + self.costs[before[:, None], tags[now]]
+        back = []
+        for i in range(1, long[0]):
+            m = int(np.searchsorted(-long, -i, "left"))  # the runs of more than i words
+            then, now = row[begin[:m] + i - 1], row[begin[:m] + i]
+            steps = total[:m, :, None] + self.costs[tags[then][:, :, None], tags[now][:, None, :]]
+            best = steps.argmin(axis=1)
+            back.append(best.astype(np.uint16))
+            total[:m] = np.take_along_axis(steps, best[:, None, :], 1)[:, 0] + costs[now]
+        pick = (total + self.costs[tags[row[begin + long - 1]], after[:, None]]).argmin(axis=1)
+        for i in range(long[0] - 1, -1, -1):
+            m = int(np.searchsorted(-long, -i, "left"))
+            found[begin[:m] + i] = tags[row[begin[:m] + i], pick[:m]]
+            if i:
+                pick[:m] = back[i - 1][np.arange(m), pick[:m]]
 
-    A null sentence has no words, an empty one an empty word; repeated rows are
-    tagged each; a model without words gives null tags. Rows meet by a 128-bit key of id and sentence.
+
+def _rare_tags(lists: pa.ListArray) -> dict[str, tuple]:
+    """Tags by word of the lists ``(word, tags)`` of a batch, each word taken once."""
+    flat = lists.flatten()
+    words = flat.field("word").dictionary_encode()
+    _, firsts = np.unique(words.indices.to_numpy(), return_index=True)
+    return {x["word"]: tuple((t["tag"], t["cost"]) for t in x["tags"]) for x in flat.take(pa.array(firsts)).to_pylist()}
+
+
+def tag_sentences(sentences: DataFrame, model: TagModel) -> DataFrame:
+    """``(sentence_id, words, tags)``: each sentence as a row, cut at single spaces, with the most probable tags of the whole.
+
+    Null sentences are left out, an empty one has an empty word; repeated rows
+    are tagged each; a model without words gives null tags. Without words beyond
+    the frequent ones nothing is shuffled. Else the words that are not frequent
+    are joined with the model's, each once a sentence, and those found come back
+    by a 128-bit key of id and sentence.
     """
-    identity = [x for c in ("sentence_id", "sentence") for x in (F.col(c).isNull(), F.col(c))]
-    keyed = sentences.select("sentence_id", F.xxhash64(*identity).alias("k1"), F.xxhash64(F.lit("sentence"), *identity).alias("k2"), "sentence")
-    words = exploded(keyed, ["sentence_id", "k1", "k2"], F.split("sentence", " "), "pos", "word")
-    found = _possible_tags(words, model).select("sentence_id", "k1", "k2", "pos", "word", "tags").repartition("k1", "k2")
-    found = found.withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2", "pos").orderBy(F.lit(1))))
-    key = ["k1", "k2", "copy"]
-    sentence = Window.partitionBy(*key).orderBy("pos")
-    fixed = F.size("tags") == 1
-    placed = found.select(
-        "*",
-        F.coalesce(F.sum(fixed.cast("int")).over(sentence.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("run"),
-        F.lag(F.when(fixed, F.get("tags", F.lit(0))["tag"])).over(sentence).alias("before"),
-        F.lead("pos").over(sentence).isNull().alias("is_last"),
-    )
-    item = F.struct("pos", "word", "tags", "before", "is_last", "sentence_id")
-    runs = placed.groupBy(*key, "run").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    runs = runs.join(F.broadcast(model.chain))
-    path = _best_path("items.tags", "coalesce(items[0].before, size(names))", "items[size(items) - 1].is_last")
-    done = runs.select(F.col("items"), F.col("names"), path.alias("path"))
-    tagged = F.expr("transform(items, (i, k) -> named_struct('sentence_id', i.sentence_id, 'pos', i.pos, 'word', i.word, 'tag', get(names, get(path, k))))")
-    return exploded(done, [], tagged, "i").select("i.*")
+    spark = sentences.sparkSession
+    frequent = [(r["word"], r["tags"]) for r in model.words.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS + 1).collect()]
+    some_rare, frequent = len(frequent) > FREQUENT_WORDS, frequent[:FREQUENT_WORDS]
+    chain = model.chain.first()
+    held = spark.sparkContext.broadcast((chain["names"], chain["costs"], frequent, [(r["shape"], r["tags"]) for r in model.shapes.collect()]))
+    rows = sentences.where(F.col("sentence").isNotNull()).select("sentence_id", "sentence", F.split("sentence", " ").alias("words"))
+
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = pa.array([word for word, _ in held.value[2]], pa.string())
+        for batch in batches:
+            words = batch.column("words")
+            at = np.repeat(np.arange(len(batch)), words.value_lengths().to_numpy())
+            known = words.flatten().dictionary_encode()
+            index = known.indices.to_numpy()
+            new = np.asarray(pa.compute.invert(pa.compute.is_in(known.dictionary, value_set=frequent)))[index]
+            at, index = np.divmod(np.unique(at[new] * len(known.dictionary) + index[new]), max(len(known.dictionary), 1))
+            taken = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column("k1").take(taken), batch.column("k2").take(taken), known.dictionary.take(pa.array(index))], ["k1", "k2", "word"])
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = _Decoder(*held.value)
+        for batch in batches:
+            rare = _rare_tags(batch.column("rare")) if some_rare else {}
+            tags = decoder.tags(batch.column("words"), rare)
+            yield pa.RecordBatch.from_arrays([batch.column("sentence_id"), batch.column("words"), tags], ["sentence_id", "words", "tags"])
+
+    taken = ["sentence_id", "words"]
+    if some_rare:
+        identity = [x for c in ("sentence_id", "sentence") for x in (F.col(c).isNull(), F.col(c))]
+        rows = rows.select("*", F.xxhash64(*identity).alias("k1"), F.xxhash64(F.lit("sentence"), *identity).alias("k2"))
+        asked = rows.select("k1", "k2", "words").mapInArrow(unknown, "k1 long, k2 long, word string")
+        lists = asked.join(model.words.select("word", "tags"), "word").groupBy("k1", "k2").agg(F.collect_set(F.struct("word", "tags")).alias("rare"))
+        rows, taken = rows.join(lists, ["k1", "k2"], "left"), [*taken, "rare"]
+    strings = T.ArrayType(T.StringType())
+    schema = T.StructType([sentences.schema["sentence_id"], T.StructField("words", strings), T.StructField("tags", strings)])
+    return rows.select(*taken).mapInArrow(tag, schema)
+
+
+def tag_in_context(sentences: DataFrame, model: TagModel) -> DataFrame:
+    """``(sentence_id, pos, word, tag)``: a row for each word of :func:`tag_sentences`."""
+    items = F.arrays_zip("words", "tags")
+    return exploded(tag_sentences(sentences, model), ["sentence_id"], items, "pos", "i").select("sentence_id", "pos", F.col("i.words").alias("word"), F.col("i.tags").alias("tag"))

@@ -152,9 +152,13 @@ def _tag_model(spark: SparkSession, sf_dir: str) -> postags.TagModel:
 
 def tag_words_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each untagged sentence with its most probable tags, learned from other, tagged sentences."""
-    words = postags.tag_in_context(corpus.plain_sentences(spark, sf_dir), _tag_model(spark, sf_dir))
-    items = F.array_join(F.sort_array(F.collect_list(F.struct("pos", F.concat_ws("_", "word", "tag").alias("item"))))["item"], " ")
-    return words.groupBy("sentence_id").agg(F.count(F.lit(1)).alias("n_words"), items.alias("tagged"))
+    found = postags.tag_sentences(corpus.plain_sentences(spark, sf_dir), _tag_model(spark, sf_dir))
+    # Sentences of equal ids become one row, with their items in the order of places.
+    rows = found.select("sentence_id", F.zip_with("words", "tags", lambda w, t: F.concat_ws("_", w, t)).alias("items"))
+    placed = F.flatten(F.transform("lists", lambda x: F.transform(x, lambda item, pos: F.struct(pos.alias("pos"), item.alias("item")))))
+    items = F.when(F.size("lists") == 1, F.get("lists", F.lit(0))).otherwise(F.sort_array(placed)["item"])
+    folded = rows.groupBy("sentence_id").agg(F.sum(F.size("items")).alias("n_words"), F.collect_list("items").alias("lists"))
+    return folded.select("sentence_id", "n_words", F.array_join(items, " ").alias("tagged"))
 
 
 def tag_costs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,3 +156,43 @@ def test_very_long_sentence(spark, sentences):
 def test_too_many_tags(spark):
     with pytest.raises(Exception, match="different tags"):
         learned(spark, [f"w_T{i}" for i in range(postags.MOST_TAGS + 1)])
+
+
+def test_rare_words_by_a_join(spark, sentences, monkeypatch):
+    """With two frequent words the tags of the others come by a join, also to repeated rows, and are those of all paths."""
+    monkeypatch.setattr(postags, "FREQUENT_WORDS", 2)
+    chance = random.Random(7)
+    vocabulary = [f"{c}{d}" for c in "abcd" for d in "xyz"]
+    texts = [" ".join(f"{chance.choice(vocabulary)}_{chance.choice('ABC')}" for _ in range(chance.randint(1, 5))) for _ in range(25)] + ["stop_S ._S"]
+    asked = [" ".join(chance.choice([*vocabulary, ".", "stop", "new"]) for _ in range(chance.randint(1, 6))) for _ in range(10)]
+    model = learned(spark, texts)
+    for text, pairs in zip(asked, tagged(sentences, model, *asked), strict=True):
+        assert pairs == list(zip(text.split(" "), every_path(texts, text.split(" "), shapes), strict=True))
+    twice = spark.createDataFrame([("a", "ax bx stop")] * 2 + [("a", "cx")], "sentence_id STRING, sentence STRING")
+    got = postags.tag_sentences(twice, model).collect()
+    assert sorted(r.words for r in got) == [["ax", "bx", "stop"]] * 2 + [["cx"]] and all(None not in r.tags for r in got)
+
+
+def test_sentences_stay_rows(spark, sentences):
+    """Where all words are frequent no word is shuffled; a word for a row took two shuffles before."""
+    found = postags.tag_in_context(sentences("the rose rose .", "they climbed ."), learned(spark, TAGGED))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_run_in_linear_time(spark, sentences):
+    """30,000 words without one of a single tag: their path was copied at every word before."""
+    (got,) = tagged(sentences, learned(spark, TAGGED), " ".join(["rose"] * 30_000))
+    assert len(got) == 30_000 and {t for _, t in got} <= {"NN", "VBD"}
+
+
+def test_items_at_the_last_underscore(spark):
+    texts = ["a_b_X  c_Y _Z d_ e f\n_V g_W\n h\r1_V", "", None, "i_V"]
+    model = learned(spark, texts)
+    assert sorted((r.word, r.n) for r in model.words.collect()) == [("a_b", 1), ("c", 1), ("g", 1), ("i", 1)]
+    assert model.chain.first().names == ["V", "W\n", "X", "Y"]
+
+
+def test_shapes_are_those_of_spark(spark):
+    words = [w + e for w in ("17", "1.5", "abc", "a", "Abc", "ABC", "?!", "x1", "") for e in ("", "\n", "\r", "\r\n", "\n\n", " ", "\u0085b", "\n\r")]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", postags.shape_of("w").alias("s")).collect()
+    assert [(r.w, postags._shapes(r.w)[0]) for r in rows] == [(r.w, r.s) for r in rows]
