@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from pairloom.functions.tagged import bare, bind, exploded, sentence_list, space
 
 #: How often an abbreviation is before a full stop, and the least score of one.
 OWN_STOP, LEAST_SCORE = 0.99, 0.3
+#: A dictionary of up to so many names is known to every task; a larger one is joined.
+HELD_NAMES = 100_000
 
 
 def clean_newlines(articles: DataFrame) -> DataFrame:
@@ -103,20 +108,90 @@ def _render(sentence: str, hits: str) -> Column:
     return F.expr(f"if(size({hits}) = 0, {sentence}, {whole})")
 
 
+class _Tagger:
+    """Wraps the names of a dictionary in many sentences at a time."""
+
+    def __init__(self, names: list[tuple[str, str]]) -> None:
+        by_length: dict[int, list[tuple[str, str]]] = {}
+        for name, tag in names:
+            by_length.setdefault(name.count(" ") + 1, []).append((name, tag))
+        strings = lambda items: pa.array(items, pa.string())
+        self.tags = sorted({tag for _, tag in names})
+        code = {tag: i for i, tag in enumerate(self.tags)}
+        # of each length the names, their tags, and the words that they begin and end with
+        self.names = {n: (strings([x for x, _ in held]), np.array([code[t] for _, t in held]), strings([x.split(" ", 1)[0] for x, _ in held]), strings([x.rsplit(" ", 1)[-1] for x, _ in held])) for n, held in by_length.items()}
+        self.open, self.close = (strings([f"<{mark}{t}>" for t in self.tags] + [""]) for mark in ("", "/"))
+
+    def _hits(self, flat: pa.Array, owner: np.ndarray) -> list[tuple[int, int, int]]:
+        """``(start, minus length, tag)`` of all names among the words of all sentences."""
+        known = flat.dictionary_encode()
+        index = known.indices.to_numpy()
+        hits = []
+        for n, (names, tags, firsts, lasts) in self.names.items():
+            begin, end = (np.asarray(pa.compute.is_in(known.dictionary, value_set=x))[index] for x in (firsts, lasts))
+            at = np.flatnonzero(begin[: max(len(index) - n + 1, 0)] & end[n - 1 :])
+            at = at[owner[at] == owner[at + n - 1]]
+            runs = flat.take(pa.array(at)) if n == 1 else pa.compute.binary_join_element_wise(*(flat.take(pa.array(at + i)) for i in range(n)), " ")
+            found = pa.compute.fill_null(pa.compute.index_in(runs, value_set=names), -1).to_numpy()
+            here = found >= 0
+            hits += zip(at[here].tolist(), [-n] * int(here.sum()), tags[found[here]].tolist(), strict=True)
+        return hits
+
+    def tagged(self, sentences: pa.Array) -> pa.Array:
+        """The sentences with their names wrapped, leftmost longest: a tag opens before the first word of a name and closes after its last."""
+        lists = pa.compute.split_pattern(pa.compute.fill_null(sentences, ""), " ")
+        lengths = lists.value_lengths().to_numpy()
+        flat = lists.flatten()
+        before, after = (np.full(len(flat), len(self.tags)) for _ in range(2))
+        free = 0
+        for start, minus, tag in sorted(self._hits(flat, np.repeat(np.arange(len(lists)), lengths))):
+            if start >= free:
+                free = start - minus
+                before[start] = after[free - 1] = tag
+        words = pa.compute.binary_join_element_wise(self.open.take(pa.array(before)), flat, self.close.take(pa.array(after)), "")
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+        whole = pa.compute.binary_join(pa.ListArray.from_arrays(offsets, words), " ")
+        return pa.compute.if_else(pa.compute.is_valid(sentences), whole, pa.scalar(None, pa.string()))
+
+
+def _tag_by_held(sentences: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    """:func:`tag_entities` where every task knows the dictionary: nothing is shuffled."""
+    held = sentences.sparkSession.sparkContext.broadcast(names)
+    at = sentences.columns.index("sentence")
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = _Tagger(held.value)
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = tagger.tagged(columns[at])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return sentences.mapInArrow(tag, sentences.schema)
+
+
 def tag_entities(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Wrap every dictionary name in a sentence in its tag, leftmost longest on whole tokens.
 
     ``gazetteer`` is ``(name, tag)``; of two tags for a name the first in order
-    counts. All columns but ``sentence`` pass through. The token runs of each
-    row are joined with the dictionary (the optimizer broadcasts a small one),
+    counts. All columns but ``sentence`` pass through. A dictionary of up to
+    ``HELD_NAMES`` names is known to every task, and rows stay where they are.
+    Of a larger one, the token runs of each row are joined with the dictionary,
     and only the hits, and each row once, are brought together by a 128-bit row
     key. Equal rows fold into one with a count on the map side.
     """
     names = gazetteer.groupBy("name").agg(F.min("tag").alias("tag"))
-    # One row: the distinct name lengths, in tokens.
-    lengths = names.agg(F.sort_array(F.collect_set(F.size(F.split("name", " "))))).first()[0]
-    if not lengths:
+    held = names.where("name IS NOT NULL AND tag IS NOT NULL").limit(HELD_NAMES + 1).collect()
+    if not held:
         return sentences
+    if len(held) <= HELD_NAMES:
+        return _tag_by_held(sentences, [(r["name"], r["tag"]) for r in held])
+    return _tag_by_join(sentences, names)
+
+
+def _tag_by_join(sentences: DataFrame, names: DataFrame) -> DataFrame:
+    """:func:`tag_entities` by joins, whatever the size of the dictionary."""
+    # One row: the distinct name lengths, in tokens.
+    lengths = names.where("name IS NOT NULL").agg(F.sort_array(F.collect_set(F.size(F.split("name", " "))))).first()[0]
     columns = sentences.columns
     identity = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
     key = [F.xxhash64(*identity).alias("k1"), F.xxhash64(F.lit("row"), *identity).alias("k2")]

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.operators import prepare
 from pairloom.sources import parse_articles
@@ -158,3 +159,25 @@ def test_rows_without_a_sentence_stay(spark):
     names = spark.createDataFrame([("Acme", "ORGANIZATION")], "name STRING, tag STRING")
     got = dict(tuple(r) for r in tag_entities(rows, names).collect())
     assert got == {"a": None, "b": "<ORGANIZATION>Acme</ORGANIZATION> here"}
+
+
+def test_held_and_joined_dictionaries_agree(spark):
+    """Names of one to three words that overlap, blanks, empty and null sentences, repeated rows."""
+    chance = random.Random(3)
+    words = ["a", "b", "c", "d", "", "é", "a.b"]
+    texts = [" ".join(chance.choice(words) for _ in range(chance.randint(0, 9))) for _ in range(200)] + [None, "", " ", "a b c a b"]
+    rows = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts * 2)], "id INT, sentence STRING")
+    names = [("a", "X"), ("a", "W"), ("a b", "Y"), ("b c a", "Z"), ("c", "X"), ("é d", "Y"), ("", "E"), (None, "N"), ("d", None)]
+    gazetteer = spark.createDataFrame(names, "name STRING, tag STRING")
+    held = prepare.tag_entities(rows, gazetteer)
+    joined = prepare._tag_by_join(rows, gazetteer.groupBy("name").agg(F.min("tag").alias("tag")))
+    assert held.schema == rows.schema
+    assert sorted(map(str, held.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_rows_stay_where_they_are(spark, sentences):
+    """With a dictionary that a task can hold nothing is shuffled; every word run of every sentence was before."""
+    gazetteer = spark.createDataFrame([("a b", "X")], "name STRING, tag STRING")
+    found = prepare.tag_entities(sentences("a b c"), gazetteer)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.sentence for r in found.collect()] == ["<X>a b</X> c"]
