@@ -32,6 +32,8 @@ from pairloom.llm.common import column, slices, staged
 BATCH_ROWS = 256
 #: Different words whose ids a worker remembers.
 REMEMBERED = 900_000
+#: New words that are encoded as one text.
+TOGETHER = 256
 #: White space beside a space: such a text is encoded in one piece.
 _RUN = re.compile(r" \s|\s ")
 FILES = "part int, file string, n_docs long, n_tokens long, n_sequences long"
@@ -53,7 +55,8 @@ class PieceEncoder:
     """Encodes texts with a byte-level BPE tokenizer, each different word once.
 
     Its splitting into words never joins a single space to what is before it, so a text may be cut there, and the pieces' ids
-    put together are those of the text.
+    put together are those of the text. For the same reason new words are encoded many at a time, and their ids are cut before
+    the tokens that begin with a space; where there is not one such token for each word, the words are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -61,11 +64,29 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        # of a byte-level vocabulary, which writes a space as this letter
+        self.spaced = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.spaced[[n for token, n in vocabulary.items() if token.startswith("\u0120")]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.words, self.flat, self.sizes = _Words(), array("I"), array("q")
 
+    def _learn(self, pending: list[str]) -> None:
+        """Keep the ids of new words, each with the space before it."""
+        groups = [pending[i : i + TOGETHER] for i in range(0, len(pending), TOGETHER)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(x) for x in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) == len(group) and first[0] == 0:
+                self.flat.frombytes(ids.tobytes())
+                self.sizes.frombytes(np.diff(first, append=len(ids)).astype(np.int64).tobytes())
+                continue
+            for alone in self.tokenizer.encode_batch_fast(group, add_special_tokens=False):
+                self.flat.extend(alone.ids)
+                self.sizes.append(len(alone.ids))
+
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text starts (and the last one ends)."""
         if len(self.words) > REMEMBERED:
@@ -81,9 +102,7 @@ class PieceEncoder:
             pieces.extend(map(number, rest))
             pieces.append(-1)
             ends.append(len(pieces))
-        for found in self.tokenizer.encode_batch_fast(self.words.pending, add_special_tokens=False):
-            self.flat.extend(found.ids)
-            self.sizes.append(len(found.ids))
+        self._learn(self.words.pending)
         self.words.pending.clear()
         known = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
         known_sizes = np.frombuffer(self.sizes, np.int64) if len(self.sizes) else np.zeros(0, np.int64)

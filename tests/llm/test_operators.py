@@ -204,6 +204,28 @@ def test_token_files_round_trip(spark):
     assert tokens.read_documents(empty).count() == 0
 
 
+def test_new_words_are_encoded_together():
+    from public_tokenizers import path
+
+    encoder = tokens.PieceEncoder(path("byte_bpe_50k.json"))
+    given = []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    plain, encoder.tokenizer = encoder.tokenizer, Counted(encoder.tokenizer)
+    many = " ".join(f"w{i} x{i}.\ny{i}" for i in range(1000))
+    texts = [many, "", " ", "a ", "a b\t", "\t a", "it's <|endoftext|> a<|endoftext|> b", "\u00e9t\u00e9 \u4e2d\u00a0 x\u3000y \U0001f600 z", "end\n\n", many]
+    ids, at = encoder.encode(texts, 2)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+    assert len(given) < 600
+
+
 def test_top_products_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BUCKET_ROWS", 16)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
