@@ -71,12 +71,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts have about SLICE_BYTES together."""
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about `most` bytes together."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), np.int64)
     total, start = 0, 0
     for row, size in enumerate(sizes):
-        if row > start and total + size > SLICE_BYTES:
+        if row > start and total + size > most:
             yield batch.slice(start, row - start)
             total, start = 0, row
         total += size

@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import SLICE_BYTES, column, mixed, slices, span_hashes, staged, text_bytes, word_hashes, words
+from pairloom.llm.common import column, mixed, slices, span_hashes, staged, text_bytes, word_hashes, words
 
 WINDOW, SEED = 13, 5
+#: Bytes of text that are taken at a time: their hashes are arrays of eight times this, several at once.
+PIECE_BYTES = 1 << 18
 #: Rows that a task gathers before it sends what is left of them.
-GATHERED = 1 << 18
+GATHERED = 1 << 17
 #: What is known of a row: nothing, that its anchor is shared, that its windows are repeated.
 OPEN, SHARED, REPEATED = 0, 1, 2
 _ODD = np.random.default_rng(11).integers(1, 2**62, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,7 +150,7 @@ def seeds(docs: DataFrame) -> DataFrame:
             return whole
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PIECE_BYTES):
                 # of a slice at a time, since it copies the texts
                 piece = piece.filter(piece.column("doc").is_valid())
                 if not piece.num_rows:
@@ -193,7 +195,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PIECE_BYTES):
                 texts = [(x or "").encode() for x in piece.column("text").to_pylist()]
                 zipped = pa.array([codec.compress(x, asbytes=True) if x else b"" for x in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column("doc"), piece.column("part"), pa.array([len(x) for x in texts], pa.int64()), zipped], ["doc", "part", "size", "zipped"])
@@ -208,12 +210,12 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
 
 
 def _unzipped(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch that have about SLICE_BYTES of text together, as `text`; a longer text is taken alone."""
+    """Parts of a batch that have about PIECE_BYTES of text together, as `text`; a longer text is taken alone."""
     ends = np.cumsum(np.asarray(batch.column("size")))
     start = 0
     while start < len(ends):
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + PIECE_BYTES, side="right")))
         piece = batch.slice(start, stop - start)
         yield piece.append_column("text", pa.array(list(_texts(piece)), pa.binary()))
         start = stop

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +223,23 @@ def test_slices_without_a_key_send_nothing(spark):
     text = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(None, 0, "x " * (3 << 20)), (1, 0, text), (2, 0, text)], "doc long, part int, text string").coalesce(1)
     assert sorted({r.doc for r in substring.seeds(docs).collect()}) == [1, 2]
+
+
+def test_a_task_of_seeds_holds_arrays_of_few_texts():
+    """The hashes of a batch's words are never in memory together, nor those of a large part of it."""
+
+    class Rows:
+        def mapInArrow(self, run, _):
+            return run
+
+    chance = np.random.default_rng(5)
+    texts = [" ".join(map(str, chance.integers(0, 10**6, 2000))) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array([0] * 600, pa.int32()), pa.array(texts)], ["doc", "part", "text"])
+    run = substring.seeds(Rows())
+    list(run(iter([batch.slice(0, 20)])))  # tables that are kept
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in run(iter([batch])))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows > 200_000
+    assert peak < 35e6
