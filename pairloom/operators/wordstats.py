@@ -26,9 +26,10 @@ def word_tags(items: DataFrame, strict: bool = False) -> DataFrame:
 
     An item without a second piece fails the job in strict mode and is left out otherwise.
     """
-    has_tag = F.col("item").rlike(r"_[^_]")
-    pieces = F.split("item", "_")
-    word, tag = F.get(pieces, F.lit(0)), F.get(pieces, F.lit(1))
+    # An underscore before another character; pieces are found in the bytes, since a regular expression makes strings of every item.
+    has_tag = F.contains(F.rtrim("item", F.lit("_")), F.lit("_"))
+    word = F.substring_index("item", "_", 1)
+    tag = F.substring_index(F.substring_index("item", "_", 2), "_", -1)
     if strict:
         broken = F.raise_error(F.concat(F.lit("item without a tag: "), F.col("item"))).cast("string")
         return items.select(

@@ -64,7 +64,8 @@ def _document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tagged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document word as ``lowercase_SHAPE``, in one text per sentence."""
-    tag = corpus.SHAPE_TAG.format(like="regexp_like")
+    # The shapes exclude one another, so the most frequent one is looked for first.
+    tag = f"if(regexp_like(w, '^[a-z]+$'), 'NN', {corpus.SHAPE_TAG.format(like='regexp_like')})"
     items = F.expr(f"array_join(transform(split(sentence, ' '), w -> concat(lower(w), '_', {tag})), ' ')")
     return _document_sentences(spark, sf_dir).select(items.alias("text"))
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from pairloom.operators import wordstats
@@ -39,3 +41,12 @@ def test_top_k_sorts_only_k_rows(spark):
     per_word = wordstats.tags_per_word(wordstats.word_tags(items(spark, "a_X")))
     plan = wordstats.most_ambiguous_words(per_word)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_word_tags_of_odd_items_without_regular_expressions(spark):
+    items = [None, "", "_", "__", "a", "a_", "_a", "a_b", "a_b_", "a__b", "a_b_c", "_\n", "\n_", "a_\u00e9", "\u4e2d_x_y"]
+    found = wordstats.word_tags(spark.createDataFrame([(x,) for x in items], "item string"))
+    expected = [tuple(x.split("_")[:2]) for x in items if x and re.search("_[^_]", x)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "split(" not in plan
