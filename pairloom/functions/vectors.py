@@ -72,15 +72,15 @@ def lookup(vector: str) -> Column:
     return F.expr(f"map_from_entries({vector})")
 
 
-def _part_score(vector: str, weights: str, norm: str, damped: bool) -> str:
+def _part_score(vector: str, weights: str, norm: str, damped: bool, own: str | None = None) -> str:
     found = f"coalesce(try_element_at({weights}, x.token), 0D)"
     dot = f"aggregate({vector}, 0D, (acc, x) -> acc + x.weight * {found})"
     if damped:
         # The right-hand score counts the weights of shared tokens twice in the centroid's norm.
         damped_norm = f"({norm} + aggregate({vector}, 0D, (acc, x) -> acc + pow({found}, 2)))"
-    score = f"try_divide({dot}, sqrt({damped_norm if damped else norm}) * sqrt({_squared_norm(vector)}))"
+    score = f"try_divide({dot}, sqrt({damped_norm if damped else norm}) * sqrt({own or _squared_norm(vector)}))"
     # The norm tells an empty part: the map may hold the shared tokens only.
-    return f"if(size({vector}) = 0 AND {norm} = 0, 0D, {score})"
+    return f"if({f'{own} = 0' if own else f'size({vector}) = 0'} AND {norm} = 0, 0D, {score})"
 
 
 def degree_of_match(
@@ -91,6 +91,7 @@ def degree_of_match(
     centroid_norms: tuple[str, str, str],
     params: Params = Params(),
     at_least: float = 0.0,
+    own_norms: tuple[str, str, str] | None = None,
 ) -> Column:
     """Similarity of a context with a centroid, in [0, 1].
 
@@ -100,13 +101,15 @@ def degree_of_match(
     pass every threshold) if one side has an empty context where the other has
     none, so such a pair can never match.
 
+    ``own_norms`` are the context's :func:`squared_norm` values where its vectors hold some of their tokens only.
+
     Similarities below ``at_least`` may come out as NULL: the middle and left
     scores are taken first, and the rest is skipped where even full marks for it
     would not do.
     """
     left, middle, right = (
-        _part_score(v, m, n, damped=(i == 2 and not params.plain_cosine))
-        for i, (v, m, n) in enumerate(zip(vectors, centroid_maps, centroid_norms))
+        _part_score(v, m, n, damped=(i == 2 and not params.plain_cosine), own=o)
+        for i, (v, m, n, o) in enumerate(zip(vectors, centroid_maps, centroid_norms, own_norms or (None,) * 3))
     )
     left_most, _, right_most = params.part_ceilings()
     needed = 3 * at_least - SLACK

@@ -23,6 +23,8 @@ from pairloom.staging import stage
 
 _MEETING = ["left_tag", "signature", "feature"]
 _GROUP = ["left_tag", "signature"]
+#: Squared lengths of the parts of a context, in a table whose vectors may hold some of their tokens only.
+OWN = tuple(f"own_{p}" for p in PARTS)
 
 #: About as many contexts and patterns in a block of the product, and copies of a pattern block for tasks to share a group.
 CONTEXT_BLOCK, PATTERN_BLOCK, SHARES = 1024, 256, 16
@@ -30,13 +32,20 @@ CONTEXT_BLOCK, PATTERN_BLOCK, SHARES = 1024, 256, 16
 WIDE = 64
 
 
+def with_norms(df: DataFrame) -> DataFrame:
+    """Add signature and squared lengths of the parts; a table that brings them, since its vectors lack tokens, stays as it is."""
+    if OWN[0] in df.columns:
+        return df
+    return df.select("*", signature().alias("signature"), *(squared_norm(p).alias(o) for p, o in zip(PARTS, OWN)))
+
+
 def _units(df: DataFrame, kept: list[str]) -> DataFrame:
     """One row per token: ``kept``, left_tag, signature, part, feature and ``unit``, the weight over the length of its part."""
     items = ", ".join(
-        f"transform({p}, x -> named_struct('part', '{p}', 'feature', concat('{p[0]}:', x.token), 'unit', x.weight / sqrt({p}_norm)))"
-        for p in PARTS
+        f"transform({p}, x -> named_struct('part', '{p}', 'feature', concat('{p[0]}:', x.token), 'unit', x.weight / sqrt({o})))"
+        for p, o in zip(PARTS, OWN)
     )
-    normed = df.select(*kept, "left_tag", signature().alias("signature"), *PARTS, *(squared_norm(p).alias(f"{p}_norm") for p in PARTS))
+    normed = with_norms(df).select(*kept, *_GROUP, *PARTS, *OWN)
     carried = [*kept, "left_tag", "signature"]
     listed = normed.select(*carried, F.explode_outer(F.expr(f"concat({items})")).alias("x"))
     return listed.select(*carried, "x.*").where(F.col("feature").isNotNull())
@@ -127,15 +136,27 @@ def match_contexts(
 
     ``index`` is the :func:`pattern_index` of ``patterns`` at this threshold;
     whether a pattern is wide is asked once, so ``patterns`` should be staged.
+    Tables of contexts and patterns that lack tokens bring the columns of :func:`with_norms`, both or none.
     """
-    kept = [c for c in contexts.columns if c not in (*PARTS, "left_tag")]
-    pairs = _candidates(contexts, index, threshold, params, kept, key)
+    kept = [c for c in contexts.columns if c not in (*PARTS, *_GROUP, *OWN)]
+    scored = score_pairs(_candidates(contexts, index, threshold, params, kept, key), contexts, patterns, threshold, params, key)
+    reached = F.col("similarity") > threshold if strict else F.col("similarity") >= threshold
+    return scored.where(reached)
+
+
+def score_pairs(pairs: DataFrame, contexts: DataFrame, patterns: DataFrame, threshold: float, params: Params = Params(), key: str = "pattern_id") -> DataFrame:
+    """``pairs``, of columns that name a context and ``key``, with ``similarity``; below ``threshold`` it may be NULL.
+
+    Pairs with a wide pattern that share no token are left out.
+    """
+    kept = [c for c in pairs.columns if c != key]
+    own = OWN if OWN[0] in contexts.columns else None
     wide = F.greatest(*(F.size(p) for p in PARTS)) > WIDE
     wide_patterns = patterns.where(wide)
     some_wide = wide_patterns.first() is not None
     if some_wide:
         pairs, patterns = stage(pairs, "candidates"), patterns.where(~wide)
-    norms = [squared_norm(p).alias(f"{p}_norm") for p in PARTS]
+    norms = [(F.col(o) if own else squared_norm(p)).alias(f"{p}_norm") for p, o in zip(PARTS, OWN)]
     tagged = [key, F.col("left_tag").alias("pattern_tag")]
     maps = [lookup(p).alias(f"{p}_map") for p in PARTS]
     joined = pairs.join(patterns.select(*tagged, *maps, *norms), key).join(contexts, kept)
@@ -152,11 +173,10 @@ def match_contexts(
         tuple(f"{p}_norm" for p in PARTS),
         params,
         at_least=threshold,
+        own_norms=own,
     )
     # Exploding a list of one keeps the filter above the score, which is then computed once per candidate.
-    scored = joined.select(*kept, key, F.explode_outer(F.array(similarity)).alias("similarity"))
-    reached = F.col("similarity") > threshold if strict else F.col("similarity") >= threshold
-    return scored.where(reached)
+    return joined.select(*kept, key, F.explode_outer(F.array(similarity)).alias("similarity"))
 
 
 def _postings(df: DataFrame, kept: list[str], prefix: str) -> DataFrame:

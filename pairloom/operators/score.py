@@ -1,7 +1,7 @@
 """Pattern confidence, tuple confidence and new seeds.
 
 ``mentioned`` is the counted segment table of :func:`pairloom.operators.segments.mentions`,
-``matches`` is ``(c1, c2, pattern_id, similarity)``; ``hot`` lists frequent organizations and contexts
+``matches`` is ``(c1, c2, pattern_id, similarity)``, or for supports and best patterns also folded; ``hot`` lists frequent organizations and contexts
 (:func:`pairloom.operators.hot.hot_keys` over ``org`` and ``c1``), whose rows joins deal to several tasks.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import bucket_of
+from pairloom.operators.folded import FoldedMatches, best_candidates, folded_support
 from pairloom.operators.hot import spread_join
 from pairloom.operators.segments import CONTEXT_KEY, seed_counts
 from pairloom.params import Params
@@ -52,8 +53,10 @@ def added_labels(before: DataFrame, change: DataFrame) -> DataFrame:
     return before.unionByName(change).groupBy(*CONTEXT_KEY).agg(*sums).where("positives + negatives > 0")
 
 
-def pattern_support(matches: DataFrame, labels: DataFrame) -> DataFrame:
+def pattern_support(matches: DataFrame | FoldedMatches, labels: DataFrame) -> DataFrame:
     """``(pattern_id, positives, negatives)``; patterns without a known organization drop out."""
+    if isinstance(matches, FoldedMatches):
+        return folded_support(matches, labels)
     return (
         matches.select(*CONTEXT_KEY, "pattern_id")
         .join(labels, CONTEXT_KEY)
@@ -67,8 +70,10 @@ def pattern_confidence(support: DataFrame) -> DataFrame:
     return support.withColumn("confidence", F.col("positives") / (F.col("positives") + F.col("negatives")))
 
 
-def best_pattern(matches: DataFrame) -> DataFrame:
+def best_pattern(matches: DataFrame | FoldedMatches) -> DataFrame:
     """Per context the most similar pattern; a tie goes to the lowest id."""
+    if isinstance(matches, FoldedMatches):
+        matches = best_candidates(matches)
     best = F.max(F.struct("similarity", (-F.col("pattern_id")).alias("minus_id"))).alias("best")
     return matches.groupBy(*CONTEXT_KEY).agg(best).select(
         *CONTEXT_KEY, (-F.col("best.minus_id")).alias("pattern_id"), "best.similarity"

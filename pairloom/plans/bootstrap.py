@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import PARTS
 from pairloom.operators.cluster import cluster_patterns, final_patterns
+from pairloom.operators.folded import FoldedMatches, fold_matches
 from pairloom.operators.hot import hot_keys
 from pairloom.operators.match import match_contexts, pattern_index, similarity_counts
 from pairloom.operators.score import (
@@ -32,6 +33,8 @@ from pairloom.params import Params
 from pairloom.staging import measured_stage, stage
 
 METRICS = ["raw_patterns", "centroids", "final_patterns", "text_segments", "candidates", "new_seeds", "total_seeds"]
+#: Exact rounds with more patterns than this match classes of contexts; with fewer, a context has no more matches than that.
+FOLD_BEYOND = 128
 METRICS_SCHEMA = "iteration INT, " + ", ".join(f"{m} BIGINT" for m in METRICS) + ", seconds DOUBLE"
 
 
@@ -108,9 +111,17 @@ class Round:
         found = match_contexts(self.corpus.contexts, fresh, index, threshold, self.params)
         return stage(found if known is None else found.unionByName(known.select(found.columns)), "matches")
 
+    @cached_property
+    def folded(self) -> DataFrame | FoldedMatches:
+        """The matches, in exact mode without a row for each: there patterns are contexts, so alike ones grow with their product."""
+        patterns = self.patterns
+        if self.params.cluster_mode != "exact" or self._sums["final_patterns"] <= FOLD_BEYOND:
+            return self.matches
+        return fold_matches(self.corpus.contexts, patterns, self.params.degree_of_match_threshold, self.params)
+
     @cached_property
     def support(self) -> DataFrame:
-        return pattern_support(self.matches, self.labels)
+        return pattern_support(self.folded, self.labels)
 
     @cached_property
     def confidence(self) -> DataFrame:
@@ -118,7 +129,7 @@ class Round:
 
     @cached_property
     def best(self) -> DataFrame:
-        return best_pattern(self.matches)
+        return best_pattern(self.folded)
 
     @cached_property
     def candidates(self) -> DataFrame:
