@@ -5,14 +5,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.tagged import bare_tokens_sql, bind, entity_names, exploded, marked_sites_sql, marked_tokens_sql, sites_sql, tagged_tokens
 from pairloom.functions.vectors import context_vector
+from pairloom.operators import cutting
+from pairloom.operators.cutting import WINDOW_COLUMNS, cut_sentences
 from pairloom.operators.hot import spread_join
 from pairloom.params import Params
 
+# The cutting travels with its tasks, so workers need no installed copy of it.
+cloudpickle.register_pickle_by_value(cutting)
+
 CONTEXT_KEY = ["c1", "c2"]
 WINDOWS = ["left_tag", "lw", "mw", "rw"]
 
@@ -97,6 +106,25 @@ def context_windows(sentences: DataFrame, params: Params = Params()) -> DataFram
     )
 
 
+def sorted_windows(sentences: DataFrame, params: Params = Params()) -> DataFrame:
+    """``(org, loc, left_tag, windows, occurrences)`` of :func:`context_windows`, a batch of sentences at a time; see :func:`window_lists`."""
+    tags, width, reach = params.entity_tags, params.window_size, params.max_distance
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(cut_sentences(batch.column(0), tags, width, reach), WINDOW_COLUMNS)
+
+    return sentences.select("sentence").mapInArrow(cut, "org STRING, loc STRING, left_tag STRING, windows STRING, occurrences BIGINT")
+
+
+def window_lists(joined: DataFrame) -> DataFrame:
+    """Replace ``windows`` by the sorted lists ``lw, mw, rw``."""
+    kept = [c for c in joined.columns if c != "windows"]
+    listed = lambda i: F.expr(f"if(get(parts, {i}) = '', CAST(array() AS ARRAY<STRING>), split(get(parts, {i}), '\u0001'))")
+    cut = joined.select(*kept, F.split("windows", "\u0002").alias("parts"))
+    return cut.select(*kept, *(listed(i).alias(w) for i, w in enumerate(("lw", "mw", "rw"))))
+
+
 def with_vectors(windows: DataFrame) -> DataFrame:
     """Replace the token windows ``lw, mw, rw`` by context vectors ``lc, mc, rc``."""
     kept = [c for c in windows.columns if c not in ("lw", "mw", "rw")]
@@ -118,16 +146,11 @@ def mentions(sentences: DataFrame, params: Params = Params()) -> DataFrame:
     128-bit key ``c1, c2`` names the context; sizes enter it so that no two
     splits of the same tokens share a key.
     """
-    sorted_windows = context_windows(filter_by_tags(sentences, params), params).select(
-        "org",
-        "loc",
-        "left_tag",
-        *(F.sort_array(w).alias(w) for w in ("lw", "mw", "rw")),
-        "occurrences",
-    )
-    counted = sorted_windows.groupBy("org", "loc", *WINDOWS).agg(
+    windows = sorted_windows(filter_by_tags(sentences, params), params)
+    counted = windows.groupBy("org", "loc", "left_tag", "windows").agg(
         F.count(F.lit(1)).alias("n"), F.sum("occurrences").alias("weight")
     )
+    counted = window_lists(counted).select("org", "loc", *WINDOWS, "n", "weight")
     identity = ["left_tag", F.size("lw"), "lw", F.size("mw"), "mw", F.size("rw"), "rw"]
     return counted.withColumns(
         {"c1": F.xxhash64(*identity), "c2": F.xxhash64(F.lit("context"), *identity)}
