@@ -29,7 +29,9 @@ WINDOWS = ["left_tag", "lw", "mw", "rw"]
 def filter_by_tags(sentences: DataFrame, params: Params = Params()) -> DataFrame:
     """Sentences that contain both tag names as plain substrings."""
     first, second = params.entity_tags
-    return sentences.where(F.contains("sentence", F.lit(first)) & F.contains("sentence", F.lit(second)))
+    # Exploding a list of one keeps the filter above the text: below, a sentence that is rendered would be rendered for every test.
+    once = sentences.withColumn("sentence", F.explode_outer(F.array("sentence")))
+    return once.where(F.contains("sentence", F.lit(first)) & F.contains("sentence", F.lit(second)))
 
 
 def org_sentences(sentences: DataFrame, params: Params = Params()) -> DataFrame:

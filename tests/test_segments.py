@@ -132,3 +132,13 @@ def test_marked_tokens_are_the_tagged_tokens(spark, sentences):
         whole = F.expr(bind(tokens_sql("sentence"), "t", f"named_struct('w', t.text, 's', {sites_sql('t', tag)})"))
         rows = df.select(marked.alias("m"), whole.alias("t")).collect()
         assert [r.m for r in rows] == [r.t for r in rows] and any(r.m.s for r in rows)
+
+
+def test_a_rendered_sentence_is_rendered_once(spark):
+    """Testing for tags does not compute the text anew."""
+    rendered = spark.range(20).select(F.expr("CAST(id AS STRING)").alias("sentence_id"), F.expr("concat(repeat('LOCATION ', CAST(id % 2 AS INT)), 'ORGANIZATION')").alias("sentence"))
+    kept = segments.filter_by_tags(rendered)
+    assert kept.columns == rendered.columns and kept.count() == 10
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("repeat(") == 1
+    nothing = spark.createDataFrame([("a", None)], rendered.schema)
+    assert segments.filter_by_tags(nothing).count() == 0
