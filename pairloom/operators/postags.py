@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom.functions.tagged import exploded
+from pairloom.operators.lookup import sentence_rows, split_words, with_answers
 from pairloom.staging import stage
 
 #: Costs are whole numbers of this part of a natural logarithm.
@@ -226,51 +227,47 @@ def _rare_tags(lists: pa.ListArray) -> dict[str, tuple]:
     return {x["word"]: tuple((t["tag"], t["cost"]) for t in x["tags"]) for x in flat.take(pa.array(firsts)).to_pylist()}
 
 
-def tag_sentences(sentences: DataFrame, model: TagModel) -> DataFrame:
+def tag_sentences(sentences: DataFrame, model: TagModel, folded: bool = False) -> DataFrame:
     """``(sentence_id, words, tags)``: each sentence as a row, cut at single spaces, with the most probable tags of the whole.
 
     Null sentences are left out, an empty one has an empty word; repeated rows
     are tagged each; a model without words gives null tags. Without words beyond
     the frequent ones nothing is shuffled. Else the words that are not frequent
     are joined with the model's, each once a sentence, and those found come back
-    by a 128-bit key of id and sentence.
+    to the sentence by a 64-bit key; see :mod:`pairloom.operators.lookup`.
+
+    ``folded``: ``(sentence_id, tagged)``, a row for each id with a list of the
+    words and tags of its sentences. These are brought together before they are
+    tagged, when a row is its text.
     """
     spark = sentences.sparkSession
     frequent = [(r["word"], r["tags"]) for r in model.words.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS + 1).collect()]
     some_rare, frequent = len(frequent) > FREQUENT_WORDS, frequent[:FREQUENT_WORDS]
     chain = model.chain.first()
-    held = spark.sparkContext.broadcast((chain["names"], chain["costs"], frequent, [(r["shape"], r["tags"]) for r in model.shapes.collect()]))
-    rows = sentences.where(F.col("sentence").isNotNull()).select("sentence_id", "sentence", F.split("sentence", " ").alias("words"))
-
-    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = pa.array([word for word, _ in held.value[2]], pa.string())
-        for batch in batches:
-            words = batch.column("words")
-            at = np.repeat(np.arange(len(batch)), words.value_lengths().to_numpy())
-            known = words.flatten().dictionary_encode()
-            index = known.indices.to_numpy()
-            new = np.asarray(pa.compute.invert(pa.compute.is_in(known.dictionary, value_set=frequent)))[index]
-            at, index = np.divmod(np.unique(at[new] * len(known.dictionary) + index[new]), max(len(known.dictionary), 1))
-            taken = pa.array(at)
-            yield pa.RecordBatch.from_arrays([batch.column("k1").take(taken), batch.column("k2").take(taken), known.dictionary.take(pa.array(index))], ["k1", "k2", "word"])
+    parts = ([tags for _, tags in frequent], chain["names"], chain["costs"], [(r["shape"], r["tags"]) for r in model.shapes.collect()])
+    held = spark.sparkContext.broadcast((pa.array([word for word, _ in frequent], pa.string()), *parts))
+    rows = sentence_rows(sentences, folded)
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _Decoder(*held.value)
+        known, of_known, names, costs, shapes = held.value
+        decoder = _Decoder(names, costs, zip(known.to_pylist(), of_known, strict=True), shapes)
         for batch in batches:
-            rare = _rare_tags(batch.column("rare")) if some_rare else {}
-            tags = decoder.tags(batch.column("words"), rare)
-            yield pa.RecordBatch.from_arrays([batch.column("sentence_id"), batch.column("words"), tags], ["sentence_id", "words", "tags"])
+            rare = _rare_tags(batch.column("answers")) if some_rare else {}
+            lists = batch.column("sentences")
+            words = split_words(lists)
+            columns = [words, decoder.tags(words, rare)]
+            if folded:
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), pa.int32())
+                columns = [pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["words", "tags"]))]
+            yield pa.RecordBatch.from_arrays([batch.column("sentence_id"), *columns], schema.names)
 
-    taken = ["sentence_id", "words"]
     if some_rare:
-        identity = [x for c in ("sentence_id", "sentence") for x in (F.col(c).isNull(), F.col(c))]
-        rows = rows.select("*", F.xxhash64(*identity).alias("k1"), F.xxhash64(F.lit("sentence"), *identity).alias("k2"))
-        asked = rows.select("k1", "k2", "words").mapInArrow(unknown, "k1 long, k2 long, word string")
-        lists = asked.join(model.words.select("word", "tags"), "word").groupBy("k1", "k2").agg(F.collect_set(F.struct("word", "tags")).alias("rare"))
-        rows, taken = rows.join(lists, ["k1", "k2"], "left"), [*taken, "rare"]
-    strings = T.ArrayType(T.StringType())
-    schema = T.StructType([sentences.schema["sentence_id"], T.StructField("words", strings), T.StructField("tags", strings)])
-    return rows.select(*taken).mapInArrow(tag, schema)
+        rows = with_answers(rows, held, model.words.select("word", "tags"))
+    fields = [T.StructField(c, T.ArrayType(T.StringType())) for c in ("words", "tags")]
+    if folded:
+        fields = [T.StructField("tagged", T.ArrayType(T.StructType(fields)))]
+    schema = T.StructType([sentences.schema["sentence_id"], *fields])
+    return rows.select("sentence_id", "sentences", *(["answers"] if some_rare else [])).mapInArrow(tag, schema)
 
 
 def tag_in_context(sentences: DataFrame, model: TagModel) -> DataFrame:

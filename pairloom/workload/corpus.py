@@ -79,21 +79,21 @@ def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 
 def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(sentence_id, sentence)``, one per lineitem row."""
+    """``(sentence_id, sentence)``, one per lineitem row. The largest tables are joined first, when a row is its keys, and names last."""
     nation = table(spark, sf_dir, "nation")
     customers = (
         table(spark, sf_dir, "orders")
         .select("o_orderkey", "o_custkey")
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation.alias("cn"), F.col("c_nationkey") == F.col("cn.n_nationkey"))
-        .select("o_orderkey", F.col("cn.n_name"))
+        .select("o_orderkey", "c_nationkey")
     )
     return (
         wide_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+        .join(customers, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nation.alias("sn"), F.col("s_nationkey") == F.col("sn.n_nationkey"))
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(customers.alias("cn"), F.col("l_orderkey") == F.col("cn.o_orderkey"))
+        .join(nation.alias("cn"), F.col("c_nationkey") == F.col("cn.n_nationkey"))
         .select(F.expr(SENTENCE_ID).alias("sentence_id"), F.expr(sentence_expression()).alias("sentence"))
     )
 
@@ -107,9 +107,9 @@ def word_tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(text)``: a sentence of ``word_TAG`` items per lineitem row."""
     return (
         wide_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, sf_dir, "nation").alias("sn"), F.col("s_nationkey") == F.col("sn.n_nationkey"))
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(F.expr(sentence_expression(TAGGED)).alias("text"))
     )
 
@@ -119,9 +119,9 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr(sentence_expression(REPORTS))
     return (
         wide_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, sf_dir, "nation").alias("sn"), F.col("s_nationkey") == F.col("sn.n_nationkey"))
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.lit("en"), F.lit("reports"), F.lit(""), text).alias("line"))
     )
 

@@ -140,6 +140,16 @@ def _tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.tag_words(_document_sentences(spark, sf_dir), _lexicon(spark, sf_dir))
 
 
+def _shown_tags(found: DataFrame) -> DataFrame:
+    """``(sentence_id, tagged)``, lists of words and tags by id, as text. Sentences of equal ids become one, with their items in the order of places."""
+    lists = F.transform("tagged", lambda x: F.zip_with(x["words"], x["tags"], lambda w, t: F.concat_ws("_", w, t)))
+    rows = found.select("sentence_id", F.explode(F.array(lists)).alias("lists"))
+    placed = F.flatten(F.transform("lists", lambda x: F.transform(x, lambda item, pos: F.struct(pos.alias("pos"), item.alias("item")))))
+    items = F.when(F.size("lists") == 1, F.get("lists", F.lit(0))).otherwise(F.sort_array(placed)["item"])
+    n = F.aggregate("lists", F.lit(0).cast("bigint"), lambda n, x: n + F.size(x))
+    return rows.select("sentence_id", n.alias("n_words"), F.array_join(items, " ").alias("tagged"))
+
+
 def tag_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each sentence, with its words and tags in order."""
     item = F.struct("pos", F.concat_ws("_", "word", "tag").alias("item"))
@@ -153,13 +163,7 @@ def _tag_model(spark: SparkSession, sf_dir: str) -> postags.TagModel:
 
 def tag_words_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each untagged sentence with its most probable tags, learned from other, tagged sentences."""
-    found = postags.tag_sentences(corpus.plain_sentences(spark, sf_dir), _tag_model(spark, sf_dir))
-    # Sentences of equal ids become one row, with their items in the order of places.
-    rows = found.select("sentence_id", F.zip_with("words", "tags", lambda w, t: F.concat_ws("_", w, t)).alias("items"))
-    placed = F.flatten(F.transform("lists", lambda x: F.transform(x, lambda item, pos: F.struct(pos.alias("pos"), item.alias("item")))))
-    items = F.when(F.size("lists") == 1, F.get("lists", F.lit(0))).otherwise(F.sort_array(placed)["item"])
-    folded = rows.groupBy("sentence_id").agg(F.sum(F.size("items")).alias("n_words"), F.collect_list("items").alias("lists"))
-    return folded.select("sentence_id", "n_words", F.array_join(items, " ").alias("tagged"))
+    return _shown_tags(postags.tag_sentences(corpus.plain_sentences(spark, sf_dir), _tag_model(spark, sf_dir), folded=True))
 
 
 def tag_costs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ import random
 from collections import Counter
 
 import pytest
+from conftest import TINY
 
 from pairloom.operators import postags
+from pairloom.workload import queries
 
 TAGGED = [
     "the_DT rose_NN fell_VBD ._.",
@@ -196,3 +198,34 @@ def test_shapes_are_those_of_spark(spark):
     words = [w + e for w in ("17", "1.5", "abc", "a", "Abc", "ABC", "?!", "x1", "") for e in ("", "\n", "\r", "\r\n", "\n\n", " ", "\u0085b", "\n\r")]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", postags.shape_of("w").alias("s")).collect()
     assert [(r.w, postags._shapes(r.w)[0]) for r in rows] == [(r.w, r.s) for r in rows]
+
+
+def test_folded_by_id(spark, monkeypatch):
+    """Sentences of one id in one row, each tagged alone, also where most words come by a join."""
+    rows = [("a", "the rose rose ."), ("a", "they fall"), ("a", "they fall"), ("b", "the rose rose ."), (None, "fall"), ("c", None), ("d", "")]
+    asked = spark.createDataFrame(rows, "sentence_id STRING, sentence STRING")
+    model = learned(spark, TAGGED)
+    alone = {r.sentence_id: [] for r in asked.where("sentence IS NOT NULL").collect()}
+    for r in postags.tag_sentences(asked, model).collect():
+        alone[r.sentence_id].append((r.words, r.tags))
+    for frequent in (postags.FREQUENT_WORDS, 2):
+        monkeypatch.setattr(postags, "FREQUENT_WORDS", frequent)
+        got = postags.tag_sentences(asked, model, folded=True).collect()
+        assert len(got) == len(alone)
+        assert {r.sentence_id: sorted((x.words, x.tags) for x in r.tagged) for r in got} == {k: sorted(v) for k, v in alone.items()}
+
+
+def test_plain_text_is_shuffled_not_tagged(spark):
+    """Sentences of one id meet before they are tagged; their tagged items were shuffled before."""
+    plan = queries.tag_words_in_context(spark, TINY)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan.split("MapInArrow")[0]
+
+
+def test_sentences_are_shuffled_once(spark, monkeypatch):
+    """Rows come to their answers by the key they are dealt by; each sentence went through three shuffles before."""
+    monkeypatch.setattr(postags, "FREQUENT_WORDS", 2)
+    asked = spark.createDataFrame([(str(i), "the rose rose .") for i in range(40)], "sentence_id STRING, sentence STRING")
+    found = postags.tag_sentences(asked, learned(spark, TAGGED), folded=True)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and sum("Exchange hashpartitioning" in line and "sentence#" in line for line in plan.splitlines()) <= 1
