@@ -11,8 +11,11 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.functions.tagged import bare, bind, exploded, sentence_list, spaced_words, with_full_stop
+from pairloom.operators.lookup import sentence_rows, split_words, with_answers
+from pairloom.staging import stage
 
 #: How often an abbreviation is before a full stop, and the least score of one.
 OWN_STOP, LEAST_SCORE = 0.99, 0.3
@@ -233,8 +236,17 @@ def tag_with_model(sentences: DataFrame, load_model: Callable[[], Callable[[str]
     return sentences.mapInPandas(run, sentences.schema)
 
 
-def tag_words(sentences: DataFrame, lexicon: DataFrame, default_tag: str = "NN") -> DataFrame:
-    """``(sentence_id, pos, word, tag)`` with each word's tag from ``lexicon`` ``(word, tag)``."""
+def tag_words(sentences: DataFrame, lexicon: DataFrame, default_tag: str = "NN", folded: bool = False) -> DataFrame:
+    """``(sentence_id, pos, word, tag)`` with each word's tag from ``lexicon`` ``(word, tag)``; of two tags for a word the first in order counts.
+
+    ``folded``: ``(sentence_id, tagged)``, a row for each id with a list of the
+    words and tags of its sentences, which stay rows. Every task knows
+    ``HELD_NAMES`` words of the lexicon, the most frequent ones if it has a
+    column ``n``. Other words are looked up by a join, each once an id, and come
+    back if their tag is not the default; see :mod:`pairloom.operators.lookup`.
+    """
+    if folded:
+        return _folded_tags(sentences, lexicon, default_tag)
     words = sentences.select("sentence_id", F.posexplode(F.split("sentence", " ")).alias("pos", "word"))
     tags = lexicon.groupBy("word").agg(F.min("tag").alias("tag"))
     return words.join(tags, "word", "left").select(
@@ -242,6 +254,39 @@ def tag_words(sentences: DataFrame, lexicon: DataFrame, default_tag: str = "NN")
     )
 
 
+def _folded_tags(sentences: DataFrame, lexicon: DataFrame, default_tag: str) -> DataFrame:
+    """:func:`tag_words`, a row for each id."""
+    often = F.max("n") if "n" in lexicon.columns else F.lit(0)
+    entries = stage(lexicon.where("word IS NOT NULL").groupBy("word").agg(F.min("tag").alias("tag"), often.alias("n")), "lexicon")
+    first = entries.orderBy(F.desc("n"), "word").limit(HELD_NAMES + 1).select("word", "tag").toArrow()
+    more = len(first) > HELD_NAMES
+    held = sentences.sparkSession.sparkContext.broadcast(tuple(pa.array(c.to_pylist(), pa.string()) for c in first.slice(0, HELD_NAMES).columns))
+    rows = sentence_rows(sentences, folded=True)
+    if more:
+        rows = with_answers(rows, held, entries.where(F.col("tag") != default_tag).select("word", "tag"))
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, of_known = held.value
+        for batch in batches:
+            lists = batch.column("sentences")
+            words = split_words(lists)
+            different = words.flatten().dictionary_encode()
+            tags = of_known.take(pa.compute.index_in(different.dictionary, value_set=known))
+            if more:
+                answers = batch.column("answers").flatten()
+                _, at = np.unique(answers.field("word").dictionary_encode().indices.to_numpy(), return_index=True)
+                answers = answers.take(pa.array(at))
+                tags = pa.compute.coalesce(tags, answers.field("tag").take(pa.compute.index_in(different.dictionary, value_set=answers.field("word"))))
+            tags = pa.compute.fill_null(tags, default_tag).take(different.indices)
+            items = pa.StructArray.from_arrays([words, pa.ListArray.from_arrays(words.offsets, tags)], ["words", "tags"])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("sentence_id"), pa.ListArray.from_arrays(offsets, items)], ["sentence_id", "tagged"])
+
+    tagged = T.ArrayType(T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("words", "tags")]))
+    schema = T.StructType([sentences.schema["sentence_id"], T.StructField("tagged", tagged)])
+    return rows.select("sentence_id", "sentences", *(["answers"] if more else [])).mapInArrow(tag, schema)
+
+
 def prepare_corpus(articles: DataFrame, gazetteer: DataFrame, abbreviations: DataFrame | None = None) -> DataFrame:
     """Articles ``(index, text)`` to tagged sentences ``(index, pos, sentence)``."""
     return tag_entities(split_sentences(clean_newlines(articles), abbreviations), gazetteer)

@@ -76,7 +76,7 @@ def _word_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = wordstats.word_tag_counts(_word_tags(spark, sf_dir))
-    return wordstats.top_tag_per_word(counts).select("word", "tag")
+    return wordstats.top_tag_per_word(counts)
 
 
 def _round(spark: SparkSession, sf_dir: str, params: Params = EXACT) -> Round:
@@ -152,9 +152,7 @@ def _shown_tags(found: DataFrame) -> DataFrame:
 
 def tag_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each sentence, with its words and tags in order."""
-    item = F.struct("pos", F.concat_ws("_", "word", "tag").alias("item"))
-    items = F.array_join(F.sort_array(F.collect_list(item))["item"], " ")
-    return _tagged_words(spark, sf_dir).groupBy("sentence_id").agg(F.count(F.lit(1)).alias("n_words"), items.alias("tagged"))
+    return _shown_tags(prepare.tag_words(_document_sentences(spark, sf_dir), _lexicon(spark, sf_dir), folded=True))
 
 
 def _tag_model(spark: SparkSession, sf_dir: str) -> postags.TagModel:

@@ -6,10 +6,12 @@ import re
 from collections import Counter
 
 import pytest
+from conftest import TINY
 from pyspark.sql import functions as F
 
 from pairloom.operators import prepare
 from pairloom.sources import parse_articles
+from pairloom.workload import queries
 
 
 def split(spark, text):
@@ -181,3 +183,29 @@ def test_rows_stay_where_they_are(spark, sentences):
     found = prepare.tag_entities(sentences("a b c"), gazetteer)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert [r.sentence for r in found.collect()] == ["<X>a b</X> c"]
+
+
+def test_folded_words_take_the_same_tags(spark, monkeypatch):
+    """A row for each id, with the tags of the row for each word, also where most of the lexicon is looked up by a join."""
+    rows = [("a", "the cat the"), ("a", "a dog  é"), ("a", "a dog  é"), ("b", "the cat the"), (None, "dog"), ("c", None), ("d", "")]
+    asked = spark.createDataFrame(rows, "sentence_id STRING, sentence STRING")
+    entries = [("the", "DT", 5), ("dog", "VB", 2), ("dog", "NNP", 2), ("cat", None, 4), ("a", "NN", 1), ("", "E", 1), (None, "N", 9), ("é", "X", 1)]
+    lexicon = spark.createDataFrame(entries, "word STRING, tag STRING, n INT")
+    expected = {}
+    for r in prepare.tag_words(asked, lexicon, "??").collect():
+        expected.setdefault(r.sentence_id, []).append((r.pos, r.word, r.tag))
+    for held in (prepare.HELD_NAMES, 2, 0):
+        monkeypatch.setattr(prepare, "HELD_NAMES", held)
+        for entries in (lexicon, lexicon.drop("n")):
+            got = prepare.tag_words(asked, entries, "??", folded=True).collect()
+            assert sorted(map(str, (r.sentence_id for r in got))) == ["None", "a", "b", "d"]
+            found = {r.sentence_id: sorted((i, w, t) for x in r.tagged for i, (w, t) in enumerate(zip(x.words, x.tags, strict=True))) for r in got}
+            assert found == {k: sorted(v) for k, v in expected.items()}
+    nothing = prepare.tag_words(asked, lexicon.limit(0), "??", folded=True).collect()
+    assert {t for r in nothing for x in r.tagged for t in x.tags} == {"??"}
+
+
+def test_words_are_no_rows_of_a_shuffle(spark):
+    """Sentences meet as plain text and words stay in them; each word was a row of two shuffles before."""
+    plan = queries.tag_words(spark, TINY)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan.split("MapInArrow")[0] and "Generate posexplode(split(sentence" not in plan
