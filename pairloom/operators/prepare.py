@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.functions.sentences import count_words, cut_sentences
 from pairloom.functions.tagged import bare, bind, exploded, sentence_list, spaced_words, with_full_stop
 from pairloom.operators.lookup import sentence_rows, split_words, with_answers
 from pairloom.staging import stage
@@ -36,12 +37,20 @@ def learn_abbreviations(articles: DataFrame, least: float = LEAST_SCORE) -> Data
     times one more than its inner full stops, over the length to the power of
     how often no full stop follows (unsupervised collocation, as published for
     sentence boundaries). Short words that are seen without a full stop hardly
-    ever remain. Words are counted with map-side aggregation; the shuffle
-    carries a row for each distinct word, whatever the text.
+    ever remain. Words are counted in each batch of articles; the shuffle
+    carries a row for each distinct word of a batch at most, whatever the text.
     """
-    words = exploded(articles, [], spaced_words("text"), "w").select(bare(F.col("w")).alias("word"), with_full_stop(F.col("w")).cast("int").alias("stop"))
-    counts = words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("stop").alias("n_stops"))
-    # One row, from the shuffled counts of the words, which Spark computes once for both.
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = count_words(batch.column("text"))
+            n, n_stops = zip(*counts.values(), strict=True) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(n, pa.int64()), pa.array(n_stops, pa.int64())], ["word", "n", "n_stops"])
+
+    words = _once(articles).select("text").mapInArrow(count, "word string, n long, n_stops long")
+    # Written, since both the words and their share come from these counts, and the articles are read once for both.
+    counts = stage(words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_stops").alias("n_stops")), "word-stops")
+    # One row.
     share = counts.agg((F.sum("n_stops") / F.sum("n")).alias("share"))
     k, rest = F.col("n_stops"), F.col("n") - F.col("n_stops")
     chance = k * F.ln("share") + F.when(rest == 0, 0.0).otherwise(rest * F.ln(1 - F.col("share")))
@@ -53,16 +62,38 @@ def learn_abbreviations(articles: DataFrame, least: float = LEAST_SCORE) -> Data
     return scored.where(F.col("score") >= least)
 
 
+def _once(articles: DataFrame) -> DataFrame:
+    """The articles whose text is not null, as valid text. Exploding a list of one keeps the filter above the text, which is made once."""
+    return articles.withColumn("text", F.explode_outer(F.array(F.make_valid_utf8("text")))).where(F.col("text").isNotNull())
+
+
 def split_sentences(articles: DataFrame, abbreviations: DataFrame | None = None) -> DataFrame:
     """``(index, text)`` to ``(index, pos, sentence)``, tokens joined by one space.
 
     With ``abbreviations`` (a column ``word``, as :func:`learn_abbreviations`
-    gives them) their full stops end no sentence and stay with the word. Each
-    article's distinct words before a full stop are looked up, and the list of
-    those found comes back by a 128-bit key of the article.
+    gives them) their full stops end no sentence and stay with the word. Up to
+    ``HELD_NAMES`` of them are known to every task, and articles stay where they
+    are. Of more, each article's distinct words before a full stop are looked
+    up, and the list of those found comes back by a 128-bit key of the article.
     """
     if abbreviations is None:
         return exploded(articles, ["index"], sentence_list("text"), "pos", "sentence")
+    words = [r["word"] for r in abbreviations.where("word IS NOT NULL").select("word").distinct().limit(HELD_NAMES + 1).collect()]
+    if len(words) > HELD_NAMES:
+        return _split_by_join(articles, abbreviations)
+    held = articles.sparkSession.sparkContext.broadcast(frozenset(words))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, pos, sentences = cut_sentences(batch.column("text"), held.value)
+            yield pa.RecordBatch.from_arrays([batch.column("index").take(pa.array(row)), pa.array(pos, pa.int32()), sentences], ["index", "pos", "sentence"])
+
+    schema = T.StructType([articles.schema["index"], T.StructField("pos", T.IntegerType()), T.StructField("sentence", T.StringType())])
+    return _once(articles).select("index", "text").mapInArrow(cut, schema)
+
+
+def _split_by_join(articles: DataFrame, abbreviations: DataFrame) -> DataFrame:
+    """:func:`split_sentences` by joins, however many abbreviations there are."""
     identity = [x for c in ("index", "text") for x in (F.col(c).isNull(), F.col(c))]
     keyed = articles.select("index", "text", F.xxhash64(*identity).alias("k1"), F.xxhash64(F.lit("article"), *identity).alias("k2"))
     stopped = F.array_distinct(F.transform(F.filter(spaced_words("text"), with_full_stop), bare))

@@ -5,10 +5,13 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from conftest import TINY
 from pyspark.sql import functions as F
 
+from pairloom.functions.sentences import count_words
+from pairloom.functions.tagged import bare, exploded, spaced_words, with_full_stop
 from pairloom.operators import prepare
 from pairloom.sources import parse_articles
 from pairloom.workload import queries
@@ -209,3 +212,37 @@ def test_words_are_no_rows_of_a_shuffle(spark):
     """Sentences meet as plain text and words stay in them; each word was a row of two shuffles before."""
     plan = queries.tag_words(spark, TINY)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan.split("MapInArrow")[0] and "Generate posexplode(split(sentence" not in plan
+
+
+def test_articles_stay_where_they_are(spark):
+    """With abbreviations that a task can hold nothing is shuffled; each article was, and a row for each of its words before a full stop."""
+    held = spark.createDataFrame([("mr",)], "word STRING")
+    found = prepare.split_sentences(articles(spark, "Mr. X fell. Mr. Y rose."), held)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.pos, r.sentence) for r in found.collect()] == [(0, "Mr. X fell ."), (1, "Mr. Y rose .")]
+
+
+def odd_texts():
+    chance = random.Random(11)
+    pieces = ["Mr.", "(Mr.)", "U.S.", "inc.,", "a", "...", "?!", ".)", "]", "x.y", "é.", "Mr. ", "Dr.\u0085", "Mr.\u2028", "3.14", "", ":", '"Mr."', "o'b.", "Mr..", "\u0001", "\u0002.", ";"]
+    ends = [" ", "  ", "\n", "\t ", "\r\n", "\x0b", " ", "\f"]
+    return [" ".join(["Mr.", "X", "fell."]), "", " ", None] + ["".join(chance.choice(pieces) + chance.choice(ends) for _ in range(chance.randint(1, 14))) for _ in range(300)]
+
+
+def test_held_and_joined_abbreviations_agree(spark):
+    """Odd white space, line ends, marks and control characters, null numbers and repeated rows."""
+    texts = odd_texts()
+    rows = spark.createDataFrame([(i % 9 or None, t) for i, t in enumerate(texts * 2)], "index BIGINT, text STRING")
+    for words in (["mr", "u.s", "inc", "o'b", "mr", None], ["zz"]):
+        held = spark.createDataFrame([(w,) for w in words], "word STRING")
+        got, expected = prepare.split_sentences(rows, held), prepare._split_by_join(rows, held)
+        assert got.dtypes == expected.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_words_of_a_batch_are_those_of_spark(spark):
+    texts = odd_texts()
+    rows = spark.createDataFrame([(t,) for t in texts], "text STRING")
+    words = exploded(rows, [], spaced_words("text"), "w").select(bare(F.col("w")).alias("word"), with_full_stop(F.col("w")).cast("int").alias("stop"))
+    expected = words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"), F.sum("stop").alias("stops")).collect()
+    assert count_words(pa.array([t for t in texts if t is not None])) == {r.word: [r.n, r.stops] for r in expected}
