@@ -22,6 +22,8 @@ def spark(tmp_path_factory) -> SparkSession:
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
         .config("spark.ui.enabled", "false")
+        # Tests add up the bytes of all stages; a session forgets the oldest beyond this number, with or without its web page.
+        .config("spark.ui.retainedStages", "1000000")
         .config("spark.driver.memory", "6g")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
